@@ -6,18 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aerotally.llm import simhash
+from aerotally.llm import bit_sliced_topk, host_rules, simhash
 from aerotally.plans.storage import table
 
 
+def op1_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return bit_sliced_topk.top_k(rows, rows.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = host_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_bit_sliced_topk, op4_simhash_near_dedup, op6_host_rules)}
+
+
+OP1_SQL = """
+WITH usable AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+), parts AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM usable
+), ints AS (
+  SELECT vec_id, d, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM parts
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.v * c.v) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.d = c.d AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0 GROUP BY 1, 2
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_bit_sliced_topk": OP1_SQL}
