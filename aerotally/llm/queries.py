@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aerotally.llm import bit_sliced_topk, host_rules, simhash
+from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, simhash, uniform_shards
 from aerotally.plans.storage import table
 
 
@@ -25,8 +25,19 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uniform_shards.shard_documents(table(spark, sf_dir, "documents"), 16)
+
+
+def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("doc_id").cast("string").alias("row_id"), "source", pivotal_mix.n_words(F.col("text")).alias("size"))
+    found = pivotal_mix.mix_plan(rows)
+    return found.select(F.col("row_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bit_sliced_topk, op4_simhash_near_dedup, op6_host_rules)}
+    return {f.__name__: f for f in (op1_bit_sliced_topk, op4_simhash_near_dedup, op6_host_rules, op7_uniform_shards, op8_pivotal_mix)}
 
 
 OP1_SQL = """
