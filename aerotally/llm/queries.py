@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, simhash, uniform_shards
+from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, sentencepiece_codec, simhash, uniform_shards
 from aerotally.plans.storage import table
 
 
@@ -36,8 +36,12 @@ def op8_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row_id").cast("long").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bit_sliced_topk, op4_simhash_near_dedup, op6_host_rules, op7_uniform_shards, op8_pivotal_mix)}
+    return {f.__name__: f for f in (op1_bit_sliced_topk, op4_simhash_near_dedup, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec)}
 
 
 OP1_SQL = """
