@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, sentencepiece_codec, simhash, uniform_shards
+from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, sentencepiece_codec, simhash, uniform_shards, zip_warc
 from aerotally.plans.storage import table
 
 
@@ -40,8 +40,27 @@ def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = zip_warc.write_archives(zip_warc.plan_records(table(spark, sf_dir, "pages")))
+    found = zip_warc.read_archives(manifest, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS last_id, count(*) AS n FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN g.n > 1 AND p.payload_bytes >= 1000 AND p.page_id < g.last_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN g.n > 1 AND p.payload_bytes >= 1000 AND p.page_id < g.last_id THEN g.last_id END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bit_sliced_topk, op4_simhash_near_dedup, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec)}
+    return {f.__name__: f for f in (op1_bit_sliced_topk, op4_simhash_near_dedup, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec, op10_zip_warc)}
 
 
 OP1_SQL = """
@@ -65,4 +84,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bit_sliced_topk": OP1_SQL}
+    return {"op1_bit_sliced_topk": OP1_SQL, "op10_zip_warc": OP10_SQL}
