@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, preference_ranker, sentencepiece_codec, simhash, uniform_shards, zip_warc
+from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, preference_ranker, secret_forest, sentencepiece_codec, simhash, uniform_shards, zip_warc
 from aerotally.plans.storage import table
 
 
@@ -20,6 +20,10 @@ def op2_preference_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_ranker.score(docs, preference_ranker.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(table(spark, sf_dir, "documents")).select("doc_id", "at", "token", "score", "is_secret")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -65,7 +69,7 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bit_sliced_topk, op2_preference_ranker, op4_simhash_near_dedup, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec, op10_zip_warc)}
+    return {f.__name__: f for f in (op1_bit_sliced_topk, op2_preference_ranker, op3_secret_forest, op4_simhash_near_dedup, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec, op10_zip_warc)}
 
 
 OP1_SQL = """
