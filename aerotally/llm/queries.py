@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, preference_ranker, secret_forest, sentencepiece_codec, simhash, uniform_shards, zip_warc
+from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, preference_ranker, secret_forest, sentencepiece_codec, simhash, token_rollups, uniform_shards, zip_warc
 from aerotally.plans.storage import table
 
 
@@ -29,6 +29,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollups.maintain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = host_rules.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -69,7 +73,7 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bit_sliced_topk, op2_preference_ranker, op3_secret_forest, op4_simhash_near_dedup, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec, op10_zip_warc)}
+    return {f.__name__: f for f in (op1_bit_sliced_topk, op2_preference_ranker, op3_secret_forest, op4_simhash_near_dedup, op5_token_rollups, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec, op10_zip_warc)}
 
 
 OP1_SQL = """
