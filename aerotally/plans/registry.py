@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: tuple = ()
+from aerotally.plans import bind_flights, bind_matching  # noqa: E402
+
+_MODULES: tuple = (bind_matching, bind_flights)
 
 
 def queries() -> dict[str, Query]:
