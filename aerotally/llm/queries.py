@@ -80,7 +80,7 @@ OP1_SQL = """
 WITH usable AS (
   SELECT vec_id, embedding FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), parts AS (
   SELECT vec_id, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM usable
 ), ints AS (
