@@ -40,7 +40,8 @@ def planar_bearing(dx: Column, dy: Column) -> Column:
 
 def compass(degrees: Column) -> Column:
     """FN4: eight sectors of 45 degrees, half-open, N centred on 0."""
-    return F.element_at(F.array(*[F.lit(c) for c in COMPASS]), (F.floor(F.pmod(degrees + 22.5, F.lit(360.0)) / 45) + 1).cast("int"))
+    sector = F.floor(F.pmod(degrees + 22.5, F.lit(360.0)) / 45).cast("int")
+    return F.when(degrees.isNotNull(), F.get(F.array(*[F.lit(c) for c in COMPASS]), sector))
 
 
 def normal_angle(a: Column) -> Column:
