@@ -38,7 +38,7 @@ SEED = 42
 WORDS_PER_SHINGLE = 4
 RADIUS = 4
 #: Variants that one leading part should hold on average, and in one sorted pass.
-VARIANTS_PER_BUCKET, VARIANTS_PER_PASS = 1 << 20, 1 << 23
+VARIANTS_PER_BUCKET, VARIANTS_PER_PASS = 1 << 20, 1 << 21
 #: Shingles whose bits are unpacked at once.
 _SHINGLES_AT_ONCE = 1 << 16
 
@@ -95,7 +95,7 @@ def _bucket_forest(fps: np.ndarray, head: int, head_bits: int, half: int) -> tup
     tail_bits = 64 - head_bits
     spent = np.bitwise_count((fps >> np.uint64(tail_bits)) ^ np.uint64(head))
     tails = fps & np.uint64((1 << tail_bits) - 1)
-    groups = [(np.flatnonzero(spent == j), _masks(tail_bits, half - j)) for j in range(half + 1)]
+    groups = [(np.flatnonzero(spent == j).astype(np.int32), _masks(tail_bits, half - j)) for j in range(half + 1)]
     total = sum(len(rows) * len(masks) for rows, masks in groups)
     passes = max(1, -(-total // VARIANTS_PER_PASS))
     label = np.arange(len(fps))
