@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units that a worker keeps; when there are more, it starts anew.
-KNOWN_UNITS = 600_000
+#: Units that a worker keeps during a task; when there are more, it starts anew.
+KNOWN_UNITS = 200_000
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -250,6 +250,7 @@ def encode(rows: DataFrame, *, text: str = "text", model_path: str = DEFAULT_MOD
                 same = [ok for _, ok in packed]
                 kept = [batch.column(i + 1).slice(at, stop - at) for i in range(len(rest))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(offsets)), lists, pa.array(same)], names=[*rest, "n_tokens", "ids", "round_trip"])
+        codec.known.clear()  # the worker may serve other stages next
 
     schema = rows.select(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("n_tokens"), F.array(F.lit(0)).alias("ids"), F.lit(True).alias("round_trip")).schema
     return rows.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
