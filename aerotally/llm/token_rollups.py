@@ -26,7 +26,7 @@ an empty batch commits with no rows; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -50,19 +50,26 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=parsed, special_tokens={})
 
 
-def counted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", ranks_path: str = DEFAULT_RANKS, version: str = "byte_bpe_50k/1") -> DataFrame:
-    """``(doc_id, source, lang, tokenizer, tokens)`` per row, over whole texts."""
+def counted(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", ranks_path: str = DEFAULT_RANKS, version: str = "byte_bpe_50k/1", also: dict[str, Callable[[str], str]] | None = None) -> DataFrame:
+    """``(doc_id, source, lang, tokenizer, tokens)`` per row, over whole texts.
+
+    ``also`` names further counts of the text rewritten by a function, made in
+    the same pass, so that a revision needs no second reading of the texts.
+    """
+    also = also or {}
     with open(ranks_path, "rb") as f:
         ranks = f.read()  # under a megabyte; sent with the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(ranks).encode_ordinary
         for batch in batches:
-            n = [len(encode(t)) if t else 0 for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["doc_id", *KEY, "tokens"])
+            texts = [t or "" for t in batch.column(3).to_pylist()]
+            counts = [pa.array([len(encode(t)) for t in texts], pa.int64())]
+            counts += [pa.array([len(encode(f(t))) for t in texts], pa.int64()) for f in also.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * len(texts), pa.string()), *counts], names=["doc_id", *KEY, "tokens", *also])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long")
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long" + "".join(f", {c} long" for c in also))
 
 
 class Rollups:
@@ -154,11 +161,16 @@ def maintain(docs: DataFrame, labels: DataFrame) -> DataFrame:
     white space made one space. Batch 1 is then delivered again, to no effect.
     """
     state = Rollups(docs.sparkSession)
-    inserts = counted(docs)
+    counts = materialise(counted(docs, also={"squeezed": squeeze}), "token-counts")
+    inserts = counts.select("doc_id", *KEY, "tokens")
     state.commit(1, inserts=inserts)
     state.commit(2, deletes=labels.where("toxic = 1"))
-    poor = labels.where("quality = 0").select(F.col("doc_id").alias("_poor")).distinct()
-    squeezed = docs.join(poor, F.col("doc_id") == F.col("_poor"), "left_semi").withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
-    state.commit(3, revised=counted(squeezed))
+    poor = labels.where("quality = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    state.commit(3, revised=counts.join(poor, "doc_id", "left_semi").select("doc_id", *KEY, F.col("squeezed").alias("tokens")))
     state.commit(1, inserts=inserts)
     return state.totals()
+
+
+def squeeze(text: str) -> str:
+    """Runs of white space made one space, none at the ends."""
+    return " ".join(text.split())
