@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-from aerotally.plans import bind_agreement, bind_annotations, bind_flights, bind_matching, bind_tiling  # noqa: E402
+from aerotally.plans import bind_agreement, bind_annotations, bind_flights, bind_formats, bind_matching, bind_tiling  # noqa: E402
 
-_MODULES: tuple = (bind_matching, bind_flights, bind_annotations, bind_agreement, bind_tiling)
+_MODULES: tuple = (bind_matching, bind_flights, bind_annotations, bind_agreement, bind_tiling, bind_formats)
 
 
 def queries() -> dict[str, Query]:
