@@ -59,6 +59,31 @@ def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) x
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+p AS (SELECT doc_id, generate_subscripts(ws, 1) AS i, unnest(ws) AS a FROM w),
+tri AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM tri WHERE c IS NOT NULL) y WHERE k > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM dup, (SELECT unnest([0, 1, 2]) AS o) z GROUP BY 1),
+m AS (SELECT w.doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS upper_n
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  10 * n_symbols > n_words OR 100 * n_repeat_words > 20 * n_words OR 2 * upper_n > letters OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS soft FROM m),
+h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_failed OR soft THEN 1 ELSE 0 END) AS DOUBLE) AS x FROM f GROUP BY 1),
+s AS (SELECT sum(n) AS n, count(*) AS k, sum(n * n) AS nn, sum(x * x / n) AS xx, least(greatest(sum(x) / sum(n), 0.5 / (sum(n) + 1)), 1 - 0.5 / (sum(n) + 1)) AS mean FROM h),
+v AS (SELECT *, mean * (1 - mean) AS spread, CASE WHEN k > 1 THEN (xx - n * mean * mean - (k - 1) * mean * (1 - mean)) / greatest(n - nn / n, 1e-9) ELSE 0 END AS b FROM s),
+g AS (SELECT mean, CASE WHEN b <= spread / (n + 1) THEN n ELSE greatest(spread / b - 1, 1e-3) END AS strength FROM v),
+r AS (SELECT host, (x + mean * strength) / (n + strength) AS rate FROM h, g)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (rate <= 0.02 OR (rate <= 0.6 AND NOT soft)) AS kept
+FROM f JOIN r ON f.host = r.host
+"""
+
+
 OP10_SQL = """
 WITH p AS (
   SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -97,4 +122,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bit_sliced_topk": OP1_SQL, "op10_zip_warc": OP10_SQL}
+    return {"op1_bit_sliced_topk": OP1_SQL, "op6_host_rules": OP6_SQL, "op10_zip_warc": OP10_SQL}
