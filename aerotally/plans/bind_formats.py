@@ -84,6 +84,36 @@ def src10(v):
     return R.annotation_files(v.spark, f"{path}/*", "id long").groupBy("island").agg(F.count("*").alias("n"))
 
 
+def src9(v):
+    """Conversations as a volunteer export: one classification per first turn, marks from the turns."""
+    c = v.conversations.groupBy("conv_id").agg(F.count("*").alias("n"))
+    marks = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct((i * 2.0).alias("x"), (i * 3.0).alias("y"), F.lit("adult").alias("tool_label")))
+    yes = F.when(F.col("conv_id") % 3 > 0, "Yes").otherwise("No")
+    tasks = F.concat(F.lit('[{"task":"T0","value":"'), yes, F.lit('"},{"task":"T1","value":'), F.to_json(marks), F.lit("}]"))
+    subject = F.concat(F.lit('{"7":{"Filename":"f'), F.col("conv_id"), F.lit('.jpg","site":"s1"}}'))
+    none = F.lit("")
+    rows = c.select("conv_id", F.lit("ann").alias("user_name"), (F.col("conv_id") % 5).alias("user_id"), *[none.alias(n) for n in ("ip", "w")], F.lit("p1").alias("phase"), *[none.alias(n) for n in ("ver", "t", "g", "e")], F.lit('{"started_at":"a","finished_at":"b"}').alias("meta"), tasks.alias("tasks"), subject.alias("subject"), F.lit(7).alias("sid"))
+    path = written(v, rows, "csv", header=True, escape='"')
+    return R.volunteer_export(v.spark, path).groupBy("user_id", "flight_code").agg(F.count("*").alias("marks"), F.countDistinct("image_name").alias("images"), F.sum("x").alias("sx"))
+
+
+def src11(v):
+    path = fresh_dir(v.spark, "missions")
+    W.write_feature_collections(v.shots.select("expedition", "x", "y", "height"), f"{path}/a", ["height"], "expedition")
+    W.write_feature_collections(v.shots.where("shot % 2 = 0").select("expedition", "x", "y", "drone"), f"{path}/b", ["drone"], "expedition")
+    got = R.geojson(v.spark, [f"{path}/a/*", f"{path}/b/*"], "height double, drone string")
+    return got.groupBy("drone").agg(F.count("*").alias("n"), F.round(F.sum("height"), 2).alias("height"))
+
+
+def src12(v):
+    b = v.boxes
+    pts = [("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")]
+    line = F.concat_ws(" ", *[F.col(c).cast("string") for p in pts for c in p], F.regexp_replace("class", "#", ""), F.lit("0"))
+    head = b.limit(1).select(F.explode(F.array(F.lit("imagesource:x"), F.lit("gsd:0.1"), F.lit("1 2 3"))).alias("value"))
+    path = written(v, b.select(line.alias("value")).unionByName(head), "text")
+    return R.oriented_boxes(v.spark, path).groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum("area"), 2).alias("area"))
+
+
 def src13(v):
     known = v.shots.where("shot % 3 = 0").select(F.col("name").alias("filepath"))
     return R.not_yet_known(v.shots.select(F.col("name").alias("filepath")), known)
@@ -261,6 +291,9 @@ BINDINGS = {
     "SRC7": binding(src7, "SELECT s_name, count(*) AS n FROM marks LEFT JOIN supplier ON image=s_suppkey GROUP BY 1"),
     "SRC8": binding(src8, "SELECT CASE WHEN image%2=0 THEN 'train' ELSE 'val' END AS split, count(*) AS n FROM boxes WHERE id%10<>0 AND x2>x1 AND y2>y1 GROUP BY 1"),
     "SRC10": binding(src10, "SELECT concat('species=',species) AS island, count(*) AS n FROM marks WHERE role='gt' GROUP BY 1"),
+    "SRC9": binding(src9, "WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id%5 AS user_id, 's1' AS flight_code, CAST(sum(n) AS BIGINT) AS marks, count(*) AS images, CAST(sum(n*(n+1)) AS DOUBLE) AS sx FROM c WHERE conv_id%3>0 GROUP BY 1"),
+    "SRC11": binding(src11, "SELECT CAST(NULL AS VARCHAR) AS drone, count(*) AS n, round(sum(height),2) AS height FROM shots UNION ALL SELECT drone, count(*), NULL FROM shots WHERE shot%2=0 GROUP BY 1"),
+    "SRC12": binding(src12, "SELECT replace(class,'#','') AS class, count(*) AS n, round(sum((x2-x1)*(y2-y1)),2) AS area FROM boxes GROUP BY 1"),
     "SRC13": binding(src13, "SELECT name AS filepath FROM shots WHERE shot%3<>0"),
     "SNK1": binding(snk1, "SELECT image, id, x, y FROM marks WHERE role='gt'"),
     "SNK2": binding(snk2, "SELECT dataset, count(DISTINCT image) AS images, count(*) AS labels FROM annotations GROUP BY 1"),

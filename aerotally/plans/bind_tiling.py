@@ -76,6 +76,32 @@ def tl10(v):
     return T.tile_points(points, v.boxes, 256.0).select("image", "id", "tx", "ty", "lx", "ly")
 
 
+def tl11(v):
+    """The tiles of a given list only."""
+    known = v.boxes.select("image", F.floor(F.col("x1") / 256).cast("long").alias("tx"), F.floor(F.col("y1") / 256).cast("long").alias("ty")).distinct()
+    return T.tile_points(v.marks.where("role = 'gt'"), v.boxes.limit(0), 256.0).join(known, ["image", "tx", "ty"], "left_semi").select("image", "id", "tx", "ty")
+
+
+def tl13(v):
+    """Boxes and points of an image together, with how many of each kind its tiles hold."""
+    b = T.tile_boxes(v.boxes, 256.0).groupBy("image").agg(F.count("*").alias("boxes"))
+    p = T.tile_points(v.marks.where("role = 'gt'"), v.boxes, 256.0).groupBy("image").agg(F.count("*").alias("points"))
+    return b.join(p, "image", "full_outer").fillna(0)
+
+
+def jn8(v):
+    """Quality cells by content hash onto shots, a left join."""
+    q = v.documents.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("hash"), "n_chars")
+    shots = v.shots.select("shot", F.sha2(F.col("shot").cast("string"), 256).alias("hash"))
+    return shots.join(q, "hash", "left").select("shot", F.coalesce("n_chars", F.lit(0)).alias("quality"))
+
+
+def jn9(v):
+    facts = v.shots.groupBy("flight").agg(F.count("*").alias("n"))
+    means = v.shots.where("pitch < -45").groupBy("flight").agg(_R(F.avg("height")).alias("height"))
+    return facts.join(means, "flight", "left")
+
+
 def sp15(v):
     used = S.tile_of(v.marks.where("species = 'A' and score > 0.97"), 128).select("image", F.col("tile_x").alias("tx"), F.col("tile_y").alias("ty")).distinct()
     grid = v.marks.select("image").distinct().withColumn("tx", F.explode(F.expr("sequence(0L, 7L)"))).withColumn("ty", F.explode(F.expr("sequence(0L, 7L)")))
@@ -329,6 +355,11 @@ BINDINGS = {
       k AS (SELECT *, (c-a)*(d-b)/area AS kept FROM t WHERE c>a AND d>b), w AS (SELECT *, max(CASE WHEN kept >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY image, tx, ty) AS whole FROM k)
       SELECT image, id, tx, ty, trunc(a) AS lx1, trunc(b) AS ly1, trunc(c) AS lx2, trunc(d) AS ly2, kept < 1 AS edge_partial, round(kept,6) AS kept FROM w WHERE whole=1"""),
     "TL10": binding(tl10, f"WITH {_TL10} SELECT image, id, CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, lx, ly FROM t10"),
+    "TL11": binding(tl11, "WITH k AS (SELECT DISTINCT image, floor(x1/256) AS tx, floor(y1/256) AS ty FROM boxes) SELECT m.image, m.id, CAST(floor(x/256) AS BIGINT) AS tx, CAST(floor(y/256) AS BIGINT) AS ty FROM marks m JOIN k ON m.image=k.image AND floor(x/256)=tx AND floor(y/256)=ty WHERE role='gt' AND x-floor(x/256)*256>0 AND y-floor(y/256)*256>0"),
+    "TL13": binding(tl13, f"""WITH {_TL10}, bt AS (SELECT image, id, i AS tx, j AS ty, (least(x2,i*256+256)-greatest(x1,i*256))*(least(y2,j*256+256)-greatest(y1,j*256))/((x2-x1)*(y2-y1)) AS kept FROM boxes, (SELECT unnest(generate_series(0,5)) AS i) s, (SELECT unnest(generate_series(0,5)) AS j) u WHERE least(x2,i*256+256)>greatest(x1,i*256) AND least(y2,j*256+256)>greatest(y1,j*256)),
+      bw AS (SELECT *, max(CASE WHEN kept>=1 THEN 1 ELSE 0 END) OVER (PARTITION BY image, tx, ty) AS w FROM bt), b AS (SELECT image, count(*) AS n FROM bw WHERE w=1 GROUP BY 1), p AS (SELECT image, count(*) AS n FROM t10 GROUP BY 1) SELECT coalesce(b.image,p.image) AS image, coalesce(b.n,0) AS boxes, coalesce(p.n,0) AS points FROM b FULL OUTER JOIN p ON b.image=p.image"""),
+    "JN8": binding(jn8, "SELECT shot, coalesce(n_chars,0) AS quality FROM shots LEFT JOIN documents ON shot=doc_id"),
+    "JN9": binding(jn9, "WITH m AS (SELECT flight, round(avg(height),6) AS height FROM shots WHERE pitch < -45 GROUP BY 1) SELECT s.flight, count(*) AS n, max(m.height) AS height FROM shots s LEFT JOIN m ON s.flight=m.flight GROUP BY 1"),
     "TL14": binding(tl14, f"WITH {_TL10} SELECT species, count(*) AS points, count(DISTINCT image) AS images, count(DISTINCT image*10000+tx*100+ty) AS tiles FROM t10 WHERE species <> 'R' GROUP BY 1"),
     "TL15": binding(tl15, "SELECT id, greatest(0,x1-20) AS x1, greatest(0,y1-20) AS y1, least(1000,x2+20) AS x2, least(1000,y2+20) AS y2 FROM boxes"),
     "SP15": binding(sp15),
