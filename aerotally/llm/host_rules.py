@@ -82,11 +82,11 @@ def base_failed(measure: Callable[[str], Column] = F.col) -> Column:
 
 
 def soft_failed(measure: Callable[[str], Column] = F.col) -> Column:
-    """A symbol for every ten words, a fifth of the words in repeated windows, mostly capitals, or word lengths that prose doesn't have."""
+    """A symbol for every ten words, two fifths of the words in repeated windows, mostly capitals, or word lengths that prose doesn't have."""
     words, chars = measure("n_words"), measure("word_chars")
     return (
         (10 * measure("n_symbols") > words)
-        | (100 * measure("n_repeat_words") > 20 * words)
+        | (100 * measure("n_repeat_words") > 40 * words)
         | (2 * measure("n_upper") > measure("n_letters"))
         | (chars < 2 * words)
         | (chars > 20 * words)

@@ -73,7 +73,7 @@ m AS (SELECT w.doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(reg
   length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS upper_n
   FROM w LEFT JOIN l ON w.doc_id = l.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  10 * n_symbols > n_words OR 100 * n_repeat_words > 20 * n_words OR 2 * upper_n > letters OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS soft FROM m),
+  10 * n_symbols > n_words OR 100 * n_repeat_words > 40 * n_words OR 2 * upper_n > letters OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS soft FROM m),
 h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_failed OR soft THEN 1 ELSE 0 END) AS DOUBLE) AS x FROM f GROUP BY 1),
 s AS (SELECT sum(n) AS n, count(*) AS k, sum(n * n) AS nn, sum(x * x / n) AS xx, least(greatest(sum(x) / sum(n), 0.5 / (sum(n) + 1)), 1 - 0.5 / (sum(n) + 1)) AS mean FROM h),
 v AS (SELECT *, mean * (1 - mean) AS spread, CASE WHEN k > 1 THEN (xx - n * mean * mean - (k - 1) * mean * (1 - mean)) / greatest(n - nn / n, 1e-9) ELSE 0 END AS b FROM s),
