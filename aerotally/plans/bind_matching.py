@@ -123,8 +123,8 @@ def sp5(v):
 
 def sp6(v):
     shots = v.shots.select(F.col("shot"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
-    boxes = v.boxes.select(F.col("id").alias("box"), F.col("x1").alias("l_x"), F.col("y1").alias("l_y"))
-    return S.k_nearest(boxes, shots, 3, 40.0, "box", "shot").select("box", "shot", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
+    boxes = v.boxes.select(F.col("id").alias("box"), (F.col("x1") / 10).alias("l_x"), F.col("y1").alias("l_y"))
+    return S.k_nearest(boxes, shots, 3, 10.0, "box", "shot").select("box", "shot", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
 
 
 def sp9(v):
@@ -266,7 +266,7 @@ BINDINGS = {
       SELECT t.image, tile_x, tile_y, tx IS NOT NULL AS occupied FROM t LEFT JOIN u ON t.image=u.image AND tile_x=tx AND tile_y=ty"""),
     "SP4": binding(sp4, f"SELECT shot, flight FROM shots WHERE ({_CROSS}) % 2 = 1 AND x BETWEEN 10 AND 120 AND y BETWEEN 10 AND 700"),
     "SP5": binding(sp5, f"{_M} SELECT image, gt_id, pred_id, d2 FROM n1 WHERE k = 1"),
-    "SP6": binding(sp6, "WITH r AS (SELECT b.id AS box, s.shot, (b.x1-s.x)*(b.x1-s.x)+(b.y1-s.y)*(b.y1-s.y) AS d2 FROM boxes b, shots s), k AS (SELECT *, row_number() OVER (PARTITION BY box ORDER BY d2, shot) AS rank FROM r) SELECT box, shot, round(d2,6) AS d2, rank FROM k WHERE rank <= 3"),
+    "SP6": binding(sp6, "WITH r AS (SELECT b.id AS box, s.shot, (b.x1/10-s.x)*(b.x1/10-s.x)+(b.y1-s.y)*(b.y1-s.y) AS d2 FROM boxes b, shots s), k AS (SELECT *, row_number() OVER (PARTITION BY box ORDER BY d2, shot) AS rank FROM r) SELECT box, shot, round(d2,6) AS d2, rank FROM k WHERE rank <= 3"),
     "SP7": binding(sp7, """WITH s AS (SELECT n_nationkey AS site, CAST(n_nationkey*40 AS DOUBLE) AS sx, CAST((n_nationkey*173)%1000 AS DOUBLE) AS sy FROM nation), p AS (SELECT s_suppkey AS id, CAST(s_suppkey*7%1000 AS DOUBLE) AS x, CAST(s_suppkey*31%1000 AS DOUBLE) AS y FROM supplier),
       r AS (SELECT id, site, (x-sx)*(x-sx)+(y-sy)*(y-sy) AS d2 FROM p, s), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, site) AS n FROM r) SELECT id, site, d2 FROM k WHERE n = 1"""),
     "SP8": binding(sp8, """WITH r AS (SELECT a.shot AS s, b.expedition AS e1, b.shot AS o, abs(a.height-b.height) AS diff FROM shots a JOIN shots b ON a.shot % 40 = 0 AND a.expedition <> b.expedition AND abs(a.x-b.x) <= 15 AND abs(a.y-b.y) <= 15 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 225),
