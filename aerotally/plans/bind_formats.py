@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerotally.functions import polygons as P
-from aerotally.operators import matching as M, spatial as S
+from aerotally.operators import matching as M, pixels as X, spatial as S
 from aerotally.plans.bind_matching import _M, matches
 from aerotally.plans.storage import fresh_dir
 from aerotally.plans.views import binding
@@ -239,6 +239,11 @@ def tl12(v):
     return laid.select("label", "tx", "ty", c.alias("ring")).where("ring is not null").select("label", "tx", "ty", _R(S.polygon_area(F.col("ring")), 3).alias("area")).where("area > 0")
 
 
+def pix1(v):
+    """Embedding vectors taken for grey images eight pixels wide, a grid of two by two cells."""
+    return X.grid_metrics(v.embeddings.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.col("embedding").alias("pixels")), 2, 2)
+
+
 def rev2(v):
     """Review result: what changed, and hard negatives of the predictions that the correction lacks, by class."""
     gt, pred, m = matches(v)
@@ -321,6 +326,7 @@ BINDINGS = {
     "FN20": binding(fn20, "WITH c AS (SELECT id, least(x2,600)-greatest(x1,100) AS w, least(y2,500)-greatest(y1,100) AS h FROM boxes) SELECT id AS label, round(w*h,4) AS area FROM c WHERE w>0 AND h>0"),
     "TL12": binding(tl12, """WITH t AS (SELECT id, i AS tx, j AS ty, least(x2,i*256+256)-greatest(x1,i*256) AS w, least(y2,j*256+256)-greatest(y1,j*256) AS h FROM boxes, (SELECT unnest(generate_series(0,5)) AS i) s, (SELECT unnest(generate_series(0,5)) AS j) u)
       SELECT id AS label, tx, ty, round(w*h,3) AS area FROM t WHERE w>0 AND h>0"""),
+    "PIX1": binding(pix1),
     "REV2": binding(rev2, f"{_M}, u AS (SELECT species FROM gt UNION ALL SELECT 'hard_negative' FROM pred p LEFT JOIN m ON p.image=m.image AND p.id=m.pred_id WHERE m.gt_id IS NULL AND score > CAST(0.9 AS DOUBLE)) SELECT species, count(*) AS n FROM u GROUP BY 1"),
     "ST1": binding(st1, "SELECT concat('img', CAST(event_id AS VARCHAR)) AS filepath, user_id FROM events"),
     "ST2": binding(st2, "WITH s AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, t - lag(t) OVER w AS d FROM shots WINDOW w AS (PARTITION BY flight ORDER BY t, shot)) SELECT flight, shot, round(sqrt(dx*dx+dy*dy),4) AS distance, round(d,3) AS dt, FALSE AS late FROM s"),
