@@ -315,7 +315,7 @@ BINDINGS = {
     "SNK13": binding(snk13, "SELECT image, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx FROM marks WHERE role='pred' AND id%9>0 GROUP BY 1"),
     "SNK14": binding(lambda v: v.marks.where("role = 'pred'").select("image", F.col("id").alias("prediction"), "x", "y", F.col("species").alias("class")), "SELECT image, id AS prediction, x, y, species AS class FROM marks WHERE role='pred'"),
     "SNK15": binding(snk15, "SELECT image, id, image*100.0+x*0.5 AS world_x, 9000-y*0.5 AS world_y, x<50 OR y<50 OR x>950 OR y>950 AS on_edge FROM marks"),
-    "SNK16": binding(snk16, "SELECT image, id, CASE WHEN species='A' THEN 1 ELSE 2 END AS class_id, round(x/1000,6) AS xc, round(y/1000,6) AS yc, round(0.04,6) AS w FROM marks WHERE species IN ('A','R')"),
+    "SNK16": binding(snk16, "SELECT image, id, CASE WHEN species='A' THEN 1 ELSE 2 END AS class_id, round(x/1000,6) AS xc, round(y/1000,6) AS yc, CAST(0.04 AS DOUBLE) AS w FROM marks WHERE species IN ('A','R')"),
     "SNK17": binding(snk17, "SELECT c_name AS name, dense_rank() OVER (ORDER BY c_name) AS id FROM customer"),
     "SNK18": binding(snk18, """WITH t AS (SELECT id, i AS tx, j AS ty, greatest(x1-i*256,0) AS a, greatest(y1-j*256,0) AS b, least(x2-i*256,256) AS c, least(y2-j*256,256) AS d FROM boxes, (SELECT unnest(generate_series(0,5)) AS i) s, (SELECT unnest(generate_series(0,5)) AS j) u)
       SELECT id, tx, 3-ty AS row, round((a+c)/2/256,6) AS xc, round((b+d)/2/256,6) AS yc, round((c-a)/256,6) AS w, round((d-b)/256,6) AS h FROM t WHERE c>a AND d>b"""),

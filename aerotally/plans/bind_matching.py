@@ -234,7 +234,7 @@ BINDINGS = {
       SELECT e.image, num_gt, num_pred, coalesce(n,0) AS tp, num_pred-coalesce(n,0) AS fp, num_gt-coalesce(n,0) AS fn, num_pred-num_gt AS err FROM e LEFT JOIN t ON e.image=t.image"""),
     "MT7": binding(mt7),
     "EV1": binding(ev1, f"{_M}, t AS (SELECT (SELECT count(*) FROM m) AS tp, (SELECT count(*) FROM pred)-(SELECT count(*) FROM m) AS fp, (SELECT count(*) FROM gt)-(SELECT count(*) FROM m) AS fn) SELECT {_RATES} FROM t"),
-    "EV2": binding(ev2, f"""WITH {_ROLES}, th AS (SELECT unnest({THRESHOLDS}) AS threshold),
+    "EV2": binding(ev2, f"""WITH {_ROLES}, th AS (SELECT CAST(unnest({THRESHOLDS}) AS DOUBLE) AS threshold),
       c AS (SELECT g.image, g.id AS gt_id, p.id AS pred_id, (g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y) AS d2, p.score FROM gt g JOIN pred p ON g.image=p.image AND abs(g.x-p.x) <= {R} AND abs(g.y-p.y) <= {R}),
       n1 AS (SELECT *, row_number() OVER (PARTITION BY threshold, image, gt_id ORDER BY d2, pred_id) AS k FROM c, th WHERE d2 <= {R * R} AND score >= threshold),
       n2 AS (SELECT *, row_number() OVER (PARTITION BY threshold, image, pred_id ORDER BY d2, gt_id) AS k2 FROM n1 WHERE k = 1),
@@ -244,7 +244,7 @@ BINDINGS = {
         round(CASE WHEN tp=0 THEN 0.0 ELSE 2*(tp/CAST(tp+fp AS DOUBLE))*(tp/CAST(tp+fn AS DOUBLE))/((tp/CAST(tp+fp AS DOUBLE))+(tp/CAST(tp+fn AS DOUBLE))) END,6) AS f1 FROM u"""),
     "EV3": binding(ev3, f"""{_M}, e AS (SELECT image, CAST(count(*) FILTER (WHERE role='pred')-count(*) FILTER (WHERE role='gt') AS DOUBLE) AS e, count(*) FILTER (WHERE role='gt') AS g FROM marks GROUP BY 1)
       SELECT count(*) AS images, round(avg(e),6) AS me, round(avg(abs(e)),6) AS mae, round(avg(e*e),6) AS mse, round(sqrt(avg(e*e)),6) AS rmse FROM e WHERE g > 0"""),
-    "EV4": binding(ev4, f"""WITH {_ROLES}, th AS (SELECT unnest({THRESHOLDS[::4]}) AS threshold),
+    "EV4": binding(ev4, f"""WITH {_ROLES}, th AS (SELECT CAST(unnest({THRESHOLDS[::4]}) AS DOUBLE) AS threshold),
       c AS (SELECT g.species, g.image, g.id AS gt_id, p.id AS pred_id, (g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y) AS d2, p.score FROM gt g JOIN pred p ON g.image=p.image AND g.species=p.species AND abs(g.x-p.x) <= {R} AND abs(g.y-p.y) <= {R}),
       n1 AS (SELECT *, row_number() OVER (PARTITION BY threshold, species, image, gt_id ORDER BY d2, pred_id) AS k FROM c, th WHERE d2 <= {R * R} AND score >= threshold),
       n2 AS (SELECT *, row_number() OVER (PARTITION BY threshold, species, image, pred_id ORDER BY d2, gt_id) AS k2 FROM n1 WHERE k = 1),
