@@ -1,0 +1,155 @@
+"""Near-duplicate components of documents whose shingle sets have a Jaccard similarity of ``THRESHOLD`` or more.
+
+The pipeline's stage. 64 SimHash bits can't do this: at a similarity of 0.8 two
+fingerprints differ in about ten bits, and a ball of that radius is out of
+reach. So candidates are documents that share one of ``BANDS`` hashes of
+``ROWS`` MinHash values each (a pair at 0.8 shares none with a chance of 5e-5,
+at 0.9 of 3e-10), and every candidate pair is verified by the exact Jaccard
+similarity of its sets before it links anything. Texts with equal sets are one
+node from the start.
+
+A band hash that many share isn't all its pairs: its smallest member is compared
+with the others first, and only members that those links left in different
+components are compared pairwise.
+
+Shingles are those of :mod:`simhash`, of five words, each once, as XXH64; a text
+of fewer words is one shingle. Defined results: null and empty texts and texts
+without words have the empty set and are copies of each other; otherwise as
+:func:`simhash.keep_one_per_component`.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from aerotally.llm.simhash import SEED, keep_named
+from aerotally.operators.graph import connected_components
+from aerotally.plans.storage import materialise
+
+WORDS_PER_SHINGLE, BANDS, ROWS = 5, 25, 5
+#: The least similarity, as a fraction: 4 / 5.
+THRESHOLD = (4, 5)
+#: Shingles that are permuted at once.
+_SHINGLES_AT_ONCE = 1 << 11
+_DRAWN = np.random.default_rng(SEED).integers(0, 2**64 - 1, (2, BANDS * ROWS), np.uint64, endpoint=True)
+_FACTORS, _OFFSETS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+
+
+def shingles(text: bytes | None, shingle_words: int = WORDS_PER_SHINGLE) -> np.ndarray:
+    """The sorted distinct XXH64 of the word shingles of UTF-8 bytes."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    whole = b" ".join(words)
+    if len(words) <= shingle_words:
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-shingle_words].tolist()]
+    stops = (ends[shingle_words - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(whole[a:b], SEED) for a, b in zip(starts, stops)], np.uint64))
+
+
+def set_key(found: np.ndarray) -> int:
+    """A signed long that names a shingle set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+
+
+def band_hashes(found: np.ndarray) -> list[int]:
+    """One signed long per band; none for the empty set."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(found), _SHINGLES_AT_ONCE):
+        part = found[at : at + _SHINGLES_AT_ONCE]
+        np.minimum(least, (part[:, None] * _FACTORS + _OFFSETS).min(0), out=least)
+    raw = least.tobytes()
+    step = 8 * ROWS
+    keys = np.array([xxhash.xxh3_64_intdigest(raw[b * step : (b + 1) * step], b) for b in range(BANDS)], np.uint64)
+    return keys.view(np.int64).tolist()
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fp, n, bands)`` for every row of ``(doc_id, text)``; fp is the set's key, n its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, n, bands = [], [], []
+            for t in batch.column(1):
+                found = shingles(t.as_py())
+                fp.append(set_key(found))
+                n.append(len(found))
+                bands.append(band_hashes(found))
+            columns = [batch.column(0), pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "n", "bands"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long, n int, bands array<long>")
+
+
+def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """``(fp, shingles)`` of the keys ``needed`` (fp, first_doc), read again from the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found = [shingles(t.as_py()) for t in batch.column(1).slice(at, 256)]
+                columns = [pa.array([set_key(x) for x in found], pa.int64()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["fp", "shingles"])
+
+    named = docs.join(needed.where("first_doc is not null").select(F.col("first_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    nameless = docs.where("doc_id is null")
+    found = named.unionByName(nameless).mapInArrow(run, "fp long, shingles array<long>")
+    return found.join(needed.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets are similar enough, as edges ``(src, dst)``."""
+    left = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("both"), (F.size("x") + F.size("y")).alias("total"))
+    return both.where(THRESHOLD[1] * F.col("both") >= THRESHOLD[0] * (F.col("total") - F.col("both"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _sizes_allow(n: str, m: str):
+    """Whether sets of these sizes can be similar enough."""
+    return THRESHOLD[1] * F.least(n, m) >= THRESHOLD[0] * F.greatest(n, m)
+
+
+def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, fp, group_fp, component_id)`` per row; component_id is the smallest doc_id reachable over links, group_fp names the component by a set's key."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    rows = materialise(signatures(texts), "shingle-rows")
+    by_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-distinct")
+    members = by_fp.select("fp", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = members.groupBy("band", "key").agg(F.min(F.struct("fp", "n")).alias("low"), F.count("*").alias("size")).where("size > 1")
+    shared = members.join(buckets, ["band", "key"]).select("band", "key", "fp", "n", F.col("low.fp").alias("low"), F.col("low.n").alias("low_n"))
+    shared = materialise(shared, "shingle-shared")
+    sets = materialise(_sets(texts, by_fp.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "first_doc")), "shingle-sets")
+    stars = shared.where((F.col("fp") != F.col("low")) & _sizes_allow("n", "low_n")).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = materialise(stars, "shingle-stars")
+    edges = materialise(_verified(stars, sets), "shingle-edges")
+    roots = materialise(connected_components(edges), "shingle-roots")
+    labelled = shared.select("band", "key", "fp", "n").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    mixed = labelled.groupBy("band", "key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("band", "key")
+    rest = materialise(labelled.join(mixed, ["band", "key"], "left_semi"), "shingle-rest")
+    second = rest.select("band", "key", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    pairs = rest.withColumnRenamed("fp", "a").join(second, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _sizes_allow("n", "m"))
+    pairs = pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    more = materialise(_verified(pairs, sets), "shingle-more")
+    roots = materialise(connected_components(edges.unionByName(more)), "shingle-roots").withColumnRenamed("node", "fp")
+    linked = roots.join(by_fp.select("fp", "first_doc"), "fp").groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    of_linked = roots.join(linked, "component").select("fp", "component", "component_id")
+    answer = by_fp.select("fp", "first_doc").join(of_linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group_fp"), F.coalesce("component_id", "first_doc").alias("component_id"))
+    return rows.select("doc_id", "fp").join(answer, "fp").select("doc_id", "fp", "group_fp", "component_id")
+
+
+def keep_one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component, with the rules of :func:`simhash.keep_one_per_component`."""
+    found = near_duplicate_components(docs, doc_id=doc_id, text=text)
+    return keep_named(docs, found, lambda t: set_key(shingles(t)), doc_id=doc_id, text=text)

@@ -23,7 +23,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -180,7 +180,13 @@ def keep_one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     Rows that repeat a doc_id are reduced to one of them; rows with a null
     doc_id stay only where their component has no doc_id at all, one of each.
     """
+    shingle_words = parameters.get("shingle_words", WORDS_PER_SHINGLE)
     found = near_duplicate_components(docs, doc_id=doc_id, text=text, **parameters)
+    return keep_named(docs, found, lambda t: int(np.uint64(fingerprint(t, shingle_words)).astype(np.int64)), doc_id=doc_id, text=text)
+
+
+def keep_named(docs: DataFrame, found: DataFrame, mark: Callable[[bytes | None], int], *, doc_id: str, text: str) -> DataFrame:
+    """One row of ``docs`` per component of ``found``; ``mark`` gives the ``fp`` of a text."""
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     once = kept.where("copies = 1").select(F.col("doc_id").alias("_kept"))
     more = kept.where("copies > 1").select(F.col("doc_id").alias("_kept"))
@@ -191,7 +197,6 @@ def keep_one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     nameless = materialise(found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp"), F.col("group_fp").alias("_group")).distinct(), "simhash-nameless")
     if nameless.isEmpty():
         return kept_rows
-    shingle_words = parameters.get("shingle_words", WORDS_PER_SHINGLE)
-    mark = F.pandas_udf(lambda s: s.map(lambda t: int(np.uint64(fingerprint(t, shingle_words)).astype(np.int64))), "long")
-    lost = docs.where(key.isNull()).withColumn("_fp", mark(F.col(text).cast("binary")))
+    marks = F.pandas_udf(lambda s: s.map(mark), "long")
+    lost = docs.where(key.isNull()).withColumn("_fp", marks(F.col(text).cast("binary")))
     return kept_rows.unionByName(lost.join(nameless, "_fp").dropDuplicates(["_group"]).drop("_fp", "_group"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerotally.llm import host_rules, pivotal_mix, secret_forest, sentencepiece_codec, simhash
+from aerotally.llm import host_rules, pivotal_mix, secret_forest, sentencepiece_codec, shingle_dedup
 from aerotally.plans.storage import materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays, that with the smallest doc_id."""
-    return simhash.keep_one_per_component(docs)
+    """One document of each component of texts at a 5-word Jaccard of 0.8 or more stays, that with the smallest doc_id."""
+    return shingle_dedup.keep_one_per_component(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,61 @@
+import random
+
+import corpus_pipeline
+from aerotally.llm import shingle_dedup as sd
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(rows):
+    """doc_ids that stay: the smallest of each component of pairs at 0.8 or more."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i for i in root if find(i) == i}
+
+
+def corpus():
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(40):
+        base = [word() for _ in range(r.randint(40, 200))]
+        rows.append((100 * g, " ".join(base)))
+        for k in range(1, 5):
+            new = list(base)
+            for _ in range(k):  # each changed word takes five shingles
+                new[r.randrange(len(new))] = word()
+            rows.append((100 * g + k, " ".join(new).upper() if k == 2 else " ".join(new)))
+    hub = [word() for _ in range(200)]
+    for k in range(30):  # pairs that are far from each other, near to the hub
+        new = list(hub)
+        new[r.randrange(6, 90)], new[r.randrange(100, 190)] = word(), word()
+        rows.append((9000 + k, " ".join(new)))
+    return rows + [(9500, None), (9501, " "), (9502, "a b"), (9503, "A  b"), (9504, "a b c")]
+
+
+def test_stage_keeps_one_of_each_component_at_four_fifths(spark):
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    assert len(kept) == len(set(kept)) and set(kept) == brute(rows)
+
+
+def test_repeated_and_missing_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (1, long), (1, "other text of six words here"), (None, long + " end"), (None, "only here without any id at all"), (None, "only here without any id at all")]
+    got = sd.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or -1), r.text == rows[4][1]) for r in got) == [(-1, True), (1, False)]
