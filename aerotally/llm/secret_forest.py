@@ -1,7 +1,9 @@
 """Secret scan with a random forest that removes false positives.
 
-Every whole text is cut into words; a word that holds a long enough token is a
-candidate, with its neighbours. A forest then tells secrets from hashes without
+Every whole text is cut into words; each long enough token of a word is a
+candidate, with its neighbours. A token is a run of letters, digits and
+``+/_.-``; any other character ends it, and so do HTML entities, percent escapes
+and backslash escapes. A forest then tells secrets from hashes without
 context, numbers, paths and long words. Its features: length, shares of digits
 and capitals, transitions between character classes, distinct characters, the
 share of letter trigrams that the corpus's own dictionary knows, hex and
@@ -38,8 +40,14 @@ from aerotally.plans.storage import materialise
 DICTIONARY, PER_CLASS, TREES, DEPTH, SEED = 1500, 4000, 20, 6, 13
 MASK = "[SECRET]"
 _SPACE = r"[\x20\x09-\x0D]+"
-#: The token of a word: at its start or behind a separator, up to closing punctuation; a longer run is data, no key.
-_TOKEN = r"(?:^|[=:\"'(<])([A-Za-z0-9+/_.\-]{11,4000}[A-Za-z0-9]={0,2})[^A-Za-z0-9=]*$"
+_RUN = r"A-Za-z0-9+/_.\-"
+#: A token: a whole run of these characters up to its last letter or digit, with base64 padding if nothing is assigned by it.
+_TOKEN = rf"(?<![{_RUN}])[{_RUN}]{{11,}}[A-Za-z0-9](?:={{1,2}}(?![{_RUN}=\"'(<]))?"
+#: What stands for another character, none of them of a token.
+_ESCAPED = r"&(?:[A-Za-z]{2,8}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});|%[0-9A-Fa-f]{2}|\\(?:[nrt]|u[0-9A-Fa-f]{4})"
+_QUOTES = r"&(?:quot|apos|#34|#39|#x22|#x27);|%22|%27|\\u002[27]"
+#: The name that a value in the same word is assigned to.
+_NAME = r"([A-Za-z_.\-][A-Za-z0-9_.\-]{0,99})[\"'`\\)\]]{0,4}(?:=>|[=:])[=\"'`\\(<\[{]{0,4}$"
 _CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private|bearer)"
 _PLACEHOLDER = r"(?i)(example|sample|your|placeholder|changeme|dummy|xxxx|0000|1234)"
 #: How issuers form their keys.
@@ -51,11 +59,23 @@ _ISSUED = (
     r"^AIza[A-Za-z0-9_\-]{35}$",
     r"^eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+$",
 )
+#: The same within a longer run.
+_ISSUED_WITHIN = "|".join(f"(?<![A-Za-z0-9]){p[1:-1]}(?![A-Za-z0-9])" for p in _ISSUED)
 FEATURES = ("length", "digits", "capitals", "transitions", "distinct", "coverage", "hex", "placeholder", "path_code", "path_test", "named", "assigned", "in_quotes", "prose_next")
 
 
+def tokens(word: Column) -> Column:
+    """All tokens of a word whose escapes are gone: keys of a fixed form within longer runs, then whole runs."""
+    issued = F.regexp_extract_all(word, F.lit(_ISSUED_WITHIN), F.lit(0))
+    return F.concat(issued, F.filter(F.regexp_extract_all(word, F.lit(_TOKEN), F.lit(0)), lambda t: ~F.array_contains(issued, t)))
+
+
 def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """``(doc_id, doc_key, path, at, token, name, before, behind, quoted)``: one row per candidate, ``at`` counts words from 0."""
+    """``(doc_id, doc_key, path, at, token, name, before, behind, quoted)``: one row per candidate, ``at`` counts words from 0.
+
+    A word may hold several; the neighbours of each are what stands beside it in
+    the word, or else the words around.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     words = F.split(F.regexp_replace(body, f"^{_SPACE}", ""), _SPACE)
     rows = docs.select(
@@ -63,16 +83,23 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
         (F.col(path).cast("string") if path else F.lit(None).cast("string")).alias("path"), words.alias("w"),
     )
     word = lambda i: F.get(F.col("w"), i)
-    likely = lambda i: (F.length(word(i)) >= 12) & word(i).rlike(_TOKEN) & (word(i).rlike("[0-9]") | (F.length(word(i)) >= 20) | word(i).rlike(_CREDENTIAL))
+    likely = lambda i: (F.length(word(i)) >= 12) & word(i).rlike(f"[{_RUN}]{{12}}") & (word(i).rlike("[0-9]") | (F.length(word(i)) >= 20) | word(i).rlike(_CREDENTIAL))
     hits = F.filter(F.sequence(F.lit(0), F.size("w") - 1), likely)
     at = rows.withColumn("at", F.explode(F.when(F.size("w") > 0, hits).otherwise(F.array().cast("array<int>"))))
     before = F.lower(F.concat_ws(" ", F.when(F.col("at") > 1, word(F.col("at") - 2)), F.when(F.col("at") > 0, word(F.col("at") - 1))))
-    own = word(F.col("at"))
-    found = at.select(
-        "doc_id", "doc_key", "path", "at", F.regexp_extract(own, _TOKEN, 1).alias("token"), F.lower(F.regexp_extract(own, r"^([A-Za-z_.\-]+)[=:]", 1)).alias("name"),
-        before.alias("before"), F.coalesce(word(F.col("at") + 1), F.lit("")).alias("behind"), own.rlike("[\"']").alias("quoted"),
+    own = F.regexp_replace(F.regexp_replace(word(F.col("at")), _QUOTES, '"'), _ESCAPED, " ")
+    near = at.select("doc_id", "doc_key", "path", "at", before.alias("before"), F.coalesce(word(F.col("at") + 1), F.lit("")).alias("behind"), F.explode(F.transform(F.array(own), lambda o: F.struct(o.alias("word"), tokens(o).alias("tokens")))).alias("own"))
+    each = near.select("doc_id", "doc_key", "path", "at", "before", "behind", F.col("own.word").alias("word"), F.explode("own.tokens").alias("token"))
+    left, right = F.expr("substring_index(word, token, 1)"), F.expr("substr(word, instr(word, token) + length(token))")
+    parts = lambda c: F.filter(F.split(c, f"[^{_RUN}]+"), lambda x: x.rlike("[A-Za-z0-9]"))
+    each = each.withColumn("left", left).withColumn("right", right).withColumn("name", F.lower(F.regexp_extract("left", _NAME, 1)))
+    ahead, next_ = parts(F.regexp_replace("left", _NAME, "")), parts(F.col("right"))
+    return each.select(
+        "doc_id", "doc_key", "path", "at", "token", "name",
+        F.when(F.size(ahead) > 0, F.lower(F.concat_ws(" ", F.slice(ahead, F.greatest(F.size(ahead) - 1, F.lit(1)), 2)))).otherwise(F.col("before")).alias("before"),
+        F.when(F.size(next_) > 0, F.get(next_, F.lit(0))).otherwise(F.col("behind")).alias("behind"),
+        (F.col("left").rlike("[\"']$") | F.col("right").rlike("^[\"']")).alias("quoted"),
     )
-    return found.where(F.length("token") >= 12)
 
 
 def dictionary(docs: DataFrame, *, text: str = "text", size: int = DICTIONARY) -> list[str]:
@@ -88,8 +115,8 @@ def described(found: DataFrame, parts: list[str]) -> DataFrame:
     token, n = F.col("token"), F.length("token").cast("double")
     count = lambda pattern: F.regexp_count(token, F.lit(pattern)).cast("double")
     letters = F.regexp_replace(F.lower(token), "[^a-z]", " ")
-    known = lambda i: letters.substr(i, F.lit(3)).isin(parts or ["   "])
-    coverage = F.size(F.filter(F.sequence(F.lit(1), F.length("token") - 2), known)) / (n - 2)
+    known = lambda t: t.isin(parts or ["   "])
+    coverage = sum(F.size(F.filter(F.regexp_extract_all(letters.substr(i, 1 << 30), F.lit(".{3}"), F.lit(0)), known)) for i in (1, 2, 3)) / (n - 2)
     changes = "(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Z])|(?<=[0-9])(?![0-9])"
     named = (F.col("name").rlike(_CREDENTIAL) | F.col("before").rlike(_CREDENTIAL)).cast("double")
     assigned = ((F.col("name") != "") | F.col("before").rlike(r"(=|:|=>|:=|\bis)$")).cast("double")
@@ -105,7 +132,7 @@ def described(found: DataFrame, parts: list[str]) -> DataFrame:
     for pattern in _ISSUED:
         issued = issued | token.rlike(pattern)
     value = (named == 1) & (assigned == 1) & (count("[0-9]") >= 3) & (count("[A-Za-z]") >= 2) & ~token.rlike(_PLACEHOLDER)
-    plain = token.rlike(r"^[0-9.,:/+\-]+$") | ((count("[0-9]") == 0) & (named == 0)) | token.rlike(r"^[a-z0-9\-]+(\.[a-z0-9\-]+)*\.(com|net|org|html?|php|jpg|png|pdf)$") | (token.rlike(_PLACEHOLDER) & (count("[0-9]") / n < 0.4))
+    plain = token.rlike(r"^[0-9.,:/+\-]+$") | ((count("[0-9]") == 0) & (named == 0)) | token.rlike(r"^(?!.*\.\.)[a-z0-9\-][a-z0-9\-.]*\.(com|net|org|html?|php|jpg|png|pdf)$") | (token.rlike(_PLACEHOLDER) & (count("[0-9]") / n < 0.4))
     return found.select("*", *[v.alias(k) for k, v in shapes.items()]).withColumn("settled", F.when(issued | value, 1).when(plain, 0).cast("int"))
 
 

@@ -51,3 +51,25 @@ def test_empty_and_native(spark):
     assert out.count() == 0 and sf.redact(df).count() == 0
     plan = out._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_token_of_a_word_is_a_candidate(spark):
+    aws, live, hub, hexa = "AKIA" + "GHJKLMNP2345QRST", "sk_live_" + "a1B2c3D4e5F6g7H8", "ghp_" + "a1B2" * 9, h(5)
+    texts = [
+        f'{{"aws":"{aws}","region":"eu-west-1"}}', f"token={aws},user=bob", f"/cb?token={live}&u=1", f"https://u:{hub}@github.com/x", f"`{hub}`", f"[{aws}]", f"{{{aws}}}", f"<td>{aws}</td>",
+        f"密钥{aws}", f"&quot;{hexa}&quot;", f"a=&#39;{hexa}&#39;;b=&#39;{aws}&#39;", f"%22{aws}%22", f"/v1/{aws}/x", f"key\\n{aws}\\n",
+    ]
+    long = h(6) * 150
+    df = spark.createDataFrame(list(enumerate([*texts, f"data {long}"])), "doc_id long, text string")
+    got = {(r.doc_id, r.token): r for r in sf.candidates(df, path=None).collect()}
+    for i, t in enumerate(texts):
+        assert [k for k in (aws, live, hub, hexa) if k in t] == [k for k in (aws, live, hub, hexa) if (i, k) in got], t
+    assert (len(texts), long) in got
+    assert got[0, aws].name == "aws" and got[0, aws].quoted and got[0, aws].behind == "region" and got[1, aws].name == "token"
+    out = {r.doc_id: r.text for r in sf.redact(df, path=None, n_chars=None).collect()}
+    assert all(k not in out[i] for i in range(len(texts)) for k in (aws, live, hub))
+
+
+def test_padding_belongs_to_values_only(spark):
+    df = spark.createDataFrame([(1, "AWS_SECRET_ACCESS_KEY=abcdefghij0123456789== end")], "doc_id long, text string")
+    assert {r.token for r in sf.candidates(df, path=None).collect()} == {"AWS_SECRET_ACCESS_KEY", "abcdefghij0123456789=="}
