@@ -14,7 +14,7 @@ It is trained from labelled findings. Without a table of them, they are made: th
 corpus's candidates whose structure settles them (issuers' formats and values
 assigned to credential names; numbers, prose words, paths), and a few hundred by
 rule, so that both classes are always there. The sample is bounded: at most
-``per_class`` candidates of each class, by hash.
+``per_class`` distinct feature vectors of each class, by hash, and those made.
 
 Only DataFrame operations and spark.ml run on the rows: no Python on executors.
 Texts are never shuffled for the scan; words are counted once for the dictionary
@@ -38,6 +38,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from aerotally.plans.storage import materialise
 
 DICTIONARY, PER_CLASS, TREES, DEPTH, SEED = 1500, 4000, 20, 6, 13
+#: The most that equal findings count in training.
+MOST_WEIGHT = 4
 MASK = "[SECRET]"
 _SPACE = r"[\x20\x09-\x0D]+"
 _RUN = r"A-Za-z0-9+/_.\-"
@@ -172,12 +174,19 @@ def _vectors(found: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(found)
 
 
-def train(labelled: DataFrame, parts: list[str], *, per_class: int = PER_CLASS) -> Scanner:
-    """A forest from labelled findings (rows of :func:`candidates` with ``label``), a bounded sample of each class."""
-    some = described(labelled, parts).select("label", *FEATURES)
+def train(labelled: DataFrame, parts: list[str], *, made: DataFrame | None = None, per_class: int = PER_CLASS) -> Scanner:
+    """A forest from labelled findings (rows of :func:`candidates` with ``label``), a bounded sample of each class.
+
+    The sample is drawn from distinct feature vectors, each with the number of
+    its findings as weight (``MOST_WEIGHT`` at most); all of ``made`` come on top.
+    """
+    some = described(labelled, parts).groupBy("label", *FEATURES).agg(F.least(F.count("*"), F.lit(MOST_WEIGHT)).cast("double").alias("weight"))
     by_hash = [some.where(F.col("label") == v).orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(per_class) for v in (0, 1)]
-    sample = materialise(by_hash[0].unionByName(by_hash[1]), "secret-sample")
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt")
+    sample = by_hash[0].unionByName(by_hash[1])
+    if made is not None:
+        sample = sample.unionByName(described(made, parts).select("label", *FEATURES, F.lit(1.0).alias("weight")))
+    sample = materialise(sample, "secret-sample")
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt")
     return Scanner(forest.fit(_vectors(sample.withColumn("label", F.col("label").cast("double")))), parts)
 
 
@@ -193,7 +202,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: s
     columns = made.columns
     if findings is None:
         findings = found.where("settled is not null").withColumn("label", F.col("settled")).select(*columns)
-    scanner = train(findings.select(*columns).unionByName(made), parts)
+    scanner = train(findings.select(*columns), parts, made=made)
     return scanner.judge(found).select("doc_id", "doc_key", "at", "token", "score", "is_secret")
 
 

@@ -73,3 +73,18 @@ def test_every_token_of_a_word_is_a_candidate(spark):
 def test_padding_belongs_to_values_only(spark):
     df = spark.createDataFrame([(1, "AWS_SECRET_ACCESS_KEY=abcdefghij0123456789== end")], "doc_id long, text string")
     assert {r.token for r in sf.candidates(df, path=None).collect()} == {"AWS_SECRET_ACCESS_KEY", "abcdefghij0123456789=="}
+
+
+def test_sample_has_distinct_findings_and_all_made_ones(spark, monkeypatch):
+    made = sf.made_findings(spark)
+    kinds = made.where("label = 1").limit(12)
+    copies = kinds.crossJoin(spark.range(300)).drop("id")
+    seen = []
+    keep = sf.materialise
+    monkeypatch.setattr(sf, "materialise", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    sf.train(copies.unionByName(kinds.withColumn("label", sf.F.lit(0))), ["nat"], made=made, per_class=10)
+    rows = [r.asDict() for r in seen[0].collect()]
+    assert len(rows) <= 20 + 400 and sum(r["label"] == 0 for r in rows) >= 200
+    drawn = [r for r in rows if r["weight"] == sf.MOST_WEIGHT]
+    distinct = sf.described(kinds, ["nat"]).select(*sf.FEATURES).distinct().count()
+    assert len(drawn) == min(10, distinct) == len({tuple(r[f] for f in sf.FEATURES) for r in drawn})
