@@ -25,7 +25,7 @@ def ag7(v):
 
 
 def ag3(v):
-    c = G.sweep_agreement(v.marks.where("image % 10 = 3").withColumn("seq", F.col("image") * 100000 + F.col("id")).withColumn("x", F.col("x") + 5000 * F.col("image")), 15.0, 2, user="species")
+    c = G.sweep_agreement(v.marks.withColumn("seq", F.col("image") * 100000 + F.col("id")).withColumn("x", F.col("x") + 5000 * F.col("image")), 15.0, 2, user="species")
     return c.agg(F.sum("points").alias("points"), F.count("*").alias("locations"), _R(F.avg("users")).alias("avg_users"), F.max("users").alias("max_users"), F.min("users").alias("min_users"))
 
 
