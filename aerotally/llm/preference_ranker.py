@@ -10,8 +10,10 @@ so that this quantile is reported as ``CUT`` = 0.3.
 
 The fit uses a bounded sample, at most ``per_class`` labelled documents of each
 class by hash of their id, so its pairs and the driver's share of the work don't
-grow; the share of bad ones is counted over all labels, and scoring is one pass
-over the whole texts without a shuffle. Features are shares and means (never
+grow; the share of bad ones and the quantile are taken over all labelled
+documents that are not held out (a document whose labels disagree is bad by
+their share), and features and scores are each one pass over the
+whole texts without a shuffle. Features are shares and means (never
 lang, source, id or length), so texts of any length compare.
 
 Defined results: null and empty texts and texts without words get the score of
@@ -23,6 +25,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from aerotally.plans.storage import materialise
 
 PER_CLASS, PAIRS_PER_DOCUMENT, RIDGE = 6000, 4, 1e-4
-CUT = 0.3
+CUT, BUCKETS = 0.3, 4096
 FEATURES = ("symbols", "marks", "upper", "single", "adjacent", "windows", "lines", "digits", "length", "spread", "stops", "no_letters", "no_words")
 _SYMBOLS, _MARKS, _STOPS, _DIGITS = b"#*$%&|<>", b"!?", b".,;:", b"0123456789"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -122,22 +125,50 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS, reject_share: float | None = None) -> Ranker:
-    """Fit on labelled rows that are not held out; labels that disagree about a document are left out."""
+    """Fit on labelled rows that are not held out (labels that disagree about a document are left out of the fit), cut at a quantile of all of them."""
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    known = materialise(known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top").select("id", "label"), "rank-labels")
-    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    some = [known.where(F.col("label") == v).orderBy(F.xxhash64("id"), "id").limit(per_class) for v in (0, 1)]
-    sample = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * per_class rows
-    chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).join(sample, "id")
+    known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.avg("label").alias("mean"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t.as_py()) for t in batch.column(2)], pa.list_(pa.float64()))], names=["id", "label", "x"])
-
-    found = chosen.select("id", "label", "text").mapInArrow(run, "id long, label int, x array<double>").groupBy("id").agg(F.min("label").alias("label"), F.min("x").alias("x")).orderBy("id").collect()
-    side = lambda v: np.array([r["x"] for r in found if r["label"] == v], np.float64).reshape(-1, len(FEATURES))
-    share = reject_share if reject_share is not None else n.get(0, 0) / max(1, sum(n.values()))
-    return fit(side(1), side(0), share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], names=["id", "x"])
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    labelled = materialise(texts.mapInArrow(run, "id long, x array<double>").join(known, "id"), "rank-labelled")  # texts aren't shuffled
+    each = labelled.groupBy("id").agg(F.min("mean").alias("mean"), F.min("x").alias("x"))
+    some = [each.where(F.col("mean") == v).orderBy(F.xxhash64("id"), "id").limit(per_class).collect() for v in (0, 1)]  # at most per_class rows each
+    side = lambda v: np.array([r["x"] for r in sorted(some[v], key=lambda r: r["id"])], np.float64).reshape(-1, len(FEATURES))
+    total = labelled.agg(F.count("*").alias("n"), F.avg(1 - F.col("mean")).alias("share")).first()
+    share = reject_share if reject_share is not None else total["share"] or 0.0
+    fitted = fit(side(1), side(0), share)
+    if not some[0] or not some[1]:
+        return fitted
+    weights = fitted.weights
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([pa.array(x @ weights, pa.float64())], names=["z"])
+
+    z = materialise(labelled.select("x").mapInArrow(scores, "z double"), "rank-scores")
+    at = max(0, min(math.ceil(share * total["n"] - 1e-9) - 1, total["n"] - 2))
+    return Ranker(weights, (nth(z, at) + nth(z, at + 1)) / 2)
+
+
+def nth(values: DataFrame, n: int) -> float:
+    """The exact ``n``-th smallest (from 0) of the column ``z``, by counts in ever narrower buckets."""
+    one = values.agg(F.min("z").alias("low"), F.max("z").alias("high")).first()
+    low, high = one["low"], one["high"]
+    while low < high:
+        some = values.where(F.col("z").between(low, high))
+        bucket = F.least(F.floor((F.col("z") - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))
+        counts = some.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
+        for r in sorted(counts.collect(), key=lambda r: r["bucket"]):  # at most BUCKETS rows
+            if n < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            n -= r["n"]
+    return low
 
 
 def score(docs: DataFrame, ranker: Ranker, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -59,3 +59,24 @@ def test_one_class_or_nothing(spark):
     for lb in (no, one):
         assert [r.score for r in pr.score(df, pr.train(df, lb)).collect()] == [0.5]
     assert pr.score(df.limit(0), pr.train(df.limit(0), no)).count() == 0
+
+
+def test_cut_is_the_quantile_of_all_labelled_documents(spark):
+    docs, labels = corpus(seed=4)
+    labels += [(i, 0) for i, q in labels if q and i % 11 == 0]  # labels that disagree
+    df, lb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    ranker = pr.train(df, lb, per_class=12)
+    of = {}
+    for i, q in labels:
+        if zlib.crc32(str(i).encode()) % 5:
+            of.setdefault(i, []).append(q)
+    share = np.mean([1 - np.mean(q) for q in of.values()])
+    z = np.sort([np.array(pr.features(t.encode())) @ ranker.weights for i, t in docs if i in of])
+    at = int(np.ceil(share * len(z) - 1e-9)) - 1
+    assert abs(ranker.threshold - z[at : at + 2].mean()) < 1e-9
+
+
+def test_nth_is_exact(spark):
+    v = [random.Random(1).choice([0.1, 0.25, -3e9, 7e-12, 4.0]) for _ in range(50)] + [k / 7 for k in range(300)]
+    df = spark.createDataFrame([(x,) for x in v], "z double")
+    assert [pr.nth(df, n) for n in (0, 30, 349)] == [sorted(v)[n] for n in (0, 30, 349)]
