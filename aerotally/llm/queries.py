@@ -103,19 +103,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP1_SQL = """
 WITH usable AS (
-  SELECT vec_id, embedding FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
-), parts AS (
-  SELECT vec_id, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS x FROM usable
 ), ints AS (
-  SELECT vec_id, d, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM parts
+  SELECT r, vec_id, len(embedding) AS n, generate_subscripts(embedding, 1) AS d, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS HUGEINT) AS v FROM usable
+), asked AS (
+  SELECT min(r) AS r FROM usable WHERE vec_id % 50 = 0 GROUP BY vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.v * c.v) AS BIGINT) AS score
-  FROM ints q JOIN ints c ON q.d = c.d AND q.vec_id <> c.vec_id
-  WHERE q.vec_id % 50 = 0 GROUP BY 1, 2
+  SELECT q.r, q.vec_id AS query_id, c.r AS candidate, c.vec_id AS vec_id, CAST(sum(q.v * c.v) AS BIGINT) AS score
+  FROM asked JOIN ints q ON asked.r = q.r JOIN ints c ON q.d = c.d AND q.n = c.n AND q.vec_id <> c.vec_id
+  GROUP BY ALL
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """

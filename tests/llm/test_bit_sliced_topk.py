@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from aerotally.llm import bit_sliced_topk as bsi
 
@@ -50,5 +51,20 @@ def test_slices_add_exactly():
         m = r.integers(-scale, scale, (130, 9))
         q = r.integers(-scale, scale, 9)
         slices, base, valid = bsi.slice_block(m)
-        ids, score = bsi.block_top(slices, base, valid, np.arange(130), -1, q, 130)
+        ids, score = bsi.block_top(np.concatenate([slices, ~slices]), base, valid, np.arange(130), -1, q, 130)
         assert (score == (m @ q)[ids]).all() and len(ids) == 130
+
+
+def test_large_components_take_part(spark, monkeypatch):
+    monkeypatch.setattr(bsi, "ROWS_PER_BLOCK", 4)
+    rows = [(i, [float(i), 1.0]) for i in range(1, 12)] + [(50, [1.0, 2.0]), (60, [600000.0, 1.0])]
+    assert run(spark, rows, rows, k=3) == brute(rows, rows, 3)
+    rows += [(61, [-(2.0**54), 3.0]), (62, [2.0**54, -4.0]), (63, [0.0, 2.0**54]), (64, [2.0**54 + 2.0**31, 0.0])]
+    queries = [(62, [2.0**-8, 0.0]), (97, [0.0, 2.0**-8]), (98, [-(2.0**-8), 0.0]), (99, [2.0**-8, 0.0])]
+    assert run(spark, rows, queries, k=3) == brute(rows, queries, 3)
+
+
+def test_score_beyond_a_long_raises(spark):
+    rows = [(1, [1e18, 0.0]), (2, [1e18, 1.0])]
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, rows, rows)
