@@ -1,4 +1,6 @@
 import hashlib
+import random
+import string
 
 from aerotally.llm import secret_forest as sf
 
@@ -75,6 +77,64 @@ def test_padding_belongs_to_values_only(spark):
     assert {r.token for r in sf.candidates(df, path=None).collect()} == {"AWS_SECRET_ACCESS_KEY", "abcdefghij0123456789=="}
 
 
+def test_values_of_credentials_are_candidates_at_any_length(spark):
+    texts = {
+        "password=hunter2": "hunter2", "the password is hunter2.": "hunter2", 'passwd = "hunter2"': "hunter2", "https://user:Pa55wordSecret@host/x": "Pa55wordSecret",
+        "password=S3cr!et#Pass$word9": "S3cr!et#Pass$word9", '{"pwd":"s3cr!t","x":1}': "s3cr!t", "auth_token: abc123,": "abc123", f"data {'k1' * 2400}": "k1" * 2400,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.token) for r in sf.candidates(df, path=None).collect()}
+    assert [t for i, t in enumerate(texts.values()) if (i, t) not in got] == []
+
+
+PROSE = "The nation and the station in the thereafter of counterrevolutionaries is not interesting. "
+
+
+def planted():
+    """(kind, whether secret, text) of made secrets and of things that look like them, none of the kinds in the made findings' exact form."""
+    r = random.Random(8)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    alnum, up, hexa = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"
+    words = ["station", "counter", "monitor", "visitor", "gardens"]
+    for _ in range(25):
+        yield "hex token", True, f'token = "{some(hexa, 40)}"'
+        yield "api key", True, f"export API_KEY={some(alnum, 28)}"
+        yield "aws", True, f"id AKIA{some(up, 16)} here"
+        yield "json secret", True, f'{{"client_secret":"{some(alnum, 24)}","n":1}}'
+        yield "url password", True, f"postgres://app:{some(alnum, 5)}7{some(alnum, 6)}@db.internal/x"
+        yield "short password", True, f"password={r.choice(words)}{r.randint(10, 999)}"
+        yield "symbol password", True, f"password: {some(alnum, 4)}!{some(alnum, 3)}#{r.randint(1, 9)}"
+        yield "long number", False, f"call {some('0123456789', 14)} now"
+        yield "prose", False, f"the password is {r.choice(['required', 'mandatory', 'confidential', 'forgotten'])} for all"
+        yield "path", False, f"see www.{some('abcdefgh', 8)}-{r.randint(1, 99)}.com/page.html for it"
+        yield "template", False, "password=${DB_PASSWORD} and more"
+        yield "date", False, f"on 20{r.randint(10, 24)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T12-30-05 it"
+        yield "word", False, f"{r.choice(words)}-{r.choice(words)}-{r.choice(words)} is a place"
+
+
+def test_recall_and_false_positives_by_kind(spark):
+    rows = list(planted())
+    df = spark.createDataFrame([(i, f"{PROSE}{t} {PROSE}") for i, (_, _, t) in enumerate(rows)], "doc_id long, text string").repartition(3)
+    hit = {r.doc_id for r in sf.scan(df, path=None).where("is_secret").collect()}
+    shares = {k: sum(i in hit for i, r in enumerate(rows) if r[0] == k) / 25 for k, _, _ in rows}
+    print(shares)
+    assert all(shares[k] >= 0.9 if secret else shares[k] <= 0.1 for k, secret, _ in rows), shares
+
+
+def test_features_against_plain_python(spark):
+    parts = ["nat", "ion", "the", "ser"]
+    found = sf.candidates(spark.createDataFrame([(1, f'x = "{h(3)}" the-nation/of.observers 12345678901234 AKIA{"Q" * 16} a')], "doc_id long, text string"), path=None)
+    rows = sf.described(found, parts).collect()
+    assert len(rows) == 4
+    for r in rows:
+        t, n = r.token, len(r.token)
+        kinds = lambda c: "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "."
+        assert r.digits == sum(c.isdigit() for c in t) / n and r.capitals == sum(c.isupper() for c in t) / n and r.distinct == len(set(t)) / n
+        assert r.coverage == sum(t[i : i + 3].lower() in parts for i in range(n - 2)) / (n - 2)
+        changes = sum(kinds(a) != "." and kinds(a) != kinds(b) for a, b in zip(t, t[1:])) + (kinds(t[-1]) != ".")
+        assert r.transitions == changes / n and r.length == min(n, 200) and r.hex == float(t == h(3) or t.isdigit())
+
+
 def test_sample_has_distinct_findings_and_all_made_ones(spark, monkeypatch):
     made = sf.made_findings(spark)
     kinds = made.where("label = 1").limit(12)
@@ -84,7 +144,7 @@ def test_sample_has_distinct_findings_and_all_made_ones(spark, monkeypatch):
     monkeypatch.setattr(sf, "materialise", lambda df, name: seen.append(keep(df, name)) or seen[-1])
     sf.train(copies.unionByName(kinds.withColumn("label", sf.F.lit(0))), ["nat"], made=made, per_class=10)
     rows = [r.asDict() for r in seen[0].collect()]
-    assert len(rows) <= 20 + 400 and sum(r["label"] == 0 for r in rows) >= 200
+    assert len(rows) <= 20 + 800 and sum(r["label"] == 0 for r in rows) >= 200
     drawn = [r for r in rows if r["weight"] == sf.MOST_WEIGHT]
     distinct = sf.described(kinds, ["nat"]).select(*sf.FEATURES).distinct().count()
     assert len(drawn) == min(10, distinct) == len({tuple(r[f] for f in sf.FEATURES) for r in drawn})
