@@ -1,21 +1,29 @@
-"""Quality rules judged by host: shrunken failure rates joined back to documents.
+"""Quality rules judged by host: shrunken failure rates decide how strict the rules are.
 
 Every whole text is measured once. Soft rules (symbol density, repeated 3-word
-windows, capitals, word length) give each document a failure or
-not; failures are counted by host with map-side combining; an empirical beta
-prior, fitted to the hosts' rates by moments, shrinks the rate of each host, so
-that a host of three pages isn't condemned by two. Host verdicts are then joined
-back: documents of a *blocked* host (shrunken rate above ``block_above``) go;
-documents of a *doubted* host (above ``doubt_above``) go if they fail a soft rule
-themselves; those of a *trusted* host stay unless a base rule rejects them.
+windows, capitals, word length) give each document a *severity*: the largest
+measure as a multiple of its limit; above 1 it fails. Failures are counted by
+host with map-side combining; an empirical beta prior, fitted to the hosts' rates
+by moments, shrinks the rate of each host, so that a host of three pages isn't
+condemned by two. The host's verdict compares its shrunken rate with the
+corpus's: the *tolerance* is the squared ratio of their odds, between a half and
+1.5, and a document goes if its severity is above its host's tolerance. So a
+borderline document stays on a host that is better than the corpus (*trusted*)
+and goes on a worse one (*doubted*). All documents of a host whose odds are
+``BLOCK_ODDS`` times the corpus's go (*blocked*). Where hosts differ no more than
+chance explains, shrinking leaves all of them near the corpus's rate and the
+limits near their plain values.
 
 Only counts by host are shuffled for the verdict, and the join back carries the
 measures, not the texts; a hot host is one row on the verdict side, and its
 documents may be split over tasks.
 
 Defined results: a null text has no words; an empty text or one without words
-fails the base rule; a null host is a host of its own; repeated rows are each
-judged; an empty table gives an empty result; extra columns are ignored.
+fails the base rule; texts of any length are measured whole; a null host is a
+host of its own; equal severity and tolerance keep the document; repeated rows
+are each judged; an empty table gives an empty result; extra columns are ignored
+by :func:`judge` and kept by :func:`keep_good`, unless their names begin with
+``_host_rules_``.
 """
 
 from __future__ import annotations
@@ -30,6 +38,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from aerotally.plans.storage import materialise
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
+#: Soft limits: symbols and repeated words per word, capitals per letter, shortest and longest mean word.
+SYMBOLS, REPEATED, CAPITALS, WORD_LENGTH = 0.1, 0.3, 0.5, (2.0, 20.0)
+LEAST_TOLERANCE, MOST_TOLERANCE, BLOCK_ODDS = 0.5, 1.5, 4.0
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper")
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -76,25 +87,26 @@ def measured(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hos
     return rows.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
-def base_failed(measure: Callable[[str], Column] = F.col) -> Column:
-    """Fewer than 50 words, or more than half of the words in repeated 3-word windows."""
-    return (measure("n_words") < MIN_WORDS) | (100 * measure("n_repeat_words") > MAX_REPEATED_PERCENT * measure("n_words"))
+def base_failed(measure: Callable[[str], Column] = F.col, min_words: int = MIN_WORDS) -> Column:
+    """Fewer than ``min_words`` words, or more than half of the words in repeated 3-word windows."""
+    return (measure("n_words") < min_words) | (100 * measure("n_repeat_words") > MAX_REPEATED_PERCENT * measure("n_words"))
 
 
-def soft_failed(measure: Callable[[str], Column] = F.col) -> Column:
-    """A symbol for every ten words, two fifths of the words in repeated windows, mostly capitals, or word lengths that prose doesn't have."""
-    words, chars = measure("n_words"), measure("word_chars")
-    return (
-        (10 * measure("n_symbols") > words)
-        | (100 * measure("n_repeat_words") > 40 * words)
-        | (2 * measure("n_upper") > measure("n_letters"))
-        | (chars < 2 * words)
-        | (chars > 20 * words)
+def severity(measure: Callable[[str], Column] = F.col) -> Column:
+    """The largest soft measure as a multiple of its limit: symbols, repeated words, capitals, and word lengths that prose doesn't have."""
+    words = F.greatest(measure("n_words"), F.lit(1)).cast("double")
+    chars, letters = F.greatest(measure("word_chars"), F.lit(1)).cast("double"), F.greatest(measure("n_letters"), F.lit(1)).cast("double")
+    return F.greatest(
+        measure("n_symbols") / (words * SYMBOLS),
+        measure("n_repeat_words") / (words * REPEATED),
+        measure("n_upper") / (letters * CAPITALS),
+        words * WORD_LENGTH[0] / chars,
+        chars / (words * WORD_LENGTH[1]),
     )
 
 
-def host_verdicts(judged: DataFrame, *, doubt_above: float = 0.02, block_above: float = 0.6) -> DataFrame:
-    """``(host, n_docs, n_failed, rate, verdict)`` from rows of ``(host, failed)``.
+def host_verdicts(judged: DataFrame, *, block_odds: float = BLOCK_ODDS) -> DataFrame:
+    """``(host, n_docs, n_failed, rate, tolerance, verdict)`` from rows of ``(host, failed)``.
 
     The beta prior has the mean and variance of the hosts' rates, weighted by
     documents and with the binomial share of the variance taken out; where hosts
@@ -103,9 +115,12 @@ def host_verdicts(judged: DataFrame, *, doubt_above: float = 0.02, block_above:
     by_host = materialise(judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")), "host-counts")
     total = by_host.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count("*").alias("k"), F.sum(F.col("n_docs") * F.col("n_docs")).alias("nn"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("ff")).first()
     alpha, beta = beta_prior(total.n or 0, total.f or 0, total.k, total.nn or 0, total.ff or 0.0)
-    rate = (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
-    verdict = F.when(F.col("rate") > block_above, "blocked").when(F.col("rate") > doubt_above, "doubted").otherwise("trusted")
-    return by_host.withColumn("rate", rate).withColumn("verdict", verdict)
+    rated = by_host.withColumn("rate", (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta)))
+    corpus = alpha / beta
+    times = rated.withColumn("_odds", F.col("rate") / (1 - F.col("rate")) / F.lit(corpus))
+    tolerance = F.least(F.lit(MOST_TOLERANCE), F.greatest(F.lit(LEAST_TOLERANCE), 1 / (F.col("_odds") * F.col("_odds"))))
+    verdict = F.when(F.col("_odds") > block_odds, "blocked").when(F.col("_odds") > 1, "doubted").otherwise("trusted")
+    return times.withColumn("tolerance", tolerance).withColumn("verdict", verdict).drop("_odds")
 
 
 def beta_prior(n: float, failed: float, hosts: float, n_squared: float, failed_squared_over_n: float) -> tuple[float, float]:
@@ -119,16 +134,18 @@ def beta_prior(n: float, failed: float, hosts: float, n_squared: float, failed_s
     return mean * strength, (1 - mean) * strength
 
 
-def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", doubt_above: float = 0.02, block_above: float = 0.6) -> DataFrame:
-    """Measures, base verdict, host verdict and ``kept`` of every row."""
-    rows = materialise(measured(docs, doc_id=doc_id, text=text, host=host).withColumn("base_failed", base_failed()).withColumn("failed", soft_failed() | F.col("base_failed")), "host-measures")
-    hosts = host_verdicts(rows, doubt_above=doubt_above, block_above=block_above).select(F.col("host").alias("_host"), "rate", "verdict")
+def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = MIN_WORDS, block_odds: float = BLOCK_ODDS) -> DataFrame:
+    """Measures, base verdict, severity, host verdict and ``kept`` of every row; ``flipped`` says whether plain limits alone would have decided otherwise."""
+    rows = measured(docs, doc_id=doc_id, text=text, host=host).withColumn("base_failed", base_failed(min_words=min_words)).withColumn("severity", severity())
+    rows = materialise(rows, "host-measures")
+    failed = F.col("base_failed") | (F.col("severity") > 1)
+    hosts = host_verdicts(rows.withColumn("failed", failed), block_odds=block_odds).select(F.col("host").alias("_host"), "rate", "tolerance", "verdict")
     joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    stays = (F.col("verdict") == "trusted") | ((F.col("verdict") == "doubted") & ~F.col("failed"))
-    return joined.withColumn("kept", ~F.col("base_failed") & stays)
+    stays = (F.col("verdict") != "blocked") & (F.col("severity") <= F.col("tolerance"))
+    return joined.withColumn("kept", ~F.col("base_failed") & stays).withColumn("flipped", F.col("kept") == failed)
 
 
-def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", **parameters) -> DataFrame:
+def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_words: int = MIN_WORDS, block_odds: float = BLOCK_ODDS) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps.
 
     The measured rows are written once to the shared folder, so no text is
@@ -142,12 +159,13 @@ def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ho
         return pd.DataFrame([measures(t) for t in texts], columns=list(MEASURES))
 
     mine = [F.col(f"`{c}`") for c in docs.columns]
+    source = F.col(f"`{host}`").cast("string")
     of = lambda m: F.col(f"_host_rules_measures.{m}")
-    marked = docs.withColumn("_host_rules_measures", measure(F.col(text).cast("binary")))
-    marked = materialise(marked.select(*mine, base_failed(of).alias("_host_rules_base"), soft_failed(of).alias("_host_rules_soft")), "host-marked")
-    failed = F.col("_host_rules_base") | F.col("_host_rules_soft")
-    verdicts = host_verdicts(marked.select(F.col(host).cast("string").alias("host"), failed.alias("failed")), **parameters)
-    bad = verdicts.where("verdict <> 'trusted'").select(F.col("host").alias("_host_rules_host"), F.col("verdict").alias("_host_rules_verdict"))
-    joined = marked.where("not _host_rules_base").join(bad, F.col(host).cast("string").eqNullSafe(F.col("_host_rules_host")), "left")
-    stays = F.col("_host_rules_verdict").isNull() | ((F.col("_host_rules_verdict") == "doubted") & ~F.col("_host_rules_soft"))
-    return joined.where(stays).select(*mine)
+    marked = docs.withColumn("_host_rules_measures", measure(F.col(f"`{text}`").cast("binary")))
+    marked = materialise(marked.select(*mine, base_failed(of, min_words).alias("_host_rules_base"), severity(of).alias("_host_rules_severity")), "host-marked")
+    failed = F.col("_host_rules_base") | (F.col("_host_rules_severity") > 1)
+    verdicts = host_verdicts(marked.select(source.alias("host"), failed.alias("failed")), block_odds=block_odds)
+    tolerance = F.when(F.col("verdict") == "blocked", -1.0).otherwise(F.col("tolerance"))
+    verdicts = verdicts.select(F.col("host").alias("_host_rules_host"), tolerance.alias("_host_rules_tolerance"))
+    joined = marked.where("not _host_rules_base").join(verdicts, source.eqNullSafe(F.col("_host_rules_host")))
+    return joined.where("_host_rules_severity <= _host_rules_tolerance").select(*mine)

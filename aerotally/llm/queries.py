@@ -73,14 +73,17 @@ m AS (SELECT w.doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(reg
   length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS upper_n
   FROM w LEFT JOIN l ON w.doc_id = l.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  10 * n_symbols > n_words OR 100 * n_repeat_words > 40 * n_words OR 2 * upper_n > letters OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS soft FROM m),
-h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_failed OR soft THEN 1 ELSE 0 END) AS DOUBLE) AS x FROM f GROUP BY 1),
+  greatest(n_symbols / (nw * CAST(0.1 AS DOUBLE)), n_repeat_words / (nw * CAST(0.3 AS DOUBLE)), upper_n / (nl * CAST(0.5 AS DOUBLE)), nw * CAST(2 AS DOUBLE) / nc, nc / (nw * CAST(20 AS DOUBLE))) AS severity
+  FROM (SELECT *, CAST(greatest(n_words, 1) AS DOUBLE) AS nw, CAST(greatest(word_chars, 1) AS DOUBLE) AS nc, CAST(greatest(letters, 1) AS DOUBLE) AS nl FROM m) mm),
+h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_failed OR severity > 1 THEN 1 ELSE 0 END) AS DOUBLE) AS x FROM f GROUP BY 1),
 s AS (SELECT sum(n) AS n, count(*) AS k, sum(n * n) AS nn, sum(x * x / n) AS xx, least(greatest(sum(x) / sum(n), 0.5 / (sum(n) + 1)), 1 - 0.5 / (sum(n) + 1)) AS mean FROM h),
 v AS (SELECT *, mean * (1 - mean) AS spread, CASE WHEN k > 1 THEN (xx - n * mean * mean - (k - 1) * mean * (1 - mean)) / greatest(n - nn / n, 1e-9) ELSE 0 END AS b FROM s),
 g AS (SELECT mean, CASE WHEN b <= spread / (n + 1) THEN n ELSE greatest(spread / b - 1, 1e-3) END AS strength FROM v),
-r AS (SELECT host, (x + mean * strength) / (n + strength) AS rate FROM h, g)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (rate <= 0.02 OR (rate <= 0.6 AND NOT soft)) AS kept
-FROM f JOIN r ON f.host = r.host
+r AS (SELECT host, (x + mean * strength) / (n + strength) AS rate, mean / (1 - mean) AS corpus FROM h, g),
+o AS (SELECT host, rate / (1 - rate) / corpus AS odds FROM r),
+t AS (SELECT host, CASE WHEN odds > 4 THEN -1 ELSE least(CAST(1.5 AS DOUBLE), greatest(CAST(0.5 AS DOUBLE), 1 / (odds * odds))) END AS tolerance FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND severity <= tolerance AS kept
+FROM f JOIN t ON f.host = t.host
 """
 
 

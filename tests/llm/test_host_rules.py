@@ -56,10 +56,28 @@ def test_prior_shrinks_small_hosts(spark):
     rows = [("big", i < 30) for i in range(1000)] + [("other", i < 300) for i in range(1000)] + [("tiny", True)]
     got = {r.host: r for r in host_rules.host_verdicts(spark.createDataFrame(rows, "host string, failed boolean")).collect()}
     assert 0.03 < got["big"].rate < 0.04 and 0.29 < got["other"].rate < 0.31
-    assert got["tiny"].rate < 0.6
+    assert got["tiny"].rate < 0.6 and got["tiny"].verdict == "doubted"
+    assert got["big"].verdict == "trusted" and got["big"].tolerance == 1.5 and got["other"].tolerance == 0.5
     assert host_rules.beta_prior(0, 0, 0, 0, 0) == (1.0, 1.0)
 
 
+def test_verdicts_flip_documents_both_ways(spark):
+    # 12 symbols in 100 words pass a limit of 10 on a good host; 8 fail it on a bad one
+    borderline = lambda i, n: " ".join(f"word{i}x{j}" + ("#" if j < n else "") for j in range(100))
+    junk = lambda i: " ".join(f"w{i}o{j} %%" for j in range(60))
+    docs = [(i, clean(i), "good") for i in range(200)] + [(500, borderline(1, 12), "good"), (501, borderline(2, 8), "good")]
+    docs += [(1000 + i, clean(i) if i % 3 else junk(i), "bad") for i in range(200)] + [(1500, borderline(3, 12), "bad"), (1501, borderline(4, 8), "bad")]
+    docs += [(2000 + i, clean(i) if i % 7 else junk(i), f"usual{i % 5}") for i in range(1000)] + [(3000, borderline(5, 12), "usual1"), (3001, borderline(6, 8), "usual1")]
+    got = {r.doc_id: r for r in host_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert [got[i].kept for i in (500, 501, 1500, 1501, 3000, 3001)] == [True, True, False, False, False, True]
+    assert {i for i, r in got.items() if r.flipped} == {500, 1501}
+
+
+def test_min_words_is_a_parameter(spark):
+    df = spark.createDataFrame([(1, "a short but clean text", "h"), (2, "", "h"), (3, None, "h"), (4, "#### %%", "h")], "doc_id long, text string, source string")
+    assert [r.doc_id for r in host_rules.keep_good(df, min_words=1).collect()] == [1] and host_rules.keep_good(df).count() == 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert host_rules.judge(df).count() == 0 and host_rules.keep_good(df).count() == 0
