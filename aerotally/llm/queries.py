@@ -16,8 +16,7 @@ def op1_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return preference_ranker.score(docs, preference_ranker.train(docs, table(spark, sf_dir, "labels")))
+    return preference_ranker.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
