@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from aerotally.llm.simhash import SEED, keep_named
+from aerotally.llm.simhash import SEED, answered, keep_named
 from aerotally.operators.graph import connected_components
 from aerotally.plans.storage import materialise
 
@@ -125,7 +125,7 @@ def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text:
     """``(doc_id, fp, group_fp, component_id)`` per row; component_id is the smallest doc_id reachable over links, group_fp names the component by a set's key."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     rows = materialise(signatures(texts), "shingle-rows")
-    by_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-distinct")
+    by_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-distinct")
     members = by_fp.select("fp", "n", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.min(F.struct("fp", "n")).alias("low"), F.count("*").alias("size")).where("size > 1")
     shared = members.join(buckets, ["band", "key"]).select("band", "key", "fp", "n", F.col("low.fp").alias("low"), F.col("low.n").alias("low_n"))
@@ -142,11 +142,8 @@ def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text:
     pairs = rest.withColumnRenamed("fp", "a").join(second, ["band", "key"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _sizes_allow("n", "m"))
     pairs = pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     more = materialise(_verified(pairs, sets), "shingle-more")
-    roots = materialise(connected_components(edges.unionByName(more)), "shingle-roots").withColumnRenamed("node", "fp")
-    linked = roots.join(by_fp.select("fp", "first_doc"), "fp").groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    of_linked = roots.join(linked, "component").select("fp", "component", "component_id")
-    answer = by_fp.select("fp", "first_doc").join(of_linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group_fp"), F.coalesce("component_id", "first_doc").alias("component_id"))
-    return rows.select("doc_id", "fp").join(answer, "fp").select("doc_id", "fp", "group_fp", "component_id")
+    roots = connected_components(edges.unionByName(more))
+    return answered(rows.select("doc_id", "fp"), by_fp.select("fp", "first_doc", "copies"), roots)
 
 
 def keep_one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -15,9 +15,12 @@ on a spanning forest of what it found. Components then come from the
 large-star/small-star rounds of :func:`connected_components`.
 
 Defined results: null and empty texts and texts without words have fingerprint
-zero and link like any other; repeated rows stay repeated; a null doc_id keeps
-its row and is never a component's id unless the component has no other; extra
-columns are ignored.
+zero and link like any other; texts of any length are hashed whole; repeated rows
+stay repeated; of several doc_ids a component has the smallest; a null doc_id
+keeps its row and is never a component's id unless the component has no other; an
+empty table gives an empty result; extra columns are ignored by
+:func:`near_duplicate_components` and kept by :func:`keep_one_per_component`,
+unless their names begin with ``_near_``.
 """
 
 from __future__ import annotations
@@ -39,6 +42,10 @@ WORDS_PER_SHINGLE = 4
 RADIUS = 4
 #: Variants that one leading part should hold on average, and in one sorted pass.
 VARIANTS_PER_BUCKET, VARIANTS_PER_PASS = 1 << 20, 1 << 21
+#: Fingerprints that a leading part may get, bits that it grows by where there are more, and its longest.
+MOST_PER_BUCKET, MORE_BITS, MOST_BITS = 4_000_000, 12, 48
+#: A fingerprint is hot if more than one row in so many has it.
+HOT_SHARE = 1000
 #: Shingles whose bits are unpacked at once.
 _SHINGLES_AT_ONCE = 1 << 16
 
@@ -122,7 +129,8 @@ def _bucket_forest(fps: np.ndarray, head: int, head_bits: int, half: int) -> tup
         low = np.minimum.reduceat(o, np.flatnonzero(first))[np.cumsum(first) - 1]
         pairs = np.unique(np.stack([low, o], 1)[low != o], axis=0)
         a, b = pairs[:, 0], pairs[:, 1]
-        assert (np.bitwise_count(fps[a] ^ fps[b]) <= 2 * half).all()  # the verification
+        near = np.bitwise_count(fps[a] ^ fps[b]) <= 2 * half  # the verification
+        a, b = a[near], b[near]
         while True:
             before = label.copy()
             m = np.minimum(label[a], label[b])
@@ -145,16 +153,47 @@ def fingerprint_links(fps: DataFrame, n: int, radius: int = RADIUS) -> DataFrame
         raise ValueError("radius must be even and at least 2")
     half = radius // 2
     head_bits = min(24, max(6, math.ceil(math.log2(max(1, n) * _ball(64, half) / VARIANTS_PER_BUCKET + 1))))
+    found = None
+    todo = fps.select("fp")
+    crowded = None
+    while True:
+        mine = _dealt(todo, head_bits, half)
+        if crowded is not None:  # only what the last round left
+            mine = mine.withColumn("before", F.expr(f"shiftrightunsigned(head, {MORE_BITS})")).join(crowded.select(F.col("head").alias("before")), "before", "left_semi").select("fp", "head")
+        heads = _crowded(todo, head_bits, half) if head_bits < MOST_BITS else None
+        crowded = None if heads is None or heads.isEmpty() else heads
+        usual = mine if crowded is None else mine.join(crowded, "head", "left_anti")
+        some = usual.groupBy("head").applyInPandas(_link_heads(head_bits, half), "src long, dst long").distinct()
+        found = some if found is None else found.unionByName(some)
+        if crowded is None:
+            return found
+        todo = materialise(mine.join(crowded, "head", "left_semi").select("fp").distinct(), "simhash-crowded")
+        head_bits += MORE_BITS
+
+
+def _dealt(fps: DataFrame, head_bits: int, half: int) -> DataFrame:
+    """``(fp, head)``: every fingerprint with the variants of its leading bits."""
     flips = F.array(*[F.lit(int(m)) for m in _masks(head_bits, half)])
     head = F.expr(f"shiftrightunsigned(fp, {64 - head_bits})")
-    dealt = fps.select("fp", head.alias("head"), F.explode(flips).alias("flip")).select("fp", F.col("head").bitwiseXOR(F.col("flip")).alias("head"))
+    return fps.select("fp", head.alias("head"), F.explode(flips).alias("flip")).select("fp", F.col("head").bitwiseXOR(F.col("flip")).alias("head"))
 
+
+def _crowded(fps: DataFrame, head_bits: int, half: int) -> DataFrame:
+    """``(head)``: leading parts that more than ``MOST_PER_BUCKET`` fingerprints have as a variant, from counts of the fingerprints' own."""
+    own = fps.groupBy(F.expr(f"shiftrightunsigned(fp, {64 - head_bits})").alias("head")).agg(F.count("*").alias("n"))
+    flips = F.array(*[F.lit(int(m)) for m in _masks(head_bits, half)])
+    near = own.select("n", "head", F.explode(flips).alias("flip")).select("n", F.col("head").bitwiseXOR(F.col("flip")).alias("head"))
+    heads = near.groupBy("head").agg(F.sum("n").alias("n")).where(F.col("n") > MOST_PER_BUCKET).select("head")
+    return materialise(heads, "simhash-heads")
+
+
+def _link_heads(head_bits: int, half: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = np.sort(rows["fp"].to_numpy(np.int64)).view(np.uint64)
         a, b = _bucket_forest(found, int(key[0]), head_bits, half)
         return pd.DataFrame({"src": a.view(np.int64), "dst": b.view(np.int64)})
 
-    return dealt.groupBy("head").applyInPandas(links, "src long, dst long").distinct()
+    return links
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -165,13 +204,28 @@ def hex_fingerprint(fp: Column) -> Column:
 def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle_words: int = WORDS_PER_SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fp, group_fp, component_id)`` per row; component_id is the smallest doc_id reachable over links, group_fp names the component by a fingerprint."""
     rows = materialise(fingerprints(docs, doc_id=doc_id, text=text, shingle_words=shingle_words), "simhash-fp")
-    by_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
+    by_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")), "simhash-distinct")
     edges = fingerprint_links(by_fp.select("fp"), by_fp.count(), radius)
-    roots = materialise(connected_components(edges), "simhash-roots").withColumnRenamed("node", "fp")
+    return answered(rows, by_fp, connected_components(edges))
+
+
+def answered(rows: DataFrame, by_fp: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(doc_id, fp, group_fp, component_id)`` per row of ``(doc_id, fp)``.
+
+    ``by_fp`` has ``(fp, first_doc, copies)`` per distinct fp, ``roots`` the
+    ``(node, component)`` of those that have links.
+    """
+    roots = materialise(roots, "near-roots").withColumnRenamed("node", "fp")
     linked = roots.join(by_fp, "fp").groupBy("component").agg(F.min("first_doc").alias("component_id"))
     of_linked = roots.join(linked, "component").select("fp", "component", "component_id")
-    answer = by_fp.join(of_linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group_fp"), F.coalesce("component_id", "first_doc").alias("component_id"))
-    return rows.join(answer, "fp").select("doc_id", "fp", "group_fp", "component_id")
+    answer = by_fp.join(of_linked, "fp", "left").select("fp", "copies", F.coalesce("component", "fp").alias("group_fp"), F.coalesce("component_id", "first_doc").alias("component_id"))
+    answer = materialise(answer, "near-answer")
+    total = by_fp.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(answer.where(F.col("copies") * HOT_SHARE > total).select(F.col("fp").alias("hot_fp"), "group_fp", "component_id"))  # HOT_SHARE rows at most
+    cold = answer.where(F.col("copies") * HOT_SHARE <= total).select("fp", "group_fp", "component_id")
+    warm = rows.join(hot, F.col("fp") == F.col("hot_fp")).select("doc_id", "fp", "group_fp", "component_id")
+    rest = rows.join(hot.select("hot_fp"), F.col("fp") == F.col("hot_fp"), "left_anti").join(cold, "fp")
+    return warm.unionByName(rest.select("doc_id", "fp", "group_fp", "component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
@@ -187,16 +241,18 @@ def keep_one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str
 
 def keep_named(docs: DataFrame, found: DataFrame, mark: Callable[[bytes | None], int], *, doc_id: str, text: str) -> DataFrame:
     """One row of ``docs`` per component of ``found``; ``mark`` gives the ``fp`` of a text."""
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    once = kept.where("copies = 1").select(F.col("doc_id").alias("_kept"))
-    more = kept.where("copies > 1").select(F.col("doc_id").alias("_kept"))
-    key = F.col(doc_id).cast("long")
-    unique = docs.join(once, key == F.col("_kept"), "left_semi")
-    repeated = docs.join(more, key == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    kept_rows = unique.unionByName(repeated)
-    nameless = materialise(found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp"), F.col("group_fp").alias("_group")).distinct(), "simhash-nameless")
+    kept = materialise(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "near-kept")
+    once = kept.where("copies = 1").select(F.col("doc_id").alias("_near_kept"))
+    more = kept.where("copies > 1").select(F.col("doc_id").alias("_near_kept"))
+    mine = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("_near_key", F.col(f"`{doc_id}`").cast("long"))
+    same = F.col("_near_key") == F.col("_near_kept")
+    unique = keyed.join(once, same, "left_semi")
+    repeated = keyed.join(more, same, "left_semi").dropDuplicates(["_near_key"])
+    kept_rows = unique.unionByName(repeated).select(*mine)
+    nameless = materialise(found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_near_fp"), F.col("group_fp").alias("_near_group")).distinct(), "near-nameless")
     if nameless.isEmpty():
         return kept_rows
     marks = F.pandas_udf(lambda s: s.map(mark), "long")
-    lost = docs.where(key.isNull()).withColumn("_fp", marks(F.col(text).cast("binary")))
-    return kept_rows.unionByName(lost.join(nameless, "_fp").dropDuplicates(["_group"]).drop("_fp", "_group"))
+    lost = keyed.where("_near_key is null").withColumn("_near_fp", marks(F.col(f"`{text}`").cast("binary")))
+    return kept_rows.unionByName(lost.join(nameless, "_near_fp").dropDuplicates(["_near_group"]).select(*mine))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from aerotally.llm import simhash
@@ -66,7 +67,16 @@ def test_components_match_brute_force(spark):
     assert sorted(((x.doc_id, x.fp % 2**64, x.component_id) for x in got), key=str) == brute(docs)
 
 
-def test_links_match_brute_force_on_dense_fingerprints(spark, monkeypatch):
+def test_hot_fingerprints_get_the_same_answers(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_SHARE", 4)
+    docs = corpus(5, 12) + [(7000 + i, "one and the same text here") for i in range(90)] + EDGE[:8]
+    got = simhash.near_duplicate_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((x.doc_id, x.fp % 2**64, x.component_id) for x in got), key=str) == brute(docs)
+
+
+@pytest.mark.parametrize("most", [4_000_000, 30])
+def test_links_match_brute_force_on_dense_fingerprints(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST_PER_BUCKET", most)
     r = random.Random(2)
     fps = {0, 2**64 - 1}
     for _ in range(6):
@@ -119,6 +129,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted((str(x.doc_id), x.text) for x in got.collect()) == [("3", "A b c d e"), ("7", None), ("9", "other words here now"), ("None", "q r s t")]
 
 
+def test_extra_columns_of_any_name(spark):
+    docs = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "q r s t u"), (3, "x y z")]
+    names = ["_kept", "_fp", "_group", "fp", "component_id", "a.b", "hot_fp", "copies"]
+    df = spark.createDataFrame([(d, t, *names) for d, t in docs], ["doc_id", "text", *names])
+    got = simhash.keep_one_per_component(df)
+    assert got.columns == df.columns
+    rows = sorted((tuple(r) for r in got.collect()), key=str)
+    assert rows == sorted([(1, "a b c d e f", *names), (3, "x y z", *names), (None, "q r s t u", *names)], key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicate_components(df).count() == 0
