@@ -11,15 +11,17 @@ by a single row.
 
 The rows' path is DataFrame operations only. The matrix has a row for each input
 partition and a column for each shard; the driver gets one count per partition
-(at most ``MAX_PARTITIONS``) and sends the matrix back. The second permutation is
+(at most ``MAX_CELLS`` over the number of shards) and sends the matrix back. The second permutation is
 a rank by random key, dealt over buckets of about ``ROWS_PER_BUCKET`` rows, so no
 task holds a shard. Keys are hashes of the seed and the row, and partition
 numbers are written to the shared folder before they are used, so a task that
 runs again makes the same rows.
 
 Defined results: null and empty texts are rows like any other (size 1); repeated
-rows each get a place; an empty table gives an empty result; with more shards
-than rows the last shards stay empty.
+rows each get a place, and which of them comes first makes no difference; texts
+of any length are rows like any other; an empty table gives an empty result; with
+more shards than rows the last shards stay empty; extra columns are kept, unless
+their names begin with ``_shuffle_``.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from aerotally.plans.storage import materialise
 
-MAX_PARTITIONS, ROWS_PER_BUCKET = 4096, 4096
+#: Numbers in the matrix, which the driver holds (16 MB); with 16 shards that is 131,072 partitions.
+MAX_CELLS, ROWS_PER_BUCKET = 1 << 21, 4096
 
 
 def communication_matrix(partition_rows: list[int], shard_rows: list[int], seed: int) -> np.ndarray:
@@ -57,26 +60,27 @@ def uniform_shards(rows: DataFrame, n_shards: int = 16, *, seed: int = 29) -> Da
         raise ValueError("n_shards must be at least 1")
     mine = [c for c in rows.columns if c not in ("shard", "slot")]
     columns = [F.col(f"`{c}`") for c in mine]
-    keyed = rows.select(*columns).coalesce(MAX_PARTITIONS).withColumn("_shuffle_key", F.xxhash64(F.lit(seed), *columns))
+    keyed = rows.select(*columns).coalesce(max(1, MAX_CELLS // n_shards)).withColumn("_shuffle_key", F.xxhash64(F.lit(seed), *columns))
     local = keyed.sortWithinPartitions("_shuffle_key").select(
-        *columns, "_shuffle_key", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_pos")
+        *columns, "_shuffle_key", F.spark_partition_id().alias("_shuffle_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_shuffle_pos")
     )
     local = materialise(local, "shuffle-local")
-    counts = sorted((r["_part"], r["n"]) for r in local.groupBy("_part").agg(F.count("*").alias("n")).collect())  # one row per partition
+    counts = sorted((r["_shuffle_part"], r["n"]) for r in local.groupBy("_shuffle_part").agg(F.count("*").alias("n")).collect())  # one row per partition
     n_rows = sum(n for _, n in counts)
     matrix = communication_matrix([n for _, n in counts], shard_sizes(n_rows, n_shards), seed)
     sends = [(part, [int(x) for x in np.cumsum(cells)]) for (part, _), cells in zip(counts, matrix)]
-    bounds = F.broadcast(rows.sparkSession.createDataFrame(sends, "_part int, _bounds array<long>"))  # at most MAX_PARTITIONS rows of n_shards numbers
-    shard = F.size(F.filter("_bounds", lambda b: b <= F.col("_pos")))
+    bounds = F.broadcast(rows.sparkSession.createDataFrame(sends, "_shuffle_part int, _shuffle_bounds array<long>"))  # at most MAX_CELLS numbers
+    shard = F.size(F.filter("_shuffle_bounds", lambda b: b <= F.col("_shuffle_pos")))
     n_buckets = max(1, -(-n_rows // (n_shards * ROWS_PER_BUCKET)))
-    again = F.xxhash64(F.lit(seed + 1), "_shuffle_key", "_part", "_pos")
-    sent = local.join(bounds, "_part").select(*columns, shard.alias("shard"), again.alias("_again"), F.pmod(again, F.lit(n_buckets)).alias("_bucket"), "_part", "_pos")
-    sizes = sent.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")  # one row per bucket
-    offsets = sizes.select("shard", "_bucket", before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_again", "_part", "_pos")) - 1
-    placed = sent.withColumn("_rank", rank).join(offsets, ["shard", "_bucket"])
-    return placed.select(*columns, "shard", (F.col("_before") + F.col("_rank")).alias("slot"))
+    again = F.xxhash64(F.lit(seed + 1), "_shuffle_key", "_shuffle_part", "_shuffle_pos")
+    place = [again.alias("_shuffle_again"), F.pmod(again, F.lit(n_buckets)).alias("_shuffle_bucket"), "_shuffle_part", "_shuffle_pos"]
+    sent = local.join(bounds, "_shuffle_part").select(*columns, shard.alias("shard"), *place)
+    sizes = sent.groupBy("shard", "_shuffle_bucket").agg(F.count("*").alias("_shuffle_n"))
+    before = F.sum("_shuffle_n").over(Window.partitionBy("shard").orderBy("_shuffle_bucket")) - F.col("_shuffle_n")  # one row per bucket
+    offsets = sizes.select("shard", "_shuffle_bucket", before.alias("_shuffle_before"))
+    rank = F.row_number().over(Window.partitionBy("shard", "_shuffle_bucket").orderBy("_shuffle_again", "_shuffle_part", "_shuffle_pos")) - 1
+    placed = sent.withColumn("_shuffle_rank", rank).join(offsets, ["shard", "_shuffle_bucket"])
+    return placed.select(*columns, "shard", (F.col("_shuffle_before") + F.col("_shuffle_rank")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, *, doc_id: str = "doc_id", text: str = "text", seed: int = 29) -> DataFrame:

@@ -49,3 +49,11 @@ def test_empty_and_fewer_rows_than_shards(spark):
 def test_native_plan(spark):
     plan = us.shard_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_extra_columns_of_any_name(spark):
+    names = ["_rank", "_part", "_pos", "_again", "_bucket", "_before", "_bounds", "_n", "a.b"]
+    df = spark.createDataFrame([(i, *[f"{n}{i}" for n in names]) for i in range(200)], ["id", *names]).repartition(3)
+    got = us.uniform_shards(df, 3)
+    assert got.columns == ["id", *names, "shard", "slot"]
+    assert all(tuple(r)[1:-2] == tuple(f"{n}{r.id}" for n in names) for r in got.collect())
