@@ -12,20 +12,25 @@ So the words taken of a source differ from its target by at most the size of one
 document, and each document's expected copies are exact.
 
 Only (id, size, probability) rows are shuffled. Coins are hashes of the seed and
-the document, rows are ordered by hash, so reruns agree.
+the document, rows are ordered by hash, so reruns agree. Rows that are alike are
+counted, and the counted ones get numbers again, which their hashes include: so a
+block has about ``BLOCK`` rows even where one row makes up a third of the table.
 
 Defined results: null texts and texts without words have size 0 and are taken
-whole parts only (0 words); a null source is a source of its own and sorts last;
-repeated rows are rounded apart; an empty table gives an empty result; extra
-columns are ignored by :func:`mix_plan` and kept by :func:`mix`.
+whole parts only (0 words); texts of any length are counted whole; a null source
+is a source of its own and sorts last; repeated rows are rounded apart; equal
+hashes are ordered by the rows' values; an empty table gives an empty result;
+extra columns are ignored by :func:`mix_plan` and kept by :func:`mix`, unless
+their names begin with ``_mix_``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from aerotally.operators.ranking import row_numbers
 from aerotally.plans.storage import materialise
 
 BLOCK = 1024
@@ -48,9 +53,9 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, sh
     because every round but the last stops at least one more source.
     """
     per = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # over sources, one row each
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
-    per = materialise(per.withColumn("weight", weight).withColumn("cap", max_repeats * F.col("source_size").cast("double")), "mix-sources")
+    per = row_numbers(per, [F.col("source").asc_nulls_last()], "_turn")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_turn") % len(weights) + 1).cast("int"))
+    per = materialise(per.withColumn("weight", weight).drop("_turn").withColumn("cap", max_repeats * F.col("source_size").cast("double")), "mix-sources")
     budget = share * float(per.agg(F.sum("source_size")).first()[0] or 0)
     level, stopped = 0.0, -1
     while True:
@@ -93,12 +98,26 @@ def round_block(p: np.ndarray, size: np.ndarray, coins: np.ndarray) -> int:
     return held
 
 
+def numbered(rows: DataFrame, times: str, name: str) -> DataFrame:
+    """Every row ``times`` times, with ``name`` from 0; a large number is dealt over tasks, ``BLOCK`` at once."""
+    count = F.col(times)
+    chunks = rows.withColumn("_mix_chunk", F.explode(F.sequence(F.lit(0), F.floor((count - 1) / BLOCK))))
+    keys = [F.col(f"`{c}`") for c in rows.columns if c != times]
+    large = chunks.where(count > BLOCK)
+    spread = large.repartition(F.xxhash64("_mix_chunk", *keys))
+    first = F.col("_mix_chunk") * BLOCK
+    number = F.explode(F.sequence(first, F.least(first + BLOCK, count) - 1))
+    one = lambda df: df.withColumn(name, number).drop(times, "_mix_chunk")
+    return one(chunks.where(count <= BLOCK)).unionByName(one(spread))
+
+
 def mix_plan(rows: DataFrame, *, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """``(row_id, source, size, n_docs, source_size, target, copies)`` from ``(row_id, source, size)``.
 
     ``row_id`` is any string that names the row; rows with equal ones are rounded apart.
     """
-    rows = materialise(rows.select("row_id", "source", F.col("size").cast("long").alias("size")), "mix-rows")
+    alike = rows.select("row_id", "source", F.col("size").cast("long").alias("size")).groupBy("row_id", "source", "size").agg(F.count("*").alias("_mix_times"))
+    rows = materialise(numbered(alike, "_mix_times", "_mix_number"), "mix-rows")
     targets = materialise(source_targets(rows, weights=weights, share=share, max_repeats=max_repeats), "mix-targets")
     named = targets.select(F.col("source").alias("_source"), "n_docs", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("expected"))
     joined = rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -108,7 +127,7 @@ def mix_plan(rows: DataFrame, *, seed: int = 17, weights: tuple[float, ...] = WE
     state = joined.select(
         "row_id", "source", "size", "n_docs", "source_size", "target", whole.cast("int").alias("whole"),
         F.when(F.col("size") > 0, fraction).otherwise(0.0).alias("p"),
-        F.xxhash64(F.lit(seed), "row_id").alias("draw"), n_blocks.alias("n_blocks"),
+        F.xxhash64(F.lit(seed), "row_id", "source", "size", "_mix_number").alias("draw"), n_blocks.alias("n_blocks"),
     )
     blocks = state.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), "n_blocks"))
     most = targets.agg(F.max(F.ceil(F.col("n_docs") / F.lit(BLOCK)))).first()[0] or 1
@@ -149,13 +168,14 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", **parame
     plan = mix_plan(rows, **parameters).groupBy("row_id").agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_rows"))
     plan = materialise(plan.where("_mix_copies > 0"), "mix-copies").withColumnRenamed("row_id", "_mix_id")
     named = docs.withColumn("_mix_name", name)
+    mine = [F.col(f"`{c}`") for c in docs.columns]
     single = named.join(plan.where("_mix_rows = 1"), F.col("_mix_name") == F.col("_mix_id"))
     taken = single.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    out = taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = taken.select(*mine)
     twins = plan.where("_mix_rows > 1")
     if twins.isEmpty():
         return out
     # rows repeated whole are alike, so one of them may stand for all copies of its group
     one_each = named.join(twins, F.col("_mix_name") == F.col("_mix_id"), "left_semi").dropDuplicates(["_mix_name"])
-    again = one_each.join(twins, F.col("_mix_name") == F.col("_mix_id")).withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return out.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    again = one_each.join(twins.drop("_mix_rows"), F.col("_mix_name") == F.col("_mix_id")).drop("_mix_id")
+    return out.unionByName(numbered(again, "_mix_copies", "_mix_turn").select(*mine))

@@ -79,6 +79,26 @@ def test_mix_repeats_rows(spark):
     assert abs(words - 1.5 * sum(len(d[1].split()) for d in docs)) <= 80
 
 
+def test_a_hot_row_is_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pm, "BLOCK", 16)
+    alike = spark.createDataFrame([("hot", 100), ("one", 1), ("sixteen", 16), ("seventeen", 17)], "id string, times long")
+    got = Counter((r.id, r.n) for r in pm.numbered(alike, "times", "n").collect())
+    assert got == Counter((i, n) for i, t in (("hot", 100), ("one", 1), ("sixteen", 16), ("seventeen", 17)) for n in range(t))
+    seen = []
+    keep = pm.round_block
+    monkeypatch.setattr(pm, "round_block", lambda p, size, coins: seen.append(len(p)) or keep(p, size, coins))
+    docs = [(None, "same words here", "b")] * 900 + [(i, "w " * (i % 9), "a") for i in range(60)]
+    got = plan(spark, docs)
+    assert len(got) == len(docs) and abs(sum(r.copies * r["size"] for r in got) - sum({r.source: r.target for r in got}.values())) < 20
+
+
+def test_very_long_text_and_extra_columns(spark):
+    docs = [(i, "word " * (200_000 if i == 3 else 4), "a", "x", "y") for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, _turn string, `a.b` string")
+    out = pm.mix(df)
+    assert out.columns == df.columns and all(tuple(r)[3:] == ("x", "y") for r in out.collect())
+
+
 def test_empty(spark):
     assert plan(spark, []) == []
     assert pm.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
