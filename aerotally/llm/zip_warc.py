@@ -15,11 +15,18 @@ that Spark commits names it, so an attempt that is lost leaves no record twice.
 Files are opened by URI (pyarrow's file systems: local or mounted, S3, GCS,
 HDFS), below ``spark.checkpoint.dir`` unless a folder is given.
 
-Defined results: a null html is an empty payload; a null page_id keeps its
-record, and is a revisit only where an equal payload has a page_id; a null url
-leaves the record without a target; repeated rows each get a record (those that
-repeat the largest page_id are all responses); an empty table gives an empty
-result; extra columns are ignored.
+The reader takes archives of other writers too: any record type, with or without
+payload digests, indexes as CDX or CDXJ lines, plain or gzipped, and archives
+without an index, whose data is walked.
+
+Defined results: a null html is an empty payload; payloads of any length are
+written whole; a null page_id keeps its record, and is a revisit only where an
+equal payload has a page_id; a null url leaves the record without a target; a
+url's spaces, controls and characters beyond ASCII are percent-encoded and read
+back so; repeated rows each get a record (those that repeat the largest page_id
+are all responses); an empty table gives an empty result; extra columns are
+ignored. A record that isn't of this writer has a null page_id; its digest is the
+header's SHA-1, or computed where it has a payload, or null.
 """
 
 from __future__ import annotations
@@ -33,7 +40,8 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote, unquote
+from gzip import decompress as gunzip
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -42,9 +50,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from aerotally.plans.storage import fresh_dir, materialise
 
-MIN_PAYLOAD, ARCHIVE_BYTES, RANGE_BYTES = 1000, 256 << 20, 4 << 20
+MIN_PAYLOAD, ARCHIVE_BYTES, RANGE_BYTES, TASK_BYTES = 1000, 256 << 20, 4 << 20, 64 << 20
+#: Digests of repeated payloads that are broadcast (60 bytes each); more are joined by a shuffle, but for hot ones.
+MOST_BROADCAST, HOT_SHARE = 200_000, 1000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_URL_SAFE = "%/:?#[]@!$&'()*+,;=~|<>{}^`\"\\"
 _EOCD, _EOCD64, _LOCATOR, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
 
@@ -55,7 +66,7 @@ def pack_record(page_id: int | None, url: str | None, payload: bytes, kind: str,
     """One WARC/1.1 record as a gzip member. ``digest`` is the payload's hex SHA-1, ``size`` its length."""
     head = [f"WARC/1.1\r\nWARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe='')}")
+        head.append(f"WARC-Target-URI: {quote(url, safe=_URL_SAFE)}")
     head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
     if kind == "revisit":
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -66,23 +77,65 @@ def pack_record(page_id: int | None, url: str | None, payload: bytes, kind: str,
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + http + payload + b"\r\n\r\n") + pack.flush()
 
 
+def _headers(block: bytes) -> tuple[str, dict[str, str], bytes]:
+    """First line, fields by lower-case name, and what follows the empty line."""
+    head, _, rest = block.partition(b"\r\n\r\n")
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    fields: dict[str, str] = {}
+    last = None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:  # a folded line
+            fields[last] += " " + line.strip()
+        elif ":" in line:
+            last, value = line.split(":", 1)
+            last = last.strip().lower()
+            fields[last] = value.strip()
+    return first, fields, rest
+
+
+def _sha1(value: str | None) -> str | None:
+    """The hex form of a labelled digest, if it is a SHA-1."""
+    name, _, code = (value or "").partition(":")
+    if name.lower() != "sha1":
+        return None
+    return code.lower() if len(code) == 40 else base64.b32decode(code.upper()).hex()
+
+
+def _page(value: str | None) -> int | None:
+    number = (value or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(number) if value and value.startswith("<urn:page:") and number.lstrip("-").isdigit() else None
+
+
 def unpack_record(member: bytes) -> dict:
-    """page_id, url, record_type, refers_to, payload, payload_bytes and payload_digest of a gzip member; a damaged one raises."""
-    raw = zlib.decompress(member, 31)
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
-    fields = dict(line.split(": ", 1) for line in lines)
-    block = rest[: (n := int(fields["Content-Length"]))]
-    if not version.startswith("WARC/1.") or rest[n:] != b"\r\n\r\n":
+    """record_id, page_id, url, record_type, refers_to, payload, payload_bytes and payload_digest of a record; a damaged one raises."""
+    raw = zlib.decompress(member, 31) if member[:2] == b"\x1f\x8b" else member
+    version, fields, rest = _headers(raw)
+    if not version.startswith("WARC/") or "content-length" not in fields:
+        raise ValueError("not a WARC record")
+    block, end = rest[: (n := int(fields["content-length"]))], rest[n:]
+    if len(block) != n or end.strip(b"\r\n"):
         raise ValueError("not a whole WARC record")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
-    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't match its digest")
-    number = lambda name: int(x) if (x := fields.get(name, "")[10:-1]) not in ("", "None") else None
-    url = fields.get("WARC-Target-URI")
-    return {"page_id": number("WARC-Record-ID"), "url": None if url is None else unquote(url), "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"), "payload": payload, "payload_bytes": size, "payload_digest": digest}
+    kind, stated = fields.get("warc-type", ""), _sha1(fields.get("warc-payload-digest"))
+    payload, size = block, None
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        _, http, payload = _headers(block)
+        size = int(x) if (x := http.get("content-length", "")).isdigit() else None
+        as_sent = "transfer-encoding" in http  # the digest may be of the decoded payload
+    else:
+        as_sent = False
+    if kind == "revisit":
+        digest = stated
+    else:
+        if kind == "response" and size is not None and not as_sent and len(payload) != size:
+            raise ValueError(f"payload of {fields.get('warc-record-id')} isn't as long as its header says")
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+        if stated and not as_sent and stated != digest:
+            raise ValueError(f"payload of {fields.get('warc-record-id')} doesn't match its digest")
+        digest = stated or digest
+    return {
+        "record_id": fields.get("warc-record-id"), "page_id": _page(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": kind,
+        "refers_to": _page(fields.get("warc-refers-to")), "payload": payload, "payload_bytes": size, "payload_digest": digest,
+    }
 
 
 # --- the ZIP container
@@ -160,15 +213,21 @@ def data_offset(f: pa.NativeFile, member: Member) -> int:
 def archive_index(f: pa.NativeFile, size: int) -> Iterator[tuple[int, int]]:
     """(offset in the archive, length) of every record: from the index, or by walking the data where there is none."""
     members = {m.name: m for m in read_directory(f, size)}
-    base = {name: data_offset(f, m) for name, m in members.items() if name.startswith("archive/") and name.endswith(".warc.gz")}
-    indexes = [m for name, m in members.items() if name.startswith("indexes/") and name.endswith(".cdxj")]
+    base = {name: data_offset(f, m) for name, m in members.items() if name.startswith("archive/") and name.endswith((".warc.gz", ".warc"))}
+    indexes = [m for name, m in members.items() if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz"))]
     for m in indexes:
         f.seek(data_offset(f, m))
-        for line in f.read(m.size).splitlines():
-            entry = json.loads(line.split(b" ", 2)[2])
+        lines = f.read(m.size)
+        for line in (gunzip(lines) if lines[:2] == b"\x1f\x8b" else lines).splitlines():
+            entry = line.split(b" ", 2)
+            if line[:1] == b"!" or len(entry) < 3 or entry[2][:1] != b"{":
+                continue  # a header line
+            entry = json.loads(entry[2])
             yield base[f"archive/{entry['filename']}"] + int(entry["offset"]), int(entry["length"])
     if not indexes:
         for name, start in base.items():
+            if not name.endswith(".gz"):
+                raise ValueError(f"{name} has no index and isn't compressed by record")
             at, stop = start, start + members[name].size
             while at < stop:
                 f.seek(at)
@@ -212,15 +271,25 @@ class ArchiveWriter:
 
 
 def plan_records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """``(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)`` per row."""
+    """``(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)`` per row; revisits carry no payload."""
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     shared = rows.where(F.col("payload_bytes") >= min_payload).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
-    shared = shared.where("_n > 1 and _last is not null").select("payload_digest", "payload_bytes", "_last")
-    joined = rows.join(shared, ["payload_digest", "payload_bytes"], "left")
+    shared = materialise(shared.where("_n > 1 and _last is not null"), "warc-shared")  # no payload in it
+    total = shared.agg(F.count("*").alias("n"), F.sum("_n").alias("rows")).first()
+    keys = ["payload_digest", "payload_bytes"]
     again = F.col("_last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("_last")))
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_last")).alias("refers_to"))
+    decided = ["page_id", "url", F.when(~again, F.col("payload")).alias("payload"), *keys, F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_last")).alias("refers_to")]
+    few = shared.drop("_n")
+    if total.n <= MOST_BROADCAST:  # payloads stay where they are
+        return rows.join(F.broadcast(few), keys, "left").select(*decided)
+    # payloads that more than one in HOT_SHARE repeats has are decided in place, so that none of them makes a large task
+    is_hot = F.col("_n") * HOT_SHARE > F.lit(total.rows)
+    hot = F.broadcast(shared.where(is_hot).drop("_n"))  # HOT_SHARE rows at most
+    warm = rows.join(hot, keys).select(*decided)
+    rest = rows.join(hot, keys, "left_anti").join(shared.where(~is_hot).drop("_n"), keys, "left").select(*decided)
+    return warm.unionByName(rest)
 
 
 def write_archives(records: DataFrame, folder: str | None = None, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -237,7 +306,7 @@ def write_archives(records: DataFrame, folder: str | None = None, *, archive_byt
                     fs.create_dir(root, recursive=True)
                     writer = ArchiveWriter(fs, f"{root}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.wacz")
                 page_id, url, payload, size, digest, kind, refers_to = row
-                writer.add(page_id, pack_record(page_id, url, payload, kind, digest, size, refers_to))
+                writer.add(page_id, pack_record(page_id, url, payload or b"", kind, digest, size, refers_to))
                 if writer.at >= archive_bytes:
                     made.append((writer.path, writer.close(), len(writer.lines)))
                     writer = None
@@ -263,7 +332,7 @@ def read_archives(manifest: DataFrame, *, with_payload: bool = True) -> DataFram
                     some = ranges[at : at + 8192]
                     yield pa.RecordBatch.from_pydict({"archive": [uri] * len(some), "at": [a for a, _ in some], "length": [n for _, n in some]})
 
-    fields = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
+    fields = {"record_id": pa.string(), "page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
     if with_payload:
         fields["payload"] = pa.binary()
 
@@ -285,6 +354,8 @@ def read_archives(manifest: DataFrame, *, with_payload: bool = True) -> DataFram
                 at = stop
 
     ranges = manifest.select("archive", "size").mapInArrow(index, "archive string, at long, length long")
-    dealt = ranges.repartition("archive", F.floor(F.col("at") / F.lit(RANGE_BYTES)))
-    schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
+    bytes_ = manifest.agg(F.sum("size")).first()[0] or 0
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, -(-bytes_ // TASK_BYTES))  # by what is read, not by the size of the ranges' rows
+    dealt = ranges.repartition(tasks, "archive", F.floor(F.col("at") / F.lit(RANGE_BYTES)))
+    schema = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
     return dealt.mapInArrow(records, schema)
