@@ -100,8 +100,7 @@ def severity(measure: Callable[[str], Column] = F.col) -> Column:
         measure("n_symbols") / (words * SYMBOLS),
         measure("n_repeat_words") / (words * REPEATED),
         measure("n_upper") / (letters * CAPITALS),
-        words * WORD_LENGTH[0] / chars,
-        chars / (words * WORD_LENGTH[1]),
+        F.when((chars < words * WORD_LENGTH[0]) | (chars > words * WORD_LENGTH[1]), 2.0).otherwise(0.0),  # on every host: usual lengths differ by language
     )
 
 

@@ -72,7 +72,7 @@ m AS (SELECT w.doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(reg
   length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) AS upper_n
   FROM w LEFT JOIN l ON w.doc_id = l.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  greatest(n_symbols / (nw * CAST(0.1 AS DOUBLE)), n_repeat_words / (nw * CAST(0.3 AS DOUBLE)), upper_n / (nl * CAST(0.5 AS DOUBLE)), nw * CAST(2 AS DOUBLE) / nc, nc / (nw * CAST(20 AS DOUBLE))) AS severity
+  greatest(n_symbols / (nw * CAST(0.1 AS DOUBLE)), n_repeat_words / (nw * CAST(0.3 AS DOUBLE)), upper_n / (nl * CAST(0.5 AS DOUBLE)), CASE WHEN nc < nw * 2 OR nc > nw * 20 THEN CAST(2 AS DOUBLE) ELSE 0 END) AS severity
   FROM (SELECT *, CAST(greatest(n_words, 1) AS DOUBLE) AS nw, CAST(greatest(word_chars, 1) AS DOUBLE) AS nc, CAST(greatest(letters, 1) AS DOUBLE) AS nl FROM m) mm),
 h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_failed OR severity > 1 THEN 1 ELSE 0 END) AS DOUBLE) AS x FROM f GROUP BY 1),
 s AS (SELECT sum(n) AS n, count(*) AS k, sum(n * n) AS nn, sum(x * x / n) AS xx, least(greatest(sum(x) / sum(n), 0.5 / (sum(n) + 1)), 1 - 0.5 / (sum(n) + 1)) AS mean FROM h),

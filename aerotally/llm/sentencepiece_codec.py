@@ -352,6 +352,7 @@ def encode(rows: DataFrame, *, text: str = "text", model_path: str = DEFAULT_MOD
     with open(model_path, "rb") as f:
         data = f.read()  # the driver's copy; executors get the bytes
     rest = [c for c in rows.columns if c not in (text, "n_tokens", "ids", "round_trip")]
+    names = [f"_kept_{i}" for i in range(len(rest))]  # mapInArrow takes no names with dots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data)
@@ -361,11 +362,13 @@ def encode(rows: DataFrame, *, text: str = "text", model_path: str = DEFAULT_MOD
                 found = codec.encode(texts.slice(at, stop - at))
                 lists = pa.ListArray.from_arrays(pa.array(found.offsets.astype(np.int32)), pa.array(found.ids))
                 kept = [batch.column(i + 1).slice(at, stop - at) for i in range(len(rest))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(found.offsets).astype(np.int32)), lists, pa.array(found.same)], names=[*rest, "n_tokens", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(found.offsets).astype(np.int32)), lists, pa.array(found.same)], names=[*names, "n_tokens", "ids", "round_trip"])
         codec.table.shrink(KEPT_UNITS)  # the worker may serve other stages next
 
-    schema = rows.select(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("n_tokens"), F.array(F.lit(0)).alias("ids"), F.lit(True).alias("round_trip")).schema
-    return rows.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+    kept = [F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)]
+    schema = rows.select(*kept, F.lit(0).alias("n_tokens"), F.array(F.lit(0)).alias("ids"), F.lit(True).alias("round_trip")).schema
+    out = rows.select(F.col(f"`{text}`").cast("string").alias("text"), *kept).mapInArrow(run, schema)
+    return out.toDF(*rest, "n_tokens", "ids", "round_trip")
 
 
 def _slices(texts: pa.StringArray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
@@ -384,12 +387,14 @@ def decode(rows: DataFrame, *, ids: str = "ids", model_path: str = DEFAULT_MODEL
     with open(model_path, "rb") as f:
         data = f.read()
     rest = [c for c in rows.columns if c not in (ids, "text")]
+    names = [f"_kept_{i}" for i in range(len(rest))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data)
         for batch in batches:
             texts = codec.decode([x or [] for x in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i + 1) for i in range(len(rest))], pa.array(texts, pa.string())], names=[*rest, "text"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i + 1) for i in range(len(rest))], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    schema = rows.select(*[F.col(f"`{c}`") for c in rest], F.lit("").alias("text")).schema
-    return rows.select(F.col(f"`{ids}`"), *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+    kept = [F.col(f"`{c}`").alias(n) for c, n in zip(rest, names)]
+    schema = rows.select(*kept, F.lit("").alias("text")).schema
+    return rows.select(F.col(f"`{ids}`").alias("ids"), *kept).mapInArrow(run, schema).toDF(*rest, "text")

@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         outs.append(docs.collect())
     rules, dedup, secrets, mixed, encoded = outs
     assert all(set(o[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"} for o in outs[:-1])
-    assert {r.doc_id for r in rules} == {d[0] for d in rows if d[0] < 2000}
+    assert {r.doc_id for r in rules} == {d[0] for d in rows if d[0] < 2000} | {3002}
     want = {d for d, _, c in brute_components([(r.doc_id, r.text) for r in rules]) if d == c}
     assert {r.doc_id for r in dedup} == want and len(dedup) == len(want)
     assert {r.doc_id for r in secrets} == want
@@ -67,3 +67,26 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_pipeline_on_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_odd_rows_and_extra_columns(spark, tmp_path):
+    long = " ".join(f"river{i} of land{i}" for i in range(60_000))
+    usual = [" ".join(f"word{i} in place{j}" for j in range(20)) for i in range(5)]
+    texts = [(None, usual[0]), (None, "an only child of its own kind"), (1, usual[1]), (1, usual[1]), (2, usual[1]), (3, None), (4, ""), (5, " \n "), (6, long), (7, f"{usual[2]} password=hunter2"), (None, None), (8, usual[3]), (9, usual[4])]
+    extra = ["_kept", "_fp", "_group", "verdict", "fp", "copies", "token", "a.b", "n_words", "score", "_turn"]
+    rows = [(d, t, None if i % 3 else "en", None if i % 4 == 0 else "s", None, *extra) for i, (d, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    counts = []
+    for _, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = corpus_pipeline.materialise(stage(spark, docs, str(tmp_path)), "test-odd")
+        kept = docs.collect()
+        counts.append(Counter(r.doc_id for r in kept))
+        if "text" in columns and "ids" not in docs.columns:
+            assert docs.columns == columns
+        assert all(r[c] == c for r in kept for c in extra)
+    rules, dedup, secrets, mixed, encoded = counts
+    assert rules == Counter({None: 2, 1: 2, 2: 1, 6: 1, 7: 1, 8: 1, 9: 1})
+    assert dedup == secrets == Counter({None: 2, 1: 1, 6: 1, 7: 1, 8: 1, 9: 1})
+    assert encoded == mixed and max(mixed.values()) <= 4
