@@ -4,6 +4,10 @@ Every stage takes ``(spark, docs, sf_dir)``, works on all rows its predecessor
 kept, and returns the columns of documents (the last returns token ids instead
 of the text). A stage's result is written as Parquet to the shared folder and
 read again as the next one's input, so a lost executor repeats tasks of one stage.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows,
+an empty table, and extra columns of any name but those that begin with
+``_host_rules_``, ``_near_``, ``_secret_`` or ``_mix_``; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -19,27 +23,37 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a base rule or their host's verdict rejects go."""
-    return host_rules.keep_good(docs)
+    """Documents that a base rule or their host's verdict rejects go.
+
+    Texts without words go; short texts are judged by the rules like any other,
+    as being short is no fault in a corpus. A null source is a host of its own.
+    Repeated rows are judged alike.
+    """
+    return host_rules.keep_good(docs, min_words=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts at a 5-word Jaccard of 0.8 or more stays, that with the smallest doc_id."""
+    """One document of each component of texts at a 5-word Jaccard of 0.8 or more stays, that with the smallest doc_id.
+
+    Of rows that repeat that doc_id one stays; rows with a null doc_id stay only
+    where their component has no doc_id. Null and empty texts are copies of each
+    other.
+    """
     return shingle_dedup.keep_one_per_component(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked; every document stays."""
+    """Secrets in the texts are masked and n_chars follows; every document stays, null and empty texts as they are."""
     return secret_forest.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources meet their target weights."""
+    """Documents are repeated or left out so that sources meet their target weights; a null source is one of its own, texts without words are left out or kept by their source's whole share."""
     return pivotal_mix.mix(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become token ids."""
+    """Texts become token ids; null and empty texts have none."""
     return sentencepiece_codec.encode(docs)
 
 
