@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aerotally.operators.ranking import numbers_within
 from aerotally.operators.spatial import range_join
 from aerotally.plans.storage import materialise
 
@@ -138,3 +139,9 @@ def compensation(pairs: DataFrame, keys: Sequence[str] = ("user_name",)) -> Data
 def count_level(c: Column) -> Column:
     """Levels 0-2, 3-5, 6-10, 11+."""
     return F.when(c <= 2, "0-2").when(c <= 5, "3-5").when(c <= 10, "6-10").otherwise("11+")
+
+
+def compacted(rows: DataFrame, key: str, order: str, values: str, per_list: int) -> DataFrame:
+    """AGG21, AGG33: the arrays of a key's rows one after another in order, as ``(key, page, all)`` with ``per_list`` rows in each list."""
+    numbered = numbers_within(rows, [key], [F.col(order)], "_n").withColumn("page", F.floor(F.col("_n") / per_list))
+    return numbered.groupBy(key, "page").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_n", values))), lambda s: s[values])).alias("all"))

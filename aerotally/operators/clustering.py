@@ -91,10 +91,30 @@ def components(items: DataFrame, k: int, *, id: str = "vec_id", vector: str = "e
     return PCA(k=k, inputCol="features", outputCol="pca").fit(x).transform(x).select(id, vector_to_array("pca").alias("pca"))
 
 
-def similarity(left: DataFrame, right: DataFrame, *, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """CL9: cosine similarity of two item sets; ``right`` is a named handful that is broadcast, as its matrix becomes columns."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    a, b = left.select(F.col(id).alias("a"), F.col(vector).alias("va")), right.select(F.col(id).alias("b"), F.col(vector).alias("vb"))
-    j = a.crossJoin(F.broadcast(b))
-    va, vb = F.col("va"), F.col("vb")
-    return j.select("a", "b", (dot(va, vb) / F.sqrt(dot(va, va) * dot(vb, vb))).alias("cosine"))
+def similarity(left: DataFrame, right: DataFrame, *, id: str = "vec_id", vector: str = "embedding", rows_per_block: int = 2048) -> DataFrame:
+    """CL9: cosine similarity of each of ``left`` with each of ``right``, as ``(a, b, cosine)``; null where a vector is all zero.
+
+    Both sides are dealt into blocks, and a task multiplies one block of each,
+    so neither side is sent whole. Null ids and vectors take no part, vectors of
+    different lengths don't meet.
+    """
+    blocks = {}
+    for side, rows in (("a", left), ("b", right)):
+        some = rows.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null").withColumn("dims", F.size("v"))
+        n = max(1, -(-some.count() // rows_per_block))
+        blocks[side] = n, some.withColumn(f"{side}_block", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int"))
+    (n_a, a), (n_b, b) = blocks["a"], blocks["b"]
+    a = a.withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
+    b = b.withColumn("a_block", F.explode(F.sequence(F.lit(0), F.lit(n_a - 1))))
+
+    def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+        u, v = np.stack(x["v"].to_numpy()).astype(float), np.stack(y["v"].to_numpy()).astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine = u @ v.T / np.outer(np.sqrt((u * u).sum(1)), np.sqrt((v * v).sum(1)))
+        return pd.DataFrame({"a": np.repeat(x["id"].to_numpy(), len(y)), "b": np.tile(y["id"].to_numpy(), len(x)), "cosine": cosine.ravel()})
+
+    keys = ["dims", "a_block", "b_block"]
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(multiply, "a long, b long, cosine double")
+    return found.withColumn("cosine", F.when(~F.isnan("cosine"), F.col("cosine")))

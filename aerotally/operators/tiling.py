@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aerotally.operators.ranking import numbers_within
 from aerotally.operators.spatial import range_join
+from aerotally.plans.storage import materialise
 
 
 def seeded(seed: int, *columns: str) -> Column:
@@ -135,26 +137,29 @@ def padded_box(x1: Column, y1: Column, x2: Column, y2: Column, pad: float, width
 
 def stratified_split(items: DataFrame, cls: str, id: str, ratio: float, *, cap: int | None = None, total: int | None = None, seed: int = 9) -> DataFrame:
     """SPL1: train and val by class in seeded order; at most min(cap, total // classes) of a class, int(n * ratio) of them train."""
-    w = Window.partitionBy(cls)
     limit = F.lit(1 << 60) if cap is None else F.lit(cap)
     if total is not None:
         limit = F.least(limit, F.lit(total // max(1, items.select(cls).distinct().count())))
-    ranked = items.withColumn("_r", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), id), id))).withColumn("_n", F.least(F.count("*").over(w), limit))
-    return ranked.where(F.col("_r") <= F.col("_n")).withColumn("part", F.when(F.col("_r") <= F.floor(F.col("_n") * ratio), "train").otherwise("val")).drop("_r", "_n")
+    ranked = numbers_within(items, [cls], [F.xxhash64(F.lit(seed), id), F.col(id)], "_r", "_n").withColumn("_n", F.least("_n", limit))
+    return ranked.where(F.col("_r") < F.col("_n")).withColumn("part", F.when(F.col("_r") < F.floor(F.col("_n") * ratio), "train").otherwise("val")).drop("_r", "_n")
 
 
 def three_way_split(items: DataFrame, stratum: str, id: str, train: float, val: float, *, seed: int = 9) -> DataFrame:
     """SPL2: train, val and test of each stratum in seeded order."""
-    w = Window.partitionBy(stratum)
-    share = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), id), id)) - 1
-    n = F.count("*").over(w)
-    return items.withColumn("part", F.when(share < F.floor(n * train), "train").when(share < F.floor(n * train) + F.floor(n * val), "val").otherwise("test"))
+    ranked = numbers_within(items, [stratum], [F.xxhash64(F.lit(seed), id), F.col(id)], "_r", "_n")
+    first, second = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
+    part = F.when(F.col("_r") < first, "train").when(F.col("_r") < first + second, "val").otherwise("test")
+    return ranked.withColumn("part", part).drop("_r", "_n")
 
 
 def k_folds(items: DataFrame, k: int, order: str, group: str) -> DataFrame:
     """SPL3: contiguous folds per group, the first n mod k one larger; every fold with its role of each item."""
-    fold = items.withColumn("own", F.ntile(k).over(Window.partitionBy(group).orderBy(order)))
-    return fold.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("role", F.when(F.col("own") == F.col("fold"), "val").otherwise("train")).drop("own")
+    ranked = numbers_within(items, [group], [F.col(order)], "_r", "_n")
+    least, larger = F.floor(F.col("_n") / k), F.col("_n") % k
+    in_larger = larger * (least + 1)  # rows of the folds that are one larger
+    own = F.when(F.col("_r") < in_larger, F.floor(F.col("_r") / (least + 1))).otherwise(larger + F.floor((F.col("_r") - in_larger) / F.greatest(least, F.lit(1)))) + 1
+    fold = ranked.withColumn("own", own).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    return fold.withColumn("role", F.when(F.col("own") == F.col("fold"), "val").otherwise("train")).drop("own", "_r", "_n")
 
 
 def hold_out(items: DataFrame, n: int, id: str, *, seed: int = 9) -> DataFrame:
@@ -164,15 +169,26 @@ def hold_out(items: DataFrame, n: int, id: str, *, seed: int = 9) -> DataFrame:
     return items.orderBy(F.xxhash64(F.lit(seed), id), id).limit(n)
 
 
-def background_points(images: DataFrame, positives: DataFrame, n: int, margin: float, distance: float, *, attempts: int = 20, seed: int = 5) -> DataFrame:
-    """NEG3: per image the first n of a bounded number of seeded random points inside the margin that keep away from every positive."""
+def background_points(images: DataFrame, positives: DataFrame, n: int, margin: float, distance: float, *, attempts: int = 20, seed: int = 5, strict: bool = False) -> DataFrame:
+    """NEG3: per image the first n of ``n * attempts`` seeded random points inside the margin that keep away from every positive, with ``n_free``, how many of them did.
+
+    An image with ``n_free`` below n has fewer points, one without a free place
+    none; ``strict`` raises where that is so.
+    """
     tries = images.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(n * attempts - 1))))
     at = lambda c, s: F.lit(margin) + seeded(seed + s, "image", "try") * (F.col(c) - 2 * margin)
     tries = tries.withColumn("x", at("image_width", 0)).withColumn("y", at("image_height", 1))
     a = tries.select("image", "try", F.col("x").alias("l_x"), F.col("y").alias("l_y"))
     near = range_join(a, positives.select("image", F.col("x").alias("r_x"), F.col("y").alias("r_y")), distance, ["image"]).select("image", "try").distinct()
-    free = tries.join(near, ["image", "try"], "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy("image").orderBy("try")))
-    return free.where(F.col("_n") <= n).drop("_n")
+    w = Window.partitionBy("image")  # n * attempts rows at most
+    free = tries.join(near, ["image", "try"], "left_anti").withColumn("_n", F.row_number().over(w.orderBy("try"))).withColumn("n_free", F.count("*").over(w))
+    found = free.where(F.col("_n") <= n).drop("_n")
+    if strict:
+        found = materialise(found, "background-points")
+        full = found.where(F.col("n_free") >= n).select("image").distinct().count()
+        if short := images.select("image").distinct().count() - full:
+            raise ValueError(f"{short} images have fewer than {n} free points in {n * attempts} tries")
+    return found
 
 
 def add_background(background: DataFrame, share: float, valid: float, id: str, *, seed: int = 4) -> DataFrame:

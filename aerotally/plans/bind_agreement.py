@@ -220,8 +220,9 @@ def agg20(v):
 
 
 def agg21(v):
-    lists = v.crowd.groupBy("image").agg(F.flatten(F.sort_array(F.collect_list(F.struct("id", F.array("user_id", "marks").alias("m")))).m).alias("all"))
-    return lists.select("image", F.size("all").cast("long").alias("n"), F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
+    """The marks of an image in lists of bounded length, in order of their classifications."""
+    lists = G.compacted(v.crowd.select("image", "id", F.array("user_id", "marks").alias("m")), "image", "id", "m", 500)
+    return lists.select("image", "page", F.size("all").cast("long").alias("n"), F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
 
 
 def agg22(v):
@@ -280,7 +281,10 @@ BINDINGS = {
     "AGG18": binding(agg18, "WITH c AS (SELECT * FROM crowd WHERE user_id > 0 AND marks >= 1), u AS (SELECT phase, image, count(DISTINCT user_id) AS u FROM c GROUP BY 1,2), a AS (SELECT phase, count(DISTINCT image) AS images, count(DISTINCT user_id) AS users, CAST(sum(marks) AS BIGINT) AS marks, round(avg(marks),6) AS mean_marks, round(max(t)-min(t),2) AS seconds_live FROM c GROUP BY 1) SELECT a.*, (SELECT count(*) FROM u WHERE u.phase=a.phase AND u > 2) AS over_two, (SELECT count(*) FROM u WHERE u.phase=a.phase AND u <= 2) AS up_to_two FROM a"),
     "AGG19": binding(agg19, "SELECT CAST(CAST(started_at AS DATE) AS VARCHAR) AS day, phase, count(*) AS n FROM crowd GROUP BY 1,2"),
     "AGG20": binding(agg20, "WITH u AS (SELECT image, user_id, sum(marks) AS n, min(id) AS first FROM crowd GROUP BY 1,2), m AS (SELECT image, n, count(*) AS f, min(first) AS first FROM u GROUP BY 1,2), k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY f DESC, first) AS r FROM m), s AS (SELECT image, count(*) AS users, round(median(n),6) AS median, round(avg(n),4) AS mean FROM u GROUP BY 1 HAVING count(*) > 20) SELECT s.*, CAST(k.n AS BIGINT) AS mode FROM s JOIN k ON s.image=k.image AND r=1"),
-    "AGG21": binding(agg21, "SELECT image, 2*count(*) AS n, CAST(sum(user_id)+sum(marks) AS BIGINT) AS checksum FROM crowd GROUP BY 1"),
+    "AGG21": binding(
+        agg21,
+        "WITH p AS (SELECT *, (row_number() OVER (PARTITION BY image ORDER BY id)-1)//500 AS page FROM crowd) SELECT image, CAST(page AS BIGINT) AS page, 2*count(*) AS n, CAST(sum(user_id)+sum(marks) AS BIGINT) AS checksum FROM p GROUP BY 1,2",
+    ),
     "AGG22": binding(agg22, f"WITH {_PAIRS} SELECT user_name, CAST(sum(n) AS BIGINT) AS counted, CAST(sum(ref) AS BIGINT) AS gold, CAST(sum(n-ref) AS BIGINT) AS diff, round(sqrt(avg((n-ref)*(n-ref))),6) AS rmse FROM p GROUP BY 1"),
     "AGG31": binding(agg31, "SELECT species, count(*) AS n, round(avg(CASE WHEN score >= CAST(0.9 AS DOUBLE) THEN 1 ELSE 0 END),6) AS detectable, round(avg(score),6) AS score FROM marks WHERE role='pred' GROUP BY 1"),
     "AGG32": binding(agg32, "WITH h AS (SELECT image AS epoch, id, CASE WHEN marks>0 THEN marks END AS m FROM crowd), p AS (SELECT epoch, arg_min(m, id) AS metric FROM h WHERE m IS NOT NULL GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY metric DESC, epoch) AS r FROM p) SELECT epoch AS best_epoch, metric FROM k WHERE r=1"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerotally.operators import annotations as A
+from aerotally.operators import agreement as G, annotations as A
 from aerotally.plans.views import Views, binding
 
 _IMAGES = "images AS (SELECT image, max(dataset) AS dataset, max(status) AS status, count(*) AS n_labels FROM annotations GROUP BY 1)"
@@ -230,7 +230,9 @@ def agg30(v):
 
 
 def agg33(v):
-    return v.customer.groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_list("c_custkey")).cast("array<string>"), ",").alias("ids"))
+    """The customers of a nation as text lists of a thousand ids."""
+    lists = G.compacted(v.customer.select("c_nationkey", "c_custkey", F.array("c_custkey").alias("one")), "c_nationkey", "c_custkey", "one", 1000)
+    return lists.select("c_nationkey", "page", F.array_join(F.col("all").cast("array<string>"), ",").alias("ids"))
 
 
 def agg35(v):
@@ -307,7 +309,10 @@ BINDINGS = {
     "AGG28": binding(agg28, "WITH c AS (SELECT label, generate_subscripts(embedding,1)-1 AS cell, unnest(embedding) AS q FROM embeddings) SELECT label, CAST(cell AS INTEGER) AS cell, round(avg(CAST(q AS DOUBLE)),5) AS mean FROM c GROUP BY 1,2"),
     "AGG29": binding(agg29, "SELECT species, image%10 AS k, round(avg(score),6) AS mean, round(stddev_samp(score),6) AS std, count(*) AS n FROM marks GROUP BY 1,2 HAVING count(*) >= 5"),
     "AGG30": binding(agg30, "SELECT CASE WHEN image%3=0 THEN CAST(image%5 AS VARCHAR) ELSE '' END AS iteration, " + ", ".join(f"count(*) FILTER (WHERE status='{c}') AS {c}" for c in "FOP") + " FROM annotations GROUP BY 1"),
-    "AGG33": binding(agg33, "SELECT c_nationkey, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS ids FROM customer GROUP BY 1"),
+    "AGG33": binding(
+        agg33,
+        "WITH p AS (SELECT *, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)-1)//1000 AS page FROM customer) SELECT c_nationkey, CAST(page AS BIGINT) AS page, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS ids FROM p GROUP BY 1,2",
+    ),
     "AGG35": binding(agg35, "SELECT class, count(*) AS n, count(DISTINCT image) AS images, round(count(*)/CAST((SELECT count(*) FROM annotations) AS DOUBLE),6) AS share FROM annotations GROUP BY 1"),
     "TK1": binding(tk1, "SELECT image, count(*) AS n FROM annotations GROUP BY 1 ORDER BY n DESC, image LIMIT 25"),
     "TK2": binding(tk2, "SELECT image, count(*) AS n_labels FROM annotations GROUP BY 1"),

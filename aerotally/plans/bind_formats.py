@@ -45,26 +45,41 @@ def src4(v):
 
 
 def src5(v):
-    """A project document for every dataset, written, read and flattened."""
-    lb = F.struct(F.col("label").cast("string").alias("id"), F.col("class").alias("class_name"), F.array("x1", "y1", F.col("x1") + F.col("w"), F.col("y1") + F.col("h")).alias("bbox"))
-    im = v.annotations.groupBy("dataset", "image").agg(F.sort_array(F.collect_list(lb)).alias("labels"))
-    docs = im.groupBy("dataset").agg(F.collect_list(F.struct(F.col("image").cast("string").alias("image_id"), F.col("dataset").alias("dataset_name"), "labels")).alias("images")).select(F.col("dataset").alias("project_name"), "images")
-    images, lab = R.project(v.spark, _single_documents(v, docs))
+    """Project documents for every dataset, a bounded number of images each, written, read and flattened."""
+    box = F.array("x1", "y1", F.col("x1") + F.col("w"), F.col("y1") + F.col("h"))
+    docs = W.project_documents(v.annotations.withColumn("bbox", box), "dataset")
+    label = lambda l: F.struct(l.label.cast("string").alias("id"), l["class"].alias("class_name"), l.bbox.alias("bbox"))
+    image = lambda i: F.struct(i.image.cast("string").alias("image_id"), F.col("dataset").alias("dataset_name"), F.transform(i.labels, label).alias("labels"))
+    path = fresh_dir(v.spark, "projects")
+    W.write_documents(docs.select(F.col("dataset").alias("folder"), F.col("dataset").alias("project_name"), F.transform("images", image).alias("images")), path, "folder")
+    images, lab = R.project(v.spark, f"{path}/*")
     return lab.groupBy("dataset_name", "class_name").agg(F.count("*").alias("n"), F.round(F.sum(F.col("bbox")[0]), 2).alias("sx"))
 
 
-def _single_documents(v, docs):
-    """One document per file: the reader takes whole files."""
-    path = fresh_dir(v.spark, "documents")
-    docs.withColumn("p", F.col("project_name")).repartition("p").write.partitionBy("p").json(path)
-    return f"{path}/*"
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 
 def src6(v):
-    c = W.to_coco(labels(v).where("image < 10"), ["Brand#11", "Brand#12", "Brand#13"])
-    docs = c.groupBy(F.lit(1).alias("k")).agg(F.collect_list(F.struct("id", "image_id", "category_id", "bbox", "segmentation")).alias("annotations"), F.collect_set(F.struct(F.col("image_id").alias("id"), F.col("image_id").cast("string").alias("file_name"))).alias("images"))
-    docs = docs.select("annotations", "images", F.array(F.struct(F.lit(1).alias("id"), F.lit("b11").alias("name"))).alias("categories"))
-    return R.coco(v.spark, written(v, docs, "json")).groupBy("category", "has_segmentation").agg(F.count("*").alias("n"), F.round(F.sum("area"), 2).alias("area"))
+    """All labels as documents of bounded pages, of which each has the images that it names."""
+    c = W.to_coco(with_polygons(v), BRANDS)
+    c = c.withColumn("page", W.pages(c))
+    docs = c.groupBy("page").agg(
+        F.collect_list(F.struct("id", "image_id", "category_id", "bbox", "segmentation", "area")).alias("annotations"),
+        F.collect_set(F.struct(F.col("image_id").alias("id"), F.col("image_id").cast("string").alias("file_name"))).alias("images"),
+    )
+    docs = docs.select("page", "annotations", "images", F.array(F.struct(F.lit(BRANDS.index("Brand#11") + 1).alias("id"), F.lit("b11").alias("name"))).alias("categories"))
+    path = fresh_dir(v.spark, "coco")
+    W.write_documents(docs, path, "page")
+    return R.coco(v.spark, f"{path}/*").groupBy("category", "has_segmentation").agg(F.count("*").alias("n"), F.round(F.sum("area"), 2).alias("area"))
+
+
+def with_polygons(v):
+    """Labels of which every third has a triangle, and every fifth no box; every fifteenth has a triangle alone, the others of no box only a keypoint."""
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    triangle = F.when(F.col("label") % 3 == 0, F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2")))
+    boxless = F.col("label") % 5 == 0
+    out = labels(v).withColumn("polygon", triangle).withColumn("kx", F.when(boxless & F.col("polygon").isNull(), F.col("x1")))
+    return out.withColumns({c: F.when(~boxless, F.col(c)) for c in ("x1", "y1", "x2", "y2")})
 
 
 def src7(v):
@@ -128,7 +143,8 @@ def snk1(v):
 
 def snk2(v):
     d = W.project_documents(v.annotations.withColumn("bbox", F.array("x1", "y1")), "dataset")
-    return d.select("dataset", F.size("images").cast("long").alias("images"), F.aggregate("images", F.lit(0), lambda s, i: s + F.size(i.labels)).cast("long").alias("labels"))
+    n_labels = F.aggregate("images", F.lit(0), lambda s, i: s + F.size(i.labels)).cast("long")
+    return d.groupBy("dataset").agg(F.sum(F.size("images")).alias("images"), F.sum(n_labels).alias("labels"))
 
 
 def snk3(v):
@@ -137,12 +153,14 @@ def snk3(v):
 
 
 def snk4(v):
-    c = W.to_coco(labels(v), ["Brand#11", "Brand#12"])
-    return c.select("id", "image_id", "category_id", _R(F.col("bbox")[2]).alias("w"), _R("area").alias("area"))
+    c = W.to_coco(with_polygons(v), ["Brand#11", "Brand#12"])
+    flat = F.get(F.col("segmentation"), F.lit(0))
+    return c.select("id", "image_id", "category_id", _R(F.col("bbox")[0]).alias("x"), _R(F.col("bbox")[2]).alias("w"), _R("area").alias("area"), F.size(flat).alias("numbers"), _R(F.get(flat, F.lit(5))).alias("last_y"))
 
 
 def snk5(v):
-    return W.from_coco(W.to_coco(labels(v), ["Brand#11", "Brand#12"])).select("id", "x1", "y1", "x2", "y2")
+    """Labels back from the annotations that have a segmentation, a bounding box for each ring."""
+    return W.from_coco(W.to_coco(with_polygons(v), ["Brand#11", "Brand#12"])).select("id", "ring", "x1", "y1", "x2", "y2")
 
 
 def snk6(v):
@@ -284,7 +302,9 @@ def st2(v):
     return _stream(v, build).select("flight", "shot", _R("distance_to_prev", 4).alias("distance"), _R("time_diff_seconds", 3).alias("dt"), "late")
 
 
-_COCO = "l AS (SELECT *, dense_rank() OVER (ORDER BY image) AS image_id FROM boxes WHERE class IN ('Brand#11','Brand#12')), c AS (SELECT *, row_number() OVER (ORDER BY image_id, id) AS n FROM l)"
+_POLYGONS = "g AS (SELECT *, id%3=0 AS ring, id%5=0 AS boxless FROM boxes)"
+_COCO = _POLYGONS + """, l AS (SELECT *, dense_rank() OVER (ORDER BY image) AS image_id FROM g),
+  c AS (SELECT *, row_number() OVER (ORDER BY image_id, id) AS n, boxless AND NOT ring AS bare FROM l WHERE class IN ('Brand#11','Brand#12'))"""
 
 BINDINGS = {
     "SRC1": binding(src1, "SELECT DISTINCT class FROM boxes"),
@@ -292,7 +312,11 @@ BINDINGS = {
     "SRC3": binding(src3, "SELECT species, 1 AS labels, count(*) AS n, round(sum(x),2) AS sx FROM marks GROUP BY 1"),
     "SRC4": binding(src4, "SELECT species, count(*) AS n, round(sum(x),2) AS sx FROM marks WHERE role='gt' GROUP BY 1"),
     "SRC5": binding(src5, "SELECT dataset AS dataset_name, class AS class_name, count(*) AS n, round(sum(x1),2) AS sx FROM annotations GROUP BY 1,2"),
-    "SRC6": binding(src6, "SELECT CASE WHEN class='Brand#11' THEN 'b11' ELSE 'Unknown' END AS category, TRUE AS has_segmentation, count(*) AS n, round(sum((x2-x1)*(y2-y1)),2) AS area FROM boxes WHERE image < 10 AND class IN ('Brand#11','Brand#12','Brand#13') GROUP BY 1"),
+    "SRC6": binding(
+        src6,
+        f"""WITH {_POLYGONS} SELECT CASE WHEN class='Brand#11' THEN 'b11' ELSE 'Unknown' END AS category, ring AS has_segmentation, count(*) AS n,
+          round(sum(CASE WHEN ring THEN (x2-x1)*(y2-y1)/2 WHEN boxless THEN 0 ELSE (x2-x1)*(y2-y1) END),2) AS area FROM g GROUP BY 1,2""",
+    ),
     "SRC7": binding(src7, "SELECT s_name, count(*) AS n FROM marks LEFT JOIN supplier ON image=s_suppkey GROUP BY 1"),
     "SRC8": binding(src8, "SELECT CASE WHEN image%2=0 THEN 'train' ELSE 'val' END AS split, count(*) AS n FROM boxes WHERE id%10<>0 AND x2>x1 AND y2>y1 GROUP BY 1"),
     "SRC10": binding(src10, "SELECT concat('species=',species) AS island, count(*) AS n FROM marks WHERE role='gt' GROUP BY 1"),
@@ -303,13 +327,21 @@ BINDINGS = {
     "SNK1": binding(snk1, "SELECT image, id, x, y FROM marks WHERE role='gt'"),
     "SNK2": binding(snk2, "SELECT dataset, count(DISTINCT image) AS images, count(*) AS labels FROM annotations GROUP BY 1"),
     "SNK3": binding(snk3, "SELECT shot, name, CASE shot%3 WHEN 0 THEN 'AUTO' WHEN 1 THEN 'MANUAL' ELSE 'BRACKET' END AS mode FROM shots"),
-    "SNK4": binding(snk4, f"WITH {_COCO} SELECT n AS id, CAST(image_id AS INTEGER) AS image_id, CASE WHEN class='Brand#11' THEN 1 ELSE 2 END AS category_id, round(x2-x1,6) AS w, round((x2-x1)*(y2-y1),6) AS area FROM c"),
-    "SNK5": binding(snk5, f"WITH {_COCO} SELECT n AS id, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, CAST(x2 AS INTEGER) AS x2, CAST(y2 AS INTEGER) AS y2 FROM c"),
+    "SNK4": binding(
+        snk4,
+        f"""WITH {_COCO} SELECT n AS id, image_id, CASE WHEN class='Brand#11' THEN 1 ELSE 2 END AS category_id, CASE WHEN NOT bare THEN round(x1,6) END AS x,
+          CASE WHEN NOT bare THEN round(x2-x1,6) END AS w, CASE WHEN ring THEN round((x2-x1)*(y2-y1)/2,6) WHEN bare THEN 0 ELSE round((x2-x1)*(y2-y1),6) END AS area,
+          CASE WHEN ring THEN CAST(6 AS INTEGER) END AS numbers, CASE WHEN ring THEN round(y2,6) END AS last_y FROM c""",
+    ),
+    "SNK5": binding(snk5, f"WITH {_COCO} SELECT n AS id, CAST(0 AS INTEGER) AS ring, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, CAST(x2 AS INTEGER) AS x2, CAST(y2 AS INTEGER) AS y2 FROM c WHERE ring"),
     "SNK6": binding(snk6, "SELECT id AS label, round((x1+x2)/2/1000,6) AS xc, round((y1+y2)/2/800,6) AS yc, round((x2-x1)/1000,6) AS w, round((y2-y1)/800,6) AS h FROM boxes"),
     "SNK7": binding(snk7, "SELECT image, count(*) AS n, CAST(sum(CAST(substr(class,7,2) AS BIGINT)) AS BIGINT) AS classes, round(sum((x1+x2)/2/1000),3) AS xc FROM boxes GROUP BY 1"),
     "SNK8": binding(snk8, "SELECT id AS label, 9 AS tokens FROM boxes"),
     "SNK9": binding(snk9, "SELECT id AS label, CAST(trunc(CASE id%3 WHEN 0 THEN x1+1 WHEN 1 THEN x1+2 ELSE (x1+x2)/2 END) AS INTEGER) AS x, CAST(trunc(CASE id%3 WHEN 0 THEN y1+1 WHEN 1 THEN y1+2 ELSE (y1+y2)/2 END) AS INTEGER) AS y FROM boxes"),
-    "SNK10": binding(lambda v: W.to_boxes(labels(v).withColumn("x1", F.when(F.col("label") % 5 > 0, F.col("x1")))), "SELECT image AS image_path, CAST(x1 AS INTEGER) AS xmin, CAST(y1 AS INTEGER) AS ymin, CAST(x2 AS INTEGER) AS xmax, CAST(y2 AS INTEGER) AS ymax, class AS label FROM boxes WHERE id%5>0"),
+    "SNK10": binding(
+        lambda v: W.label_boxes(with_polygons(v)).select("image", "label", "xmin", "ymin", "xmax", "ymax", "class"),
+        f"WITH {_POLYGONS} SELECT image, id AS label, CAST(x1 AS INTEGER) AS xmin, CAST(y1 AS INTEGER) AS ymin, CAST(x2 AS INTEGER) AS xmax, CAST(y2 AS INTEGER) AS ymax, class FROM g WHERE ring OR NOT boxless",
+    ),
     "SNK11": binding(lambda v: W.to_boxes(labels(v)), "SELECT image AS image_path, CAST(x1 AS INTEGER) AS xmin, CAST(y1 AS INTEGER) AS ymin, CAST(x2 AS INTEGER) AS xmax, CAST(y2 AS INTEGER) AS ymax, class AS label FROM boxes"),
     "SNK12": binding(snk12, "SELECT id AS label, round(x1,4) AS x1, round(y1,4) AS y1, round(x2,4) AS x2, round(y2,4) AS y2 FROM boxes"),
     "SNK13": binding(snk13, "SELECT image, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx FROM marks WHERE role='pred' AND id%9>0 GROUP BY 1"),

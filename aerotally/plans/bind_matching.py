@@ -179,8 +179,8 @@ def sp7(v):
 
 
 def sp8(v):
-    """For every 40th shot: per other expedition the near shot whose height differs most."""
-    a = v.shots.where("shot % 40 = 0").select(F.col("shot").alias("s"), F.col("expedition").alias("e0"), F.col("height").alias("h0"), F.col("x").alias("l_x"), F.col("y").alias("l_y"))
+    """For every shot: per other expedition the near shot whose height differs most."""
+    a = v.shots.select(F.col("shot").alias("s"), F.col("expedition").alias("e0"), F.col("height").alias("h0"), F.col("x").alias("l_x"), F.col("y").alias("l_y"))
     b = v.shots.select(F.col("shot").alias("o"), F.col("expedition").alias("e1"), F.col("height").alias("h1"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
     near = S.range_join(a, b, 15.0).where("e0 <> e1").withColumn("diff", F.abs(F.col("h0") - F.col("h1")))
     return near.groupBy("s", "e1").agg(F.max_by("o", F.struct("diff", -F.col("o"))).alias("o"), F.max("diff").alias("diff"))
@@ -195,12 +195,14 @@ def sp11(v):
 
 
 def sp12(v):
+    """Per tile, how far its ground truth is from the nearest prediction in it."""
     gt, pred = sides(v)
-    tiled = lambda d: S.tile_of(d, 250).select("image", "tile_x", "tile_y", "id", "x", "y")
-    pairs = tiled(gt).join(tiled(pred).withColumnsRenamed({"id": "pid", "x": "px", "y": "py"}), ["image", "tile_x", "tile_y"])
-    near = pairs.groupBy("image", "tile_x", "tile_y", "id").agg(F.min(S.d2("x", "y", "px", "py")).alias("d2"))
+    tile = ["image", "tile_x", "tile_y"]
+    left = S.tile_of(gt, 250).select(*tile, F.col("id").alias("gt_id"), F.col("x").alias("l_x"), F.col("y").alias("l_y"))
+    right = S.tile_of(pred, 250).select(*tile, F.col("id").alias("pred_id"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
+    near = S.k_nearest(left.join(right.select(*tile).distinct(), tile, "left_semi"), right, 1, 60.0, "gt_id", "pred_id", keys=tile, growth=4.0)
     d = F.sqrt("d2")
-    return near.groupBy("image", "tile_x", "tile_y").agg(F.round(F.avg(d), 6).alias("mean_distance"), F.round(F.max(d), 6).alias("max_distance"), F.round(F.min(d), 6).alias("min_distance"))
+    return near.groupBy(*tile).agg(F.round(F.avg(d), 6).alias("mean_distance"), F.round(F.max(d), 6).alias("max_distance"), F.round(F.min(d), 6).alias("min_distance"))
 
 
 def sp13(v):
@@ -219,6 +221,14 @@ def sp14(v):
 
 
 _PAIR = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)"
+
+
+def _cells(table: str, r: float) -> str:
+    """``home``: rows of a table with their cell of side r, and ``around``: the same in the nine cells about theirs."""
+    nine = "(SELECT unnest([-1, 0, 1]) AS i) di, (SELECT unnest([-1, 0, 1]) AS j) dj"
+    return f"home AS (SELECT *, floor(x/{r}) AS cx, floor(y/{r}) AS cy FROM {table}), around AS (SELECT h.* REPLACE (cx+i AS cx, cy+j AS cy) FROM home h, {nine})"
+
+
 _BOX_PAIRS = """p AS (SELECT a.image, a.id AS a, b.id AS b, (least(a.x2,b.x2)-greatest(a.x1,b.x1))*(least(a.y2,b.y2)-greatest(a.y1,b.y1)) AS area
   FROM boxes a JOIN boxes b ON a.image = b.image AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)"""
 
@@ -269,10 +279,22 @@ BINDINGS = {
     "SP6": binding(sp6, "WITH r AS (SELECT b.id AS box, s.shot, (b.x1/10-s.x)*(b.x1/10-s.x)+(b.y1-s.y)*(b.y1-s.y) AS d2 FROM boxes b, shots s), k AS (SELECT *, row_number() OVER (PARTITION BY box ORDER BY d2, shot) AS rank FROM r) SELECT box, shot, round(d2,6) AS d2, rank FROM k WHERE rank <= 3"),
     "SP7": binding(sp7, """WITH s AS (SELECT n_nationkey AS site, CAST(n_nationkey*40 AS DOUBLE) AS sx, CAST((n_nationkey*173)%1000 AS DOUBLE) AS sy FROM nation), p AS (SELECT s_suppkey AS id, CAST(s_suppkey*7%1000 AS DOUBLE) AS x, CAST(s_suppkey*31%1000 AS DOUBLE) AS y FROM supplier),
       r AS (SELECT id, site, (x-sx)*(x-sx)+(y-sy)*(y-sy) AS d2 FROM p, s), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, site) AS n FROM r) SELECT id, site, d2 FROM k WHERE n = 1"""),
-    "SP8": binding(sp8, """WITH r AS (SELECT a.shot AS s, b.expedition AS e1, b.shot AS o, abs(a.height-b.height) AS diff FROM shots a JOIN shots b ON a.shot % 40 = 0 AND a.expedition <> b.expedition AND abs(a.x-b.x) <= 15 AND abs(a.y-b.y) <= 15 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 225),
-      k AS (SELECT *, row_number() OVER (PARTITION BY s, e1 ORDER BY diff DESC, o) AS n FROM r) SELECT s, e1, o, diff FROM k WHERE n = 1"""),
-    "SP9": binding(sp9, f"SELECT a.image, a.id AS a, b.id AS b, {_PAIR} AS d2 FROM marks a JOIN marks b ON a.image=b.image AND a.id < b.id AND a.role='gt' AND b.role='gt' WHERE {_PAIR} > 0 AND {_PAIR} < 64"),
-    "SP10": binding(sp10, f"{_M} SELECT p.image, p.id, p.species FROM pred p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.image=p.image AND c.pred_id=p.id AND d2 <= {R * R})"),
+    "SP8": binding(
+        sp8,
+        f"""WITH {_cells("shots", 15)}, r AS (SELECT a.shot AS s, b.expedition AS e1, b.shot AS o, abs(a.height-b.height) AS diff FROM home a JOIN around b ON a.cx=b.cx AND a.cy=b.cy AND a.expedition <> b.expedition AND {_PAIR} <= 225),
+          k AS (SELECT *, row_number() OVER (PARTITION BY s, e1 ORDER BY diff DESC, o) AS n FROM r) SELECT s, e1, o, diff FROM k WHERE n = 1""",
+    ),
+    "SP9": binding(
+        sp9,
+        f"""WITH gt AS (SELECT * FROM marks WHERE role='gt'), {_cells("gt", 8)}
+          SELECT a.image, a.id AS a, b.id AS b, {_PAIR} AS d2 FROM home a JOIN around b ON a.image=b.image AND a.cx=b.cx AND a.cy=b.cy AND a.id < b.id WHERE {_PAIR} > 0 AND {_PAIR} < 64""",
+    ),
+    "SP10": binding(
+        sp10,
+        f"""WITH gt AS (SELECT * FROM marks WHERE role='gt'), {_cells("gt", R)}, pred AS (SELECT *, floor(x/{R}) AS cx, floor(y/{R}) AS cy FROM marks WHERE role='pred'),
+          near AS (SELECT DISTINCT a.image, a.id FROM pred a JOIN around b ON a.image=b.image AND a.cx=b.cx AND a.cy=b.cy WHERE {_PAIR} <= {R * R})
+          SELECT p.image, p.id, p.species FROM pred p ANTI JOIN near USING (image, id)""",
+    ),
     "SP11": binding(sp11, f"WITH {_BOX_PAIRS}, q AS (SELECT area, CASE a%3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS pa, CASE b%3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS pb FROM p) SELECT least(pa,pb) AS part_a, greatest(pa,pb) AS part_b, count(*) AS pairs, round(sum(area),3) AS area FROM q WHERE pa <> pb GROUP BY 1, 2"),
     "SP12": binding(sp12, """WITH t AS (SELECT *, floor(x/250) AS tx, floor(y/250) AS ty FROM marks WHERE x-floor(x/250)*250 > 0 AND y-floor(y/250)*250 > 0), n AS (SELECT a.image, a.tx, a.ty, a.id, min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d2 FROM t a JOIN t b ON a.image=b.image AND a.tx=b.tx AND a.ty=b.ty AND a.role='gt' AND b.role='pred' GROUP BY 1,2,3,4)
       SELECT image, CAST(tx AS BIGINT) AS tile_x, CAST(ty AS BIGINT) AS tile_y, round(avg(sqrt(d2)),6) AS mean_distance, round(max(sqrt(d2)),6) AS max_distance, round(min(sqrt(d2)),6) AS min_distance FROM n GROUP BY 1,2,3"""),

@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from aerotally.operators import ranking
+from aerotally.operators.spatial import polygon_area
+
+
+#: Features or labels that one nested document holds at most, on average.
+PER_DOCUMENT = 20_000
 
 
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
-    """SNK17: dense 1-based ids of the distinct values of a column, in order."""
-    ids = df.select(column).distinct().withColumn(name, F.row_number().over(Window.orderBy(column)))  # over distinct values
-    return df.join(ids, column)
+    """SNK17: dense 1-based ids of the distinct values of a column, in order; rows without a value have none."""
+    return df.join(ranking.dense_ids(df, column, name), column, "left")
+
+
+def pages(df: DataFrame, per_page: int = PER_DOCUMENT) -> Column:
+    """A page number for each row that leaves about ``per_page`` rows to a page, however the rows' values repeat."""
+    n = max(1, -(-df.count() // per_page))
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
 
 
 def write_geojson(points: DataFrame, path: str, properties: Sequence[str]) -> None:
@@ -19,17 +31,26 @@ def write_geojson(points: DataFrame, path: str, properties: Sequence[str]) -> No
     points.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value")).write.text(path)
 
 
-def write_feature_collections(points: DataFrame, path: str, properties: Sequence[str], by: str) -> None:
-    """SNK1: a FeatureCollection document per value of ``by`` (each a bounded group), partitioned by it."""
+def write_documents(docs: DataFrame, path: str, by: str) -> None:
+    """One JSON document per file, in a folder per value of ``by``: readers of nested documents take whole files."""
+    docs.write.option("maxRecordsPerFile", 1).partitionBy(by).json(path)
+
+
+def write_feature_collections(points: DataFrame, path: str, properties: Sequence[str], by: str, per_document: int = PER_DOCUMENT) -> None:
+    """SNK1: FeatureCollection documents, one per value of ``by`` and page of its points."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))
-    points.groupBy(by).agg(F.collect_list(feature).alias("features")).select(by, F.lit("FeatureCollection").alias("type"), "features").write.partitionBy(by).json(path)
+    paged = points.withColumn("_page", pages(points, per_document))
+    docs = paged.groupBy(by, "_page").agg(F.collect_list(feature).alias("features"))
+    write_documents(docs.select(by, F.lit("FeatureCollection").alias("type"), "features"), path, by)
 
 
-def project_documents(labels: DataFrame, by: str = "dataset") -> DataFrame:
-    """SNK2: nested documents from flat labels: one row per project, images and labels in order."""
+def project_documents(labels: DataFrame, by: str = "dataset", per_document: int = 2_000) -> DataFrame:
+    """SNK2: nested documents from flat labels: per project documents of about ``per_document`` images each, ``page`` by hash of the image, images and labels in order."""
+    n = max(1, -(-labels.select("image").distinct().count() // per_document))
+    page = F.pmod(F.xxhash64("image"), F.lit(n)).cast("int")
     per_image = labels.groupBy(by, "image").agg(F.sort_array(F.collect_list(F.struct("label", "class", "bbox"))).alias("labels"))
-    return per_image.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("image", "labels"))).alias("images"))
+    return per_image.groupBy(by, page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("image", "labels"))).alias("images"))
 
 
 def serialisable(df: DataFrame, codes: dict[str, dict[int, str]], order: Sequence[str]) -> DataFrame:
@@ -39,20 +60,40 @@ def serialisable(df: DataFrame, codes: dict[str, dict[int, str]], order: Sequenc
     return df.select(*order, *[c for c in df.columns if c not in order])
 
 
+def polygon_bounds(ring: Column) -> tuple[Column, ...]:
+    """x1, y1, x2, y2 of an array of (x, y) structs; null without points."""
+    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
+
+
 def to_coco(labels: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """SNK4: annotations with dense ids, xywh boxes and flat segmentation; other classes are skipped."""
+    """SNK4: annotations with dense 1-based ids in order of image and label; labels of other classes are skipped.
+
+    ``labels`` has ``image, label, class, x1, y1, x2, y2`` (null for labels
+    without a box) and may have ``polygon``, an array of (x, y) structs. The box
+    is x, y, width, height, from the polygon's bounds where there is none, and
+    null for labels with neither; segmentation is the polygon, flat, or null; the
+    area is the polygon's, else the box's, else 0. Images are numbered over all
+    labels, of other classes too.
+    """
+    if "polygon" not in labels.columns:
+        labels = labels.withColumn("polygon", F.lit(None).cast("array<struct<x:double,y:double>>"))
     cat = F.create_map(*[F.lit(x) for i, c in enumerate(classes, 1) for x in (c, i)])[F.col("class")]
-    some = dense_ids(labels.where(F.col("class").isin(list(classes))), "image", "image_id").withColumn("category_id", cat)
-    n = F.row_number().over(Window.orderBy("image_id", "label"))
-    seg = F.array("x1", "y1", "x2", "y1", "x2", "y2", "x1", "y2")
-    return some.withColumn("id", n).select("id", "image_id", "category_id", F.array(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), F.array(seg).alias("segmentation"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"))
+    some = dense_ids(labels, "image", "image_id").where(F.col("class").isin(list(classes))).withColumn("category_id", cat)
+    numbered = ranking.row_numbers(some, [F.col("image_id"), F.col("label")], "_n")
+    ring = F.when(F.size("polygon") > 0, F.col("polygon"))
+    x1, y1, x2, y2 = [F.when(F.col("x1").isNotNull(), F.col(c)).otherwise(b).cast("double") for c, b in zip(("x1", "y1", "x2", "y2"), polygon_bounds(ring))]
+    box = F.when(x1.isNotNull(), F.array(x1, y1, x2 - x1, y2 - y1))
+    flat = F.when(ring.isNotNull(), F.array(F.flatten(F.transform(ring, lambda p: F.array(p.x.cast("double"), p.y.cast("double"))))))
+    area = F.coalesce(polygon_area(ring), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")), F.lit(0.0))
+    return numbered.select((F.col("_n") + 1).alias("id"), "image_id", "category_id", box.alias("bbox"), flat.alias("segmentation"), area.alias("area"))
 
 
 def from_coco(annotations: DataFrame) -> DataFrame:
     """SNK5: a label per segmentation ring with its integer bounds."""
     ring = annotations.select("id", "image_id", "category_id", F.posexplode("segmentation").alias("ring", "s"))
     odd = lambda k: F.filter(F.col("s"), lambda _, i: i % 2 == k)
-    whole = lambda c: F.floor(c).cast("int")
+    whole = lambda c: c.cast("int")
     return ring.select("id", "image_id", "category_id", "ring", whole(F.array_min(odd(0))).alias("x1"), whole(F.array_min(odd(1))).alias("y1"), whole(F.array_max(odd(0))).alias("x2"), whole(F.array_max(odd(1))).alias("y2"))
 
 
@@ -87,10 +128,22 @@ def to_points(labels: DataFrame) -> DataFrame:
     return labels.select("image", "label", x.cast("int").alias("x"), y.cast("int").alias("y"), "class")
 
 
+def label_boxes(labels: DataFrame) -> DataFrame:
+    """SNK10: ``labels`` with integer bounds ``xmin, ymin, xmax, ymax``: the polygon's where there is one, else the box.
+
+    Labels with a keypoint (``kx`` not null, if there is such a column), and those
+    with neither polygon nor box, are skipped: a point gives no box.
+    """
+    columns = set(labels.columns)
+    ring = F.when(F.size("polygon") > 0, F.col("polygon")) if "polygon" in columns else F.lit(None).cast("array<struct<x:double,y:double>>")
+    bounds = [F.coalesce(b, F.col(c).cast("double")).cast("int").alias(n) for b, c, n in zip(polygon_bounds(ring), ("x1", "y1", "x2", "y2"), ("xmin", "ymin", "xmax", "ymax"))]
+    some = labels.where("kx is null") if "kx" in columns else labels
+    return some.select("*", *bounds).where("xmin is not null")
+
+
 def to_boxes(labels: DataFrame) -> DataFrame:
-    """SNK10, SNK11: six-column box rows; labels with neither box nor polygon are skipped."""
-    some = labels.where("x1 is not null")
-    return some.select(F.col("image").alias("image_path"), F.col("x1").cast("int").alias("xmin"), F.col("y1").cast("int").alias("ymin"), F.col("x2").cast("int").alias("xmax"), F.col("y2").cast("int").alias("ymax"), F.col("class").alias("label"))
+    """SNK11: six-column box rows ``image_path, xmin, ymin, xmax, ymax, label`` by the rules of :func:`label_boxes`."""
+    return label_boxes(labels).select(F.col("image").alias("image_path"), "xmin", "ymin", "xmax", "ymax", F.col("class").alias("label"))
 
 
 def detection_documents(points: DataFrame) -> DataFrame:

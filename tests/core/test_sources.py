@@ -87,7 +87,7 @@ def test_writers(spark, tmp_path):
     lb = spark.createDataFrame([("i2", 1, 0.0, 0.0, 10.0, 20.0, "seal", 100, 200), ("i1", 1, 5.0, 5.0, 6.0, 7.0, "seal", 100, 200), ("i1", 2, 0.0, 0.0, 1.0, 1.0, "bird", 100, 200)], "image string, label int, x1 double, y1 double, x2 double, y2 double, class string, image_width int, image_height int")
     c = W.to_coco(lb, ["seal"])
     assert sorted((r.id, r.image_id, r.bbox) for r in c.collect()) == [(1, 1, [5, 5, 1, 2]), (2, 2, [0, 0, 10, 20])]
-    assert sorted((r.x1, r.y1, r.x2, r.y2) for r in W.from_coco(c).collect()) == [(0, 0, 10, 20), (5, 5, 6, 7)]
+    assert all(r.segmentation is None and r.area == r.bbox[2] * r.bbox[3] for r in c.collect()) and W.from_coco(c).count() == 0
     assert sorted(r.line for r in W.yolo_lines(lb.withColumn("class_id", F.lit(0))).collect())[1] == "0 0.050000 0.050000 0.100000 0.100000"
     docs = W.project_documents(lb.withColumn("dataset", F.lit("d")).withColumn("bbox", F.array("x1", "y1", "x2", "y2"))).first()
     assert [(i.image, len(i.labels)) for i in docs.images] == [("i1", 2), ("i2", 1)]
@@ -99,3 +99,28 @@ def test_writers(spark, tmp_path):
     new = spark.createDataFrame([(1, "b", 0.5, 0.5, 10, 20)], "label int, class string, rx double, ry double, image_width int, image_height int")
     got = {r.label: r for r in W.reviewed(old, new).collect()}
     assert (got[1]["class"], got[1].x, got[1].y, got[1].attributes) == ("b", 5.0, 10.0, {"k": "v", "cvat": "created"}) and got[2]["class"] == "a"
+
+
+def test_polygons_and_points_of_labels(spark):
+    schema = "image string, label int, class string, x1 double, y1 double, x2 double, y2 double, polygon array<struct<x:double,y:double>>, kx double"
+    square, ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)], [(1.5, 1.0), (9.0, 2.0), (5.0, 8.5)]
+    rows = [
+        ("b", 1, "seal", 0.0, 0.0, 10.0, 20.0, square, None), ("b", 2, "seal", None, None, None, None, ring, None), ("a", 1, "bird", 1.0, 1.0, 2.0, 2.0, None, None),
+        ("c", 1, "seal", None, None, None, None, None, 5.0), ("c", 2, "seal", 3.9, 3.0, 5.2, 6.0, [], None), ("d", 1, "seal", 1.0, 1.0, 2.0, 2.0, None, 1.5),
+    ]
+    lb = spark.createDataFrame(rows, schema)
+    got = sorted((r.id, r.image_id, r.category_id, r.bbox, r.segmentation, r.area) for r in W.to_coco(lb, ["seal"]).collect())
+    assert got == [
+        (1, 2, 1, [0, 0, 10, 20], [[0, 0, 4, 0, 4, 3, 0, 3]], 12), (2, 2, 1, [1.5, 1, 7.5, 7.5], [[1.5, 1, 9, 2, 5, 8.5]], 26.375),
+        (3, 3, 1, None, None, 0), (4, 3, 1, [3.9, 3, 5.2 - 3.9, 3], None, (5.2 - 3.9) * 3), (5, 4, 1, [1, 1, 1, 1], None, 1),
+    ]
+    assert sorted((r.id, r.x1, r.y1, r.x2, r.y2) for r in W.from_coco(W.to_coco(lb, ["seal"])).collect()) == [(1, 0, 0, 4, 3), (2, 1, 1, 9, 8)]
+    boxes = sorted((r.image_path, r.xmin, r.ymin, r.xmax, r.ymax, r.label) for r in W.to_boxes(lb).collect())
+    assert boxes == [("a", 1, 1, 2, 2, "bird"), ("b", 0, 0, 4, 3, "seal"), ("b", 1, 1, 9, 8, "seal"), ("c", 3, 3, 5, 6, "seal")]
+
+
+def test_documents_are_bounded(spark, tmp_path):
+    pts = spark.createDataFrame([(i, float(i), 1.0, "hot") for i in range(200)], "id int, x double, y double, s string").repartition(3)
+    W.write_feature_collections(pts, str(tmp_path / "fc"), ["id"], "s", per_document=20)
+    assert 5 <= len(list((tmp_path / "fc" / "s=hot").glob("part-*.json"))) <= 10
+    assert sorted(r.id for r in R.geojson(spark, str(tmp_path / "fc" / "*"), "id int").collect()) == list(range(200))
