@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,8 +14,8 @@ from aerotally.operators.graph import connected_components
 from aerotally.operators.spatial import range_join
 from aerotally.plans.storage import materialise
 
-#: Points of a component above which the assignment refuses to go on.
-MAX_COMPONENT = 2000
+#: Points of a component up to which its assignment uses a dense cost matrix.
+DENSE_POINTS = 2000
 
 
 def candidates(gt: DataFrame, pred: DataFrame, r: float, keys: Sequence[str] = ("image",), *, truncate: bool = False) -> DataFrame:
@@ -66,34 +68,99 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(row_of[j] - 1, j - 1) for j in range(1, m + 1) if row_of[j]]
 
 
-def match_optimal(gt: DataFrame, pred: DataFrame, r: float, keys: Sequence[str] = ("image",), *, max_component: int = MAX_COMPONENT) -> DataFrame:
+def assign_sparse(rows: np.ndarray, columns: np.ndarray, cost: np.ndarray, far: float) -> list[int]:
+    """Positions of the pairs of a least-cost assignment, where a row left out costs ``far``; memory follows the pairs.
+
+    Shortest augmenting paths with potentials, from one row after another; a
+    path ends at a free column or at a row that is then left out.
+    """
+    n, m = int(rows.max()) + 1, int(columns.max()) + 1
+    near: list[list[tuple[int, float, int]]] = [[] for _ in range(n)]
+    for at, (i, j, c) in enumerate(zip(rows.tolist(), columns.tolist(), cost.tolist())):
+        near[i].append((j, c, at))
+    u, v = [0.0] * n, [0.0] * m
+    row_of, pair_of = [-1] * m, [-1] * n
+    for start in range(n):
+        reach, before = {}, {}  # of columns: distance, and (row, pair) that it is reached from
+        seen: dict[int, float] = {}  # settled columns
+        heap: list[tuple[float, int]] = []
+        row_at = {start: 0.0}
+        end, best = None, far - u[start]  # leaving the start row out
+        out_row = start
+        i, base = start, 0.0
+        while True:
+            for j, c, at in near[i]:
+                d = base + c - u[i] - v[j]
+                if j not in seen and d < reach.get(j, math.inf):
+                    reach[j], before[j] = d, (i, at)
+                    heapq.heappush(heap, (d, j))
+            while heap and (heap[0][1] in seen or heap[0][0] > reach[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= best:
+                break  # the cheapest is to leave out_row out
+            d, j = heapq.heappop(heap)
+            seen[j] = d
+            if row_of[j] < 0:
+                end, best = j, d
+                break
+            i, base = row_of[j], d
+            row_at[i] = d
+            if d + far - u[i] < best:
+                best, out_row = d + far - u[i], i
+        for r, d in row_at.items():
+            u[r] += best - d if d < best else 0.0
+        for j, d in seen.items():
+            if d < best:
+                v[j] -= best - d
+        j = end
+        if j is None:  # out_row gives its column up
+            if out_row == start:
+                continue
+            j = next(c for c in seen if row_of[c] == out_row)
+            pair_of[out_row] = -1
+        while True:
+            i, at = before[j]
+            row_of[j] = i
+            last = pair_of[i]
+            pair_of[i] = at
+            if i == start:
+                break
+            j = int(columns[last])
+    return [at for at in pair_of if at >= 0]
+
+
+def match_optimal(gt: DataFrame, pred: DataFrame, r: float, keys: Sequence[str] = ("image",), *, dense_points: int = DENSE_POINTS) -> DataFrame:
     """MT4, MT5: most pairs within r, then the least total distance.
 
-    The optimum falls apart into the connected components of the pair graph.
-    Components of one pair are done; the others are assigned one by one with a
-    dense cost matrix, at most ``max_component`` points each (beyond, it raises).
+    Pairs whose two points have no other candidate are done. For the rest the
+    optimum falls apart into the connected components of the pair graph, which
+    are assigned one by one, with a dense cost matrix up to ``dense_points``
+    points and on lists of pairs beyond.
     """
     pairs = materialise(candidates(gt, pred, r, keys), "match-pairs")
+    columns = pairs.columns
+    degree = lambda c, name: pairs.groupBy(*keys, c).agg(F.count("*").alias(name))
+    known = pairs.join(degree("gt_id", "_of_gt"), [*keys, "gt_id"]).join(degree("pred_id", "_of_pred"), [*keys, "pred_id"])
+    known = materialise(known, "match-degrees")
+    single = known.where("_of_gt = 1 and _of_pred = 1").select(columns)
+    rest = known.where("_of_gt > 1 or _of_pred > 1").select(columns)
     gid, pid = F.xxhash64(F.lit("g"), *keys, "gt_id"), F.xxhash64(F.lit("p"), *keys, "pred_id")
-    comps = connected_components(pairs.select(gid.alias("src"), pid.alias("dst")))
-    known = pairs.withColumn("node", gid).join(comps, "node").drop("node")
-    sized = known.withColumn("_pairs", F.count("*").over(Window.partitionBy("component")))
-    single = sized.where("_pairs = 1").select(*keys, "gt_id", "pred_id", "d2")
+    comps = connected_components(rest.select(gid.alias("src"), pid.alias("dst")))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in single.schema)
-    columns = single.columns
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         a, ai = np.unique(pdf["gt_id"], return_inverse=True)
         b, bi = np.unique(pdf["pred_id"], return_inverse=True)
-        if len(a) + len(b) > max_component:
-            raise ValueError(f"a component of {len(a) + len(b)} points; the limit is {max_component}")
-        far = 1e10
+        distance = np.sqrt(pdf["d2"].to_numpy(float))
+        far = 1.0 + 2 * distance.sum()  # one pair more is always better
+        if len(a) + len(b) > dense_points:
+            return pdf.iloc[assign_sparse(ai, bi, distance, far)][columns]
         cost = np.full((len(a), max(len(a), len(b))), far)
-        cost[ai, bi] = np.sqrt(pdf["d2"])
+        cost[ai, bi] = distance
         chosen = {(i, j) for i, j in assign(cost) if cost[i, j] < far}
         return pdf[[(i, j) in chosen for i, j in zip(ai, bi)]][columns]
 
-    return single.unionByName(sized.where("_pairs > 1").groupBy("component").applyInPandas(solve, schema))
+    return single.unionByName(rest.withColumn("node", gid).join(comps, "node").drop("node").groupBy("component").applyInPandas(solve, schema))
 
 
 def labelled(gt: DataFrame, pred: DataFrame, matches: DataFrame, keys: Sequence[str] = ("image",)) -> DataFrame:
@@ -133,9 +200,12 @@ def evaluation(gt: DataFrame, pred: DataFrame, matches: DataFrame, by: Sequence[
 def pr_curve(gt: DataFrame, pred: DataFrame, r: float, thresholds: Sequence[float], keys: Sequence[str] = ("image",), by: Sequence[str] = ()) -> DataFrame:
     """EV2 (EV4 with ``by``): matching again at every threshold, in one job.
 
-    Candidate pairs are made once; each is repeated for the thresholds its score
-    passes (a literal array), and the windows run keyed by threshold. Recall 0
-    gives precision 1 and F1 0. Images are those of the ground truth.
+    Candidate pairs are made once. A ground truth's nearest prediction at a
+    threshold is the first of its pairs, by distance, whose score reaches it: so
+    a pair counts for thresholds above the best score of the nearer ones up to
+    its own. A prediction is a true positive at the thresholds of any of its
+    pairs, which all end at its score. Recall 0 gives precision 1 and F1 0.
+    Images are those of the ground truth.
     """
     levels = F.array(*[F.lit(float(t)) for t in thresholds])
     known = pred.join(gt.select(*keys).distinct(), list(keys), "left_semi")
@@ -144,7 +214,11 @@ def pr_curve(gt: DataFrame, pred: DataFrame, r: float, thresholds: Sequence[floa
     if by:
         same = gt.select(*keys, F.col("id").alias("gt_id"), *[F.col(c).alias(f"_gt_{c}") for c in by])
         scored = scored.join(same, [*keys, "gt_id"]).where(" and ".join(f"{c} <=> _gt_{c}" for c in by))
-    hits = greedy(scored.withColumn("threshold", passing), ["threshold", *by, *keys]).groupBy("threshold", *by).agg(F.count("*").alias("tp"))
+    nearer = Window.partitionBy(*keys, "gt_id").orderBy("d2", "pred_id").rowsBetween(Window.unboundedPreceding, -1)
+    claims = scored.where("score is not null").withColumn("_above", F.coalesce(F.max("score").over(nearer), F.lit(float("-inf")))).where("score > _above")
+    won = claims.groupBy(*keys, "pred_id", *by).agg(F.first("score").alias("score"), F.min("_above").alias("_above"))
+    reached = F.explode(F.filter(levels, lambda t: (t <= F.col("score")) & (t > F.col("_above"))))
+    hits = won.withColumn("threshold", reached).groupBy("threshold", *by).agg(F.count("*").alias("tp"))
     found = known.withColumn("threshold", passing).groupBy("threshold", *by).agg(F.count("*").alias("num_pred"))
     wanted = gt.groupBy(*by).agg(F.count("*").alias("num_gt")).withColumn("threshold", F.explode(levels))
     out = wanted.join(hits, ["threshold", *by], "left").join(found, ["threshold", *by], "left").fillna(0, ["tp", "num_pred"])

@@ -23,16 +23,17 @@ def prefixed(df: DataFrame, prefix: str, columns: Sequence[str] | None = None) -
 def range_join(left: DataFrame, right: DataFrame, r: float, keys: Sequence[str] = (), *, lx: str = "l_x", ly: str = "l_y", rx: str = "r_x", ry: str = "r_y") -> DataFrame:
     """Pairs within distance ``r`` with equal ``keys``, with their squared distance ``d2``.
 
-    Space is cut into cells of side r; the right side is put into the nine cells
-    around its own, the left side into one, so each pair meets exactly once in
-    an equi-join. Rows without a point take no part. Keys have the same names on
-    both sides, all other columns different ones.
+    Space is cut into cells of side 2r; the left side is put into one, the right
+    side into the cells that a square of side 2r around it touches (four at
+    most), so each pair meets exactly once in an equi-join. Rows without a point
+    take no part. Keys have the same names on both sides, all other columns
+    different ones.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(r))).cast("long")
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = left.where(F.col(lx).isNotNull() & F.col(ly).isNotNull()).withColumn("_cx", cell(lx)).withColumn("_cy", cell(ly))
-    b = right.where(F.col(rx).isNotNull() & F.col(ry).isNotNull()).withColumn("_ox", F.explode(near)).withColumn("_oy", F.explode(near))
-    b = b.withColumn("_cx", cell(rx) + F.col("_ox")).withColumn("_cy", cell(ry) + F.col("_oy")).drop("_ox", "_oy")
+    reach = float(r) * (1 + 1e-6)  # sums are rounded
+    cell = lambda c: F.floor(c / F.lit(2 * reach)).cast("long")
+    span = lambda c: F.explode(F.sequence(cell(F.col(c) - reach), cell(F.col(c) + reach)))
+    a = left.where(F.col(lx).isNotNull() & F.col(ly).isNotNull()).withColumn("_cx", cell(F.col(lx))).withColumn("_cy", cell(F.col(ly)))
+    b = right.where(F.col(rx).isNotNull() & F.col(ry).isNotNull()).withColumn("_cx", span(rx)).withColumn("_cy", span(ry))
     joined = a.join(b, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("d2", d2(lx, ly, rx, ry))
     return joined.where(F.col("d2") <= r * r)
 

@@ -13,7 +13,8 @@ _ROLES = "gt AS (SELECT * FROM marks WHERE role = 'gt'), pred AS (SELECT * FROM
 
 
 def sides(v: Views):
-    m = v.marks
+    """Ground truth and predictions; the view numbers its rows, so it is written once for both."""
+    m = v.once("marks")
     return m.where("role = 'gt'").drop("role"), m.where("role = 'pred'").drop("role")
 
 

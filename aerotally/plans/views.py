@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerotally.plans.storage import table
+from aerotally.plans.storage import materialise, table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -57,6 +57,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.written: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
@@ -66,6 +67,12 @@ class Views:
         text = _dialect(VIEWS[name], True)
         return self.spark.sql(text, **{t: table(self.spark, self.folder, t) for t in set(re.findall(r"\{(\w+)\}", text))})
 
+    def once(self, name: str) -> DataFrame:
+        """A view that is written at its first use in a query and read from there."""
+        if name not in self.written:
+            self.written[name] = materialise(getattr(self, name), f"view-{name}")
+        return self.written[name]
+
 
 def binding(query: Callable[[Views], DataFrame], sql: str | None = None) -> tuple[Callable[[SparkSession, str], DataFrame], str | None]:
     """A query over the views and its SQL twin, which gets the views it names as common table expressions."""

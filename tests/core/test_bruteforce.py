@@ -55,8 +55,7 @@ def test_random_matching_against_brute_force(spark):
         own = [x for x in opt if x.image == f"i{k}"]
         assert len({x.gt_id for x in own}) == len(own) == len({x.pred_id for x in own}) == -want_o[k][0]
         assert abs(sum(math.sqrt(x.d2) for x in own) - want_o[k][1]) < 1e-6
-    with pytest.raises(Exception, match="limit"):
-        M.match_optimal(a, b, 50.0, max_component=3).collect()
+
 
 
 def test_components_sweep_and_dbscan(spark):
@@ -148,3 +147,55 @@ def test_null_points_take_no_part(spark):
     gt = frame(spark, [("a", 1, None, 1.0), ("a", 2, 1.0, 1.0)])
     assert [(r.gt_id, r.pred_id) for r in M.match_greedy(gt, frame(spark, [("a", 9, 1.0, 1.0)]), 2.0).collect()] == [(2, 9)]
     assert M.match_optimal(gt.limit(0), gt, 2.0).count() == 0
+
+
+def test_sparse_assignment_equals_the_dense_one():
+    import numpy as np
+    from aerotally.operators.matching import assign, assign_sparse
+
+    r = np.random.default_rng(1)
+    for turn in range(150):
+        n, m = r.integers(1, 9, 2)
+        rows, columns = np.nonzero(r.random((n, m)) < r.choice([0.2, 0.5, 0.9]))
+        if not len(rows):
+            continue
+        distance = r.integers(1, 20, len(rows)).astype(float) if turn % 2 else r.random(len(rows))
+        far = 1 + 2 * distance.sum()
+        rows, columns = np.unique(rows, return_inverse=True)[1], np.unique(columns, return_inverse=True)[1]
+        cost = np.full((rows.max() + 1, rows.max() + columns.max() + 2), far)
+        cost[rows, columns] = distance
+        want = [cost[i, j] for i, j in assign(cost) if cost[i, j] < far]
+        got = assign_sparse(rows, columns, distance, far)
+        assert len(set(rows[got])) == len(set(columns[got])) == len(got) == len(want)
+        assert abs(distance[got].sum() - sum(want)) < 1e-9
+
+
+def test_large_components_are_assigned(spark):
+    import numpy as np
+    from aerotally.operators import matching
+
+    r = np.random.default_rng(2)
+    side = lambda: spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate(r.random((60, 2)) * 20)], "image long, id long, x double, y double")
+    gt, pred = side(), side()
+    dense = matching.match_optimal(gt, pred, 4.0).selectExpr("count(*)", "round(sum(sqrt(d2)), 6)").first()
+    sparse = matching.match_optimal(gt, pred, 4.0, dense_points=3).selectExpr("count(*)", "round(sum(sqrt(d2)), 6)").first()
+    assert tuple(dense) == tuple(sparse) and dense[0] > 40
+
+
+def test_curve_equals_matching_at_every_threshold(spark):
+    import random
+
+    from aerotally.operators import matching
+
+    r = random.Random(4)
+    rows = lambda n, extra: [(r.randrange(3), i, r.uniform(0, 60), r.uniform(0, 60), *extra()) for i in range(n)]
+    gt = spark.createDataFrame(rows(80, lambda: (r.choice("ab"),)), "image long, id long, x double, y double, species string")
+    pred = spark.createDataFrame(rows(120, lambda: (r.choice("ab"), r.choice([0.1, 0.3, 0.5, 0.7, 0.9]))), "image long, id long, x double, y double, species string, score double")
+    levels = [0.0, 0.3, 0.45, 0.9, 0.95]
+    got = {x.threshold: x.tp for x in matching.pr_curve(gt, pred, 10.0, levels).collect()}
+    for t in levels:
+        assert got[t] == matching.match_greedy(gt, pred.where(f"score >= {t}"), 10.0).count()
+    by = {(x.threshold, x.species): x.tp for x in matching.pr_curve(gt, pred, 10.0, levels, by=["species"]).collect()}
+    for t in levels:
+        for s in "ab":
+            assert by[t, s] == matching.match_greedy(gt.where(f"species = '{s}'"), pred.where(f"score >= {t} and species = '{s}'"), 10.0).count()
