@@ -50,37 +50,61 @@ HOT_SHARE = 1000
 _SHINGLES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle_words: int = WORDS_PER_SHINGLE) -> int:
-    """SimHash of UTF-8 bytes: majority bits of the XXH64 of all word shingles, repeats counted."""
+def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """A further 64-bit hash of each hash: turn 0 is the hash itself, the others are its SplitMix64 from another start."""
+    if not turn:
+        return hashes
+    z = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & 2**64 - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint_set(text: bytes | None, shingle_words: int = WORDS_PER_SHINGLE, tables: int = 1) -> np.ndarray:
+    """SimHashes of UTF-8 bytes: majority bits of the hashes of all word shingles, repeats counted; the first is of their XXH64."""
     words = (text or b"").lower().split()  # bytes: lower-cases A-Z and splits at x20, x09-x0D only
     if not words:
-        return 0
+        return np.zeros(tables, np.uint64)
     whole = b" ".join(words)
-    if len(words) <= shingle_words:
-        return xxhash.xxh64_intdigest(whole, SEED)  # one shingle: its own majority
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= shingle_words:  # one shingle: its own majority
+        one = np.array([digest(whole, SEED)], np.uint64)
+        return np.concatenate([_mixed(one, t) for t in range(tables)])
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-shingle_words].tolist()]
     stops = (ends[shingle_words - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((tables, 64), np.int64)
     for at in range(0, len(starts), _SHINGLES_AT_ONCE):
         part = zip(starts[at : at + _SHINGLES_AT_ONCE], stops[at : at + _SHINGLES_AT_ONCE])
         hashes = np.array([digest(whole[a:b], SEED) for a, b in part], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(starts), bitorder="little")
-    return int(bits.view(np.uint64)[0])
+        for t in range(tables):
+            ones[t] += np.unpackbits(_mixed(hashes, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(starts), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def fingerprint(text: bytes | None, shingle_words: int = WORDS_PER_SHINGLE) -> int:
+    """The SimHash of UTF-8 bytes."""
+    return int(fingerprint_set(text, shingle_words)[0])
+
+
+def set_key(fps: np.ndarray) -> int:
+    """A signed long that names a set of fingerprints: a single one is its own name."""
+    if len(fps) == 1:
+        return int(fps.astype(np.int64)[0])
+    return int(np.uint64(xxhash.xxh3_64_intdigest(fps.tobytes(), SEED)).astype(np.int64))
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle_words: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` for every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle_words: int = WORDS_PER_SHINGLE, tables: int = 1) -> DataFrame:
+    """``(doc_id, fp, fps)`` for every row; fps are the fingerprints as signed longs, fp names them all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = [fingerprint_set(t.as_py(), shingle_words, tables) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([set_key(f) for f in found], pa.int64()), pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "fps"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, fps array<long>")
 
 
 def _masks(bits: int, flips: int) -> np.ndarray:
@@ -201,12 +225,27 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle_words: int = WORDS_PER_SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, fp, group_fp, component_id)`` per row; component_id is the smallest doc_id reachable over links, group_fp names the component by a fingerprint."""
-    rows = materialise(fingerprints(docs, doc_id=doc_id, text=text, shingle_words=shingle_words), "simhash-fp")
-    by_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")), "simhash-distinct")
-    edges = fingerprint_links(by_fp.select("fp"), by_fp.count(), radius)
-    return answered(rows, by_fp, connected_components(edges))
+def near_duplicate_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle_words: int = WORDS_PER_SHINGLE, radius: int = RADIUS, tables: int = 1) -> DataFrame:
+    """``(doc_id, fp, group_fp, component_id)`` per row; component_id is the smallest doc_id reachable over links, group_fp names the component by a fingerprint.
+
+    With several ``tables``, a document has so many independent fingerprints, and
+    two documents are linked if they are within ``radius`` in any of them.
+    """
+    rows = materialise(fingerprints(docs, doc_id=doc_id, text=text, shingle_words=shingle_words, tables=tables), "simhash-fp")
+    by_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.first("fps").alias("fps")), "simhash-distinct")
+    edges = None
+    for t in range(tables):
+        nodes = by_fp.select(F.col("fps")[t].alias("own"), F.col("fp").alias("node"))
+        if tables == 1:
+            some = fingerprint_links(nodes.select(F.col("own").alias("fp")), by_fp.count(), radius)
+        else:
+            of = materialise(nodes.groupBy("own").agg(F.min("node").alias("first"), F.count("*").alias("n")), "simhash-table")
+            links = fingerprint_links(of.select(F.col("own").alias("fp")), of.count(), radius)
+            named = links.join(of.select(F.col("own").alias("src"), F.col("first").alias("a")), "src").join(of.select(F.col("own").alias("dst"), F.col("first").alias("b")), "dst").select("a", "b")
+            same = nodes.join(of.where("n > 1"), "own").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+            some = materialise(named.unionByName(same).toDF("src", "dst"), "simhash-links")
+        edges = some if edges is None else edges.unionByName(some)
+    return answered(rows.select("doc_id", "fp"), by_fp.drop("fps"), connected_components(edges))
 
 
 def answered(rows: DataFrame, by_fp: DataFrame, roots: DataFrame) -> DataFrame:
@@ -234,9 +273,9 @@ def keep_one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     Rows that repeat a doc_id are reduced to one of them; rows with a null
     doc_id stay only where their component has no doc_id at all, one of each.
     """
-    shingle_words = parameters.get("shingle_words", WORDS_PER_SHINGLE)
+    shingle_words, tables = parameters.get("shingle_words", WORDS_PER_SHINGLE), parameters.get("tables", 1)
     found = near_duplicate_components(docs, doc_id=doc_id, text=text, **parameters)
-    return keep_named(docs, found, lambda t: int(np.uint64(fingerprint(t, shingle_words)).astype(np.int64)), doc_id=doc_id, text=text)
+    return keep_named(docs, found, lambda t: set_key(fingerprint_set(t, shingle_words, tables)), doc_id=doc_id, text=text)
 
 
 def keep_named(docs: DataFrame, found: DataFrame, mark: Callable[[bytes | None], int], *, doc_id: str, text: str) -> DataFrame:

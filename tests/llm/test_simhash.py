@@ -74,6 +74,45 @@ def test_hot_fingerprints_get_the_same_answers(spark, monkeypatch):
     assert sorted(((x.doc_id, x.fp % 2**64, x.component_id) for x in got), key=str) == brute(docs)
 
 
+def slow_mixed(h, t):
+    if not t:
+        return h
+    z = (h + t * 0x9E3779B97F4A7C15) % 2**64
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+    return z ^ z >> 31
+
+
+def slow_set(text, n, tables):
+    words = (text or "").lower().split()
+    shingles = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return tuple(sum(1 << b for b in range(64) if 2 * sum(slow_mixed(h, t) >> b & 1 for h in hashes) > len(hashes)) for t in range(tables))
+
+
+def test_several_fingerprints_link_in_any(spark):
+    docs = corpus(8, 40)
+    sets = [slow_set(t, 5, 3) for _, t in docs]
+    assert [tuple(int(x) for x in simhash.fingerprint_set(t.encode(), 5, 3)) for _, t in docs] == sets
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if any(bin(a ^ b).count("1") <= 4 for a, b in zip(sets[i], sets[j])):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(docs):
+        low[find(i)] = min(low.get(find(i), d), d)
+    got = simhash.near_duplicate_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), shingle_words=5, tables=3).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: low[find(i)] for i, (d, _) in enumerate(docs)}
+    assert len(set(low.values())) < len(docs)
+
+
 @pytest.mark.parametrize("most", [4_000_000, 30])
 def test_links_match_brute_force_on_dense_fingerprints(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "MOST_PER_BUCKET", most)
