@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aerotally.functions.draws import drawn
+
 
 def by_dataset(images: DataFrame, names: Sequence[str] | None) -> DataFrame:
     """FIL1: images of the named datasets; None passes all."""
@@ -69,17 +71,12 @@ def by_attributes(labels: DataFrame, allowed: dict[str, Sequence[str]], *, keep_
     return labels
 
 
-def seeded(seed: int, *columns: str) -> Column:
-    """A deterministic random order."""
-    return F.xxhash64(F.lit(seed), *columns)
-
-
 def sample_images(images: DataFrame, n: int | float, mode: str, *, seed: int = 1, count: str = "n_labels") -> DataFrame:
     """FIL10-FIL12: n images: ``first``, ``random``, ``percentage`` (a share of them), ``ordered_asc`` or ``ordered_desc`` by label count."""
     if mode == "percentage":
         n = int(images.count() * n)
         mode = "random"
-    order = {"first": [F.col("image")], "random": [seeded(seed, "image"), F.col("image")], "ordered_asc": [F.col(count), F.col("image")], "ordered_desc": [F.desc(count), F.col("image")]}[mode]
+    order = {"first": [F.col("image")], "random": [drawn(seed, "image"), F.col("image")], "ordered_asc": [F.col(count), F.col("image")], "ordered_desc": [F.desc(count), F.col("image")]}[mode]
     return images.orderBy(*order).limit(int(n))
 
 

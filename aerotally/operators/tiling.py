@@ -8,16 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aerotally.functions.draws import drawn
 from aerotally.operators.ranking import numbers_within
 from aerotally.operators.spatial import range_join
 from aerotally.plans.storage import materialise
 
 
-def seeded(seed: int, *columns: str) -> Column:
-    """A deterministic random number in [0, 1)."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / float(1 << 40)
-
-
 def world_grid(rasters: DataFrame, size: float, *, overlap: float = 0.0, clip: bool = False) -> DataFrame:
     """TL1, TL2 (``clip``): tiles of ``size`` over each raster's bounds (x1, y1, x2, y2), named by their truncated corner."""
     step = size * (1 - overlap)
@@ -68,7 +64,7 @@ def empty_tiles(tiles: DataFrame, points: DataFrame, buffer: float, keys: Sequen
     free = tiles.join(hit, [*keys, id], "left_anti")
     if most is None:
         return free
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), id), id)
+    order = Window.partitionBy(*keys).orderBy(drawn(seed, id), id)
     return free.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
@@ -140,13 +136,13 @@ def stratified_split(items: DataFrame, cls: str, id: str, ratio: float, *, cap:
     limit = F.lit(1 << 60) if cap is None else F.lit(cap)
     if total is not None:
         limit = F.least(limit, F.lit(total // max(1, items.select(cls).distinct().count())))
-    ranked = numbers_within(items, [cls], [F.xxhash64(F.lit(seed), id), F.col(id)], "_r", "_n").withColumn("_n", F.least("_n", limit))
+    ranked = numbers_within(items, [cls], [drawn(seed, id), F.col(id)], "_r", "_n").withColumn("_n", F.least("_n", limit))
     return ranked.where(F.col("_r") < F.col("_n")).withColumn("part", F.when(F.col("_r") < F.floor(F.col("_n") * ratio), "train").otherwise("val")).drop("_r", "_n")
 
 
 def three_way_split(items: DataFrame, stratum: str, id: str, train: float, val: float, *, seed: int = 9) -> DataFrame:
     """SPL2: train, val and test of each stratum in seeded order."""
-    ranked = numbers_within(items, [stratum], [F.xxhash64(F.lit(seed), id), F.col(id)], "_r", "_n")
+    ranked = numbers_within(items, [stratum], [drawn(seed, id), F.col(id)], "_r", "_n")
     first, second = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
     part = F.when(F.col("_r") < first, "train").when(F.col("_r") < first + second, "val").otherwise("test")
     return ranked.withColumn("part", part).drop("_r", "_n")
@@ -166,7 +162,7 @@ def hold_out(items: DataFrame, n: int, id: str, *, seed: int = 9) -> DataFrame:
     """SPL4: n items in seeded order; fewer than n raise."""
     if items.limit(n).count() < n:
         raise ValueError(f"fewer than {n} items")
-    return items.orderBy(F.xxhash64(F.lit(seed), id), id).limit(n)
+    return items.orderBy(drawn(seed, id), id).limit(n)
 
 
 def background_points(images: DataFrame, positives: DataFrame, n: int, margin: float, distance: float, *, attempts: int = 20, seed: int = 5, strict: bool = False) -> DataFrame:
@@ -176,7 +172,7 @@ def background_points(images: DataFrame, positives: DataFrame, n: int, margin: f
     none; ``strict`` raises where that is so.
     """
     tries = images.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(n * attempts - 1))))
-    at = lambda c, s: F.lit(margin) + seeded(seed + s, "image", "try") * (F.col(c) - 2 * margin)
+    at = lambda c, s: F.lit(margin) + drawn(seed + s, "image", "try") * (F.col(c) - 2 * margin)
     tries = tries.withColumn("x", at("image_width", 0)).withColumn("y", at("image_height", 1))
     a = tries.select("image", "try", F.col("x").alias("l_x"), F.col("y").alias("l_y"))
     near = range_join(a, positives.select("image", F.col("x").alias("r_x"), F.col("y").alias("r_y")), distance, ["image"]).select("image", "try").distinct()
@@ -193,5 +189,5 @@ def background_points(images: DataFrame, positives: DataFrame, n: int, margin: f
 
 def add_background(background: DataFrame, share: float, valid: float, id: str, *, seed: int = 4) -> DataFrame:
     """NEG4: a share of the background images, each for train or valid, by hash."""
-    u = seeded(seed, id)
-    return background.where(u < share).withColumn("part", F.when(seeded(seed + 1, id) < valid, "valid").otherwise("train"))
+    u = drawn(seed, id)
+    return background.where(u < share).withColumn("part", F.when(drawn(seed + 1, id) < valid, "valid").otherwise("train"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from aerotally.functions.draws import drawn_sql
 from aerotally.operators import agreement as G, annotations as A
 from aerotally.plans.views import Views, binding
 
@@ -265,7 +266,10 @@ BINDINGS = {
     "FIL10_first": binding(lambda v: fil10(v, "first", 100), f"WITH {_IMAGES} SELECT image, n_labels FROM images ORDER BY image LIMIT 100"),
     "FIL10_asc": binding(lambda v: fil10(v, "ordered_asc", 100), f"WITH {_IMAGES} SELECT image, n_labels FROM images ORDER BY n_labels, image LIMIT 100"),
     "FIL10_desc": binding(lambda v: fil10(v, "ordered_desc", 100), f"WITH {_IMAGES} SELECT image, n_labels FROM images ORDER BY n_labels DESC, image LIMIT 100"),
-    "FIL10_random": binding(lambda v: fil10(v, "percentage", 0.1)),
+    "FIL10_random": binding(
+        lambda v: fil10(v, "percentage", 0.1),
+        f"WITH {_IMAGES}, k AS (SELECT image, n_labels, row_number() OVER (ORDER BY {drawn_sql(1, 'image')}, image) AS k, count(*) OVER () AS n FROM images) SELECT image, n_labels FROM k WHERE k <= floor(n * CAST(0.1 AS DOUBLE))",
+    ),
     "FIL11": binding(fil11, f"WITH {_IMAGES}, c AS (SELECT image FROM images ORDER BY n_labels DESC, image LIMIT 200) SELECT image, label FROM annotations WHERE image IN (SELECT image FROM c)"),
     "FIL12": binding(fil12, f"WITH {_IMAGES}, c AS (SELECT image, dataset FROM images WHERE n_labels >= 5 ORDER BY image LIMIT 400) SELECT image, dataset FROM c WHERE dataset IN ('1-URGENT','5-LOW')"),
     "FIL13": binding(fil13, f"WITH {_IMAGES}, w AS (SELECT *, coalesce(sum(n_labels) OVER (PARTITION BY dataset ORDER BY image ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS b FROM images), s AS (SELECT *, max(CASE WHEN b >= n_labels+300 THEN 1 ELSE 0 END) OVER (PARTITION BY dataset ORDER BY image ROWS UNBOUNDED PRECEDING) AS stopped FROM w) SELECT image, dataset FROM s WHERE stopped = 0"),

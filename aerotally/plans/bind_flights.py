@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from aerotally.operators import flights as L
@@ -214,6 +216,22 @@ _GSDW, _GSDH = "13.2*height*100/(10.26*5472)", "8.8*height*100/(10.26*3648)"
 _DBL = lambda s: s.replace("13.2", "CAST(13.2 AS DOUBLE)").replace("8.8", "CAST(8.8 AS DOUBLE)").replace("10.26", "CAST(10.26 AS DOUBLE)")
 _DIR = "CASE CAST(floor((yaw + 22.5 + 360) % 360 / 45) AS INTEGER) WHEN 0 THEN 'N' WHEN 1 THEN 'NE' WHEN 2 THEN 'E' WHEN 3 THEN 'SE' WHEN 4 THEN 'S' WHEN 5 THEN 'SW' WHEN 6 THEN 'W' WHEN 7 THEN 'NW' END"
 
+def _utm_sql() -> str:
+    """FN10 in SQL: the same series, term by term, for zone 15 and southern latitudes."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    num = lambda x: f"CAST({x!r} AS DOUBLE)"
+    east = "eta" + "".join(f" + {num(c)}*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, c in enumerate(alpha, 1))
+    north = "xi" + "".join(f" + {num(c)}*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, c in enumerate(alpha, 1))
+    return f"""WITH p AS (SELECT shot, radians(-CAST(0.5 AS DOUBLE) - y/2000) AS phi, radians(-CAST(91 AS DOUBLE) + x/200 + 93) AS lam, -CAST(0.5 AS DOUBLE) - y/2000 AS lat FROM shots),
+      t AS (SELECT *, sinh(atanh(sin(phi)) - {num(e)}*atanh({num(e)}*sin(phi))) AS t FROM p),
+      q AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam)/sqrt(1+t*t)) AS eta FROM t)
+      SELECT shot, round(500000 + {num(0.9996 * big_a)}*({east}), 3) AS easting, round({num(0.9996 * big_a)}*({north}) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS northing FROM q"""
+
+
 BINDINGS = {
     "WN1": binding(wn1, _WN1),
     "WN2": binding(wn2, "WITH c AS (SELECT flight, (avg(cx)+0.5)*15 AS mx, (avg(cy)+0.5)*15 AS my FROM (SELECT DISTINCT flight, floor(x/15) AS cx, floor(y/15) AS cy FROM shots) d GROUP BY 1) SELECT shot, s.flight FROM shots s JOIN c ON s.flight=c.flight WHERE sqrt((x-mx)*(x-mx)+(y-my)*(y-my)) <= 400"),
@@ -254,7 +272,7 @@ BINDINGS = {
     "FN6": binding(fn6, "WITH p AS (SELECT shot, x, yaw+180-yaw*0.5 AS d FROM shots), q AS (SELECT *, CASE WHEN abs(d) <= 180 THEN abs(d) ELSE abs(((d+180)%360+360)%360-180) END AS a FROM p), r AS (SELECT shot, x, CASE WHEN a<30 OR a>150 THEN 'forward' WHEN abs(a-90)<30 THEN 'sideways' ELSE 'diagonal' END AS mode FROM q), s AS (SELECT *, CAST(CASE WHEN mode='sideways' THEN 100 ELSE 60 END AS DOUBLE) AS dimension FROM r) SELECT shot, mode, dimension, round((dimension-x)/dimension*100,6) AS pct FROM s"),
     "FN7": binding(fn7, f"WITH p AS (SELECT shot, x, CAST(CASE WHEN {_DIR} IN ('E','W') THEN 100 ELSE 60 END AS DOUBLE) AS d FROM shots) SELECT shot, round(greatest(0,(d-x)/d*100),6) AS pct FROM p"),
     "FN8": binding(fn8, "SELECT shot, pitch >= -70 AS oblique FROM shots"),
-    "FN10": binding(fn10),
+    "FN10": binding(fn10, _utm_sql()),
     "FN30": binding(fn30, "WITH s AS (SELECT flight, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM shots GROUP BY 1) SELECT flight, round(a-(b-a)*0.1,6) AS x1, round(c-(d-c)*0.1,6) AS y1, round(b+(b-a)*0.1,6) AS x2, round(d+(d-c)*0.1,6) AS y2 FROM s"),
     "FN31": binding(fn31, "SELECT CASE WHEN height <= 40 THEN 'low' WHEN height <= 60 THEN 'middle' WHEN height <= 80 THEN 'high' ELSE 'top' END AS band, count(*) AS n FROM shots GROUP BY 1"),
     "FN32": binding(fn32, "SELECT island, round_even(avg(height),1) AS height, string_agg(DISTINCT expedition, ', ' ORDER BY expedition) AS expeditions FROM shots GROUP BY 1"),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from aerotally.functions.draws import drawn_sql
 from aerotally.operators import clustering as C, flights as L, graph, matching as M, spatial as S, tiling as T
-from aerotally.plans.bind_matching import R, _M, _ROLES, _greedy, matches, sides
+from aerotally.plans.bind_matching import _M, _RATES, _ROLES, R, _greedy, matches, sides
 from aerotally.plans.views import binding
 
 _R = lambda c, n=6: F.round(c, n)
@@ -339,6 +340,21 @@ def ev7(v):
     return M.evaluation(ref, experts, m, ["expert"])
 
 
+_Z = [f"CASE WHEN stddev_pop({c}) OVER w > 0 THEN ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w ELSE {c} - avg({c}) OVER w END" for c in ("x", "y")]
+
+
+def _dbscan(x: str, y: str, eps: float, min_points: int) -> str:
+    """``found`` (image, id, cluster) by labels that spread over links of core points; cluster is null for noise."""
+    return f"""WITH RECURSIVE d AS (SELECT image, image*100000+id AS id, {x} AS x, {y} AS y FROM marks WHERE role='gt' WINDOW w AS (PARTITION BY image)),
+      near AS (SELECT a.image, a.id AS a, b.id AS b FROM d a JOIN d b ON a.image=b.image AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= CAST({eps} AS DOUBLE)*CAST({eps} AS DOUBLE)),
+      core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {min_points}),
+      e AS (SELECT a, b FROM near SEMI JOIN core ON near.a=core.id WHERE b IN (SELECT id FROM core)),
+      r(id, cluster) USING KEY (id) AS (SELECT id, id FROM core UNION
+        SELECT e.b, min(r.cluster) FROM r JOIN e ON r.id=e.a JOIN recurring.r AS o ON o.id=e.b WHERE r.cluster < o.cluster GROUP BY 1),
+      near_core AS (SELECT near.a AS id, min(r.cluster) AS cluster FROM near JOIN r ON near.b=r.id GROUP BY 1),
+      found AS (SELECT d.image, d.id, coalesce(r.cluster, near_core.cluster) AS cluster FROM d LEFT JOIN r ON d.id=r.id LEFT JOIN near_core ON d.id=near_core.id)"""
+
+
 _UNION = "a AS (SELECT g.image, g.id, CASE WHEN m.pred_id IS NULL THEN 'fn' END AS kind, x, y FROM gt g LEFT JOIN m ON g.image=m.image AND g.id=m.gt_id UNION ALL SELECT p.image, p.id, CASE WHEN m.gt_id IS NULL THEN 'fp' ELSE 'tp' END, x, y FROM pred p LEFT JOIN m ON p.image=m.image AND p.id=m.pred_id)"
 _CUT = "floor(x1/256)<>floor(x2/256) OR floor(y1/256)<>floor(y2/256)"
 _TL10 = f"own AS (SELECT *, floor(x/256) AS tx, floor(y/256) AS ty, x-floor(x/256)*256 AS lx, y-floor(y/256)*256 AS ly FROM marks WHERE role='gt' AND x-floor(x/256)*256>0 AND y-floor(y/256)*256>0), t10 AS (SELECT * FROM own o WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.image=o.image AND o.x BETWEEN x1 AND x2 AND o.y BETWEEN y1 AND y2 AND ({_CUT})))"
@@ -352,7 +368,14 @@ BINDINGS = {
     "TL5": binding(tl5, "WITH d AS (SELECT DISTINCT image, x, y FROM marks WHERE role='gt') SELECT image, count(*) AS tiles, sum(x-32) AS sum_x1, sum(y+32) AS sum_y2 FROM d GROUP BY 1"),
     "TL6": binding(tl6, """WITH g AS (SELECT image, i*100.0 AS tx1, j*100.0 AS ty1 FROM (SELECT DISTINCT image FROM marks) m, (SELECT unnest(generate_series(0,9)) AS i) a, (SELECT unnest(generate_series(0,9)) AS j) b), p AS (SELECT * FROM marks WHERE role='gt' AND species='R')
       SELECT image, CAST(tx1 AS DOUBLE) AS tx1, CAST(ty1 AS DOUBLE) AS ty1 FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.image=g.image AND pow(greatest(tx1-x,0,x-tx1-100),2)+pow(greatest(ty1-y,0,y-ty1-100),2) <= 64)"""),
-    "TL7": binding(tl7),
+    "TL7": binding(
+        tl7,
+        f"""WITH p AS (SELECT DISTINCT image, x, y FROM marks WHERE role='gt' AND species='R'),
+          g AS (SELECT image, i*100.0 AS tx1, j*100.0 AS ty1, concat_ws('_', image, i*100, j*100) AS tile_name FROM (SELECT DISTINCT image FROM marks) m, (SELECT unnest(generate_series(0,9)) AS i) a, (SELECT unnest(generate_series(0,9)) AS j) b),
+          hit AS (SELECT DISTINCT g.image, tile_name FROM g JOIN p ON g.image=p.image AND pow(greatest(tx1-p.x, 0, p.x-tx1-100), 2) + pow(greatest(ty1-p.y, 0, p.y-ty1-100), 2) <= 64),
+          f AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY {drawn_sql(3, 'tile_name')}, tile_name) AS k FROM g ANTI JOIN hit USING (image, tile_name))
+          SELECT image, x-32 AS tx1, y-32 AS ty1, TRUE AS has_object FROM p UNION ALL SELECT image, tx1, ty1, FALSE FROM f WHERE k <= 20""",
+    ),
     "TL8": binding(tl8, f"WITH {_SIZES} SELECT image, (224-image_width%224)%224 AS pad_w, (224-image_height%224)%224 AS pad_h FROM sizes"),
     "TL9": binding(tl9, """WITH t AS (SELECT image, id, i AS tx, j AS ty, greatest(x1,i*256)-i*256 AS a, greatest(y1,j*256)-j*256 AS b, least(x2,i*256+256)-i*256 AS c, least(y2,j*256+256)-j*256 AS d, (x2-x1)*(y2-y1) AS area FROM boxes, (SELECT unnest(generate_series(0,5)) AS i) s, (SELECT unnest(generate_series(0,5)) AS j) u),
       k AS (SELECT *, (c-a)*(d-b)/area AS kept FROM t WHERE c>a AND d>b), w AS (SELECT *, max(CASE WHEN kept >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY image, tx, ty) AS whole FROM k)
@@ -387,11 +410,24 @@ BINDINGS = {
     "SPL1": binding(spl1, "WITH n AS (SELECT quality, least(count(*),1000) AS n FROM docs GROUP BY 1) SELECT quality, 'train' AS part, CAST(floor(n*0.8) AS BIGINT) AS n FROM n UNION ALL SELECT quality, 'val', n-CAST(floor(n*0.8) AS BIGINT) FROM n"),
     "SPL2": binding(spl2, "WITH n AS (SELECT CASE WHEN toxic=1 THEN 'annotated' ELSE 'empty' END AS stratum, count(*) AS n FROM docs GROUP BY 1), k AS (SELECT *, CAST(floor(n*0.7) AS BIGINT) AS a, CAST(floor(n*0.2) AS BIGINT) AS b FROM n) SELECT stratum, 'train' AS part, a AS n FROM k UNION ALL SELECT stratum, 'val', b FROM k UNION ALL SELECT stratum, 'test', n-a-b FROM k"),
     "SPL3": binding(spl3, "WITH f AS (SELECT doc_id, lang, ntile(4) OVER (PARTITION BY lang ORDER BY doc_id) AS own FROM docs) SELECT lang, CAST(fold AS INTEGER) AS fold, CASE WHEN own=fold THEN 'val' ELSE 'train' END AS role, count(*) AS n, min(doc_id) AS first FROM f, (SELECT unnest(generate_series(1,4)) AS fold) s GROUP BY 1,2,3"),
-    "SPL4": binding(spl4),
-    "SPL5": binding(spl5),
+    "SPL4": binding(spl4, f"SELECT doc_id FROM docs ORDER BY {drawn_sql(9, 'doc_id')}, doc_id LIMIT 50"),
+    "SPL5": binding(
+        spl5,
+        f"""WITH h AS (SELECT doc_id FROM docs ORDER BY {drawn_sql(9, 'doc_id')}, doc_id LIMIT 50),
+          f AS (SELECT lang, ntile(3) OVER (PARTITION BY lang ORDER BY doc_id) AS own FROM docs ANTI JOIN h USING (doc_id))
+          SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN own=fold THEN 'val' ELSE 'train' END AS role, count(*) AS n FROM f, (SELECT unnest(generate_series(1,3)) AS fold) s GROUP BY 1,2""",
+    ),
     "NEG2": binding(neg2, f"{_M}, u AS (SELECT image, species, x, y FROM gt UNION ALL SELECT p.image, 'hard_negative', x, y FROM pred p LEFT JOIN m ON p.image=m.image AND p.id=m.pred_id WHERE m.gt_id IS NULL AND score > 0.95) SELECT concat('tile_',CAST(image AS VARCHAR),'_',CAST(CAST(floor(x/256) AS BIGINT) AS VARCHAR),'_',CAST(CAST(floor(y/256) AS BIGINT) AS VARCHAR)) AS file, species, x-floor(x/256)*256 AS x, y-floor(y/256)*256 AS y FROM u WHERE x-floor(x/256)*256>0 AND y-floor(y/256)*256>0"),
-    "NEG3": binding(neg3),
-    "NEG4": binding(neg4),
+    "NEG3": binding(
+        neg3,
+        f"""WITH im AS (SELECT DISTINCT image FROM marks), tries AS (SELECT image, try FROM im, (SELECT unnest(generate_series(0, 99)) AS try) s),
+          t AS (SELECT image, try, 50 + {drawn_sql(5, 'image', 'try')} * 900 AS x, 50 + {drawn_sql(6, 'image', 'try')} * 900 AS y FROM tries),
+          p AS (SELECT image, x, y FROM marks WHERE role='gt' AND species='A'),
+          near AS (SELECT DISTINCT a.image, a.try FROM t a JOIN p b ON a.image=b.image AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 400),
+          free AS (SELECT image, least(count(*), 5) AS n FROM t ANTI JOIN near USING (image, try) GROUP BY 1)
+          SELECT im.image, coalesce(n, 0) AS n FROM im LEFT JOIN free USING (image)""",
+    ),
+    "NEG4": binding(neg4, f"SELECT doc_id, CASE WHEN {drawn_sql(5, 'doc_id')} < CAST(0.2 AS DOUBLE) THEN 'valid' ELSE 'train' END AS part FROM documents WHERE {drawn_sql(4, 'doc_id')} < CAST(0.3 AS DOUBLE)"),
     "REV1": binding(rev1, f"{_M}, {_UNION}, z AS (SELECT *, CAST(floor(x/256) AS BIGINT) AS tile_x, CAST(floor(y/256) AS BIGINT) AS tile_y FROM a WHERE kind IS NOT NULL AND x-floor(x/256)*256>0 AND y-floor(y/256)*256>0) SELECT image, tile_x, tile_y, " + ", ".join(f"count(*) FILTER (WHERE kind='{k}') AS {k}" for k in ("tp", "fp", "fn")) + " FROM z GROUP BY 1,2,3"),
     "REV3": binding(rev3, "SELECT image, id, image%25*10.0+x*0.25 AS wx, 100-y*0.25 AS wy FROM marks WHERE role='pred' AND score > CAST(0.9 AS DOUBLE)"),
     "GR1": binding(
@@ -401,9 +437,9 @@ BINDINGS = {
             SELECT e.b, min(r.root) FROM r JOIN e ON r.node=e.a JOIN recurring.r AS o ON o.node=e.b WHERE r.root < o.root GROUP BY 1)
           SELECT node, root AS component FROM r""",
     ),
-    "CL1": binding(cl1),
+    "CL1": binding(cl1, f"{_dbscan('x', 'y', 40.0, 4)} SELECT image, id, coalesce(cluster, -1) AS cluster FROM found"),
     "CL2": binding(cl2, "SELECT flight, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM shots WHERE pitch <= -80 GROUP BY 1 HAVING count(*) >= 5"),
-    "CL3": binding(cl3),
+    "CL3": binding(cl3, f"{_dbscan(*_Z, 0.12, 4)} SELECT image, count(DISTINCT cluster) AS clusters, count(*) - count(cluster) AS noise FROM found GROUP BY 1"),
     "CL4": binding(cl4),
     "CL5": binding(lambda v: C.embedding_clusters(v.embeddings, 8).select("vec_id", "label", "cluster", "majority", "correct", _R("confidence").alias("confidence"))),
     "CL6": binding(lambda v: C.misclassified(C.embedding_clusters(v.embeddings, 8))),
@@ -417,5 +453,14 @@ BINDINGS = {
     "AGG23": binding(agg23),
     "AGG36": binding(agg36, "WITH c AS (SELECT flight, avg(x) AS cx, avg(y) AS cy FROM (SELECT DISTINCT flight, x, y FROM shots) d GROUP BY 1), k AS (SELECT flight, r_regionkey, row_number() OVER (PARTITION BY flight ORDER BY (cx-r_regionkey*25.0)*(cx-r_regionkey*25.0)+(cy-r_regionkey*200.0)*(cy-r_regionkey*200.0), r_regionkey) AS n FROM c, region) SELECT shot, s.flight, r_regionkey AS island FROM shots s JOIN k ON s.flight=k.flight AND n=1"),
     "CF4": binding(cf4, f"WITH gt AS (SELECT * FROM marks WHERE role='gt'), pred AS (SELECT * FROM marks WHERE role='pred' AND score > CAST(0.85 AS DOUBLE)), {_greedy('gt', 'pred')}, e AS (SELECT image%5 AS mission, count(*) AS ref FROM gt GROUP BY 1), f AS (SELECT image%5 AS mission, count(*) AS pred FROM pred GROUP BY 1), k AS (SELECT image%5 AS mission, count(*) AS tp FROM m GROUP BY 1) SELECT e.mission, ref, pred, tp, round(ref/CAST(pred AS DOUBLE),6) AS factor FROM e JOIN f ON e.mission=f.mission JOIN k ON e.mission=k.mission"),
-    "EV7": binding(ev7),
+    "EV7": binding(
+        ev7,
+        f"""WITH experts AS (SELECT DISTINCT species AS expert FROM marks WHERE role='pred'), gt AS (SELECT image, id, x, y, expert FROM marks, experts WHERE role='gt'), pred AS (SELECT image, id, x, y, species AS expert FROM marks WHERE role='pred'),
+          c AS (SELECT g.image, g.expert, g.id AS gt_id, p.id AS pred_id, (g.x-p.x)*(g.x-p.x)+(g.y-p.y)*(g.y-p.y) AS d2 FROM gt g JOIN pred p ON g.image=p.image AND g.expert=p.expert AND abs(g.x-p.x) <= 10 AND abs(g.y-p.y) <= 10),
+          n1 AS (SELECT *, row_number() OVER (PARTITION BY image, expert, gt_id ORDER BY d2, pred_id) AS k FROM c WHERE d2 <= 100),
+          n2 AS (SELECT expert, row_number() OVER (PARTITION BY image, expert, pred_id ORDER BY d2, gt_id) AS k2 FROM n1 WHERE k=1),
+          t AS (SELECT e.expert, (SELECT count(*) FROM n2 WHERE k2=1 AND n2.expert=e.expert) AS tp, (SELECT count(*) FROM pred WHERE pred.expert=e.expert) AS np, (SELECT count(*) FROM gt WHERE gt.expert=e.expert) AS ng FROM experts e),
+          r AS (SELECT expert, tp, np-tp AS fp, ng-tp AS fn FROM t)
+          SELECT expert, {_RATES} FROM r""",
+    ),
 }
