@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -33,25 +34,34 @@ def append_new(batch: DataFrame, batch_id: int, folder: str, path: str = "filepa
     batch.write.mode("overwrite").parquet(out)
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get if state.exists else None
+def _step(idle_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(list(batches)).sort_values(["t", "shot"])
-    out = []
-    for r in rows.itertuples(index=False):
-        if last is not None and (r.t, r.shot) <= (last[2], last[3]):
-            out.append((key[0], r.shot, r.t, None, None, True))
-            continue
-        d = None if last is None else ((r.x - last[0]) ** 2 + (r.y - last[1]) ** 2) ** 0.5
-        out.append((key[0], r.shot, r.t, d, None if last is None else r.t - last[2], False))
-        last = (float(r.x), float(r.y), float(r.t), int(r.shot))
-    state.update(last)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in METRICS.split(", ")])
-
-
-def flight_metrics(stream: DataFrame) -> DataFrame:
+    last = state.get if state.exists else None
+    late = (rows[["t", "shot"]] == rows[["t", "shot"]].shift()).all(axis=1)
+    if last is not None:
+        late |= (rows["t"] < last[2]) | ((rows["t"] == last[2]) & (rows["shot"] <= last[3]))
+    new = rows[~late]
+    x0, y0, t0 = (new[c].shift(fill_value=np.nan if last is None else last[i]) for i, c in enumerate("xyt"))
+    known = rows.assign(distance_to_prev=np.hypot(new["x"] - x0, new["y"] - y0), time_diff_seconds=new["t"] - t0, late=late, flight=key[0])
+    if len(new):
+        end = new.iloc[-1]
+        state.update((float(end["x"]), float(end["y"]), float(end["t"]), int(end["shot"])))
+    if idle_ms and state.exists:
+        state.setTimeoutDuration(idle_ms)
+    yield known[[c.split()[0] for c in METRICS.split(", ")]]
+
+
+def flight_metrics(stream: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
     """ST2: step length and time against the flight's previous shot, carried across batches.
 
     State is one shot per flight. A shot at or before it comes too late: it is
-    given as ``late`` and leaves the state alone.
+    given as ``late`` and leaves the state alone. With ``idle_ms`` the state of a
+    flight that had no shots for so long is dropped; such a stream has timers, so
+    it needs a trigger that goes on, not one that ends with the data.
     """
-    return stream.groupBy("flight").applyInPandasWithState(_step, METRICS, "x double, y double, t double, shot long", "append", GroupStateTimeout.NoTimeout)
+    step = lambda key, batches, state: _step(idle_ms, key, batches, state)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return stream.groupBy("flight").applyInPandasWithState(step, METRICS, "x double, y double, t double, shot long", "append", timeout)
