@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aerotally.plans.storage import materialise
 
@@ -46,6 +46,36 @@ def numbers_within(rows: DataFrame, group: list[str], order: list[Column], name:
     return found.select(*mine, (F.col("_number_all") - F.col("_number_first")).alias(name), *extra)
 
 
+def running_sums(rows: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with, for each of ``sums``, the expression's sum from the group's first row to this one.
+
+    Sums are taken on two levels: rows are dealt by ranges of group and order,
+    each range sums its own rows of a group, and a group that goes on from an
+    earlier range gets what it has summed up to there. A range has one such group
+    at most, so those offsets are one row per range and the rows of a large group
+    stay spread. A sum over no values is null, null values add nothing, null
+    groups are groups; rows that ``order`` doesn't tell apart come in any order.
+    Names that begin with ``_run_`` are reserved.
+    """
+    mine = [F.col(f"`{c}`") for c in rows.columns if c not in sums]
+    by = [F.col(f"`{g}`") for g in group]
+    values = [value.alias(f"_run_value{i}") for i, value in enumerate(sums.values())]
+    placed = rows.select("*", *values).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).select(
+        *mine, *[f"_run_value{i}" for i in range(len(sums))], F.spark_partition_id().alias("_run_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_run_at")
+    )
+    placed = materialise(placed, "running-sums")  # so that a task that runs again gives the same places
+    blocks = placed.groupBy(*by, "_run_part").agg(*[F.sum(f"_run_value{i}").alias(f"_run_sum{i}") for i in range(len(sums))])
+    parts = Window.partitionBy(*by).orderBy("_run_part")  # a row per range and group
+    before = blocks.select("*", F.row_number().over(parts).alias("_run_nth"), *[F.sum(f"_run_sum{i}").over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_run_before{i}") for i in range(len(sums))])
+    before = before.where("_run_nth > 1").select(F.col("_run_part").alias("_run_from"), *[g.alias(f"_run_key{i}") for i, g in enumerate(by)], *[f"_run_before{i}" for i in range(len(sums))])
+    here = Window.partitionBy("_run_part", *by).orderBy("_run_at").rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select("*", *[F.sum(f"_run_value{i}").over(here).alias(f"_run_local{i}") for i in range(len(sums))])
+    same = [F.col("_run_part") == F.col("_run_from"), *[g.eqNullSafe(F.col(f"_run_key{i}")) for i, g in enumerate(by)]]
+    found = local.join(F.broadcast(before), same, "left")  # one row per range at most
+    some = lambda i: F.when(F.col(f"_run_local{i}").isNull(), F.col(f"_run_before{i}")).otherwise(F.col(f"_run_local{i}") + F.coalesce(f"_run_before{i}", F.lit(0)))
+    return found.select(*mine, *[some(i).alias(name) for i, name in enumerate(sums)])
+
+
 def dense_ids(rows: DataFrame, column: str, name: str, start: int = 1) -> DataFrame:
     """``(column, name)``: each distinct value that isn't null with its number in ascending order, from ``start``."""
     values = rows.select(F.col(f"`{column}`").alias(column)).where(F.col(f"`{column}`").isNotNull()).distinct()

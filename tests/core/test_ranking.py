@@ -26,3 +26,16 @@ def test_dense_ids_and_empty(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("c",)], "v string")
     assert sorted(map(tuple, ranking.dense_ids(df, "v", "id").collect())) == [("a", 1), ("b", 2), ("c", 3)]
     assert ranking.row_numbers(df.limit(0), [F.col("v")]).count() == 0 and ranking.dense_ids(df.limit(0), "v", "id").count() == 0
+
+
+def test_running_sums_with_nulls_ties_and_a_hot_group(spark):
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), i, r.choice([None, 1, 2, 5]), i / 2) for i in range(800)]
+    df = spark.createDataFrame(rows, "g string, v long, w long, x double").repartition(6)
+    got = {(x.g, x.v): (x.total, x.n, x.half) for x in ranking.running_sums(df, ["g"], [F.col("v").desc()], {"total": F.col("w"), "n": F.lit(1), "half": F.col("x")}).collect()}
+    want, now = {}, {}
+    for g, v, w, x in sorted(rows, key=lambda r: -r[1]):
+        t, n, h = now.get(g, (None, 0, 0.0))
+        now[g] = want[g, v] = (t if w is None else (t or 0) + w, n + 1, h + x)
+    assert got == want
+    assert ranking.running_sums(df.limit(0), ["g"], [F.col("v")], {"total": F.col("w")}).count() == 0
