@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, preference_ranker, secret_forest, sentencepiece_codec, simhash, token_rollups, uniform_shards, zip_warc
+from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, prefix_trie, preference_ranker, secret_forest, sentencepiece_codec, simhash, token_rollups, uniform_shards, zip_warc
 from aerotally.plans.storage import table
 
 
@@ -58,6 +58,11 @@ def op10_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations; defined results as in :mod:`prefix_trie`."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -100,7 +105,7 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bit_sliced_topk, op2_preference_ranker, op3_secret_forest, op4_simhash_near_dedup, op5_token_rollups, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec, op10_zip_warc)}
+    return {f.__name__: f for f in (op1_bit_sliced_topk, op2_preference_ranker, op3_secret_forest, op4_simhash_near_dedup, op5_token_rollups, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec, op10_zip_warc, op11_prefix_trie)}
 
 
 OP1_SQL = """
