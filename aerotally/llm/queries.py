@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aerotally.llm import bit_sliced_topk, host_rules, pivotal_mix, prefix_trie, preference_ranker, secret_forest, sentencepiece_codec, simhash, token_rollups, uniform_shards, zip_warc
+from aerotally.llm import bit_sliced_topk, divergence_audit, host_rules, language_codes, pivotal_mix, prefix_trie, preference_ranker, secret_forest, sentencepiece_codec, simhash, token_rollups, uniform_shards, zip_warc
 from aerotally.plans.storage import table
 
 
@@ -63,6 +63,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; defined results as in :mod:`language_codes`."""
+    return language_codes.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of sources within their language and the terms behind it; defined results as in :mod:`divergence_audit`."""
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -105,7 +115,7 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bit_sliced_topk, op2_preference_ranker, op3_secret_forest, op4_simhash_near_dedup, op5_token_rollups, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec, op10_zip_warc, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_bit_sliced_topk, op2_preference_ranker, op3_secret_forest, op4_simhash_near_dedup, op5_token_rollups, op6_host_rules, op7_uniform_shards, op8_pivotal_mix, op9_sentencepiece_codec, op10_zip_warc, op11_prefix_trie, op12_language_codes, op13_divergence_audit)}
 
 
 OP1_SQL = """
@@ -128,5 +138,29 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+counted AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+langs AS (SELECT lang, count(*) + sum(n) AS below FROM kept GROUP BY 1),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, sum(n) AS n FROM counted GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (coalesce(o.n, 0) + s.v) AS p,
+    1 + 1000000000 * (k.n + 1) // l.below AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN sizes s ON g.lang = s.lang JOIN langs l ON g.lang = l.lang
+  LEFT JOIN own o ON g.lang = o.lang AND g.source = o.source LEFT JOIN counted c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN apart x ON g.lang = x.lang AND g.source = x.source AND o.source = x.item
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bit_sliced_topk": OP1_SQL, "op6_host_rules": OP6_SQL, "op10_zip_warc": OP10_SQL}
+    return {"op1_bit_sliced_topk": OP1_SQL, "op6_host_rules": OP6_SQL, "op10_zip_warc": OP10_SQL, "op13_divergence_audit": OP13_SQL}
