@@ -1,14 +1,12 @@
-"""AG*, CF*, AGG18-AGG22: what annotators agree on, and count corrections from it."""
+"""AG4-AG9, CF*, AGG18-AGG22: what annotators agree on, and count corrections from it."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from aerotally.operators.ranking import numbers_within
-from aerotally.operators.spatial import range_join
-from aerotally.plans.storage import materialise
 
 
 def dense_counts(marks: DataFrame, image: str = "image", user: str = "user_name") -> DataFrame:
@@ -53,43 +51,6 @@ def disagreement(counts: DataFrame) -> DataFrame:
     return s.withColumn("level", F.when(F.col("spread") == 0, "none").when(F.col("spread") <= 2, "low").otherwise("high"))
 
 
-def sweep_clusters(points: DataFrame, r: float, order: str = "seq", max_rounds: int = 200) -> DataFrame:
-    """AG1: clusters of the sweep in which the first unclaimed point in order claims all unclaimed points within r.
-
-    Seeds are the lexicographically first maximal independent set of the radius
-    graph, found in rounds: an undecided point with no undecided neighbour
-    before it becomes a seed, and its undecided neighbours are its members (each
-    of its lowest seed). Rows without a point are dropped.
-    """
-    known = points.where("x is not null and y is not null")
-    a = known.select(F.col(order).alias("a"), F.col("x").alias("l_x"), F.col("y").alias("l_y"))
-    b = known.select(F.col(order).alias("b"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
-    edges = materialise(range_join(a, b, r).where("a <> b").select("a", "b"), "sweep-edges")
-    open_ = materialise(known.select(F.col(order).alias("a")), "sweep-open")
-    decided = None
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            return points.sparkSession.createDataFrame([], f"{order} long, cluster long") if decided is None else decided.withColumnRenamed("a", order)
-        live = edges.join(open_, "a", "left_semi").join(open_.withColumnRenamed("a", "b"), "b", "left_semi")
-        blocked = live.where("b < a").select("a").distinct()
-        seeds = materialise(open_.join(blocked, "a", "left_anti"), "sweep-seeds")
-        claimed = live.join(seeds.withColumnRenamed("a", "b"), "b", "left_semi").groupBy("a").agg(F.min("b").alias("cluster"))
-        now = materialise(seeds.withColumn("cluster", F.col("a")).unionByName(claimed), "sweep-decided")
-        decided = now if decided is None else decided.unionByName(now)
-        open_ = materialise(open_.join(now.select("a"), "a", "left_anti"), "sweep-open")
-    raise RuntimeError(f"the sweep did not end in {max_rounds} rounds")
-
-
-def sweep_agreement(points: DataFrame, r: float, min_users: int, *, order: str = "seq", user: str = "user_name", first_only: bool = False) -> DataFrame:
-    """AG1, and AG2 with ``first_only`` (one point per user in a cluster): clusters with enough users and their mean point."""
-    own = points.join(sweep_clusters(points, r, order), order)
-    if first_only:
-        w = Window.partitionBy("cluster", user).orderBy(order)
-        own = own.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    found = own.groupBy("cluster").agg(F.countDistinct(user).alias("users"), F.count("*").alias("points"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return found.where(F.col("users") >= min_users)
-
-
 def corrections(pairs: DataFrame) -> DataFrame:
     """CF5: per user the count ratio, OLS slope and intercept, median-ratio slope and four range ratios.
 

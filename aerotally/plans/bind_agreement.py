@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from aerotally.operators import agreement as G
+from aerotally.operators import agreement as G, sweep as S
 from aerotally.plans.views import binding
 
 _R = lambda c, n=6: F.round(c, n)
@@ -24,14 +24,36 @@ def ag7(v):
     return v.counts.join(agreed, "image", "left_anti")
 
 
+def _swept(marks):
+    """Marks of all images in one space, far apart, with their place in the sweep."""
+    return marks.withColumn("seq", F.col("image") * 100000 + F.col("id")).withColumn("x", F.col("x") + 5000 * F.col("image"))
+
+
+def _placed(c):
+    return c.select("cluster", "users", "points", _R(F.col("x") - 5000 * F.floor(F.col("cluster") / 100000)).alias("x"), _R("y").alias("y"))
+
+
+def ag1(v):
+    return _placed(S.sweep_agreement(_swept(v.marks.where("role = 'gt'")), 15.0, 2, user="species"))
+
+
+def ag2(v):
+    return _placed(S.sweep_agreement(_swept(v.marks.where("role = 'gt'")), 15.0, 1, user="species", first_only=True))
+
+
 def ag3(v):
-    c = G.sweep_agreement(v.marks.withColumn("seq", F.col("image") * 100000 + F.col("id")).withColumn("x", F.col("x") + 5000 * F.col("image")), 15.0, 2, user="species")
-    return c.agg(F.sum("points").alias("points"), F.count("*").alias("locations"), _R(F.avg("users")).alias("avg_users"), F.max("users").alias("max_users"), F.min("users").alias("min_users"))
+    c = S.agreement_summary(_swept(v.marks), 15.0, 2, user="species")
+    return c.withColumn("avg_users", _R("avg_users")).withColumn("agreement_rate", _R("agreement_rate"))
 
 
-def sweep(v, **kw):
-    p = v.marks.where("role = 'gt'").withColumn("seq", F.col("image") * 100000 + F.col("id")).withColumn("x", F.col("x") + 5000 * F.col("image"))
-    return G.sweep_agreement(p, 15.0, kw.pop("min_users", 2), user="species", **kw)
+def _sweep_sql(where: str) -> str:
+    """The sweep of each image as a list of seeds that grows with its marks, and each mark's first seed (``swept``)."""
+    return f"""WITH RECURSIVE p AS (SELECT image, id, x, y, species, row_number() OVER (PARTITION BY image ORDER BY id) AS i FROM marks WHERE {where}),
+      s(image, i, seeds) AS (SELECT image, CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[]) FROM p WHERE i = 1
+        UNION ALL SELECT p.image, p.i, CASE WHEN len(list_filter(s.seeds, lambda q: (q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y) <= 225)) > 0 THEN s.seeds ELSE list_append(s.seeds, struct_pack(id := p.id, x := p.x, y := p.y)) END
+        FROM s JOIN p ON p.image = s.image AND p.i = s.i + 1),
+      f AS (SELECT image, unnest(seeds) AS q FROM (SELECT image, arg_max(seeds, i) AS seeds FROM s GROUP BY 1) z),
+      swept AS (SELECT p.image, p.id, p.x, p.y, p.species, p.image*100000+min(f.q.id) AS cluster FROM p JOIN f ON p.image = f.image AND (f.q.x-p.x)*(f.q.x-p.x)+(f.q.y-p.y)*(f.q.y-p.y) <= 225 GROUP BY p.image, p.id, p.x, p.y, p.species)"""
 
 
 def ag8(v):
@@ -268,10 +290,17 @@ def cl8(v):
     return d.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+_GT = "role='gt'"
+
 BINDINGS = {
-    "AG1": binding(sweep),
-    "AG2": binding(lambda v: sweep(v, min_users=1, first_only=True)),
-    "AG3": binding(ag3),
+    "AG1": binding(ag1, f"{_sweep_sql(_GT)} SELECT cluster, count(DISTINCT species) AS users, count(*) AS points, round(avg(x),6) AS x, round(avg(y),6) AS y FROM swept GROUP BY 1 HAVING count(DISTINCT species) >= 2"),
+    "AG2": binding(ag2, f"{_sweep_sql(_GT)}, first AS (SELECT cluster, species, arg_min(x, id) AS x, arg_min(y, id) AS y FROM swept GROUP BY 1, 2) SELECT cluster, count(*) AS users, count(*) AS points, round(avg(x),6) AS x, round(avg(y),6) AS y FROM first GROUP BY 1"),
+    "AG3": binding(
+        ag3,
+        f"""{_sweep_sql("true")}, c AS (SELECT cluster, count(DISTINCT species) AS u, count(*) AS n FROM swept GROUP BY 1),
+          t AS (SELECT CAST(coalesce(sum(n) FILTER (WHERE u >= 2), 0) AS BIGINT) AS a, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (WHERE u >= 2) AS k, avg(u) FILTER (WHERE u >= 2) AS m, max(u) FILTER (WHERE u >= 2) AS hi, min(u) FILTER (WHERE u >= 2) AS lo FROM c)
+          SELECT a AS agreement_points, n-a AS disagreement_points, n AS points, k AS locations, round(coalesce(m,0),6) AS avg_users, coalesce(hi,0) AS max_users, coalesce(lo,0) AS min_users, round(a/CAST(n AS DOUBLE),6) AS agreement_rate FROM t""",
+    ),
     "AG4": binding(lambda v: G.exact_agreement(v.counts, 3), f"WITH {_MODE} SELECT image, n AS count, users FROM k WHERE r=1 AND users >= 3"),
     "AG5": binding(lambda v: G.tolerance_agreement(v.counts, 1, 4), "WITH f AS (SELECT DISTINCT image, n FROM counts), t AS (SELECT f.image, f.n AS centre, count(*) AS users FROM f JOIN counts c ON f.image=c.image AND abs(c.n-f.n) <= 1 GROUP BY 1,2), k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY users DESC, centre) AS r FROM t) SELECT image, centre, users FROM k WHERE r=1 AND users >= 4"),
     "AG6": binding(lambda v: G.majority_agreement(v.counts), f"WITH {_MODE} SELECT image, n AS count, users, CAST(6 AS BIGINT) AS n_users, users*2 > 6 AS true_majority FROM k WHERE r=1"),

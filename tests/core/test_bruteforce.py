@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from aerotally.operators import agreement as G, clustering as C, flights as L, graph, matching as M, spatial as S, tiling as T
+from aerotally.operators import clustering as C, flights as L, graph, matching as M, spatial as S, sweep, tiling as T
 from pyspark.sql import functions as F
 
 GT = [("a", 1, 100.0, 100.0), ("b", 2, 200.0, 200.0), ("c", 3, 300.0, 300.0)]
@@ -69,7 +69,7 @@ def test_components_sweep_and_dbscan(spark):
             for q in pts:
                 if q[0] not in cluster and d(p, q) <= 4:
                     cluster[q[0]] = p[0]
-    assert {x.seq: x.cluster for x in G.sweep_clusters(df, 4.0).collect()} == cluster
+    assert {x.seq: x.cluster for x in sweep.sweep_clusters(df, 4.0).collect()} == cluster
     near = {p[0]: [q[0] for q in pts if d(p, q) <= 4] for p in pts}
     core = {i for i, n in near.items() if len(n) >= 4}
     root = {i: i for i in core}
