@@ -1,4 +1,4 @@
-"""CL*: density clustering on the range join, k-means, PCA and similarity of feature vectors."""
+"""CL3-CL9: standardised points for density clustering, k-means, PCA and similarity of feature vectors."""
 
 from __future__ import annotations
 
@@ -11,25 +11,6 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
-from aerotally.operators.graph import connected_components
-from aerotally.operators.spatial import range_join
-from aerotally.plans.storage import materialise
-
-
-def dbscan(points: DataFrame, eps: float, min_points: int, keys: Sequence[str] = (), id: str = "id") -> DataFrame:
-    """CL1: ``(*keys, id, cluster)``; -1 is noise. A cluster is named by its smallest core id, a border point takes its smallest cluster.
-
-    A point counts among its own neighbours. Ids are longs, unique over all keys.
-    """
-    a = points.select(*keys, F.col(id).alias("a"), F.col("x").alias("l_x"), F.col("y").alias("l_y"))
-    b = points.select(*keys, F.col(id).alias("b"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
-    near = materialise(range_join(a, b, eps, keys).select("a", "b"), "dbscan-near")
-    core = materialise(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("a"), "dbscan-core")
-    links = near.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
-    comps = connected_components(links, "a", "b")
-    border = near.join(core, "a", "left_anti").join(comps.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("component")).withColumnRenamed("a", "node")
-    found = comps.unionByName(border).withColumnRenamed("node", id)
-    return points.select(*keys, id).join(found, id, "left").select(*keys, id, F.coalesce("component", F.lit(-1)).alias("cluster"))
 
 
 def standardised(points: DataFrame, keys: Sequence[str]) -> DataFrame:

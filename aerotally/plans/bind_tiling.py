@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerotally.functions.draws import drawn_sql
-from aerotally.operators import clustering as C, flights as L, graph, matching as M, spatial as S, tiling as T
+from aerotally.operators import clustering as C, density as D, flights as L, graph, matching as M, spatial as S, tiling as T
 from aerotally.plans.bind_matching import _M, _RATES, _ROLES, R, _greedy, matches, sides
 from aerotally.plans.views import binding
 
@@ -277,7 +277,7 @@ def _dense(v):
 
 
 def cl1(v):
-    return C.dbscan(_dense(v), 40.0, 4, ["image"])
+    return D.dbscan(_dense(v), 40.0, 4, ["image"])
 
 
 def cl2(v):
@@ -286,7 +286,7 @@ def cl2(v):
 
 
 def cl3(v):
-    found = C.dbscan(C.standardised(_dense(v), ["image"]), 0.12, 4, ["image"])
+    found = D.dbscan(C.standardised(_dense(v), ["image"]), 0.12, 4, ["image"])
     return found.groupBy("image").agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.count(F.when(F.col("cluster") < 0, 1)).alias("noise"))
 
 
@@ -300,18 +300,20 @@ def cl9(v):
     return C.similarity(v.embeddings, right).select("a", "b", _R("cosine", 5).alias("cosine"))
 
 
+_PARAMETERS = [(eps, n) for eps in (0.08, 0.12) for n in (3, 4)]
+
+
 def agg23(v):
-    """CL3 over a grid of parameters, one run each."""
-    out = None
-    for eps in (0.08, 0.12):
-        for n in (3, 4):
-            f = C.dbscan(C.standardised(_dense(v), ["image"]), eps, n, ["image"])
-            c = f.groupBy("image").agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"))
-            gold = v.marks.where("role = 'pred' and species = 'A'").groupBy("image").agg(F.count("*").alias("ref"))
-            e = F.col("k") - F.col("ref")
-            r = c.join(gold, "image").agg(_R(F.sqrt(F.avg(e * e))).alias("rmse")).withColumn("eps", F.lit(eps)).withColumn("min_points", F.lit(n))
-            out = r if out is None else out.unionByName(r)
-    return out
+    """CL3 over a grid of parameters in one run, the parameters being part of the key."""
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.lit(eps).alias("eps"), F.lit(n).alias("least")) for i, (eps, n) in enumerate(_PARAMETERS)]))
+    points = C.standardised(_dense(v), ["image"]).withColumn("p", grid).select("image", "p.*", (F.col("id") * len(_PARAMETERS) + F.col("p.g")).alias("id"), "x", "y")
+    found = D.dbscan(points, F.col("eps"), F.col("least"), ["image", "g"])
+    k = found.groupBy("image", "g").agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"))
+    gold = v.marks.where("role = 'pred' and species = 'A'").groupBy("image").agg(F.count("*").alias("ref"))
+    e = F.col("k") - F.col("ref")
+    pick = lambda at: F.element_at(F.array(*[F.lit(p[at]) for p in _PARAMETERS]), F.col("g") + 1)
+    errors = k.join(gold, "image").groupBy("g").agg(F.count("*").alias("images"), _R(F.sqrt(F.avg(e * e))).alias("rmse"), _R(F.avg(F.abs(e))).alias("mae"))
+    return errors.select(pick(0).alias("eps"), pick(1).alias("min_points"), "images", "rmse", "mae")
 
 
 def agg36(v):
@@ -355,6 +357,22 @@ def _dbscan(x: str, y: str, eps: float, min_points: int) -> str:
       found AS (SELECT d.image, d.id, coalesce(r.cluster, near_core.cluster) AS cluster FROM d LEFT JOIN r ON d.id=r.id LEFT JOIN near_core ON d.id=near_core.id)"""
 
 
+def _dbscan_grid(x: str, y: str, grid: list[tuple[float, int]]) -> str:
+    """As :func:`_dbscan` for each of several parameters ``g``: ``found`` (image, g, id, cluster)."""
+    values = ", ".join(f"({i}, CAST({eps} AS DOUBLE), {n})" for i, (eps, n) in enumerate(grid))
+    return f"""WITH RECURSIVE grid(g, eps, least) AS (VALUES {values}),
+      z AS (SELECT image, image*100000+id AS id, {x} AS x, {y} AS y FROM marks WHERE role='gt' WINDOW w AS (PARTITION BY image)),
+      d AS (SELECT image, g, id*{len(grid)}+g AS id, x, y, eps, least FROM z, grid),
+      pairs AS (SELECT a.image, a.id AS a, b.id AS b, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM z a JOIN z b ON a.image=b.image AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= {max(e for e, _ in grid) ** 2 * 1.01}),
+      near AS (SELECT a*{len(grid)}+g AS a, b*{len(grid)}+g AS b, least FROM pairs, grid WHERE d2 <= eps*eps),
+      core AS (SELECT a AS id FROM near GROUP BY a, least HAVING count(*) >= least),
+      e AS (SELECT a, b FROM near SEMI JOIN core ON near.a=core.id WHERE b IN (SELECT id FROM core)),
+      r(id, cluster) USING KEY (id) AS (SELECT id, id FROM core UNION
+        SELECT e.b, min(r.cluster) FROM r JOIN e ON r.id=e.a JOIN recurring.r AS o ON o.id=e.b WHERE r.cluster < o.cluster GROUP BY 1),
+      near_core AS (SELECT near.a AS id, min(r.cluster) AS cluster FROM near JOIN r ON near.b=r.id GROUP BY 1),
+      found AS (SELECT d.image, d.g, d.id, coalesce(r.cluster, near_core.cluster) AS cluster FROM d LEFT JOIN r ON d.id=r.id LEFT JOIN near_core ON d.id=near_core.id)"""
+
+
 _UNION = "a AS (SELECT g.image, g.id, CASE WHEN m.pred_id IS NULL THEN 'fn' END AS kind, x, y FROM gt g LEFT JOIN m ON g.image=m.image AND g.id=m.gt_id UNION ALL SELECT p.image, p.id, CASE WHEN m.gt_id IS NULL THEN 'fp' ELSE 'tp' END, x, y FROM pred p LEFT JOIN m ON p.image=m.image AND p.id=m.pred_id)"
 _CUT = "floor(x1/256)<>floor(x2/256) OR floor(y1/256)<>floor(y2/256)"
 _TL10 = f"own AS (SELECT *, floor(x/256) AS tx, floor(y/256) AS ty, x-floor(x/256)*256 AS lx, y-floor(y/256)*256 AS ly FROM marks WHERE role='gt' AND x-floor(x/256)*256>0 AND y-floor(y/256)*256>0), t10 AS (SELECT * FROM own o WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.image=o.image AND o.x BETWEEN x1 AND x2 AND o.y BETWEEN y1 AND y2 AND ({_CUT})))"
@@ -450,7 +468,11 @@ BINDINGS = {
           SELECT a.vec_id AS a, b.vec_id AS b, round(sum(a.x*b.x)/(max(na.n)*max(nb.n)),5) AS cosine
           FROM a JOIN a b ON a.d=b.d AND b.vec_id % 50 = 0 JOIN n na ON na.vec_id=a.vec_id JOIN n nb ON nb.vec_id=b.vec_id GROUP BY 1,2""",
     ),
-    "AGG23": binding(agg23),
+    "AGG23": binding(
+        agg23,
+        f"""{_dbscan_grid(*_Z, _PARAMETERS)}, k AS (SELECT image, g, count(DISTINCT cluster) AS k FROM found GROUP BY 1, 2), o AS (SELECT image, count(*) AS ref FROM marks WHERE role='pred' AND species='A' GROUP BY 1)
+          SELECT grid.eps, grid.least AS min_points, count(*) AS images, round(sqrt(avg((k-ref)*(k-ref))),6) AS rmse, round(avg(abs(k-ref)),6) AS mae FROM k JOIN o ON k.image=o.image JOIN grid ON k.g=grid.g GROUP BY 1, 2""",
+    ),
     "AGG36": binding(agg36, "WITH c AS (SELECT flight, avg(x) AS cx, avg(y) AS cy FROM (SELECT DISTINCT flight, x, y FROM shots) d GROUP BY 1), k AS (SELECT flight, r_regionkey, row_number() OVER (PARTITION BY flight ORDER BY (cx-r_regionkey*25.0)*(cx-r_regionkey*25.0)+(cy-r_regionkey*200.0)*(cy-r_regionkey*200.0), r_regionkey) AS n FROM c, region) SELECT shot, s.flight, r_regionkey AS island FROM shots s JOIN k ON s.flight=k.flight AND n=1"),
     "CF4": binding(cf4, f"WITH gt AS (SELECT * FROM marks WHERE role='gt'), pred AS (SELECT * FROM marks WHERE role='pred' AND score > CAST(0.85 AS DOUBLE)), {_greedy('gt', 'pred')}, e AS (SELECT image%5 AS mission, count(*) AS ref FROM gt GROUP BY 1), f AS (SELECT image%5 AS mission, count(*) AS pred FROM pred GROUP BY 1), k AS (SELECT image%5 AS mission, count(*) AS tp FROM m GROUP BY 1) SELECT e.mission, ref, pred, tp, round(ref/CAST(pred AS DOUBLE),6) AS factor FROM e JOIN f ON e.mission=f.mission JOIN k ON e.mission=k.mission"),
     "EV7": binding(

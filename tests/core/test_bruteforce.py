@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from aerotally.operators import clustering as C, flights as L, graph, matching as M, spatial as S, sweep, tiling as T
+from aerotally.operators import density as D, flights as L, graph, matching as M, spatial as S, sweep, tiling as T
 from pyspark.sql import functions as F
 
 GT = [("a", 1, 100.0, 100.0), ("b", 2, 200.0, 200.0), ("c", 3, 300.0, 300.0)]
@@ -79,7 +79,7 @@ def test_components_sweep_and_dbscan(spark):
             break
         root = new
     want = {i: root[i] if i in core else min([root[j] for j in near[i] if j in core], default=-1) for i in near}
-    got = C.dbscan(df.withColumnRenamed("seq", "id"), 4.0, 4)
+    got = D.dbscan(df.withColumnRenamed("seq", "id"), 4.0, 4)
     assert {x.id: x.cluster for x in got.collect()} == want
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (None, 3)], "src long, dst long")
     assert {(x.node, x.component) for x in graph.connected_components(chain).collect()} == {(i, 0) for i in range(61)} | {(100, 100)}
