@@ -165,14 +165,13 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """A model of the languages of the labelled rows that aren't held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"), F.xxhash64("text").alias("hash"))
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"))
-    n_langs = sizes.count()
-    if not n_langs:
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()  # a row per language, as the model has
+    if not sizes:
         return Model([], np.ones((0, 0)), np.zeros((N_FEATURES + 1, 0), np.float32))
-    each = max(1, train_rows // n_langs)
+    each = max(1, train_rows // len(sizes))
     # twice the share that would do by estimate, as texts may lack letters and the count is approximate
-    below = F.least(F.lit(1.0), 2.0 * each / F.col("n"))
-    near = known.join(sizes, "lang").where((F.col("hash") / F.lit(2.0**64) + 0.5) <= below)
+    below = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 2 * each / r.n)) for r in sizes], "lang string, below double")
+    near = known.join(F.broadcast(below), "lang").where(F.col("hash") / F.lit(2.0**64) + 0.5 <= F.col("below"))
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
