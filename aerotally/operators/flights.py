@@ -159,7 +159,9 @@ def lower_quantile_mean(df: DataFrame, value: str, keys: Sequence[str], q: float
 
 
 def hull_area(points: DataFrame, keys: Sequence[str], *, chunks: int = 64) -> DataFrame:
-    """AGG25: area and centre of the convex hull of each group's points.
+    """AGG25: area, centroid and number of corners of the convex hull of each group's points.
+
+    A hull without area has the middle of its corners for a centroid.
 
     Two levels, so that no task holds a large group: hulls of hashed chunks,
     then the hull of those hulls' corners.
@@ -173,9 +175,13 @@ def hull_area(points: DataFrame, keys: Sequence[str], *, chunks: int = 64) -> Da
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
         ring = _hull(pdf[["x", "y"]].to_numpy(float))
-        nxt = np.roll(ring, -1, axis=0)
-        area = abs((ring[:, 0] * nxt[:, 1] - nxt[:, 0] * ring[:, 1]).sum()) / 2
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in names}, "hull_area": [area], "centre_x": [ring[:, 0].mean()], "centre_y": [ring[:, 1].mean()], "corners": [len(ring)]})
+        middle = ring.mean(0)
+        here = ring - middle
+        nxt = np.roll(here, -1, axis=0)
+        cross = here[:, 0] * nxt[:, 1] - nxt[:, 0] * here[:, 1]
+        area = cross.sum() / 2
+        centre = middle + ((here + nxt) * cross[:, None]).sum(0) / (6 * area) if area > 0 else middle
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in names}, "hull_area": [area], "centre_x": [centre[0]], "centre_y": [centre[1]], "corners": [len(ring)]})
 
     some = points.select(*keys, "x", "y").where("x is not null and y is not null").withColumn("_chunk", F.pmod(F.xxhash64("x", "y"), F.lit(chunks)))
     first = some.groupBy(*keys, "_chunk").applyInPandas(corners, f"{schema}, x double, y double")

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from aerotally.operators import flights as L
+from aerotally.operators import coverage as V, flights as L
 from aerotally.plans.views import binding
 
 _W = "WINDOW w AS (PARTITION BY flight ORDER BY t, shot)"
@@ -120,13 +120,32 @@ def agg10(v):
 
 
 def agg24(v):
-    """Mission lines: length, duration, mean height, buffer cells of 1 m-scaled grid."""
-    m = L.metrics(v.shots)
-    return m.groupBy("flight").agg(_r(F.coalesce(F.sum("distance_to_prev"), F.lit(0.0)), 3).alias("length"), _r(F.max("t") - F.min("t"), 3).alias("duration"), _r(F.avg("height")).alias("height"), F.countDistinct(F.floor(F.col("x") / 15), F.floor(F.col("y") / 15)).alias("cells"))
+    m = V.mission_lines(v.once("shots"))
+    return m.select("flight", "images", _r("duration", 3).alias("duration"), _r("mean_height").alias("mean_height"), _r("length", 3).alias("length"), _r("buffer_area", 3).alias("buffer_area"))
+
+
+def agg24_lines(v):
+    return V.path_pages(v.shots, ["flight"], [F.col("t"), F.col("shot")], 50).select("flight", "page", "n", V.line_text(F.col("line")).alias("line"))
 
 
 def agg25(v):
-    return L.hull_area(v.shots, ["flight"])
+    m = V.mission_statistics(v.once("shots"))
+    return m.select("flight", _r("mean_height").alias("mean_height"), _r("path_length", 2).alias("path_length"), *[_r(c, 3).alias(c) for c in ("first_time", "last_time", "duration", "hull_area", "centre_x", "centre_y")], "corners")
+
+
+#: Area of a union of discs by its edge: of each circle the arcs that no other disc covers, by Green's theorem.
+_UNION_AREA = """c AS (SELECT flight, x, y, row_number() OVER () AS i FROM (SELECT DISTINCT flight, x, y FROM shots) q),
+  n AS (SELECT a.i, atan2(b.y-a.y, b.x-a.x) AS phi, acos(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/30) AS half FROM c a JOIN c b ON a.flight=b.flight AND a.i<>b.i AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) < 900),
+  w AS (SELECT i, CASE WHEN phi-half < 0 THEN phi-half+2*pi() ELSE phi-half END AS lo, 2*half AS span FROM n),
+  o AS (SELECT i, lo, least(lo+span, 2*pi()) AS hi FROM w UNION ALL SELECT i, 0, lo+span-2*pi() FROM w WHERE lo+span > 2*pi() UNION ALL SELECT i, 2*pi(), 2*pi() FROM c),
+  g AS (SELECT i, lo AS b, coalesce(max(hi) OVER (PARTITION BY i ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM o),
+  area AS (SELECT flight, sum((225*(b-a) + 15*(x*(sin(b)-sin(a)) - y*(cos(b)-cos(a))))/2) AS area FROM g JOIN c ON g.i=c.i WHERE b > a GROUP BY 1)"""
+
+#: A hull's edges: ordered pairs of places that have all others on their left, or on the line between them.
+_HULL = """d AS (SELECT DISTINCT flight, x, y FROM shots),
+  e AS (SELECT p.flight, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM d p JOIN d q ON p.flight=q.flight AND (p.x<>q.x OR p.y<>q.y)),
+  h AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM d k WHERE k.flight=e.flight AND ((qx-px)*(k.y-py)-(qy-py)*(k.x-px) < 0 OR ((qx-px)*(k.y-py)-(qy-py)*(k.x-px) = 0 AND ((k.x-px)*(k.x-qx)+(k.y-py)*(k.y-qy)) > 0)))),
+  hull AS (SELECT flight, sum(px*qy-qx*py)/2 AS area, sum((px+qx)*(px*qy-qx*py))/6 AS mx, sum((py+qy)*(px*qy-qx*py))/6 AS my, count(*) AS corners FROM h GROUP BY 1)"""
 
 
 def agg26(v):
@@ -256,8 +275,21 @@ BINDINGS = {
     "AGG8": binding(agg8, "SELECT flight, CASE WHEN avg(CASE WHEN pitch >= -70 THEN 1 ELSE 0 END) > 0.5 THEN 'oblique' ELSE 'nadir' END AS mission_type FROM shots GROUP BY 1"),
     "AGG9": binding(agg9, "SELECT flight, round(max(t)-min(t),3) AS duration FROM shots GROUP BY 1"),
     "AGG10": binding(agg10, "SELECT CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS month, " + ", ".join(f"count(*) FILTER (WHERE drone='D{i}') AS D{i}" for i in range(4)) + " FROM shots GROUP BY 1"),
-    "AGG24": binding(agg24, f"WITH {_A}, c AS (SELECT flight, count(*) AS cells FROM (SELECT DISTINCT flight, floor(x/15) AS a, floor(y/15) AS b FROM shots) d GROUP BY 1), k AS (SELECT flight, round(coalesce(sum(dist),0),3) AS length, round(max(t)-min(t),3) AS duration, round(avg(height),6) AS height FROM s1 GROUP BY 1) SELECT k.*, cells FROM k JOIN c ON k.flight=c.flight"),
-    "AGG25": binding(agg25),
+    "AGG24": binding(
+        agg24,
+        f"WITH {_A}, {_UNION_AREA}, k AS (SELECT flight, count(*) AS images, round(max(t)-min(t),3) AS duration, round(avg(height),6) AS mean_height, round(coalesce(sum(dist),0),3) AS length FROM s1 GROUP BY 1) SELECT k.*, round(area,3) AS buffer_area FROM k JOIN area ON k.flight=area.flight",
+    ),
+    "AGG24_lines": binding(
+        agg24_lines,
+        """WITH n AS (SELECT flight, x, y, row_number() OVER (PARTITION BY flight ORDER BY t, shot)-1 AS n, count(*) OVER (PARTITION BY flight) AS size FROM shots),
+          l AS (SELECT flight, n//50 AS page, n, x, y FROM n UNION ALL SELECT flight, n//50+1, n, x, y FROM n WHERE n%50=49 AND n+1 < size)
+          SELECT flight, page, count(*) AS n, concat('LINESTRING (', string_agg(concat(x, ' ', y), ', ' ORDER BY n), ')') AS line FROM l GROUP BY 1, 2""",
+    ),
+    "AGG25": binding(
+        agg25,
+        f"""WITH {_A}, {_HULL}, k AS (SELECT flight, round(avg(height),6) AS mean_height, round(coalesce(sum(dist),0),2) AS path_length, round(min(t),3) AS first_time, round(max(t),3) AS last_time, round(max(t)-min(t),3) AS duration FROM s1 GROUP BY 1)
+          SELECT k.*, round(area,3) AS hull_area, round(mx/area,3) AS centre_x, round(my/area,3) AS centre_y, corners FROM k JOIN hull ON k.flight=hull.flight""",
+    ),
     "AGG26": binding(agg26, f"WITH {_A}, p AS (SELECT expedition, flight, sum(dist) AS d, max(t)-min(t) AS s, count(*) AS n FROM s1 GROUP BY 1,2) SELECT expedition, count(*) AS flights, CAST(sum(n) AS BIGINT) AS images, round(sum(d),2) AS distance, round(sum(s),2) AS duration FROM p GROUP BY 1"),
     "FIL18": binding(fil18, "SELECT shot, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS taken FROM shots WHERE NOT (x = 0 AND y = 0)"),
     "FIL19": binding(fil19, "WITH m AS (SELECT flight, quantile_cont(t,0.5) AS mid FROM shots GROUP BY 1) SELECT shot, s.flight FROM shots s JOIN m ON s.flight=m.flight WHERE abs(t-mid) <= 61200"),
