@@ -9,10 +9,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that are written inside, for :func:`discard` once nothing reads them."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.remove(paths)
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders of the shared one; those that are gone are left out."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Where the session names none, a fresh local one in local mode; a cluster must name one."""
     sc = spark.sparkContext
@@ -28,7 +51,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other call has."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _recording:
+        paths.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

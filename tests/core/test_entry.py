@@ -44,3 +44,18 @@ def test_headline_queries_match_sql(spark, name):
     at = [list(rel.columns).index(c) for c in cols]
     norm = lambda v: round(float(v), 4) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "as_tuple") else str(v)
     assert sorted(str([norm(r[c]) for c in cols]) for r in df.collect()) == sorted(str([norm(r[i]) for i in at]) for r in rel.fetchall())
+
+
+def test_recorded_folders_are_discarded(spark):
+    import os
+
+    from aerotally.plans.storage import discard, materialise, recorded
+
+    with recorded() as outer:
+        kept = materialise(spark.range(3).toDF("a"), "test")
+        with recorded() as inner:
+            materialise(spark.range(2).toDF("a"), "test")
+    materialise(spark.range(1).toDF("a"), "test")
+    assert len(outer) == 2 and outer[1:] == inner and all(os.path.isdir(p.removeprefix("file:")) for p in outer)
+    discard(spark, [*inner, *inner])
+    assert not os.path.exists(inner[0].removeprefix("file:")) and kept.count() == 3
