@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from aerotally.operators.ranking import numbers_within
+from aerotally.operators.quantiles import grouped_quantiles
+from aerotally.operators.ranking import numbers_within, running_sums
 
 
 def dense_counts(marks: DataFrame, image: str = "image", user: str = "user_name") -> DataFrame:
@@ -62,14 +63,17 @@ def corrections(pairs: DataFrame) -> DataFrame:
     ratio = F.when(F.sum("n") > 0, F.sum("ref") / F.sum("n")).otherwise(1.0)
     enough = F.count(F.when(some, 1)) >= 2
     slope, intercept = F.regr_slope(F.when(some, c), F.when(some, n)), F.regr_intercept(F.when(some, c), F.when(some, n))
-    median = F.percentile(F.when(some, c / n), F.lit(0.5))
 
     def in_range(lo: int, hi: int) -> Column:
         rule = some & (F.col("n") >= lo) & (F.col("n") <= hi)
         return F.when(F.sum(F.when(rule, F.col("n"))) > 0, F.sum(F.when(rule, F.col("ref"))) / F.sum(F.when(rule, F.col("n")))).otherwise(ratio)
 
     ranges = [in_range(lo, hi).alias(f"ratio_{lo}") for lo, hi in ((0, 2), (3, 5), (6, 10), (11, 1000))]
-    return pairs.groupBy("user_name").agg(ratio.alias("ratio"), F.when(enough, F.coalesce(slope, ratio)).otherwise(ratio).alias("slope"), F.when(enough, F.coalesce(intercept, F.lit(0.0))).otherwise(0.0).alias("intercept"), F.when(enough, median).otherwise(ratio).alias("median_ratio"), *ranges)
+    fitted = pairs.groupBy("user_name").agg(ratio.alias("ratio"), F.when(enough, F.coalesce(slope, ratio)).otherwise(ratio).alias("slope"), F.when(enough, F.coalesce(intercept, F.lit(0.0))).otherwise(0.0).alias("intercept"), enough.alias("_enough"), *ranges)
+    medians = grouped_quantiles(pairs, ["user_name"], F.when(some, c / n), {"_median": 0.5}).withColumnRenamed("user_name", "_user")
+    found = fitted.join(medians, F.col("user_name").eqNullSafe(F.col("_user")), "left")
+    median = F.when(F.col("_enough"), F.col("_median")).otherwise(F.col("ratio"))
+    return found.select("user_name", "ratio", "slope", "intercept", median.alias("median_ratio"), *[c for c in fitted.columns if c.startswith("ratio_")])
 
 
 def corrected(pairs: DataFrame, factors: DataFrame) -> DataFrame:
@@ -89,6 +93,40 @@ def fit_errors(df: DataFrame, keys: Sequence[str], value: str = "value", ref: st
     return df.groupBy(*keys).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(sst > 0, 1 - F.sum(e * e) / sst).otherwise(0.0).alias("r2"))
 
 
+def pair_agreement(counts: DataFrame, user_a: str, user_b: str, within: Sequence[int] = (0, 1, 2, 5)) -> DataFrame:
+    """CF13: how the counts of two users differ over the images that both have, in one row: errors, their median and 95 % quantile, directions, and the share within some tolerances."""
+    both = counts.where(F.col("user_name").isin(user_a, user_b)).groupBy("image").agg(*[F.sum(F.when(F.col("user_name") == u, F.col("n"))).alias(name) for name, u in (("_a", user_a), ("_b", user_b))])
+    both = both.withColumn("_e", F.col("_a") - F.col("_b"))
+    e = F.col("_e")
+    shares = [F.avg((F.abs(e) <= k).cast("double")).alias(f"within_{k}") for k in within]
+    sums = both.agg(
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"), F.max(F.abs(e)).alias("max"),
+        F.count(F.when(e > 0, 1)).alias("over"), F.count(F.when(e < 0, 1)).alias("under"), F.count(F.when(e == 0, 1)).alias("exact"), *shares,
+    )
+    median, p95 = grouped_quantiles(both, [], e, {"median": 0.5}), grouped_quantiles(both, [], F.abs(e), {"p95": 0.95})
+    return sums.join(F.broadcast(median), how="left").join(F.broadcast(p95), how="left")  # one row each
+
+
+def error_distribution(pairs: DataFrame) -> DataFrame:
+    """CF16: mean, sample deviation, median and kurtosis of each user's errors."""
+    e = (F.col("n") - F.col("ref")).cast("double")
+    moments = pairs.groupBy("user_name").agg(F.avg(e).alias("mean"), F.stddev_samp(e).alias("std"), F.kurtosis(e).alias("kurtosis"))
+    return moments.join(grouped_quantiles(pairs, ["user_name"], e, {"median": 0.5}), "user_name", "left")
+
+
+def cumulative_error(pairs: DataFrame, key: str = "user_name", order: str = "image") -> DataFrame:
+    """WN10: ``(key, order, running)``, the sum of errors from a user's first image to this one."""
+    e = pairs.select(key, order, (F.col("n") - F.col("ref")).alias("_e"))
+    return running_sums(e, [key], [F.col(order)], {"running": F.col("_e")}).select(key, order, "running")
+
+
+def error_percentiles(pairs: DataFrame, shares: Sequence[int] = (50, 80, 95), key: str = "user_name", order: str = "image") -> DataFrame:
+    """WN11: the absolute error that the given percentages of a user's images don't exceed."""
+    e = pairs.select(key, order, F.abs(F.col("n") - F.col("ref")).alias("_e"))
+    ranked = numbers_within(e, [key], [F.col("_e"), F.col(order)], "_n", "_size").withColumn("_pct", (F.col("_n") + 1) * 100 / F.col("_size"))
+    return ranked.groupBy(key).agg(*[F.min(F.when(F.col("_pct") >= p, F.col("_e"))).alias(f"p{p}") for p in shares])
+
+
 def compensation(pairs: DataFrame, keys: Sequence[str] = ("user_name",)) -> DataFrame:
     """CF17: over- and undercounts, their compensation (smaller over larger), and the correlation of error and reference."""
     e = F.col("n") - F.col("ref")

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aerotally.operators.quantiles import grouped_quantiles
+
 #: Sensor width and height in mm, focal length in mm, pixels.
 SENSOR_W, SENSOR_H, FOCAL, PIXELS_W, PIXELS_H = 13.2, 8.8, 10.26, 5472, 3648
 COMPASS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
@@ -154,7 +156,7 @@ def frequency(df: DataFrame, *keys: str) -> DataFrame:
 
 def lower_quantile_mean(df: DataFrame, value: str, keys: Sequence[str], q: float = 0.25) -> DataFrame:
     """AGG4: mean of the values at or below the interpolated quantile."""
-    cut = df.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias("_cut"))
+    cut = grouped_quantiles(df, keys, F.col(value), {"_cut": q})
     return df.join(cut, list(keys)).where(F.col(value) <= F.col("_cut")).groupBy(*keys).agg(F.avg(value).alias(f"{value}_low_mean"))
 
 

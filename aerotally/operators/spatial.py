@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -45,35 +44,6 @@ def nearest_within(left: DataFrame, right: DataFrame, r: float, keys: Sequence[s
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def k_nearest(left: DataFrame, right: DataFrame, k: int, r: float, left_id: str, right_id: str, *, keys: Sequence[str] = (), growth: float = 2.0, max_rounds: int = 40) -> DataFrame:
-    """SP6: k nearest right rows of each left row, of equal ``keys`` if there are any, with ``rank``; exact.
-
-    A ring of radius r answers the rows that find k partners in it; the others
-    go on with a ring ``growth`` times as wide, until none is left or the ring
-    holds every point; the last of ``max_rounds`` rings always does.
-    """
-    order = Window.partitionBy(*keys, left_id).orderBy("d2", right_id)
-    box = right.agg(*[f(c).alias(f"{n}_{c}") for c in ("r_x", "r_y") for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    reach = left.agg(*[f(c).alias(f"{n}_{c}") for c in ("l_x", "l_y") for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    if box.lo_r_x is None or reach.lo_l_x is None:
-        return left.limit(0).crossJoin(right.limit(0).drop(*keys)).withColumn("d2", F.lit(0.0)).withColumn("rank", F.lit(0))
-    widest = math.hypot(max(box.hi_r_x, reach.hi_l_x) - min(box.lo_r_x, reach.lo_l_x), max(box.hi_r_y, reach.hi_l_y) - min(box.lo_r_y, reach.lo_l_y)) + 1e-9
-    out, open_ = None, left
-    for turn in range(max_rounds):
-        r = widest if turn == max_rounds - 1 else r
-        last = r >= widest
-        ranked = range_join(open_, right, r, keys).withColumn("rank", F.row_number().over(order)).withColumn("_found", F.count("*").over(Window.partitionBy(*keys, left_id)))
-        done = (ranked if last else ranked.where(F.col("_found") >= k)).where(F.col("rank") <= k).drop("_found")
-        out = done if out is None else out.unionByName(done)
-        if last:
-            break
-        open_ = open_.join(done.select(*keys, left_id).distinct(), [*keys, left_id], "left_anti")
-        if open_.isEmpty():
-            break
-        r = min(r * growth, widest)
-    return out
-
-
 def close_pairs(points: DataFrame, r: float, id: str = "id", keys: Sequence[str] = ()) -> DataFrame:
     """SP9: pairs of points with 0 < distance < 2r, each once: ``(*keys, a, b, d2)``."""
     left = points.select(*keys, F.col(id).alias("a"), F.col("x").alias("l_x"), F.col("y").alias("l_y"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from aerotally.operators import agreement as G, sweep as S
+from aerotally.operators.quantiles import grouped_quantiles
 from aerotally.plans.views import binding
 
 _R = lambda c, n=6: F.round(c, n)
@@ -86,7 +87,10 @@ def jn1(v):
 
 
 def cf2(v):
-    return cells(v).groupBy("ref").agg(F.count("*").alias("n"), _R(F.avg("avg_score")).alias("score"), _R(F.avg("pred")).alias("mean_pred"), _R(F.percentile("pred", F.lit(0.5))).alias("median_pred"), _R(F.avg("pred") - F.col("ref")).alias("diff"))
+    c = cells(v)
+    medians = grouped_quantiles(c, ["ref"], F.col("pred"), {"median_pred": 0.5})
+    means = c.groupBy("ref").agg(F.count("*").alias("n"), _R(F.avg("avg_score")).alias("score"), _R(F.avg("pred")).alias("mean_pred"), _R(F.avg("pred") - F.col("ref")).alias("diff"))
+    return means.join(medians, "ref").withColumn("median_pred", _R("median_pred"))
 
 
 def cf2_pred(v):
@@ -163,10 +167,8 @@ def cf12(v):
 
 
 def cf13(v):
-    c = v.counts.where("user_name in ('A0', 'N0')").groupBy("image").pivot("user_name", ["A0", "N0"]).agg(F.sum("n"))
-    e = F.col("A0") - F.col("N0")
-    share = lambda k: _R(F.avg((F.abs(e) <= k).cast("double")))
-    return c.agg(_R(F.avg(F.abs(e))).alias("mae"), _R(F.sqrt(F.avg(e * e))).alias("rmse"), _R(F.avg(e)).alias("mean"), _R(F.stddev_pop(e)).alias("std"), _R(F.percentile(e, F.lit(0.5))).alias("median"), F.max(F.abs(e)).alias("max"), F.count(F.when(e > 0, 1)).alias("over"), F.count(F.when(e < 0, 1)).alias("under"), F.count(F.when(e == 0, 1)).alias("exact"), *[share(k).alias(f"within_{k}") for k in (0, 1, 2, 5)], _R(F.percentile(F.abs(e), F.lit(0.95))).alias("p95"))
+    c = G.pair_agreement(v.counts, "A0", "N0")
+    return c.select(*[_R(n).alias(n) if t == "double" else n for n, t in c.dtypes])
 
 
 def cf14(v):
@@ -185,8 +187,7 @@ def cf15_bins(v):
 
 
 def cf16(v):
-    e = (F.col("n") - F.col("ref")).cast("double")
-    return pairs(v).groupBy("user_name").agg(_R(F.avg(e)).alias("mean"), _R(F.stddev_samp(e)).alias("std"), _R(F.percentile(e, F.lit(0.5))).alias("median"), _R(F.kurtosis(e), 5).alias("kurtosis"))
+    return G.error_distribution(pairs(v)).select("user_name", *[_R(c).alias(c) for c in ("mean", "std", "median")], _R("kurtosis", 5).alias("kurtosis"))
 
 
 def cf17(v):
@@ -211,16 +212,11 @@ def cf20(v):
 
 
 def wn10(v):
-    w = Window.partitionBy("user_name").orderBy("image").rowsBetween(Window.unboundedPreceding, 0)
-    return pairs(v).select("user_name", "image", F.sum(F.col("n") - F.col("ref")).over(w).alias("running"))
+    return G.cumulative_error(pairs(v))
 
 
 def wn11(v):
-    e = pairs(v).withColumn("e", F.abs(F.col("n") - F.col("ref")))
-    w, a = Window.partitionBy("user_name").orderBy("e", "image"), Window.partitionBy("user_name")
-    ranked = e.select("user_name", "e", (F.row_number().over(w) * 100 / F.count("*").over(a)).alias("pct"))
-    first = lambda p: F.min(F.when(F.col("pct") >= p, F.col("e"))).alias(f"p{p}")
-    return ranked.groupBy("user_name").agg(first(50), first(80), first(95))
+    return G.error_percentiles(pairs(v))
 
 
 def agg18(v):

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from aerotally.operators import coverage as V, flights as L
+from aerotally.operators.quantiles import grouped_quantiles
 from aerotally.plans.views import binding
 
 _W = "WINDOW w AS (PARTITION BY flight ORDER BY t, shot)"
@@ -76,8 +77,10 @@ def agg2(v):
 
 
 def agg3(v):
-    m = L.metrics(v.shots)
-    return m.groupBy("expedition", "island").agg(F.count("*").alias("n"), *[_r(F.avg(c), 4).alias(c) for c in ("height", "gsd", "exposure")], _r(F.avg("distance_to_prev"), 4).alias("step"), _r(F.percentile("forward_overlap_pct", F.lit(0.5)), 2).alias("overlap"), F.array_join(F.array_sort(F.collect_set("program")), ",").alias("programs"))
+    by = ["expedition", "island"]
+    m = L.metrics(v.once("shots"))
+    means = m.groupBy(*by).agg(F.count("*").alias("n"), *[_r(F.avg(c), 4).alias(c) for c in ("height", "gsd", "exposure")], _r(F.avg("distance_to_prev"), 4).alias("step"), F.array_join(F.array_sort(F.collect_set("program")), ",").alias("programs"))
+    return means.join(grouped_quantiles(m, by, F.col("forward_overlap_pct"), {"overlap": 0.5}), by, "left").withColumn("overlap", _r(F.col("overlap"), 2))
 
 
 def agg4(v):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerotally.operators import matching as M, spatial as S
+from aerotally.operators.nearest import k_nearest
 from aerotally.plans.views import Views, binding
 
 R = 25.0
@@ -125,7 +126,7 @@ def sp5(v):
 def sp6(v):
     shots = v.shots.select(F.col("shot"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
     boxes = v.boxes.select(F.col("id").alias("box"), (F.col("x1") / 10).alias("l_x"), F.col("y1").alias("l_y"))
-    return S.k_nearest(boxes, shots, 3, 10.0, "box", "shot").select("box", "shot", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
+    return k_nearest(boxes, shots, 3, "box", "shot").select("box", "shot", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
 
 
 def sp9(v):
@@ -201,7 +202,7 @@ def sp12(v):
     tile = ["image", "tile_x", "tile_y"]
     left = S.tile_of(gt, 250).select(*tile, F.col("id").alias("gt_id"), F.col("x").alias("l_x"), F.col("y").alias("l_y"))
     right = S.tile_of(pred, 250).select(*tile, F.col("id").alias("pred_id"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
-    near = S.k_nearest(left.join(right.select(*tile).distinct(), tile, "left_semi"), right, 1, 60.0, "gt_id", "pred_id", keys=tile, growth=4.0)
+    near = k_nearest(left, right, 1, "gt_id", "pred_id", keys=tile)
     d = F.sqrt("d2")
     return near.groupBy(*tile).agg(F.round(F.avg(d), 6).alias("mean_distance"), F.round(F.max(d), 6).alias("max_distance"), F.round(F.min(d), 6).alias("min_distance"))
 

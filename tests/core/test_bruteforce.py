@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from aerotally.operators import density as D, flights as L, graph, matching as M, spatial as S, sweep, tiling as T
+from aerotally.operators import density as D, flights as L, graph, matching as M, nearest, spatial as S, sweep, tiling as T
 from pyspark.sql import functions as F
 
 GT = [("a", 1, 100.0, 100.0), ("b", 2, 200.0, 200.0), ("c", 3, 300.0, 300.0)]
@@ -89,7 +89,7 @@ def test_nearest_rectangles_and_polygons(spark):
     r = random.Random(3)
     a = [(i, r.uniform(0, 500), r.uniform(0, 500)) for i in range(40)]
     b = [(i, r.uniform(0, 100), r.uniform(0, 500)) for i in range(60)]
-    got = S.k_nearest(spark.createDataFrame(a, "l long, l_x double, l_y double"), spark.createDataFrame(b, "r long, r_x double, r_y double"), 3, 10.0, "l", "r").collect()
+    got = nearest.k_nearest(spark.createDataFrame(a, "l long, l_x double, l_y double"), spark.createDataFrame(b, "r long, r_x double, r_y double"), 3, "l", "r").collect()
     assert sorted((x.l, x["rank"], x.r) for x in got) == sorted((p[0], k + 1, q) for p in a for k, (_, q) in enumerate(sorted((math.dist(p[1:], c[1:]), c[0]) for c in b)[:3]))
     ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (4, 0), (4, 3), (0, 3))])
     one = spark.range(1).select(S.polygon_area(ring).alias("a"), S.inside_polygon(F.lit(1.0), F.lit(1.0), ring).alias("i"), S.inside_polygon(F.lit(5.0), F.lit(1.0), ring).alias("o")).first()
