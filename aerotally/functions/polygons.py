@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -22,17 +25,39 @@ def _distance(p: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return np.where((cross & (p[:, None, 0] < at)).sum(1) % 2 == 1, dist, -dist)
 
 
-def pole(ring: np.ndarray, rounds: int = 8, n: int = 11) -> tuple[float, float]:
-    """The point inside farthest from the boundary, by a grid that is refined around its best cell."""
+def pole(ring: np.ndarray, precision: float = 0.01) -> tuple[float, float]:
+    """The point inside farthest from the boundary, by branch and bound on squares.
+
+    Squares are split in four, the most promising first: none of a square's
+    points is farther from the boundary than its middle by more than half its
+    diagonal. It ends when no square can be better than the best point by more
+    than ``precision``, so the distance of the result is exact to that (or to a
+    billionth of the ring's extent, if that is more).
+    """
     lo, hi = ring.min(0), ring.max(0)
-    best = ring.mean(0)
-    for _ in range(rounds):
-        xs, ys = np.linspace(lo[0], hi[0], n), np.linspace(lo[1], hi[1], n)
-        grid = np.stack(np.meshgrid(xs, ys), -1).reshape(-1, 2)
-        best = grid[_distance(grid, ring).argmax()]
-        half = (hi - lo) / (n - 1) * 1.5
-        lo, hi = best - half, best + half
-    return float(best[0]), float(best[1])
+    side = float((hi - lo).max())
+    if side == 0:
+        return float(ring[0, 0]), float(ring[0, 1])
+    precision = max(precision, side * 1e-9)
+    half = max(float((hi - lo).min()), side / 64) / 2
+    xs, ys = (np.arange(lo[i] + half, hi[i] + half, 2 * half) for i in (0, 1))
+    todo = np.stack(np.meshgrid(xs, ys), -1).reshape(-1, 2)
+    start = ring.mean(0)
+    best, top = start, float(_distance(start[None], ring)[0])
+    heap: list[tuple[float, float, float, float]] = []
+    while True:
+        found = _distance(todo, ring)
+        i = int(found.argmax())
+        if found[i] > top:
+            best, top = todo[i], float(found[i])
+        for (x, y), d in zip(todo.tolist(), found.tolist()):
+            if d + half * math.sqrt(2) > top + precision:
+                heapq.heappush(heap, (-(d + half * math.sqrt(2)), x, y, half))
+        if not heap or -heap[0][0] <= top + precision:
+            return float(best[0]), float(best[1])
+        _, x, y, half = heapq.heappop(heap)
+        half /= 2
+        todo = np.array([(x + i * half, y + j * half) for i in (-1, 1) for j in (-1, 1)])
 
 
 @F.pandas_udf(POINT)

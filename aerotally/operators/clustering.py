@@ -72,6 +72,20 @@ def components(items: DataFrame, k: int, *, id: str = "vec_id", vector: str = "e
     return PCA(k=k, inputCol="features", outputCol="pca").fit(x).transform(x).select(id, vector_to_array("pca").alias("pca"))
 
 
+def contributions(items: DataFrame, k: int, *, vector: str = "embedding") -> DataFrame:
+    """CL7: of each principal component, from 0, its share of the variance and the dimension that contributes most, with its loading's size; ties to the first dimension.
+
+    The components come from one distributed covariance; a row per component is
+    all that the driver holds.
+    """
+    x = items.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    model = PCA(k=k, inputCol="features", outputCol="pca").fit(x)
+    loadings = np.abs(model.pc.toArray())
+    top = loadings.argmax(0)
+    rows = [(i, float(share), int(top[i]), float(loadings[top[i], i])) for i, share in enumerate(model.explainedVariance.toArray())]
+    return items.sparkSession.createDataFrame(rows, "component int, explained double, dimension int, loading double")
+
+
 def similarity(left: DataFrame, right: DataFrame, *, id: str = "vec_id", vector: str = "embedding", rows_per_block: int = 2048) -> DataFrame:
     """CL9: cosine similarity of each of ``left`` with each of ``right``, as ``(a, b, cosine)``; null where a vector is all zero.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -100,19 +101,60 @@ def tile_points(points: DataFrame, boxes: DataFrame, size: float, keys: Sequence
     return own.join(hidden, [*keys, id], "left_anti")
 
 
+class FreeTiles:
+    """Nearest free tile with deletion: free tiles counted on a pyramid of squares of 1, 2, 4, ... tiles."""
+
+    def __init__(self, tiles: np.ndarray):
+        self.counts: list[dict[tuple[int, int], int]] = []
+        self.start = tiles.min(0).tolist()  # numbers below zero would never be halved to one square
+        at = tiles.astype(np.int64) - self.start
+        while True:
+            cells, n = np.unique(at, axis=0, return_counts=True)
+            self.counts.append(dict(zip(map(tuple, cells.tolist()), n.tolist())))
+            if len(cells) <= 1:
+                return
+            at = at >> 1
+
+    def take(self, tx: int, ty: int) -> tuple[int, int] | None:
+        """The nearest tile that is left, which then is not; ties to the smaller (ty, tx). None if there is none."""
+        top = len(self.counts) - 1
+        tx, ty = tx - self.start[0], ty - self.start[1]
+        # by distance; squares come before tiles, so that all tiles at a distance are there when one is taken
+        heap = [(0, 0, y, x, top) for (x, y), n in self.counts[top].items() if n]
+        while heap:
+            _, tile, y, x, level = heapq.heappop(heap)
+            if tile:
+                for up, cells in enumerate(self.counts):
+                    cells[x >> up, y >> up] -= 1
+                return x + self.start[0], y + self.start[1]
+            if level == 0:
+                d = (x - tx) * (x - tx) + (y - ty) * (y - ty)
+                heapq.heappush(heap, (d, 1, y, x, 0))
+                continue
+            for i in (2 * x, 2 * x + 1):
+                for j in (2 * y, 2 * y + 1):
+                    if self.counts[level - 1].get((i, j)):
+                        size = 1 << (level - 1)
+                        dx, dy = max(i * size - tx, tx - (i + 1) * size + 1, 0), max(j * size - ty, ty - (j + 1) * size + 1, 0)
+                        heapq.heappush(heap, (dx * dx + dy * dy, 0, j, i, level - 1))
+        return None
+
+
 def paired_empty_tiles(occupied: DataFrame, empty: DataFrame, key: str = "image") -> DataFrame:
-    """SP15: for each occupied tile in tile order the nearest empty one that is left; one image's grid is a bounded group."""
+    """SP15: for each occupied tile in tile order (ty, tx) the nearest empty one that is left, ties to the first in tile order.
+
+    Each choice hangs on those before it, so an image is one group: its tiles,
+    not its pixels or pairs. A tile takes some steps down a pyramid of counts.
+    """
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(["ty", "tx"])
-        free = right.sort_values(["ty", "tx"])[["tx", "ty"]].to_numpy(float)
+        free = FreeTiles(right[["tx", "ty"]].to_numpy(np.int64)) if len(right) else None
         out = []
-        for tx, ty in left[["tx", "ty"]].to_numpy(float):
-            if not len(free):
+        for tx, ty in zip(left["tx"].tolist(), left["ty"].tolist()):
+            if free is None or (found := free.take(tx, ty)) is None:
                 break
-            i = int(np.argmin(((free - (tx, ty)) ** 2).sum(1)))
-            out.append((left[key].iloc[0], int(tx), int(ty), int(free[i, 0]), int(free[i, 1])))
-            free = np.delete(free, i, 0)
+            out.append((left[key].iloc[0], tx, ty, *found))
         return pd.DataFrame(out, columns=[key, "tx", "ty", "empty_tx", "empty_ty"])
 
     kind = occupied.schema[key].dataType.simpleString()

@@ -62,7 +62,7 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 def src6(v):
     """All labels as documents of bounded pages, of which each has the images that it names."""
     c = W.to_coco(with_polygons(v), BRANDS)
-    c = c.withColumn("page", W.pages(c))
+    c = W.paged(c)
     docs = c.groupBy("page").agg(
         F.collect_list(F.struct("id", "image_id", "category_id", "bbox", "segmentation", "area")).alias("annotations"),
         F.collect_set(F.struct(F.col("image_id").alias("id"), F.col("image_id").cast("string").alias("file_name"))).alias("images"),

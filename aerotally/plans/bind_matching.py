@@ -234,6 +234,15 @@ def _cells(table: str, r: float) -> str:
 _BOX_PAIRS = """p AS (SELECT a.image, a.id AS a, b.id AS b, (least(a.x2,b.x2)-greatest(a.x1,b.x1))*(least(a.y2,b.y2)-greatest(a.y1,b.y1)) AS area
   FROM boxes a JOIN boxes b ON a.image = b.image AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)"""
 
+
+
+def _image_cells(table: str, r: float) -> str:
+    """As :func:`_cells`, within images and with one number ``k`` for image and cell, so that there is one way to join."""
+    k = "(CAST(image AS BIGINT)*100000+CAST(floor(x/{r}) AS BIGINT){i})*100000+CAST(floor(y/{r}) AS BIGINT){j}"
+    return f"""home AS MATERIALIZED (SELECT image, id, x, y, {k.format(r=r, i='', j='')} AS k FROM {table}),
+      around AS MATERIALIZED (SELECT image, id, x, y, {k.format(r=r, i='+i', j='+j')} AS k FROM {table}, (SELECT unnest([-1, 0, 1]) AS i) di, (SELECT unnest([-1, 0, 1]) AS j) dj)"""
+
+
 BINDINGS = {
     "MT1": binding(mt1, f"{_M} SELECT * FROM m"),
     "MT2": binding(mt2, f"{_M} SELECT * FROM m"),
@@ -288,14 +297,14 @@ BINDINGS = {
     ),
     "SP9": binding(
         sp9,
-        f"""WITH gt AS (SELECT * FROM marks WHERE role='gt'), {_cells("gt", 8)}
-          SELECT a.image, a.id AS a, b.id AS b, {_PAIR} AS d2 FROM home a JOIN around b ON a.image=b.image AND a.cx=b.cx AND a.cy=b.cy AND a.id < b.id WHERE {_PAIR} > 0 AND {_PAIR} < 64""",
+        f"""WITH gt AS (SELECT * FROM marks WHERE role='gt'), {_image_cells("gt", 8)}
+          SELECT a.image, a.id AS a, b.id AS b, {_PAIR} AS d2 FROM home a JOIN around b ON a.k=b.k WHERE a.id < b.id AND {_PAIR} > 0 AND {_PAIR} < 64""",
     ),
     "SP10": binding(
         sp10,
-        f"""WITH gt AS (SELECT * FROM marks WHERE role='gt'), {_cells("gt", R)}, pred AS (SELECT *, floor(x/{R}) AS cx, floor(y/{R}) AS cy FROM marks WHERE role='pred'),
-          near AS (SELECT DISTINCT a.image, a.id FROM pred a JOIN around b ON a.image=b.image AND a.cx=b.cx AND a.cy=b.cy WHERE {_PAIR} <= {R * R})
-          SELECT p.image, p.id, p.species FROM pred p ANTI JOIN near USING (image, id)""",
+        f"""WITH gt AS (SELECT * FROM marks WHERE role='gt'), {_image_cells("gt", R)}, pred AS MATERIALIZED (SELECT image, id, species, x, y, (CAST(image AS BIGINT)*100000+CAST(floor(x/{R}) AS BIGINT))*100000+CAST(floor(y/{R}) AS BIGINT) AS k FROM marks WHERE role='pred'),
+          near AS (SELECT DISTINCT a.image*100000+a.id AS key FROM pred a JOIN around b ON a.k=b.k WHERE {_PAIR} <= {R * R})
+          SELECT p.image, p.id, p.species FROM pred p WHERE p.image*100000+p.id NOT IN (SELECT key FROM near)""",
     ),
     "SP11": binding(sp11, f"WITH {_BOX_PAIRS}, q AS (SELECT area, CASE a%3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS pa, CASE b%3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS pb FROM p) SELECT least(pa,pb) AS part_a, greatest(pa,pb) AS part_b, count(*) AS pairs, round(sum(area),3) AS area FROM q WHERE pa <> pb GROUP BY 1, 2"),
     "SP12": binding(sp12, """WITH t AS (SELECT *, floor(x/250) AS tx, floor(y/250) AS ty FROM marks WHERE x-floor(x/250)*250 > 0 AND y-floor(y/250)*250 > 0), n AS (SELECT a.image, a.tx, a.ty, a.id, min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d2 FROM t a JOIN t b ON a.image=b.image AND a.tx=b.tx AND a.ty=b.ty AND a.role='gt' AND b.role='pred' GROUP BY 1,2,3,4)

@@ -406,7 +406,17 @@ BINDINGS = {
     "JN9": binding(jn9, "WITH m AS (SELECT flight, round(avg(height),6) AS height FROM shots WHERE pitch < -45 GROUP BY 1) SELECT s.flight, count(*) AS n, max(m.height) AS height FROM shots s LEFT JOIN m ON s.flight=m.flight GROUP BY 1"),
     "TL14": binding(tl14, f"WITH {_TL10} SELECT species, count(*) AS points, count(DISTINCT image) AS images, count(DISTINCT image*10000+tx*100+ty) AS tiles FROM t10 WHERE species <> 'R' GROUP BY 1"),
     "TL15": binding(tl15, "SELECT id, greatest(0,x1-20) AS x1, greatest(0,y1-20) AS y1, least(1000,x2+20) AS x2, least(1000,y2+20) AS y2 FROM boxes"),
-    "SP15": binding(sp15),
+    "SP15": binding(
+        sp15,
+        """WITH RECURSIVE t AS (SELECT DISTINCT image, CAST(floor(x/128) AS BIGINT) AS tx, CAST(floor(y/128) AS BIGINT) AS ty FROM marks WHERE species='A' AND score > CAST(0.97 AS DOUBLE) AND x%128 > 0 AND y%128 > 0),
+          o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY ty, tx) AS i FROM t),
+          g AS (SELECT image, tx, ty FROM (SELECT DISTINCT image FROM marks) m, (SELECT unnest(generate_series(0,7)) AS tx) a, (SELECT unnest(generate_series(0,7)) AS ty) b),
+          e AS (SELECT image, tx, ty FROM g ANTI JOIN t USING (image, tx, ty)),
+          s(image, i, taken, last) AS (SELECT DISTINCT image, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(-1 AS BIGINT) FROM o
+            UNION ALL SELECT image, i+1, list_append(taken, best), best FROM (SELECT s.image, s.i, s.taken, min(((o.tx-e.tx)*(o.tx-e.tx)+(o.ty-e.ty)*(o.ty-e.ty))*64+e.ty*8+e.tx)%64 AS best
+              FROM s JOIN o ON o.image=s.image AND o.i=s.i+1 JOIN e ON e.image=s.image AND NOT list_contains(s.taken, e.ty*8+e.tx) GROUP BY 1, 2, 3) q)
+          SELECT o.image, o.tx, o.ty, last%8 AS empty_tx, last//8 AS empty_ty FROM s JOIN o ON o.image=s.image AND o.i=s.i""",
+    ),
     "FN9": binding(fn9, "WITH g AS (SELECT n_nationkey%20 AS image, min(n_nationkey) AS k FROM nation GROUP BY 1), p AS (SELECT id, k*100.0 AS ox, 5000.0+k AS oy, trunc((x1+3000-k*100.0)/0.25) AS c, trunc((y1-5000-k)/(-0.5)) AS r FROM boxes b JOIN g ON b.image=g.image) SELECT id, CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, CAST(ox+c*0.25 AS DOUBLE) AS wx, CAST(oy-r*0.5 AS DOUBLE) AS wy FROM p"),
     "FN11": binding(fn11, "SELECT n_nationkey, CASE WHEN n_nationkey%2=0 THEN 32600 ELSE 32700 END + n_nationkey%60+1 AS epsg FROM nation"),
     "FN12": binding(fn12, "SELECT id, x2-x1 AS w, y2-y1 AS h, (x2-x1)*(y2-y1) AS area, round((x2-x1)/(y2-y1),6) AS aspect FROM boxes"),
@@ -462,6 +472,7 @@ BINDINGS = {
     "CL5": binding(lambda v: C.embedding_clusters(v.embeddings, 8).select("vec_id", "label", "cluster", "majority", "correct", _R("confidence").alias("confidence"))),
     "CL6": binding(lambda v: C.misclassified(C.embedding_clusters(v.embeddings, 8))),
     "CL7": binding(lambda v: C.components(v.embeddings, 3)),
+    "CL7_contributions": binding(lambda v: C.contributions(v.embeddings, 3)),
     "CL9": binding(
         cl9,
         """WITH a AS (SELECT vec_id, generate_subscripts(embedding,1) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x*x)) AS n FROM a GROUP BY 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from aerotally.operators import ranking
 from aerotally.operators.spatial import polygon_area
+from aerotally.plans.storage import materialise
 
 
 #: Features or labels that one nested document holds at most, on average.
@@ -19,10 +20,15 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ranking.dense_ids(df, column, name), column, "left")
 
 
-def pages(df: DataFrame, per_page: int = PER_DOCUMENT) -> Column:
-    """A page number for each row that leaves about ``per_page`` rows to a page, however the rows' values repeat."""
-    n = max(1, -(-df.count() // per_page))
-    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+def paged(df: DataFrame, name: str = "page", per_page: int = PER_DOCUMENT) -> DataFrame:
+    """``df`` with a page number for each row that leaves about ``per_page`` rows to a page, however the rows' values repeat.
+
+    The rows are written first, as only rows of files come in the same order
+    when a task runs again.
+    """
+    written = materialise(df, "paged")
+    n = max(1, -(-written.count() // per_page))
+    return written.withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
 
 
 def write_geojson(points: DataFrame, path: str, properties: Sequence[str]) -> None:
@@ -40,8 +46,7 @@ def write_feature_collections(points: DataFrame, path: str, properties: Sequence
     """SNK1: FeatureCollection documents, one per value of ``by`` and page of its points."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))
-    paged = points.withColumn("_page", pages(points, per_document))
-    docs = paged.groupBy(by, "_page").agg(F.collect_list(feature).alias("features"))
+    docs = paged(points, "_page", per_document).groupBy(by, "_page").agg(F.collect_list(feature).alias("features"))
     write_documents(docs.select(by, F.lit("FeatureCollection").alias("type"), "features"), path, by)
 
 
