@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aerotally.operators.quantiles import grouped_quantiles
-from aerotally.operators.ranking import numbers_within, running_sums
+from aerotally.operators.ranking import numbers_within, row_numbers, running_sums
 
 
 def dense_counts(marks: DataFrame, image: str = "image", user: str = "user_name") -> DataFrame:
@@ -144,3 +144,12 @@ def compacted(rows: DataFrame, key: str, order: str, values: str, per_list: int)
     """AGG21, AGG33: the arrays of a key's rows one after another in order, as ``(key, page, all)`` with ``per_list`` rows in each list."""
     numbered = numbers_within(rows, [key], [F.col(order)], "_n").withColumn("page", F.floor(F.col("_n") / per_list))
     return numbered.groupBy(key, "page").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_n", values))), lambda s: s[values])).alias("all"))
+
+
+def method_ranks(errors: DataFrame, names: Sequence[str] = ("user_name", "method")) -> DataFrame:
+    """CF9: places of the methods by MAE, RMSE and R2 (ties by name); errors are a row per user and method."""
+    by = {"by_mae": F.col("mae"), "by_rmse": F.col("rmse"), "by_r2": F.desc("r2")}
+    out = errors.select(*names, "mae", "rmse", "r2")
+    for place, order in by.items():
+        out = row_numbers(out, [order, *[F.col(n) for n in names]], place).withColumn(place, F.col(place) + 1)
+    return out.select(*names, *by)

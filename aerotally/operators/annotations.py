@@ -191,3 +191,67 @@ def majority_class(images: DataFrame, labels: DataFrame) -> DataFrame:
     n = labels.groupBy("image", "class").agg(F.count("*").alias("n"), F.min("label").alias("first"))
     top = n.groupBy("image").agg(F.max_by("class", F.struct("n", -F.col("first"))).alias("class"))
     return images.select("image").distinct().join(top, "image", "left").fillna("empty", ["class"])
+
+
+def above(predictions: DataFrame, threshold: float, score: str = "score", *, inclusive: bool = False) -> DataFrame:
+    """FIL23: rows whose score is above the threshold, or at it with ``inclusive``, as curves take it."""
+    return predictions.where(F.col(score) >= threshold if inclusive else F.col(score) > threshold)
+
+
+def complete(predictions: DataFrame, required: Sequence[str] = ("score", "x", "y")) -> DataFrame:
+    """FIL24: rows that lack none of the required values."""
+    return predictions.dropna(subset=list(required))
+
+
+def verified_points(points: DataFrame, *, species: str = "species", defaults: dict[str, object] | None = None) -> DataFrame:
+    """FIL25: rows with a species that isn't blank; missing columns and null values get their defaults (score and labels 1)."""
+    out = points.where(F.col(species).isNotNull() & (F.trim(species) != ""))
+    for column, value in (defaults or {"score": 1.0, "labels": 1}).items():
+        out = out.withColumn(column, F.coalesce(F.col(column), F.lit(value)) if column in out.columns else F.lit(value))
+    return out
+
+
+def stale_folders(folders: DataFrame, folder: str = "folder", century: str = "20") -> DataFrame:
+    """FIL26: folders whose name ends in a date of six digits (ddmmyy), with ``renamed``, the same with a year of four."""
+    date = F.element_at(F.split(folder, "_"), -1)
+    stale = folders.where(date.rlike(r"^\d{6}$"))
+    start = F.expr(f"substring(`{folder}`, 1, length(`{folder}`) - 2)")
+    return stale.withColumn("renamed", F.concat(start, F.lit(century), F.substring(date, 5, 2)))
+
+
+def attributes(rows: DataFrame, json: str, kinds: dict[str, str]) -> DataFrame:
+    """SET9: keys of a flat JSON object as columns of the given types; absent keys are null."""
+    out = rows.withColumn("_attributes", F.from_json(F.col(json), "map<string,string>"))
+    return out.withColumns({key: F.col("_attributes")[key].try_cast(kind) for key, kind in kinds.items()}).drop("_attributes")
+
+
+def repeated_ids(rows: DataFrame, id: str) -> DataFrame:
+    """SET9: ids that more than one row has, with their number of rows."""
+    return rows.groupBy(id).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def routed_labels(tiles: DataFrame, crops: DataFrame, reference: DataFrame, predictions: DataFrame, *, tile: str = "tile", id: str = "label") -> DataFrame:
+    """JN5: labels of tiles in the frame of their parent image, with where they go.
+
+    ``crops`` has the offset (ox, oy) of each tile, none counting as 0. A label
+    that the reference doesn't have is to ``add``, one that was predicted to
+    ``shift``, any other to ``ignore``.
+    """
+    known = reference.select(id).distinct().withColumn("_known", F.lit(True))
+    predicted = predictions.select(id).distinct().withColumn("_predicted", F.lit(True))
+    j = tiles.join(crops.select(tile, "ox", "oy"), tile, "left").join(known, id, "left").join(predicted, id, "left")
+    route = F.when(F.col("_known").isNull(), "add").when(F.col("_predicted"), "shift").otherwise("ignore")
+    moved = {"x": F.col("x") + F.coalesce("ox", F.lit(0.0)), "y": F.col("y") + F.coalesce("oy", F.lit(0.0)), "route": route}
+    return j.withColumns(moved).drop("ox", "oy", "_known", "_predicted")
+
+
+def with_hard_negatives(corrected: DataFrame, labels: DataFrame, false_positives: DataFrame, *, id: str = "label", cls: str = "class", name: str = "hard_negative") -> DataFrame:
+    """JN7: the corrected labels, and those of ``labels`` that are listed as false positives with their class rewritten."""
+    wrong = labels.join(false_positives.select(id).distinct(), id, "left_semi").withColumn(cls, F.lit(name))
+    return corrected.select(id, cls).unionByName(wrong.select(id, cls))
+
+
+def inventory(labels: DataFrame, splits: Sequence[str], *, name: str = "name", split: str = "split") -> DataFrame:
+    """AGG30: labels by iteration (the digits after ``_il_`` in the dataset's name, else empty) and split, 0 where there are none."""
+    iteration = F.regexp_extract(name, "_il_([0-9]+)", 1)
+    return labels.groupBy(iteration.alias("iteration")).pivot(split, list(splits)).count().fillna(0)

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aerotally.functions.draws import drawn
+from aerotally.functions.polygons import clipped
 from aerotally.operators.ranking import numbers_within
-from aerotally.operators.spatial import range_join
+from aerotally.operators.spatial import polygon_area, range_join
 from aerotally.plans.storage import materialise
 
 
@@ -173,6 +174,51 @@ def padded_box(x1: Column, y1: Column, x2: Column, y2: Column, pad: float, width
     return F.greatest(F.lit(0.0), x1 - pad), F.greatest(F.lit(0.0), y1 - pad), F.least(width, x2 + pad), F.least(height, y2 + pad)
 
 
+def box_in_crop(x1: Column, y1: Column, x2: Column, y2: Column, crop: tuple[float, float, float, float]) -> tuple[Column, ...]:
+    """FN19: a box in the frame of a crop (x1, y1, x2, y2): clipped to it, null where they don't meet."""
+    a, b, c, d = (F.lit(float(v)) for v in crop)
+    meets = (x1 < c) & (x2 > a) & (y1 < d) & (y2 > b)
+    cut = lambda v, lo, hi: F.when(meets, F.least(F.greatest(v, lo), hi) - lo)
+    return cut(x1, a, c), cut(y1, b, d), cut(x2, a, c), cut(y2, b, d)
+
+
+def point_in_crop(x: Column, y: Column, crop: tuple[float, float, float, float]) -> tuple[Column, Column]:
+    """FN19: a point in the frame of a crop, null outside."""
+    a, b, c, d = (F.lit(float(v)) for v in crop)
+    inside = (x >= a) & (x < c) & (y >= b) & (y < d)
+    return F.when(inside, x - a), F.when(inside, y - b)
+
+
+def planned_name(island: Column, folder: Column, old: Column) -> Column:
+    """FN22: ``island_site_DJI_nnnn_ddmmyyyy.JPG`` from a folder ``site_ddmmyyyy`` and any name that holds ``DJI_nnnn``; null without it."""
+    part, shot = F.split(folder, "_"), F.regexp_extract(old, r"(DJI_\d{4})", 1)
+    return F.when(shot != "", F.concat(island, F.lit("_"), F.element_at(part, 1), F.lit("_"), shot, F.lit("_"), F.element_at(part, 2), F.lit(".JPG")))
+
+
+def balanced_tiles(tiles: DataFrame, points: DataFrame, size: float, buffer: float, most: int, keys: Sequence[str] = ("image",)) -> DataFrame:
+    """TL7: a tile around each place that holds a point, and at most ``most`` empty tiles per key, told apart by ``has_object``."""
+    places = points.dropDuplicates([*keys, "x", "y"])
+    full = object_tiles(places, size, keys=keys).select(*keys, "tx1", "ty1", F.lit(True).alias("has_object"))
+    free = empty_tiles(tiles, places, buffer, list(keys), most=most).select(*keys, "tx1", "ty1", F.lit(False).alias("has_object"))
+    return full.unionByName(free)
+
+
+def tile_polygons(labels: DataFrame, size: float, ring: str = "ring") -> DataFrame:
+    """TL12: polygons (with their box x1, y1, x2, y2) cut to the tiles that they meet, in the tile's frame, with their ``area``."""
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    laid = labels.withColumn("tx", F.explode(F.sequence(at("x1"), at("x2")))).withColumn("ty", F.explode(F.sequence(at("y1"), at("y2"))))
+    edge = lambda c, d: ((F.col(c) + d) * size).cast("double")
+    cut = laid.withColumn(ring, clipped(F.col(ring), edge("tx", 0), edge("ty", 0), edge("tx", 1), edge("ty", 1))).where(F.col(ring).isNotNull())
+    return cut.withColumn("area", polygon_area(F.col(ring))).where("area > 0")
+
+
+def tile_labels(boxes: DataFrame, points: DataFrame, size: float, keys: Sequence[str] = ("image",)) -> DataFrame:
+    """TL13: how many boxes and points an image's tiles hold, together."""
+    b = tile_boxes(boxes, size, keys).groupBy(*keys).agg(F.count("*").alias("boxes"))
+    p = tile_points(points, boxes, size, keys).groupBy(*keys).agg(F.count("*").alias("points"))
+    return b.join(p, list(keys), "full_outer").fillna(0, ["boxes", "points"])
+
+
 def stratified_split(items: DataFrame, cls: str, id: str, ratio: float, *, cap: int | None = None, total: int | None = None, seed: int = 9) -> DataFrame:
     """SPL1: train and val by class in seeded order; at most min(cap, total // classes) of a class, int(n * ratio) of them train."""
     limit = F.lit(1 << 60) if cap is None else F.lit(cap)

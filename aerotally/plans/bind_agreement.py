@@ -135,9 +135,7 @@ def cf7(v):
 
 
 def cf9(v):
-    e = cf6(v)
-    rank = lambda *c: F.row_number().over(Window.orderBy(*c, "user_name", "method")).cast("long")
-    return e.select("user_name", "method", rank("mae").alias("by_mae"), rank("rmse").alias("by_rmse"), rank(F.desc("r2")).alias("by_r2"))
+    return G.method_ranks(cf6(v))
 
 
 def cf10(v):

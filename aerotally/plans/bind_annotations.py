@@ -56,19 +56,17 @@ def fil15(v):
 
 def fil24(v):
     p = v.marks.withColumn("score", F.when(F.col("id") % 5 == 0, None).otherwise(F.col("score"))).withColumn("x", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("x")))
-    return p.dropna(subset=["score", "x", "y"]).select("image", "id")
+    return A.complete(p).select("image", "id")
 
 
 def fil25(v):
     p = v.marks.withColumn("species", F.when(F.col("id") % 6 == 0, " ").otherwise(F.col("species")))
-    return p.where("species is not null and trim(species) <> ''").withColumn("score", F.coalesce("score", F.lit(1.0))).withColumn("labels", F.lit(1)).select("image", "id", "species", "labels")
+    return A.verified_points(p).select("image", "id", "species", "labels")
 
 
 def fil26(v):
     names = v.shots.select("shot", F.concat(F.lit("FEC"), F.lpad(F.col("flight") % 100, 2, "0"), F.lit("_"), F.date_format("ts", "ddMM"), F.when(F.col("shot") % 2 == 0, "23").otherwise("2023")).alias("folder"))
-    date = F.element_at(F.split("folder", "_"), -1)
-    fixed = F.concat(F.substring(date, 1, 4), F.lit("20"), F.substring(date, 5, 2))
-    return names.where(F.length(date) == 6).select("shot", F.concat_ws("_", F.element_at(F.split("folder", "_"), 1), fixed).alias("folder"))
+    return A.stale_folders(names).select("shot", F.col("renamed").alias("folder"))
 
 
 def versions(v):
@@ -83,12 +81,10 @@ _VERSIONS = """old AS (SELECT image*100+label AS label, x1 AS x, y1 AS y, class
 
 
 def jn5(v):
-    """Tile labels back to their parents: offset added, routed by presence in reference and prediction."""
     old, new = versions(v)
-    tiles = new.withColumn("ox", (F.col("label") % 4 * 1000).cast("double"))
-    pred = old.where("label % 3 = 0").select("label", F.lit(True).alias("p"))
-    j = tiles.join(old.select("label", F.lit(True).alias("o")), "label", "left").join(pred, "label", "left")
-    return j.select("label", (F.col("x") + F.col("ox")).alias("x"), F.when(F.col("o").isNull(), "add").when(F.col("p"), "shift").otherwise("ignore").alias("route"))
+    tiles = new.withColumn("tile", F.col("label") % 4)
+    crops = v.spark.range(4).select(F.col("id").alias("tile"), (F.col("id") * 1000).cast("double").alias("ox"), F.lit(0.0).alias("oy"))
+    return A.routed_labels(tiles, crops, old, old.where("label % 3 = 0")).select("label", "x", "route")
 
 
 def jn6(v):
@@ -99,8 +95,7 @@ def jn6(v):
 
 def jn7(v):
     old, new = versions(v)
-    fp = old.where("label % 17 = 0").select("label")
-    return new.select("label", "class").unionByName(old.join(fp, "label", "left_semi").select("label", F.lit("hard_negative").alias("class")))
+    return A.with_hard_negatives(new, old, old.where("label % 17 = 0"))
 
 
 def jn12(v):
@@ -176,8 +171,7 @@ def set8(v):
 
 
 def set9(v):
-    p = v.events.select("event_id", F.from_json("props", "map<string,string>").alias("m"))
-    return p.select("event_id", F.col("m")["k"].cast("long").alias("k"))
+    return A.attributes(v.events, "props", {"k": "long"}).select("event_id", "k")
 
 
 def set10(v):
@@ -226,8 +220,7 @@ def agg29(v):
 
 def agg30(v):
     name = F.concat_ws("_", F.col("dataset"), F.when(F.col("image") % 3 == 0, F.concat(F.lit("il_"), F.col("image") % 5)))
-    it = F.regexp_extract("name", "_il_([0-9]+)", 1)
-    return v.annotations.withColumn("name", name).groupBy(it.alias("iteration")).pivot("status", ["F", "O", "P"]).count().fillna(0)
+    return A.inventory(v.annotations.withColumn("name", name), ["F", "O", "P"], split="status")
 
 
 def agg33(v):
@@ -277,7 +270,7 @@ BINDINGS = {
     "FIL15": binding(fil15, f"WITH {_IMAGES}, m AS (SELECT image FROM annotations WHERE class='N' GROUP BY 1 HAVING count(*) > 2) SELECT dataset, count(*) AS images FROM images WHERE image IN (SELECT image FROM m) GROUP BY 1 HAVING count(*) > 5"),
     "FIL16": binding(lambda v: A.inside_margin(v.annotations, 512).select("image", "label"), "SELECT image, label FROM annotations WHERE x1+w/2 > 256 AND x1+w/2 < image_width-256 AND y1+h/2 > 256 AND y1+h/2 < image_height-256"),
     "FIL17": binding(lambda v: A.sane(v.annotations).select("image", "label"), "SELECT image, label FROM annotations WHERE x1+w/2 >= 0 AND x1+w/2 < image_width AND y1+h/2 >= 0 AND y1+h/2 < image_height"),
-    "FIL23": binding(lambda v: v.marks.where("role = 'pred' and score > 0.9").select("image", "id"), "SELECT image, id FROM marks WHERE role='pred' AND score > CAST(0.9 AS DOUBLE)"),
+    "FIL23": binding(lambda v: A.above(v.marks.where("role = 'pred'"), 0.9).select("image", "id"), "SELECT image, id FROM marks WHERE role='pred' AND score > CAST(0.9 AS DOUBLE)"),
     "FIL24": binding(fil24, "SELECT image, id FROM marks WHERE id%5<>0 AND id%7<>0"),
     "FIL25": binding(fil25, "SELECT image, id, species, 1 AS labels FROM marks WHERE id%6<>0"),
     "FIL26": binding(fil26, "SELECT shot, concat('FEC', lpad(CAST(flight%100 AS VARCHAR),2,'0'), '_', strftime(ts,'%d%m'), '2023') AS folder FROM shots WHERE shot%2=0"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerotally.functions import polygons as P
-from aerotally.operators import matching as M, pixels as X, spatial as S
+from aerotally.operators import matching as M, pixels as X, spatial as S, tiling as T
 from aerotally.plans.bind_matching import _M, matches
 from aerotally.plans.storage import fresh_dir
 from aerotally.plans.views import binding
@@ -249,12 +249,7 @@ def fn20(v):
 
 
 def tl12(v):
-    """Polygons cut to the tiles that they meet."""
-    at = lambda c: F.floor(F.col(c) / 256).cast("long")
-    laid = rings(v).withColumn("tx", F.explode(F.sequence(at("x1"), at("x2")))).withColumn("ty", F.explode(F.sequence(at("y1"), at("y2"))))
-    f = lambda c, d: (F.col(c) * 256 + d).cast("double")
-    c = P.clipped(F.col("ring"), f("tx", 0), f("ty", 0), f("tx", 256), f("ty", 256))
-    return laid.select("label", "tx", "ty", c.alias("ring")).where("ring is not null").select("label", "tx", "ty", _R(S.polygon_area(F.col("ring")), 3).alias("area")).where("area > 0")
+    return T.tile_polygons(rings(v), 256.0).select("label", "tx", "ty", _R("area", 3).alias("area"))
 
 
 def pix1(v):

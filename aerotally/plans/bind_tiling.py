@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerotally.functions.draws import drawn_sql
-from aerotally.operators import clustering as C, density as D, flights as L, graph, matching as M, spatial as S, tiling as T
-from aerotally.plans.bind_matching import _M, _RATES, _ROLES, R, _greedy, matches, sides
+from aerotally.operators import clustering as C, density as D, graph, matching as M, spatial as S, tiling as T
+from aerotally.plans.bind_matching import _M, _RATES, R, _greedy, matches, sides
 from aerotally.plans.views import binding
 
 _R = lambda c, n=6: F.round(c, n)
@@ -58,10 +58,7 @@ def tl6(v):
 
 
 def tl7(v):
-    points = v.marks.where("role = 'gt' and species = 'R'").dropDuplicates(["image", "x", "y"])
-    full = T.object_tiles(points, 64.0).select("image", "tx1", "ty1", F.lit(True).alias("has_object"))
-    free = T.empty_tiles(grid_of_images(v), points, 8.0, ["image"], most=20).select("image", "tx1", "ty1", F.lit(False).alias("has_object"))
-    return full.unionByName(free)
+    return T.balanced_tiles(grid_of_images(v), v.marks.where("role = 'gt' and species = 'R'"), 64.0, 8.0, 20)
 
 
 def tl8(v):
@@ -84,10 +81,7 @@ def tl11(v):
 
 
 def tl13(v):
-    """Boxes and points of an image together, with how many of each kind its tiles hold."""
-    b = T.tile_boxes(v.boxes, 256.0).groupBy("image").agg(F.count("*").alias("boxes"))
-    p = T.tile_points(v.marks.where("role = 'gt'"), v.boxes, 256.0).groupBy("image").agg(F.count("*").alias("points"))
-    return b.join(p, "image", "full_outer").fillna(0)
+    return T.tile_labels(v.boxes, v.marks.where("role = 'gt'"), 256.0)
 
 
 def jn8(v):
@@ -153,10 +147,9 @@ def fn16(v):
 
 
 def fn19(v):
-    """Boxes in the frame of the crop (100, 100, 600, 500): clipped, null when outside."""
-    cut = lambda c, lo, hi: F.least(F.greatest(F.col(c), F.lit(float(lo))), F.lit(float(hi))) - lo
-    meets = (F.col("x1") < 600) & (F.col("x2") > 100) & (F.col("y1") < 500) & (F.col("y2") > 100)
-    return v.boxes.select("id", *[F.when(meets, cut(c, lo, hi)).alias(c) for c, lo, hi in (("x1", 100, 600), ("y1", 100, 500), ("x2", 100, 600), ("y2", 100, 500))])
+    names = ("x1", "y1", "x2", "y2")
+    cut = T.box_in_crop(*[F.col(c) for c in names], (100, 100, 600, 500))
+    return v.boxes.select("id", *[c.alias(n) for c, n in zip(cut, names)])
 
 
 def fn21(v):
@@ -172,8 +165,7 @@ def fn11(v):
 
 def fn22(v):
     names = v.shots.select("shot", F.concat(F.lit("FEC0"), F.col("flight") % 9, F.lit("_21012023")).alias("folder"), F.when(F.col("shot") % 3 == 0, F.format_string("DJI_%04d.JPG", F.col("shot") % 10000)).when(F.col("shot") % 3 == 1, F.format_string("Fer_FEC01_DJI_%04d_21012023_condor.JPG", F.col("shot") % 10000)).otherwise(F.format_string("Fer_FEC01_DJI_%04d_21012023.JPG", F.col("shot") % 10000)).alias("old"))
-    part = F.split("folder", "_")
-    return names.select("shot", F.concat(F.lit("Fer_"), F.element_at(part, 1), F.lit("_"), F.regexp_extract("old", r"(DJI_\d{4})", 1), F.lit("_"), F.element_at(part, 2), F.lit(".JPG")).alias("name"))
+    return names.select("shot", T.planned_name(F.lit("Fer"), F.col("folder"), F.col("old")).alias("name"))
 
 
 def fn23(v):
