@@ -292,12 +292,29 @@ def plan_records(pages: DataFrame, *, page_id: str = "page_id", url: str = "url"
     return warm.unionByName(rest)
 
 
+#: Spark's names of stores that pyarrow calls otherwise; those it has under the same name need none.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A folder's or file's URI as pyarrow names it; a store that it doesn't know raises when it is opened."""
+    scheme, found, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}" if found else uri
+
+
+def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    try:
+        return pafs.FileSystem.from_uri(arrow_uri(uri))
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"archives can't be kept at {uri}: pyarrow has no file system for it; set spark.checkpoint.dir to one that it has (file, hdfs, s3, gs, abfs)") from e
+
+
 def write_archives(records: DataFrame, folder: str | None = None, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write planned records below ``folder``; the manifest ``(archive, size, n_records)`` of what was committed."""
     folder = folder or fresh_dir(records.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = _file_system(folder)
         made: list[tuple[str, int, int]] = []
         writer = None
         for batch in batches:
@@ -325,7 +342,7 @@ def read_archives(manifest: DataFrame, *, with_payload: bool = True) -> DataFram
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                fs, path = pafs.FileSystem.from_uri(uri)
+                fs, path = _file_system(uri)
                 with fs.open_input_file(path) as f:
                     ranges = list(archive_index(f, size))
                 for at in range(0, len(ranges), 8192):
@@ -345,7 +362,7 @@ def read_archives(manifest: DataFrame, *, with_payload: bool = True) -> DataFram
                 stop = at
                 while stop < len(wanted) and wanted[stop][0] == uri and (stop == at or wanted[stop][1] + wanted[stop][2] - start <= RANGE_BYTES):
                     stop += 1
-                fs, path = pafs.FileSystem.from_uri(uri)
+                fs, path = _file_system(uri)
                 with fs.open_input_file(path) as f:
                     f.seek(start)
                     data = f.read(wanted[stop - 1][1] + wanted[stop - 1][2] - start)

@@ -136,3 +136,11 @@ def test_damage_raises():
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert zw.read_archives(zw.write_archives(zw.plan_records(df))).count() == 0
+
+
+def test_stores_are_opened_by_their_arrow_names(tmp_path):
+    assert zw.arrow_uri("s3a://b/x.wacz") == "s3://b/x.wacz" and zw.arrow_uri("wasbs://c@a/x") == "abfss://c@a/x"
+    assert zw.arrow_uri("hdfs://n:1/x") == "hdfs://n:1/x" and zw.arrow_uri("/a/b") == "/a/b" and zw.arrow_uri("file:/a") == "file:/a"
+    assert zw._file_system(f"file://{tmp_path}")[1] == str(tmp_path)
+    with pytest.raises(ValueError, match="dbfs"):
+        zw._file_system("dbfs:/x")
