@@ -97,14 +97,28 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTES_AT_ONCE = 1 << 20
 
 
+def _after_space(raw: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on that follows white space, or the end: no word is cut there."""
+    while at < len(raw):
+        space = np.flatnonzero(_IS_SPACE[raw[at - 1 : at - 1 + _BYTES_AT_ONCE]])
+        if len(space):
+            return at + int(space[0])
+        at += _BYTES_AT_ONCE
+    return len(raw)
+
+
 def ngrams(text: bytes | None) -> np.ndarray:
     """Roots of the shares of the hash buckets, first of character trigrams and then of words, lower-cased."""
     raw = np.frombuffer((text or b"").lower(), np.uint8)
     tri, word = np.zeros(TRIGRAMS), np.zeros(WORDS)
-    for at in range(0, len(raw), _BYTES_AT_ONCE):
-        part = raw[at : at + _BYTES_AT_ONCE].astype(np.uint32)
+    at = 0
+    while at < len(raw):
+        end = _after_space(raw, at + _BYTES_AT_ONCE)
+        part = raw[max(0, at - 2) : end].astype(np.uint32)  # trigrams go on from the slice before
         if len(part) > 2:
             tri += np.bincount(((part[:-2] * 0x1F123BB5 + part[1:-1] * 0x5B9CA8F7 + part[2:] * 0x2545F491) >> 16) % TRIGRAMS, minlength=TRIGRAMS)
+        part = part[at - max(0, at - 2) :]
+        at = end
         gap = _IS_SPACE[part]
         starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
         if len(starts):

@@ -153,3 +153,13 @@ def test_nth_is_exact(spark):
     v = [random.Random(1).choice([0.1, 0.25, -3e9, 7e-12, 4.0]) for _ in range(50)] + [k / 7 for k in range(300)]
     df = spark.createDataFrame([(x,) for x in v], "z double")
     assert [pr.nth(df, n) for n in (0, 30, 349)] == [sorted(v)[n] for n in (0, 30, 349)]
+
+
+def test_slices_cut_no_word_and_no_trigram(monkeypatch):
+    r = random.Random(12)
+    texts = [b"", b"a", b"ab c", b"word " * 50, b"x" * 300, bytes(r.choice(b"abc \n\xc3\xa9") for _ in range(2000))]
+    whole = [pr.ngrams(t) for t in texts]
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(pr, "_BYTES_AT_ONCE", size)
+        for t, want in zip(texts, whole):
+            assert (pr.ngrams(t) == want).all()
