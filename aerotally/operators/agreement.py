@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aerotally.operators.quantiles import grouped_quantiles
@@ -153,3 +155,10 @@ def method_ranks(errors: DataFrame, names: Sequence[str] = ("user_name", "method
     for place, order in by.items():
         out = row_numbers(out, [order, *[F.col(n) for n in names]], place).withColumn(place, F.col(place) + 1)
     return out.select(*names, *by)
+
+
+def expert_forest(pairs: DataFrame, users: Sequence[str], *, trees: int = 20, depth: int = 5, seed: int = 7) -> DataFrame:
+    """CF8: ``(image, ref, prediction)``, the reference count by a random forest on the users' counts; a user without a count has 0."""
+    wide = pairs.groupBy("image", "ref").pivot("user_name", list(users)).agg(F.first("n")).fillna(0)
+    x = VectorAssembler(inputCols=list(users), outputCol="features").transform(wide.withColumn("label", F.col("ref").cast("double")))
+    return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(x).transform(x).select("image", "ref", "prediction")

@@ -253,25 +253,60 @@ def hold_out(items: DataFrame, n: int, id: str, *, seed: int = 9) -> DataFrame:
     return items.orderBy(drawn(seed, id), id).limit(n)
 
 
-def background_points(images: DataFrame, positives: DataFrame, n: int, margin: float, distance: float, *, attempts: int = 20, seed: int = 5, strict: bool = False) -> DataFrame:
-    """NEG3: per image the first n of ``n * attempts`` seeded random points inside the margin that keep away from every positive, with ``n_free``, how many of them did.
+#: Levels at which space is quartered to find what is free, and draws in a level for each point that is missing.
+FREE_LEVELS, DRAWS_PER_POINT = (3, 5, 7, 9), 4
+
 
-    An image with ``n_free`` below n has fewer points, one without a free place
-    none; ``strict`` raises where that is so.
+def background_points(images: DataFrame, positives: DataFrame, n: int, margin: float, distance: float, *, attempts: int = 20, seed: int = 5, strict: bool = False) -> DataFrame:
+    """NEG3: per image n seeded random points inside the margin that keep away from every positive; ``try`` numbers the draws.
+
+    The first n free ones of ``n * attempts`` draws over the whole frame. Images
+    that lack points after that go on in the squares of ever finer grids that no
+    positive covers as a whole, as many draws a level as points are missing
+    times DRAWS_PER_POINT: a draw takes a square, then a place in it, so points
+    stay uniform over what is free. An image whose last squares are all covered,
+    or nearly so, has fewer points (``n_free`` says how many); ``strict`` raises
+    where that is so.
     """
-    tries = images.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(n * attempts - 1))))
+    seen = positives.select("image", F.col("x").alias("r_x"), F.col("y").alias("r_y"))
+
+    def free(tries: DataFrame) -> DataFrame:
+        a = tries.select("image", "try", F.col("x").alias("l_x"), F.col("y").alias("l_y"))
+        return tries.join(range_join(a, seen, distance, ["image"]).select("image", "try").distinct(), ["image", "try"], "left_anti")
+
+    def first(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("image")  # a bounded number of draws for each image
+        return found.withColumn("_n", F.row_number().over(w.orderBy("try"))).withColumn("n_free", F.count("*").over(w)).where(F.col("_n") <= n).drop("_n")
+
+    roomy = images.where((F.col("image_width") > 2 * margin) & (F.col("image_height") > 2 * margin))
+    tries = roomy.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(n * attempts - 1))))
     at = lambda c, s: F.lit(margin) + drawn(seed + s, "image", "try") * (F.col(c) - 2 * margin)
-    tries = tries.withColumn("x", at("image_width", 0)).withColumn("y", at("image_height", 1))
-    a = tries.select("image", "try", F.col("x").alias("l_x"), F.col("y").alias("l_y"))
-    near = range_join(a, positives.select("image", F.col("x").alias("r_x"), F.col("y").alias("r_y")), distance, ["image"]).select("image", "try").distinct()
-    w = Window.partitionBy("image")  # n * attempts rows at most
-    free = tries.join(near, ["image", "try"], "left_anti").withColumn("_n", F.row_number().over(w.orderBy("try"))).withColumn("n_free", F.count("*").over(w))
-    found = free.where(F.col("_n") <= n).drop("_n")
+    found = materialise(first(free(tries.withColumn("x", at("image_width", 0)).withColumn("y", at("image_height", 1)))), "background-points")
+    start = n * attempts
+    for level in FREE_LEVELS:
+        got = found.groupBy("image").agg(F.count("*").alias("_got"))
+        short = materialise(roomy.join(got, "image", "left").withColumn("_missing", n - F.coalesce("_got", F.lit(0))).where("_missing > 0"), "background-short")
+        if short.isEmpty():
+            break
+        cells = 1 << level
+        side = lambda c: (F.col(c) - 2 * margin) / cells
+        grid = short.select("image", side("image_width").alias("_w"), side("image_height").alias("_h"), F.explode(F.sequence(F.lit(0), F.lit(cells * cells - 1))).alias("_cell"))
+        grid = grid.withColumns({"_x": F.lit(margin) + F.floor(F.col("_cell") / cells) * F.col("_w"), "_y": F.lit(margin) + F.col("_cell") % cells * F.col("_h")})
+        # a positive covers a square if its middle is so near that the corners are too near
+        middles = grid.select("image", "_cell", (F.col("_x") + F.col("_w") / 2).alias("l_x"), (F.col("_y") + F.col("_h") / 2).alias("l_y"), (F.sqrt(F.col("_w") * F.col("_w") + F.col("_h") * F.col("_h")) / 2).alias("_half"))
+        covered = range_join(middles, seen, distance, ["image"]).where(F.sqrt("d2") + F.col("_half") <= distance).select("image", "_cell").distinct()
+        left = numbers_within(grid.join(covered, ["image", "_cell"], "left_anti"), ["image"], [F.col("_cell")], "_at", "_cells")
+        size = left.groupBy("image").agg(F.first("_cells").alias("_cells"))
+        more = short.join(size, "image").withColumn("try", F.explode(F.expr(f"sequence({start}, {start} + _missing * {DRAWS_PER_POINT} * {level * level} - 1)")))
+        more = more.withColumn("_at", F.floor(drawn(seed + 2, "image", "try") * F.col("_cells"))).join(left.select("image", "_at", "_x", "_y", "_w", "_h"), ["image", "_at"])
+        more = more.withColumn("x", F.col("_x") + drawn(seed, "image", "try") * F.col("_w")).withColumn("y", F.col("_y") + drawn(seed + 1, "image", "try") * F.col("_h"))
+        more = free(more.select(*images.columns, "try", "x", "y"))
+        found = materialise(first(found.drop("n_free").unionByName(more)), "background-points")
+        start += n * DRAWS_PER_POINT * level * level
     if strict:
-        found = materialise(found, "background-points")
-        full = found.where(F.col("n_free") >= n).select("image").distinct().count()
-        if short := images.select("image").distinct().count() - full:
-            raise ValueError(f"{short} images have fewer than {n} free points in {n * attempts} tries")
+        full = found.groupBy("image").agg(F.count("*").alias("_got")).where(F.col("_got") >= n).count()
+        if lacking := images.select("image").distinct().count() - full:
+            raise ValueError(f"{lacking} images have fewer than {n} free points")
     return found
 
 

@@ -145,12 +145,7 @@ def cf10(v):
 
 
 def cf8(v):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    wide = pairs(v).groupBy("image", "ref").pivot("user_name", ["A0", "A1", "N0", "N1", "R0", "R1"]).agg(F.first("n")).fillna(0)
-    x = VectorAssembler(inputCols=["A0", "A1", "N0", "N1", "R0", "R1"], outputCol="features").transform(wide.withColumn("label", F.col("ref").cast("double")))
-    return RandomForestRegressor(numTrees=20, maxDepth=5, seed=7).fit(x).transform(x).select("image", "ref", "prediction")
+    return G.expert_forest(pairs(v), ["A0", "A1", "N0", "N1", "R0", "R1"])
 
 
 def cf11(v):

@@ -10,7 +10,7 @@ from aerotally.plans.bind_matching import _M, matches
 from aerotally.plans.storage import fresh_dir
 from aerotally.plans.views import binding
 from aerotally.sources import readers as R, writers as W
-from aerotally.streaming import shots as ST
+from aerotally.streaming import flights as SF, shots as ST
 
 _R = lambda c, n=6: F.round(c, n)
 
@@ -285,6 +285,23 @@ def st1(v):
     return _stream(v, build).select("filepath", "user_id")
 
 
+def _shot_stream(src):
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return src.select(F.col("event_id").alias("shot"), F.col("user_id").alias("flight"), F.col("value").alias("x"), (F.col("event_id") % 997).cast("double").alias("y"), t.alias("t"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def st2_in_time(v):
+    """ST2 with state that event time bounds; the events come in one file, so none is behind the watermark."""
+    out, mark = fresh_dir(v.spark, "metrics"), fresh_dir(v.spark, "metrics-state")
+
+    def build(s, src):
+        q = SF.flight_metrics_in_time(_shot_stream(src)).writeStream.option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).format("parquet").option("path", out).start()
+        q.awaitTermination()
+        return s.read.schema(SF.METRICS).parquet(out)
+
+    return _stream(v, build).select("flight", "shot", _R("distance_to_prev", 4).alias("distance"), _R("time_diff_seconds", 3).alias("dt"), "late")
+
+
 def st2(v):
     out, mark = fresh_dir(v.spark, "metrics"), fresh_dir(v.spark, "metrics-state")
 
@@ -301,6 +318,8 @@ _POLYGONS = "g AS (SELECT *, id%3=0 AS ring, id%5=0 AS boxless FROM boxes)"
 _COCO = _POLYGONS + """, l AS (SELECT *, dense_rank() OVER (ORDER BY image) AS image_id FROM g),
   c AS (SELECT *, row_number() OVER (ORDER BY image_id, id) AS n, boxless AND NOT ring AS bare FROM l WHERE class IN ('Brand#11','Brand#12'))"""
 
+_ST2 = "WITH s AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, t - lag(t) OVER w AS d FROM shots WINDOW w AS (PARTITION BY flight ORDER BY t, shot)) SELECT flight, shot, round(sqrt(dx*dx+dy*dy),4) AS distance, round(d,3) AS dt, FALSE AS late FROM s"
+
 BINDINGS = {
     "SRC1": binding(src1, "SELECT DISTINCT class FROM boxes"),
     "SRC2": binding(lambda v: v.shots.select("shot", "flight", "name"), "SELECT shot, flight, name FROM shots"),
@@ -356,5 +375,6 @@ BINDINGS = {
     "PIX1": binding(pix1),
     "REV2": binding(rev2, f"{_M}, u AS (SELECT species FROM gt UNION ALL SELECT 'hard_negative' FROM pred p LEFT JOIN m ON p.image=m.image AND p.id=m.pred_id WHERE m.gt_id IS NULL AND score > CAST(0.9 AS DOUBLE)) SELECT species, count(*) AS n FROM u GROUP BY 1"),
     "ST1": binding(st1, "SELECT concat('img', CAST(event_id AS VARCHAR)) AS filepath, user_id FROM events"),
-    "ST2": binding(st2, "WITH s AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, t - lag(t) OVER w AS d FROM shots WINDOW w AS (PARTITION BY flight ORDER BY t, shot)) SELECT flight, shot, round(sqrt(dx*dx+dy*dy),4) AS distance, round(d,3) AS dt, FALSE AS late FROM s"),
+    "ST2": binding(st2, _ST2),
+    "ST2_in_time": binding(st2_in_time, _ST2),
 }
