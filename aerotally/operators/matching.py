@@ -163,6 +163,14 @@ def match_optimal(gt: DataFrame, pred: DataFrame, r: float, keys: Sequence[str]
     return single.unionByName(rest.withColumn("node", gid).join(comps, "node").drop("node").groupBy("component").applyInPandas(solve, schema))
 
 
+def match_edges(gt: DataFrame, pred: DataFrame, r: float, keys: Sequence[str] = ("image",)) -> DataFrame:
+    """MT7: ``(*keys, gt_id, pred_id, distance)`` of the matches of MT4, and a row with nulls for every point that has none."""
+    m = match_optimal(gt, pred, r, keys).withColumn("distance", F.sqrt("d2")).drop("d2")
+    free_g = gt.select(*keys, F.col("id").alias("gt_id")).join(m, [*keys, "gt_id"], "left_anti")
+    free_p = pred.select(*keys, F.col("id").alias("pred_id")).join(m, [*keys, "pred_id"], "left_anti")
+    return m.unionByName(free_g, allowMissingColumns=True).unionByName(free_p, allowMissingColumns=True)
+
+
 def labelled(gt: DataFrame, pred: DataFrame, matches: DataFrame, keys: Sequence[str] = ("image",)) -> DataFrame:
     """MT6: every point as ``tp``, ``fp`` or ``fn``; a missed ground truth has score 0."""
     hit_p = matches.select(*keys, F.col("pred_id").alias("id"), F.lit(True).alias("_hit"))

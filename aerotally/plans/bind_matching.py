@@ -78,11 +78,7 @@ def mt6_errors(v):
 
 
 def mt7(v):
-    gt, pred = sides(v)
-    m = M.match_optimal(gt, pred, 10.0).withColumn("distance", F.sqrt("d2")).drop("d2")
-    free_g = gt.select("image", F.col("id").alias("gt_id")).join(m, ["image", "gt_id"], "left_anti")
-    free_p = pred.select("image", F.col("id").alias("pred_id")).join(m, ["image", "pred_id"], "left_anti")
-    return m.unionByName(free_g, allowMissingColumns=True).unionByName(free_p, allowMissingColumns=True)
+    return M.match_edges(*sides(v), 10.0)
 
 
 def ev1(v):

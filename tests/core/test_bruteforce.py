@@ -57,6 +57,12 @@ def test_random_matching_against_brute_force(spark):
         assert abs(sum(math.sqrt(x.d2) for x in own) - want_o[k][1]) < 1e-6
 
 
+def test_match_edges_hold_every_point_once(spark):
+    gt = frame(spark, [("i", 1, 0.0, 0.0), ("i", 2, 3.0, 0.0), ("j", 1, 50.0, 0.0)])
+    pred = frame(spark, [("i", 7, 3.0, 4.0), ("i", 8, 100.0, 0.0), ("k", 9, 0.0, 0.0)])
+    got = {(x.image, x.gt_id, x.pred_id): x.distance for x in M.match_edges(gt, pred, 4.5).collect()}
+    assert got == {("i", 2, 7): 4.0, ("i", 1, None): None, ("j", 1, None): None, ("i", None, 8): None, ("k", None, 9): None}
+
 
 def test_components_sweep_and_dbscan(spark):
     r = random.Random(2)
