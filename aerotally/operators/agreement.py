@@ -162,3 +162,34 @@ def expert_forest(pairs: DataFrame, users: Sequence[str], *, trees: int = 20, de
     wide = pairs.groupBy("image", "ref").pivot("user_name", list(users)).agg(F.first("n")).fillna(0)
     x = VectorAssembler(inputCols=list(users), outputCol="features").transform(wide.withColumn("label", F.col("ref").cast("double")))
     return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(x).transform(x).select("image", "ref", "prediction")
+
+
+def scaled_to_totals(counts: DataFrame, pred: str = "pred", ref: str = "ref") -> DataFrame:
+    """CF1: ``factor`` that makes the predicted total meet the reference's, and ``calibrated`` counts; null without predictions."""
+    total = counts.agg(F.sum(pred).alias("_p"), F.sum(ref).alias("_r"))
+    factor = F.when(F.col("_p") > 0, F.col("_r") / F.col("_p"))
+    out = counts.crossJoin(F.broadcast(total))  # one row
+    return out.withColumn("factor", factor).withColumn("calibrated", F.col(pred) * F.col("factor")).drop("_p", "_r")
+
+
+def ensembles(corrected_counts: DataFrame) -> DataFrame:
+    """CF7: per image the mean, the mean weighted by R2, the median, and the count of the user with the least MAE; from one method's rows of :func:`corrected`."""
+    e = fit_errors(corrected_counts, ["user_name"]).withColumn("_w", F.greatest("r2", F.lit(0.0)))
+    total = e.agg(F.sum("_w").alias("_all"), F.count("*").alias("_k"), F.min(F.struct(F.round("mae", 9).alias("mae"), "user_name")).alias("_best"))
+    weight = F.when(F.col("_all") > 0, F.col("_w") / F.col("_all")).otherwise(1 / F.col("_k"))
+    w = e.crossJoin(F.broadcast(total)).select("user_name", weight.alias("_w"), (F.col("user_name") == F.col("_best.user_name")).alias("_is_best"))  # one row
+    j = corrected_counts.join(w, "user_name")
+    return j.groupBy("image").agg(F.avg("value").alias("mean"), F.sum(F.col("value") * F.col("_w")).alias("weighted"), F.percentile("value", F.lit(0.5)).alias("median"), F.max(F.when(F.col("_is_best"), F.col("value"))).alias("best"))  # a row per user in each image
+
+
+def pair_totals(counts: DataFrame, user_a: str, user_b: str) -> DataFrame:
+    """CF12: totals of two users, the first one's share and ratio, and the images in which both count something."""
+    both = counts.where(F.col("user_name").isin(user_a, user_b)).groupBy("image").agg(*[F.sum(F.when(F.col("user_name") == u, F.col("n"))).alias(name) for name, u in (("_a", user_a), ("_b", user_b))])
+    a, b = F.sum("_a"), F.sum("_b")
+    return both.agg(a.alias("total_a"), b.alias("total_b"), (a * 100 / (a + b)).alias("pct_a"), F.when(b > 0, a / b).alias("ratio"), F.count(F.when((F.col("_a") > 0) & (F.col("_b") > 0), 1)).alias("both"))
+
+
+def difficult_images(pairs: DataFrame, error: int = 3, share: float = 0.7) -> DataFrame:
+    """CF19: images in which at least that share of users is off by ``error`` or more."""
+    bad = F.avg((F.abs(F.col("n") - F.col("ref")) >= error).cast("double"))
+    return pairs.groupBy("image").agg(bad.alias("share")).where(F.round("share", 6) >= share)

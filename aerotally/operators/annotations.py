@@ -255,3 +255,26 @@ def inventory(labels: DataFrame, splits: Sequence[str], *, name: str = "name", s
     """AGG30: labels by iteration (the digits after ``_il_`` in the dataset's name, else empty) and split, 0 where there are none."""
     iteration = F.regexp_extract(name, "_il_([0-9]+)", 1)
     return labels.groupBy(iteration.alias("iteration")).pivot(split, list(splits)).count().fillna(0)
+
+
+def missions_with(images: DataFrame, chosen: DataFrame, more_than: int, *, mission: str = "dataset", image: str = "image") -> DataFrame:
+    """FIL15: missions with more than so many of the chosen images, with their number."""
+    own = images.join(chosen.select(image).distinct(), image, "left_semi")
+    return own.groupBy(mission).agg(F.count("*").alias("images")).where(F.col("images") > more_than)
+
+
+def mean_by_cell(rows: DataFrame, grid: str, keys: Sequence[str]) -> DataFrame:
+    """AGG28: mean of each cell of the rows' grids (arrays), by group: ``(*keys, cell, mean)``."""
+    cells = rows.select(*keys, F.posexplode(grid).alias("cell", "_value"))
+    return cells.groupBy(*keys, "cell").agg(F.avg(F.col("_value").cast("double")).alias("mean"))
+
+
+def score_stats(rows: DataFrame, keys: Sequence[str], score: str = "score", least: int = 5) -> DataFrame:
+    """AGG29: mean, sample deviation and number of the scores of each group that has at least ``least`` rows."""
+    found = rows.groupBy(*keys).agg(F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.count("*").alias("n"))
+    return found.where(F.col("n") >= least)
+
+
+def detectability(predictions: DataFrame, key: str, threshold: float, score: str = "score") -> DataFrame:
+    """AGG31: by group the number of predictions, the share with a score of the threshold or more, and the mean score."""
+    return predictions.groupBy(key).agg(F.count("*").alias("n"), F.avg((F.col(score) >= threshold).cast("double")).alias("detectable"), F.avg(score).alias("score"))

@@ -207,6 +207,53 @@ def _hull(p: np.ndarray) -> np.ndarray:
     return np.array(half(p) + half(p[::-1]))
 
 
+def located(shots: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """FIL18: shots that aren't at the origin, where cameras without a fix put them."""
+    return shots.where(~((F.col(x) == 0) & (F.col(y) == 0)))
+
+
+def taken_at(text: Column) -> Column:
+    """FIL18: time from either of two ways to write it, with colons or dashes in the date; null otherwise."""
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy:MM:dd HH:mm:ss")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
+def near_median_time(shots: DataFrame, most_seconds: float, keys: Sequence[str] = ("flight",), time: str = "t") -> DataFrame:
+    """FIL19: shots within so many seconds of their mission's median time."""
+    mid = grouped_quantiles(shots, keys, F.col(time), {"_mid": 0.5})
+    return shots.join(mid, list(keys)).where(F.abs(F.col(time) - F.col("_mid")) <= most_seconds).drop("_mid")
+
+
+def shots_between(shots: DataFrame, values: dict[str, object] | None = None, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """FIL21: shots with the given values, and numbers within inclusive ranges."""
+    for column, value in (values or {}).items():
+        shots = shots.where(F.col(column) == F.lit(value))
+    for column, (low, high) in (ranges or {}).items():
+        shots = shots.where(F.col(column).between(low, high))
+    return shots
+
+
+def anomalous(measured: DataFrame, speed: float = 6.0, exposure: float = 1 / 1500) -> DataFrame:
+    """FIL22: shots of :func:`metrics` that were taken too fast for their exposure; unknown speeds and risks count as 0."""
+    known = measured.fillna(0, ["speed_m_per_s", "risk_score"])
+    return known.where((F.col("speed_m_per_s") >= speed) & (F.col("exposure") >= exposure))
+
+
+def epsg(zone: Column) -> Column:
+    """FN11: the EPSG code of a UTM zone such as 15S."""
+    number = F.regexp_extract(zone, r"^(\d+)", 1).try_cast("int")
+    return F.when(F.upper(F.right(zone, F.lit(1))) == "N", 32600 + number).otherwise(32700 + number)
+
+
+def to_pixel(x: Column, y: Column, ox: Column, oy: Column, px: Column, py: Column) -> tuple[Column, Column]:
+    """FN9: column and row of a place, by the raster's origin and pixel size (py below zero for north-up)."""
+    return ((x - ox) / px).cast("int"), ((y - oy) / py).cast("int")
+
+
+def to_world(col: Column, row: Column, ox: Column, oy: Column, px: Column, py: Column) -> tuple[Column, Column]:
+    """FN9: the place of a pixel's corner."""
+    return ox + col * px, oy + row * py
+
+
 def utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     """FN10: easting and northing (WGS 84, northern false northing 0, southern 1e7) by the Krueger series to n^3."""
     a, f = 6378137.0, 1 / 298.257223563

@@ -115,3 +115,25 @@ def without_near(points: DataFrame, others: DataFrame, r: float, id: str, keys:
     left = points.select(*keys, F.col(id), F.col("x").alias("l_x"), F.col("y").alias("l_y"))
     near = range_join(left, others.select(*keys, F.col("x").alias("r_x"), F.col("y").alias("r_y")), r, keys).select(*keys, id).distinct()
     return points.join(near, [*keys, id], "left_anti")
+
+
+def points_in_polygon(points: DataFrame, ring: Sequence[tuple[float, float]], x: str = "x", y: str = "y") -> DataFrame:
+    """SP4: rows whose point lies in a polygon, looked at within its box only."""
+    xs, ys = zip(*ring)
+    corners = F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ring])
+    boxed = points.where(F.col(x).between(float(min(xs)), float(max(xs))) & F.col(y).between(float(min(ys)), float(max(ys))))
+    return boxed.where(inside_polygon(F.col(x), F.col(y), corners))
+
+
+def box_shape(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, Column, Column, Column]:
+    """FN12: width, height, area, and width over height (null for flat boxes)."""
+    w, h = x2 - x1, y2 - y1
+    return w, h, w * h, F.when(h > 0, w / h)
+
+
+def height_contrast(shots: DataFrame, r: float, id: str = "shot", group: str = "expedition", height: str = "height") -> DataFrame:
+    """SP8: for every shot and other expedition the shot within r whose height differs most (ties to the smaller id): ``(s, e1, o, diff)``."""
+    a = shots.select(F.col(id).alias("s"), F.col(group).alias("e0"), F.col(height).alias("h0"), F.col("x").alias("l_x"), F.col("y").alias("l_y"))
+    b = shots.select(F.col(id).alias("o"), F.col(group).alias("e1"), F.col(height).alias("h1"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
+    near = range_join(a, b, r).where("e0 <> e1").withColumn("diff", F.abs(F.col("h0") - F.col("h1")))
+    return near.groupBy("s", "e1").agg(F.max_by("o", F.struct("diff", -F.col("o"))).alias("o"), F.max("diff").alias("diff"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from aerotally.operators import agreement as G, sweep as S
+from aerotally.operators import agreement as G, annotations as A, sweep as S
 from aerotally.operators.quantiles import grouped_quantiles
 from aerotally.plans.views import binding
 
@@ -63,11 +63,8 @@ def ag8(v):
 
 
 def cf1(v):
-    """Proportional scaling: the factor that makes predicted totals meet the reference (null without predictions)."""
     t = v.marks.groupBy("image").agg(F.count(F.when(F.col("role") == "pred", 1)).alias("pred"), F.count(F.when(F.col("role") == "gt", 1)).alias("ref"))
-    total = t.agg(F.sum("pred").alias("p"), F.sum("ref").alias("r"))
-    factor = F.when(F.col("p") > 0, F.col("r") / F.col("p"))
-    return t.crossJoin(F.broadcast(total)).select("image", "pred", "ref", _R(factor).alias("factor"), _R(F.col("pred") * factor).alias("calibrated"))
+    return G.scaled_to_totals(t).withColumn("factor", _R("factor")).withColumn("calibrated", _R("calibrated"))
 
 
 def cells(v):
@@ -123,15 +120,9 @@ _FIT = "round(avg(abs(value-ref)),5) AS mae, round(sqrt(avg((value-ref)*(value-r
 
 
 def cf7(v):
-    """Ensembles per image: mean, R2-weighted, median and best user of the ratio-corrected counts."""
     p = pairs(v)
-    c = G.corrected(p, G.corrections(p)).where("method = 'ratio'")
-    e = G.fit_errors(c, ["user_name"]).withColumn("w", F.greatest("r2", F.lit(0.0)))
-    best = e.orderBy(F.round("mae", 9), "user_name").limit(1).select(F.col("user_name").alias("best"))
-    total = e.agg(F.sum("w").alias("tw"), F.count("*").alias("k"))
-    w = e.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(best)).select("user_name", F.when(F.col("tw") > 0, F.col("w") / F.col("tw")).otherwise(1 / F.col("k")).alias("w"), (F.col("user_name") == F.col("best")).alias("is_best"))
-    j = c.join(F.broadcast(w), "user_name")  # one row for each user
-    return j.groupBy("image").agg(_R(F.avg("value"), 5).alias("mean"), _R(F.sum(F.col("value") * F.col("w")), 5).alias("weighted"), _R(F.percentile("value", F.lit(0.5)), 5).alias("median"), _R(F.max(F.when(F.col("is_best"), F.col("value"))), 5).alias("best"))
+    found = G.ensembles(G.corrected(p, G.corrections(p)).where("method = 'ratio'"))
+    return found.select("image", *[_R(c, 5).alias(c) for c in ("mean", "weighted", "median", "best")])
 
 
 def cf9(v):
@@ -154,9 +145,7 @@ def cf11(v):
 
 
 def cf12(v):
-    c = v.counts.where("user_name in ('A0', 'N0')").groupBy("image").pivot("user_name", ["A0", "N0"]).agg(F.sum("n"))
-    a, b = F.sum("A0"), F.sum("N0")
-    return c.agg(a.alias("total_a"), b.alias("total_b"), _R(a * 100 / (a + b), 4).alias("pct_a"), _R(F.when(b > 0, a / b)).alias("ratio"), F.count(F.when((F.col("A0") > 0) & (F.col("N0") > 0), 1)).alias("both"))
+    return G.pair_totals(v.counts, "A0", "N0").withColumn("pct_a", _R("pct_a", 4)).withColumn("ratio", _R("ratio"))
 
 
 def cf13(v):
@@ -195,8 +184,7 @@ def cf18(v):
 
 
 def cf19(v):
-    bad = F.avg((F.abs(F.col("n") - F.col("ref")) >= 3).cast("double"))
-    return pairs(v).groupBy("image").agg(_R(bad).alias("share")).where("share >= 0.7")
+    return G.difficult_images(pairs(v)).withColumn("share", _R("share"))
 
 
 def cf20(v):
@@ -263,8 +251,8 @@ def agg34(v):
 
 
 def agg31(v):
-    s = v.marks.where("role = 'pred'")
-    return s.groupBy("species").agg(F.count("*").alias("n"), _R(F.avg((F.col("score") >= 0.9).cast("double"))).alias("detectable"), _R(F.avg("score")).alias("score"))
+    s = A.detectability(v.marks.where("role = 'pred'"), "species", 0.9)
+    return s.withColumn("detectable", _R("detectable")).withColumn("score", _R("score"))
 
 
 def agg32(v):

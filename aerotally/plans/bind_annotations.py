@@ -50,8 +50,7 @@ def fil13(v):
 
 
 def fil15(v):
-    more = A.images_with_more(v.annotations, "N", 2)
-    return more.join(images(v), "image").groupBy("dataset").agg(F.count("*").alias("images")).where("images > 5")
+    return A.missions_with(images(v), A.images_with_more(v.annotations, "N", 2), 5)
 
 
 def fil24(v):
@@ -210,12 +209,12 @@ def agg27(v):
 
 
 def agg28(v):
-    cells = v.embeddings.select("vec_id", "label", F.posexplode("embedding").alias("cell", "q"))
-    return cells.groupBy("label", "cell").agg(F.round(F.avg(F.col("q").cast("double")), 5).alias("mean"))
+    return A.mean_by_cell(v.embeddings, "embedding", ["label"]).withColumn("mean", F.round("mean", 5))
 
 
 def agg29(v):
-    return v.marks.groupBy("species", (F.col("image") % 10).alias("k")).agg(_R(F.avg("score")).alias("mean"), _R(F.stddev_samp("score")).alias("std"), F.count("*").alias("n")).where("n >= 5")
+    s = A.score_stats(v.marks.withColumn("k", F.col("image") % 10), ["species", "k"])
+    return s.withColumn("mean", _R("mean")).withColumn("std", _R("std"))
 
 
 def agg30(v):

@@ -157,12 +157,12 @@ def agg26(v):
 
 
 def fil18(v):
-    return v.shots.where(~((F.col("x") == 0) & (F.col("y") == 0))).select("shot", F.coalesce(F.to_timestamp(F.date_format("ts", "yyyy:MM:dd HH:mm:ss"), "yyyy:MM:dd HH:mm:ss"), F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).cast("string").alias("taken"))
+    text = F.when(F.col("shot") % 2 == 0, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return L.located(v.shots).select("shot", L.taken_at(text).cast("string").alias("taken"))
 
 
 def fil19(v):
-    mid = v.shots.groupBy("flight").agg(F.percentile("t", F.lit(0.5)).alias("mid"))
-    return v.shots.join(mid, "flight").where(F.abs(F.col("t") - F.col("mid")) <= 17 * 3600).select("shot", "flight")
+    return L.near_median_time(v.shots, 17 * 3600).select("shot", "flight")
 
 
 def fil20(v):
@@ -170,12 +170,11 @@ def fil20(v):
 
 
 def fil21(v):
-    return v.shots.where("expedition = 'E1' and height between 40 and 60").select("shot", "flight", "height")
+    return L.shots_between(v.shots, {"expedition": "E1"}, {"height": (40, 60)}).select("shot", "flight", "height")
 
 
 def fil22(v):
-    m = L.metrics(v.shots).fillna(0, ["speed_m_per_s", "risk_score"])
-    return m.where((F.col("speed_m_per_s") >= 0.05) & (F.col("exposure") >= 1 / 1500)).select("shot", _r("risk_score", 5).alias("risk"))
+    return L.anomalous(L.metrics(v.shots), speed=0.05).select("shot", _r("risk_score", 5).alias("risk"))
 
 
 def fn1(v):

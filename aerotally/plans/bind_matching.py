@@ -155,9 +155,7 @@ def sp3(v):
 
 
 def sp4(v):
-    ring = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ((10.0, 10.0), (120.0, 40.0), (90.0, 700.0), (20.0, 500.0))])
-    box = "x between 10 and 120 and y between 10 and 700"
-    return v.shots.where(box).where(S.inside_polygon(F.col("x"), F.col("y"), ring)).select("shot", "flight")
+    return S.points_in_polygon(v.shots, [(10, 10), (120, 40), (90, 700), (20, 500)]).select("shot", "flight")
 
 
 _RING = [(10, 10), (120, 40), (90, 700), (20, 500)]
@@ -177,11 +175,7 @@ def sp7(v):
 
 
 def sp8(v):
-    """For every shot: per other expedition the near shot whose height differs most."""
-    a = v.shots.select(F.col("shot").alias("s"), F.col("expedition").alias("e0"), F.col("height").alias("h0"), F.col("x").alias("l_x"), F.col("y").alias("l_y"))
-    b = v.shots.select(F.col("shot").alias("o"), F.col("expedition").alias("e1"), F.col("height").alias("h1"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
-    near = S.range_join(a, b, 15.0).where("e0 <> e1").withColumn("diff", F.abs(F.col("h0") - F.col("h1")))
-    return near.groupBy("s", "e1").agg(F.max_by("o", F.struct("diff", -F.col("o"))).alias("o"), F.max("diff").alias("diff"))
+    return S.height_contrast(v.shots, 15.0)
 
 
 def sp11(v):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerotally.functions.draws import drawn_sql
-from aerotally.operators import clustering as C, density as D, graph, matching as M, spatial as S, tiling as T
+from aerotally.operators import clustering as C, density as D, flights as L, graph, matching as M, spatial as S, tiling as T
 from aerotally.plans.bind_matching import _M, _RATES, R, _greedy, matches, sides
 from aerotally.plans.views import binding
 
@@ -126,9 +126,10 @@ def fn9(v):
     g = v.nation.select((F.col("n_nationkey") % 20).alias("image"), "n_nationkey").groupBy("image").agg(F.min("n_nationkey").alias("k"))
     g = g.select("image", (F.col("k") * 100.0).alias("ox"), (F.lit(5000.0) + F.col("k")).alias("oy"), F.lit(0.25).alias("px"), F.lit(-0.5).alias("py"))
     j = v.boxes.join(F.broadcast(g), "image")  # one row per raster of a 20-image set
-    col = ((F.col("x1") + 3000 - F.col("ox")) / F.col("px")).cast("int")
-    row = ((F.col("y1") - F.col("oy")) / F.col("py")).cast("int")
-    return j.select("id", col.alias("col"), row.alias("row"), (F.col("ox") + col * F.col("px")).alias("wx"), (F.col("oy") + row * F.col("py")).alias("wy"))
+    at = [F.col(c) for c in ("ox", "oy", "px", "py")]
+    col, row = L.to_pixel(F.col("x1") + 3000, F.col("y1"), *at)
+    wx, wy = L.to_world(col, row, *at)
+    return j.select("id", col.alias("col"), row.alias("row"), wx.alias("wx"), wy.alias("wy"))
 
 
 def fn15(v):
@@ -137,8 +138,8 @@ def fn15(v):
 
 
 def fn12(v):
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return v.boxes.select("id", w.alias("w"), h.alias("h"), (w * h).alias("area"), _R(F.when(h > 0, w / h)).alias("aspect"))
+    w, h, area, aspect = S.box_shape(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    return v.boxes.select("id", w.alias("w"), h.alias("h"), area.alias("area"), _R(aspect).alias("aspect"))
 
 
 def fn16(v):
@@ -158,9 +159,8 @@ def fn21(v):
 
 
 def fn11(v):
-    zone = v.nation.select("n_nationkey", F.concat((F.col("n_nationkey") % 60 + 1).cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "N").otherwise("S")).alias("zone"))
-    number = F.expr("cast(substring(zone, 1, length(zone) - 1) as int)")
-    return zone.select("n_nationkey", F.when(F.col("zone").endswith("N"), 32600 + number).otherwise(32700 + number).alias("epsg"))
+    zone = F.concat((F.col("n_nationkey") % 60 + 1).cast("string"), F.when(F.col("n_nationkey") % 2 == 0, "N").otherwise("S"))
+    return v.nation.select("n_nationkey", L.epsg(zone).alias("epsg"))
 
 
 def fn22(v):
