@@ -46,6 +46,8 @@ VARIANTS_PER_BUCKET, VARIANTS_PER_PASS = 1 << 20, 1 << 21
 MOST_PER_BUCKET, MORE_BITS, MOST_BITS = 4_000_000, 12, 48
 #: A fingerprint is hot if more than one row in so many has it.
 HOT_SHARE = 1000
+#: Ids that are broadcast at most, to leave out their documents (some 64 MB).
+MOST_GONE = 2_000_000
 #: Shingles whose bits are unpacked at once.
 _SHINGLES_AT_ONCE = 1 << 16
 
@@ -286,7 +288,13 @@ def keep_named(docs: DataFrame, found: DataFrame, mark: Callable[[bytes | None],
     mine = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn("_near_key", F.col(f"`{doc_id}`").cast("long"))
     same = F.col("_near_key") == F.col("_near_kept")
-    unique = keyed.join(once, same, "left_semi")
+    # what goes is far less than what stays: as long as it is so few ids, no text is shuffled
+    gone = found.where("doc_id is not null").select(F.col("doc_id").alias("_near_kept")).distinct().join(once, "_near_kept", "left_anti")
+    gone = materialise(gone, "near-gone")  # with the ids that several rows have
+    if gone.count() <= MOST_GONE:
+        unique = keyed.where("_near_key is not null").join(F.broadcast(gone), same, "left_anti")
+    else:
+        unique = keyed.join(once, same, "left_semi")
     repeated = keyed.join(more, same, "left_semi").dropDuplicates(["_near_key"])
     kept_rows = unique.unionByName(repeated).select(*mine)
     nameless = materialise(found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_near_fp"), F.col("group_fp").alias("_near_group")).distinct(), "near-nameless")

@@ -182,3 +182,14 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicate_components(df).count() == 0
     assert simhash.keep_one_per_component(df).count() == 0
+
+
+def test_dropped_ids_beyond_what_is_broadcast(spark, monkeypatch):
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randint(0, 500)}" for _ in range(30)) for _ in range(12)]
+    rows = [(i, texts[i % 12]) for i in range(30)] + [(5, texts[5]), (5, texts[6]), (None, "alone"), (None, texts[0]), (3, None), (40, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(map(str, simhash.keep_one_per_component(df).collect()))
+    monkeypatch.setattr(simhash, "MOST_GONE", -1)
+    assert sorted(map(str, simhash.keep_one_per_component(df).collect())) == few
+    assert len(few) == 12  # a row with id 5 is the smallest of another group, too
