@@ -15,3 +15,11 @@ def test_a_range_join_broadcasts_no_side(spark):
     found = range_join(left, right, 1.0)
     assert "Broadcast" not in plan(found)
     assert [(r.a, r.b) for r in found.collect()] == [(1, 7)]
+
+
+def test_expert_matching_broadcasts_the_experts_only(spark):
+    import __spark_entry__ as entry
+
+    text = plan(entry.queries()["EV7"](spark, SF))
+    assert text.count("BroadcastExchange") <= 1  # the few experts
+    assert "SortMergeJoin" in text
