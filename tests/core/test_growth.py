@@ -33,3 +33,22 @@ def test_expert_matching_broadcasts_the_experts_only(spark):
     text = plan(entry.queries()["EV7"](spark, SF))
     assert "BroadcastHashJoin" not in text  # the few experts are a nested loop
     assert "SortMergeJoin" in text
+
+
+def test_jn2_measures_along_x_as_its_sql_does(spark, tmp_path):
+    """Orders of a million places get added labels that are known ones, with another y."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    day = dt.datetime(1998, 1, 1)
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    rows = [(k, 7, 1 + k % 3, 1, 1.0, 1.0, 0.0, 0.0, "A", "O", day) for k in (4, 1000004, 9, 1000009, 25, 1000025, 12, 1000012)]
+    spark.createDataFrame(rows, line).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame([(r[0], 1, "O", 1.0, day, "5-LOW") for r in rows], orders).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted((r.label, r.distance) for r in entry.queries()["JN2"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(entry.oracle_sql()["JN2"]).fetchall())
