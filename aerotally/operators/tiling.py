@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -219,19 +220,24 @@ def tile_labels(boxes: DataFrame, points: DataFrame, size: float, keys: Sequence
     return b.join(p, list(keys), "full_outer").fillna(0, ["boxes", "points"])
 
 
+def _share(n: Column, ratio: float) -> Column:
+    """Rows that a share given in decimals makes of n, rounded down: 0.7 of 10 are 7, whatever doubles say."""
+    return F.floor(n * F.lit(Decimal(str(ratio)))).cast("long")
+
+
 def stratified_split(items: DataFrame, cls: str, id: str, ratio: float, *, cap: int | None = None, total: int | None = None, seed: int = 9) -> DataFrame:
     """SPL1: train and val by class in seeded order; at most min(cap, total // classes) of a class, int(n * ratio) of them train."""
     limit = F.lit(1 << 60) if cap is None else F.lit(cap)
     if total is not None:
         limit = F.least(limit, F.lit(total // max(1, items.select(cls).distinct().count())))
     ranked = numbers_within(items, [cls], [drawn(seed, id), F.col(id)], "_r", "_n").withColumn("_n", F.least("_n", limit))
-    return ranked.where(F.col("_r") < F.col("_n")).withColumn("part", F.when(F.col("_r") < F.floor(F.col("_n") * ratio), "train").otherwise("val")).drop("_r", "_n")
+    return ranked.where(F.col("_r") < F.col("_n")).withColumn("part", F.when(F.col("_r") < _share(F.col("_n"), ratio), "train").otherwise("val")).drop("_r", "_n")
 
 
 def three_way_split(items: DataFrame, stratum: str, id: str, train: float, val: float, *, seed: int = 9) -> DataFrame:
     """SPL2: train, val and test of each stratum in seeded order."""
     ranked = numbers_within(items, [stratum], [drawn(seed, id), F.col(id)], "_r", "_n")
-    first, second = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
+    first, second = _share(F.col("_n"), train), _share(F.col("_n"), val)
     part = F.when(F.col("_r") < first, "train").when(F.col("_r") < first + second, "val").otherwise("test")
     return ranked.withColumn("part", part).drop("_r", "_n")
 

@@ -52,3 +52,12 @@ def test_jn2_measures_along_x_as_its_sql_does(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     got = sorted((r.label, r.distance) for r in entry.queries()["JN2"](spark, str(tmp_path)).collect())
     assert got == sorted(con.sql(entry.oracle_sql()["JN2"]).fetchall())
+
+
+def test_shares_of_a_stratum_are_decimal(spark):
+    """0.7 * 10 * k and 0.2 * 5 * k fall short of whole numbers as doubles for some k."""
+    wrong = [n for n in range(1, 3000) if int(n * 0.7) != n * 7 // 10 or int(n * 0.2) != n * 2 // 10]
+    n = wrong[0]
+    items = spark.range(n).select(F.col("id"), F.lit("a").alias("stratum"))
+    got = {r.part: r["count"] for r in tiling.three_way_split(items, "stratum", "id", 0.7, 0.2).groupBy("part").count().collect()}
+    assert (got["train"], got["val"]) == (n * 7 // 10, n * 2 // 10)
