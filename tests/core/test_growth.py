@@ -61,3 +61,13 @@ def test_shares_of_a_stratum_are_decimal(spark):
     items = spark.range(n).select(F.col("id"), F.lit("a").alias("stratum"))
     got = {r.part: r["count"] for r in tiling.three_way_split(items, "stratum", "id", 0.7, 0.2).groupBy("part").count().collect()}
     assert (got["train"], got["val"]) == (n * 7 // 10, n * 2 // 10)
+
+
+def test_hulls_of_small_groups_share_batches(spark):
+    rows = [(k, float(x), float(y)) for k in range(300) for x, y in ((0, 0), (4, 0), (4, 3), (0, 3), (2, 1))]
+    df = spark.createDataFrame(rows, "k long, x double, y double")
+    found = flights.hull_area(df, ["k"])
+    assert "FlatMapGroupsInPandas" not in plan(found)
+    assert {(r.hull_area, r.centre_x, r.centre_y, r.corners) for r in found.collect()} == {(12.0, 2.0, 1.5, 4)}
+    parted = flights.hull_area(df.withColumn("k", F.lit(None).cast("long")).withColumn("x", F.col("x") + F.rand(1)), ["k"], most=100)
+    assert parted.count() == 1  # chunks of a group come together again, a null one too
