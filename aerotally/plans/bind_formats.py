@@ -177,7 +177,8 @@ def snk7(v):
 
 def rings(v):
     ring = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y2").alias("y")))
-    return labels(v).withColumn("ring", ring)
+    # dealt anew, as a small file is one task and what is done with a ring takes long
+    return labels(v).repartition(4 * v.spark.sparkContext.defaultParallelism, "label").withColumn("ring", ring)
 
 
 def snk8(v):

@@ -71,3 +71,19 @@ def test_hulls_of_small_groups_share_batches(spark):
     assert {(r.hull_area, r.centre_x, r.centre_y, r.corners) for r in found.collect()} == {(12.0, 2.0, 1.5, 4)}
     parted = flights.hull_area(df.withColumn("k", F.lit(None).cast("long")).withColumn("x", F.col("x") + F.rand(1)), ["k"], most=100)
     assert parted.count() == 1  # chunks of a group come together again, a null one too
+
+
+def test_ridges_are_not_split(monkeypatch):
+    calls = []
+    real = P._distance
+    monkeypatch.setattr(P, "_distance", lambda p, ring: calls.append(len(p)) or real(p, ring))
+    ring = np.array([(0, 0), (50, 0), (50, 400), (0, 400)], float)
+    x, y = P.pole(ring)
+    assert real(np.array([(x, y)]), ring)[0] == pytest.approx(25, abs=0.01)
+    assert sum(calls) < 500
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        turn = np.sort(rng.random(rng.integers(3, 9))) * 2 * np.pi
+        ring = np.column_stack([np.cos(turn), np.sin(turn)]) * rng.uniform(5, 60, len(turn))[:, None]
+        grid = np.stack(np.meshgrid(*[np.linspace(ring[:, i].min(), ring[:, i].max(), 120) for i in (0, 1)]), -1).reshape(-1, 2)
+        assert real(np.array([P.pole(ring)]), ring)[0] >= real(grid, ring).max() - 0.0101
