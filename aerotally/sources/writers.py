@@ -20,15 +20,21 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ranking.dense_ids(df, column, name), column, "left")
 
 
-def paged(df: DataFrame, name: str = "page", per_page: int = PER_DOCUMENT) -> DataFrame:
+def paged(df: DataFrame, name: str = "page", per_page: int = PER_DOCUMENT, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with a page number for each row that leaves about ``per_page`` rows to a page, however the rows' values repeat.
 
+    With ``by`` each value has pages of its own, so a value of few rows has one.
     The rows are written first, as only rows of files come in the same order
     when a task runs again.
     """
     written = materialise(df, "paged")
-    n = max(1, -(-written.count() // per_page))
-    return written.withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int"))
+    at = F.xxhash64(F.monotonically_increasing_id())
+    if not by:
+        n = max(1, -(-written.count() // per_page))
+        return written.withColumn(name, F.pmod(at, F.lit(n)).cast("int"))
+    sizes = written.groupBy(*by).agg(F.ceil(F.count("*") / per_page).alias("_pages")).select(*[F.col(c).alias(f"_of_{c}") for c in by], "_pages")
+    dealt = written.withColumn("_at", at).join(sizes, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
+    return dealt.select(*written.columns, F.pmod("_at", "_pages").cast("int").alias(name))
 
 
 def write_geojson(points: DataFrame, path: str, properties: Sequence[str]) -> None:
@@ -46,7 +52,7 @@ def write_feature_collections(points: DataFrame, path: str, properties: Sequence
     """SNK1: FeatureCollection documents, one per value of ``by`` and page of its points."""
     geometry = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))
-    docs = paged(points, "_page", per_document).groupBy(by, "_page").agg(F.collect_list(feature).alias("features"))
+    docs = paged(points, "_page", per_document, [by]).groupBy(by, "_page").agg(F.collect_list(feature).alias("features"))
     write_documents(docs.select(by, F.lit("FeatureCollection").alias("type"), "features"), path, by)
 
 

@@ -87,3 +87,10 @@ def test_ridges_are_not_split(monkeypatch):
         ring = np.column_stack([np.cos(turn), np.sin(turn)]) * rng.uniform(5, 60, len(turn))[:, None]
         grid = np.stack(np.meshgrid(*[np.linspace(ring[:, i].min(), ring[:, i].max(), 120) for i in (0, 1)]), -1).reshape(-1, 2)
         assert real(np.array([P.pole(ring)]), ring)[0] >= real(grid, ring).max() - 0.0101
+
+
+def test_an_image_of_few_features_is_one_document(spark, tmp_path):
+    df = spark.range(400).select((F.col("id") % 20).alias("image"), F.col("id"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    writers.write_feature_collections(df, f"{tmp_path}/out", ["id"], "image", per_document=50)
+    files = [f for _, _, names in os.walk(f"{tmp_path}/out") for f in names if f.endswith(".json")]
+    assert len(files) == 20
