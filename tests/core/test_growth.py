@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerotally.functions import polygons as P
-from aerotally.operators import flights, tiling
+from aerotally.operators import flights, matching, spatial, tiling
 from aerotally.operators.spatial import range_join
 from aerotally.sources import writers
 
@@ -94,3 +94,35 @@ def test_an_image_of_few_features_is_one_document(spark, tmp_path):
     writers.write_feature_collections(df, f"{tmp_path}/out", ["id"], "image", per_document=50)
     files = [f for _, _, names in os.walk(f"{tmp_path}/out") for f in names if f.endswith(".json")]
     assert len(files) == 20
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_height_contrast_writes_no_pairs(spark, monkeypatch, missing):
+    """Cells show a row at first, so that rows are searched for again; as by brute force."""
+    from aerotally.operators import extremes
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "ABC"[i % 3], None if missing and i % 4 else float(rng.integers(0, 6)), float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 9, (240, 2)))]
+    rows += [(1000, "A", 2.0, 500.0, 500.0), (1001, "B", 9.0, 503.0, 504.0), (1002, None, 1.0, 1.0, 1.0), (1003, "C", 1.0, None, 1.0)]
+    monkeypatch.setattr(spatial, "range_join", None)
+    monkeypatch.setattr(extremes, "MORE", 3)
+    monkeypatch.setattr(extremes.first_within, "__kwdefaults__", {"shown": 1})
+    got = {(r.s, r.e1): (r.o, r["diff"]) for r in spatial.height_contrast(spark.createDataFrame(rows, "shot long, expedition string, height double, x double, y double"), 5.0).collect()}
+    want = {}
+    for s, e0, h0, x0, y0 in rows:
+        for o, e1, h1, x1, y1 in rows:
+            if None not in (x0, x1, e0, e1) and e0 != e1 and (x0 - x1) ** 2 + (y0 - y1) ** 2 <= 25:
+                diff = None if h0 is None or h1 is None else abs(h0 - h1)
+                want.setdefault((s, e1), []).append((-1 if diff is None else diff, -o, diff))
+    assert got == {k: (-max(v)[1], max(v)[2]) for k, v in want.items()}
+
+
+def _copies(spark):
+    boxes = [(i, 10.0 * (i % 3), 0.0, 10.0 * (i % 3) + 11, 5.0, "tv"[i % 2]) for i in range(60)]
+    return spark.createDataFrame([*boxes, (90, 3.0, 3.0, 1.0, 1.0, "t"), (91, 3.0, 3.0, 1.0, 1.0, "v"), (92, None, 3.0, 1.0, 1.0, "v")], "id long, x1 double, y1 double, x2 double, y2 double, part string")
+
+
+def _counted(monkeypatch):
+    found, real = [], spatial.rectangle_pairs
+    monkeypatch.setattr(spatial, "rectangle_pairs", lambda *a, **k: found.append(real(*a, **k)) or found[-1])
+    return found
