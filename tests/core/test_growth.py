@@ -126,3 +126,10 @@ def _counted(monkeypatch):
     found, real = [], spatial.rectangle_pairs
     monkeypatch.setattr(spatial, "rectangle_pairs", lambda *a, **k: found.append(real(*a, **k)) or found[-1])
     return found
+
+
+def test_copies_of_boxes_are_one_component(spark, monkeypatch):
+    pairs = _counted(monkeypatch)
+    got = {r.id: r.component for r in spatial.rectangle_groups(_copies(spark), 8.0, 0.5).collect()}
+    assert got == {**{i: 0 for i in range(60)}, 90: 90, 91: 91, 92: 92}
+    assert pairs[0].count() < 5
