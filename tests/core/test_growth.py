@@ -128,6 +128,16 @@ def _counted(monkeypatch):
     return found
 
 
+def test_copies_of_boxes_overlap_by_their_number(spark, monkeypatch):
+    pairs = _counted(monkeypatch)
+    got = spatial.overlaps_between(_copies(spark), "part", 8.0).collect()
+    by = {(p, c): sum(1 for i in range(60) if i % 3 == c and "tv"[i % 2] == p) for p in "tv" for c in range(3)}
+    same = sum(by["t", c] * by["v", c] for c in range(3))
+    beside = sum(by["t", a] * by["v", b] for a in range(3) for b in range(3) if abs(a - b) == 1)
+    assert [(r.part_a, r.part_b, r.pairs, r.area) for r in got] == [("t", "v", same + beside, 55.0 * same + 5.0 * beside)]
+    assert pairs[0].count() < 20
+
+
 def test_copies_of_boxes_are_one_component(spark, monkeypatch):
     pairs = _counted(monkeypatch)
     got = {r.id: r.component for r in spatial.rectangle_groups(_copies(spark), 8.0, 0.5).collect()}
