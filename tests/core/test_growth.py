@@ -143,3 +143,15 @@ def test_copies_of_boxes_are_one_component(spark, monkeypatch):
     got = {r.id: r.component for r in spatial.rectangle_groups(_copies(spark), 8.0, 0.5).collect()}
     assert got == {**{i: 0 for i in range(60)}, 90: 90, 91: 91, 92: 92}
     assert pairs[0].count() < 5
+
+
+def test_one_image_of_many_equal_marks_matches_by_spots(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    def side(n):
+        return spark.createDataFrame([(1, int(i), float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 6, (n, 2)))], "image long, id long, x double, y double")
+    gt, pred = side(300), side(280)
+    want = {tuple(r) for r in matching.match_greedy(gt, pred, 2.0).collect()}
+    made, real = [], matching.candidates
+    monkeypatch.setattr(matching, "candidates", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    assert {tuple(r) for r in matching.match_greedy(gt, pred, 2.0, crowded=True).collect()} == want
+    assert made[0].count() <= 36 * 13
