@@ -23,6 +23,8 @@ from aerotally.plans.storage import materialise
 
 #: Two cells compare all their points if these are at most so many pairs; else their boxes are split in SPLIT x SPLIT.
 PAIRS, SPLIT = 256, 4
+#: Sides of the blocks in which points meet cells, in eps.
+BLOCK = 6
 _BOX = ("x1", "x2", "y1", "y2")
 
 
@@ -50,11 +52,19 @@ def _most2(a: str = "a_", b: str = "b_") -> Column:
     return dx * dx + dy * dy
 
 
-def _around(rows: DataFrame, half: bool = False) -> DataFrame:
-    """A row per cell around each row's, ``(nx, ny)``, without its own; with ``half`` each pair of cells comes once."""
-    some = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0) or not half and (i, j) != (0, 0)]
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in some])
-    return rows.withColumn("_step", F.explode(steps)).withColumn("nx", F.col("cx") + F.col("_step.i")).withColumn("ny", F.col("cy") + F.col("_step.j")).drop("_step")
+def _meet(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of rows (a_ boxes no wider than a cell, ``eps2``) and cells (b_ boxes) whose boxes lie within eps.
+
+    Space is cut into blocks of a few eps. A row is put into one of them, a cell
+    into those that a row near it may be in, so that little is laid out twice.
+    """
+    side = F.sqrt("eps2") * BLOCK
+    at = lambda c: F.floor(c / side).cast("long")
+    reach = F.sqrt("eps2") * 1.000001
+    span = lambda c: F.explode(F.sequence(at(F.col(f"b_{c}1") - 1.7072 * reach), at(F.col(f"b_{c}2") + reach)))  # noqa: E731  eps and a row's width
+    a = rows.withColumns({"_bx": at(F.col("a_x1")), "_by": at(F.col("a_y1"))})
+    b = cells.withColumn("_bx", span("x")).withColumn("_by", span("y")).drop("eps2")
+    return a.join(b.hint("merge"), [*keys, "_bx", "_by"]).drop("_bx", "_by").where(_least2() <= F.col("eps2"))
 
 
 def _prefixed(rows: DataFrame, prefix: str, columns: Sequence[str]) -> list[Column]:
@@ -68,11 +78,11 @@ def linked_cells(core: DataFrame, cells: DataFrame, keys: Sequence[str]) -> Data
     and the number of spots of each.
     """
     mine = ["cell", *_BOX, "wx", "wy", "spots"]
-    a = _around(cells.select(*keys, "cx", "cy", "eps2", *_prefixed(cells, "a_", mine)), half=True)
-    b = cells.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), *_prefixed(cells, "b_", mine))
+    a = cells.select(*keys, "cx", "cy", "eps2", *_prefixed(cells, "a_", mine))
+    b = cells.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), "eps2", *_prefixed(cells, "b_", mine))
     seen = lambda p: (F.col("a_wx") - F.col("b_wx")) * (F.col("a_wx") - F.col("b_wx")) + (F.col("a_wy") - F.col("b_wy")) * (F.col("a_wy") - F.col("b_wy"))
     linked = (_most2() <= F.col("eps2")) | (seen(None) <= F.col("eps2"))
-    pairs = a.join(b, [*keys, "nx", "ny"]).where(_least2() <= F.col("eps2")).withColumn("linked", linked)
+    pairs = _meet(a, b, keys).where("nx > cx or (nx = cx and ny > cy)").withColumn("linked", linked)  # each pair once
     pairs = materialise(pairs.select("a_cell", "b_cell", "eps2", "linked", (F.col("a_spots") * F.col("b_spots")).alias("pairs")), "density-pairs")
     found = [pairs.where("linked").select("a_cell", "b_cell")]
 
@@ -119,14 +129,14 @@ def dbscan(points: DataFrame, eps: float | Column, min_points: int | Column, key
     cell = lambda c: F.floor(F.col(c) / (F.col("eps") / 1.4143)).cast("long")  # noqa: E731  a little under eps / sqrt 2, as quotients are rounded
     spots = materialise(spots.withColumns({"cx": cell("x"), "cy": cell("y"), "eps2": F.col("eps") * F.col("eps")}), "density-spots")
     here = [*keys, "cx", "cy"]
-    cells = materialise(spots.groupBy(*here).agg(F.sum("w").alias("n"), F.min("least").alias("least"), *_box()), "density-cells")
+    cells = materialise(spots.groupBy(*here).agg(F.sum("w").alias("n"), F.min("least").alias("least"), F.max("eps2").alias("eps2"), *_box()), "density-cells")
     there = [*keys, "nx", "ny"]
-    near = cells.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("n").alias("b_n"), *_prefixed(cells, "b_", _BOX))
+    near = cells.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("n").alias("b_n"), "eps2", *_prefixed(cells, "b_", _BOX))
 
     # spots of light cells: weight of their cell, of cells within eps as a whole, and of what they compare with
     light = spots.join(cells.where("n < least").select(*here, "n"), here)
     at_point = light.withColumns({"a_x1": F.col("x"), "a_x2": F.col("x"), "a_y1": F.col("y"), "a_y2": F.col("y")})
-    looks = _around(at_point).join(near, there).where(_least2() <= F.col("eps2")).withColumn("whole", _most2() <= F.col("eps2"))
+    looks = _meet(at_point, near, keys).where("nx <> cx or ny <> cy").withColumn("whole", _most2() <= F.col("eps2"))
     looks = materialise(looks.select(*there, "i", "x", "y", "eps2", "least", "n", "b_n", "whole"), "density-looks")
     sure = looks.groupBy("i").agg((F.max("n") + F.sum(F.when(F.col("whole"), F.col("b_n")).otherwise(0))).alias("sure"))
     others = spots.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("x").alias("o_x"), F.col("y").alias("o_y"), "w")
@@ -144,14 +154,13 @@ def dbscan(points: DataFrame, eps: float | Column, min_points: int | Column, key
     core = core.join(core_cells.select(*here, "cell"), here)
     links = materialise(linked_cells(core, core_cells, keys), "density-links")
     joined = connected_components(links, "a", "b").withColumnRenamed("node", "cell")
-    named = materialise(core_cells.join(joined, "cell", "left").select(*here, *_BOX, F.coalesce("component", "cell").alias("cluster")), "density-named")
+    named = materialise(core_cells.join(joined, "cell", "left").select(*here, "eps2", *_BOX, F.coalesce("component", "cell").alias("cluster")), "density-named")
 
     of_core = core.join(named.select(*here, "cluster"), here).select("i", "cluster")
     border = at_point.join(core.select("i"), "i", "left_anti")
-    targets = named.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), "cluster", *_prefixed(named, "b_", _BOX))
+    targets = named.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), "cluster", "eps2", *_prefixed(named, "b_", _BOX))
     own = core.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("x").alias("o_x"), F.col("y").alias("o_y"))
-    reached = _around(border.select(*here, "i", "x", "y", "eps2", "a_x1", "a_x2", "a_y1", "a_y2")).unionByName(border.select(*here, "i", "x", "y", "eps2", "a_x1", "a_x2", "a_y1", "a_y2", F.col("cx").alias("nx"), F.col("cy").alias("ny")))
-    reached = reached.join(targets, there).where(_least2() <= F.col("eps2")).select(*there, "i", "x", "y", "eps2", "cluster")
+    reached = _meet(border.select(*keys, "i", "x", "y", "eps2", "a_x1", "a_x2", "a_y1", "a_y2"), targets, keys).select(*there, "i", "x", "y", "eps2", "cluster")
     of_border = reached.join(own, there).where(d2 <= F.col("eps2")).groupBy("i").agg(F.min("cluster").alias("cluster"))
 
     named_spots = spots.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"), "i").join(of_core.unionByName(of_border), "i").drop("i")

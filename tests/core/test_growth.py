@@ -155,3 +155,14 @@ def test_one_image_of_many_equal_marks_matches_by_spots(spark, monkeypatch):
     monkeypatch.setattr(matching, "candidates", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
     assert {tuple(r) for r in matching.match_greedy(gt, pred, 2.0, crowded=True).collect()} == want
     assert made[0].count() <= 36 * 13
+
+
+def test_points_meet_the_cells_within_eps_in_one_block(spark):
+    from aerotally.operators import density
+
+    rng = np.random.default_rng(5)
+    at = rng.uniform(-20, 20, (150, 2)).tolist()
+    rows = spark.createDataFrame([(i, 2.25, x, x, y, y) for i, (x, y) in enumerate(at)], "i long, eps2 double, a_x1 double, a_x2 double, a_y1 double, a_y2 double")
+    cells = rows.select("eps2", F.col("i").alias("j"), *[F.col(f"a_{c}").alias(f"b_{c}") for c in density._BOX])
+    got = sorted((r.i, r.j) for r in density._meet(rows, cells, []).select("i", "j").collect())
+    assert got == sorted((i, j) for i, a in enumerate(at) for j, b in enumerate(at) if (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 <= 2.25)
