@@ -5,8 +5,10 @@ within the radius is one, so long chains of points hang on each other; what
 hangs together in space is decided together. Space is cut into blocks of as many
 undecided points as a task takes, a task sweeps its block with a grid of cells
 of which each holds one seed at most, and a point is left undecided only if it
-hangs on one of a neighbouring block. Undecided points become few and blocks
-wide, until one block holds all of them. No pair of points is written.
+hangs on one of a neighbouring block. Known seeds aren't sent along: a round's
+seeds claim what they reach by a join, and only points that stay open are dealt
+again. They become few and blocks wide, until one block holds all of them. No
+pair of points is written.
 """
 
 from __future__ import annotations
@@ -28,9 +30,8 @@ LOOKED_AT = 64
 def sweep_block(order: np.ndarray, x: np.ndarray, y: np.ndarray, kind: np.ndarray, r: float) -> np.ndarray:
     """1 for seeds, 0 for claimed points and -1 for those that stay undecided.
 
-    ``kind`` is 0 for the block's own points, 1 for undecided points around it
-    and 2 for known seeds. An undecided point around it decides nothing here,
-    unless a known seed claims it.
+    ``kind`` is 0 for the block's own points and 1 for undecided points around
+    it, which decide nothing here.
     """
     side, r2 = r / 1.4143, r * r  # a little under r / sqrt 2, as quotients are rounded
     cx, cy = np.floor(x / side).astype(np.int64).tolist(), np.floor(y / side).astype(np.int64).tolist()
@@ -39,11 +40,7 @@ def sweep_block(order: np.ndarray, x: np.ndarray, y: np.ndarray, kind: np.ndarra
     waiting: dict[tuple[int, int], list[tuple[float, float]]] = {}
     around = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
     xs, ys, kinds = x.tolist(), y.tolist(), kind.tolist()
-    for i in np.flatnonzero(kind == 2).tolist():
-        seeds.setdefault((cx[i], cy[i]), []).append((xs[i], ys[i]))
     for i in np.argsort(order, kind="stable").tolist():
-        if kinds[i] == 2:
-            continue
         px, py, a, b = xs[i], ys[i], cx[i], cy[i]
         claimed = held = False
         for u, v in around:
@@ -79,12 +76,17 @@ def _block_side(open_: DataFrame, r: float, most: int) -> float | None:
     return LEAST_SIDE * r * 2.0 ** max(fit, default=0)
 
 
+def _unclaimed(open_: DataFrame, seeds: DataFrame, r: float) -> DataFrame:
+    """Rows of ``open_`` that none of the seeds claims; seeds are r apart, so a row meets a handful."""
+    near = range_join(open_.select("a", F.col("x").alias("l_x"), F.col("y").alias("l_y")), seeds.select(F.col("x").alias("r_x"), F.col("y").alias("r_y")), r)
+    return open_.join(near.select("a").distinct(), "a", "left_anti")
+
+
 def sweep_seeds(points: DataFrame, r: float, order: str = "seq", most: int = MOST_PER_BLOCK) -> DataFrame:
     """``(cluster, x, y)``: the seeds of the sweep, by their place in the order."""
     known = points.select(F.col(order).cast("long").alias("a"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("abs(x) < double('infinity') and abs(y) < double('infinity')")
     # of equal points only the first can be a seed, and what claims it claims all
     open_ = materialise(known.groupBy("x", "y").agg(F.min("a").alias("a")), "sweep-open")
-    latest = open_.limit(0)
     out, schema = None, "a long, x double, y double, state int"
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,20 +96,23 @@ def sweep_seeds(points: DataFrame, r: float, order: str = "seq", most: int = MOS
 
     while True:
         side = _block_side(open_, r, most)
-        both = open_.withColumn("kind", F.lit(0)).unionByName(latest.withColumn("kind", F.lit(2)))
+        own = open_.withColumn("kind", F.lit(0))
         if side is None:
-            dealt = both.withColumns({"bx": F.lit(0).cast("long"), "by": F.lit(0).cast("long")})
+            dealt = own.withColumns({"bx": F.lit(0).cast("long"), "by": F.lit(0).cast("long")})
         else:
             reach = r * (1 + 1e-6)
             at = lambda c: F.floor(c / F.lit(side)).cast("long")
             span = lambda c: F.explode(F.sequence(at(F.col(c) - reach), at(F.col(c) + reach)))
-            dealt = both.withColumn("bx", span("x")).withColumn("by", span("y"))
+            dealt = own.withColumn("bx", span("x")).withColumn("by", span("y"))
             home = (F.col("bx") == at(F.col("x"))) & (F.col("by") == at(F.col("y")))
-            dealt = dealt.withColumn("kind", F.when((F.col("kind") == 0) & ~home, 1).otherwise(F.col("kind")))
+            dealt = dealt.withColumn("kind", F.when(home, 0).otherwise(1))
         found = materialise(dealt.groupBy("bx", "by").applyInPandas(resolve, schema), "sweep-round")
         latest = found.where("state = 1").select("a", "x", "y")
         out = latest if out is None else out.unionByName(latest)
-        open_ = found.where("state = -1").select("a", "x", "y")
+        waiting = found.where("state = -1").select("a", "x", "y")
+        if not waiting.isEmpty():
+            waiting = materialise(_unclaimed(waiting, latest, r), "sweep-open")
+        open_ = waiting
         if open_.isEmpty():
             return out.withColumnRenamed("a", "cluster")
 

@@ -61,3 +61,20 @@ def test_agreement_first_points_and_summary(spark):
     assert got == {"agreement_points": 6, "disagreement_points": 2, "points": 8, "locations": 2, "avg_users": 2.5, "max_users": 3, "min_users": 2, "agreement_rate": 0.75}
     none = sweep.agreement_summary(df.limit(0), 1.0, 2).first()
     assert (none.points, none.agreement_rate, none.avg_users) == (0, 0.0, 0.0)
+
+
+def test_known_seeds_are_not_sent_to_the_last_block(spark, monkeypatch):
+    """A few points wait at the edges of blocks; the block that holds them all holds nothing else."""
+    sizes, real = spark.sparkContext.accumulator(0), sweep.sweep_block
+
+    def counted(order, *args):
+        sizes.add(len(order))
+        return real(order, *args)
+
+    monkeypatch.setattr(sweep, "sweep_block", counted)
+    r = random.Random(6)
+    points = [(i, r.uniform(0, 900), r.uniform(0, 900)) for i in r.sample(range(10**6), 3000)]
+    got = found(spark, points, 3.0, most=1000)
+    assert got == brute(points, 3.0)
+    # each point once, what lies around blocks, and the few that wait; all seeds again would be some 2,500 more
+    assert 3000 <= sizes.value < 3000 * 1.4
