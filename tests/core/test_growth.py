@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 
 import numpy as np
 import pytest
@@ -166,3 +167,17 @@ def test_points_meet_the_cells_within_eps_in_one_block(spark):
     cells = rows.select("eps2", F.col("i").alias("j"), *[F.col(f"a_{c}").alias(f"b_{c}") for c in density._BOX])
     got = sorted((r.i, r.j) for r in density._meet(rows, cells, []).select("i", "j").collect())
     assert got == sorted((i, j) for i, a in enumerate(at) for j, b in enumerate(at) if (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 <= 2.25)
+
+
+def test_views_are_dealt_by_the_size_of_their_tables(spark, monkeypatch):
+    """Tasks sort no more rows than ROWS_PER_PART on the average, whatever the number of shuffle partitions; results stay."""
+    import __spark_entry__ as entry
+    from aerotally.plans import views
+
+    names = ["SET6", "AGG11", "AGG17", "FIL8", "AGG14", "SET8", "JN3", "SET10", "FIL10_random"]
+    run = lambda name: sorted(map(str, entry.queries()[name](spark, SF).collect()))
+    want = {name: run(name) for name in names}
+    monkeypatch.setattr(views, "ROWS_PER_PART", 500)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert f"hashpartitioning(l_orderkey#0, {-(-lines // 500)})" in re.sub(r"#\d+L?", "#0", plan(views.Views(spark, SF).annotations))
+    assert {name: run(name) for name in names} == want
