@@ -181,3 +181,15 @@ def test_views_are_dealt_by_the_size_of_their_tables(spark, monkeypatch):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert f"hashpartitioning(l_orderkey#0, {-(-lines // 500)})" in re.sub(r"#\d+L?", "#0", plan(views.Views(spark, SF).annotations))
     assert {name: run(name) for name in names} == want
+
+
+def test_a_large_sample_of_images_is_not_taken_by_a_limit(spark, monkeypatch):
+    from aerotally.operators import annotations
+
+    images = spark.range(500).select(F.col("id").alias("image"), (F.col("id") % 7).alias("n_labels"))
+    run = lambda n, mode: annotations.sample_images(images, n, mode)
+    want = {(n, mode): sorted(map(tuple, run(n, mode).collect())) for n, mode in ((0.3, "percentage"), (40, "ordered_desc"))}
+    monkeypatch.setattr(annotations, "MOST_TAKEN", 20)
+    for (n, mode), rows in want.items():
+        assert "Limit" not in plan(run(n, mode)) and "TakeOrdered" not in plan(run(n, mode))
+        assert sorted(map(tuple, run(n, mode).collect())) == rows
