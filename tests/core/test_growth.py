@@ -193,3 +193,17 @@ def test_a_large_sample_of_images_is_not_taken_by_a_limit(spark, monkeypatch):
     for (n, mode), rows in want.items():
         assert "Limit" not in plan(run(n, mode)) and "TakeOrdered" not in plan(run(n, mode))
         assert sorted(map(tuple, run(n, mode).collect())) == rows
+
+
+def test_products_of_two_blocks_stay_small(spark):
+    """A worker holds a block's rows (two ids and a cosine) some five times."""
+    from aerotally.operators import clustering
+
+    assert clustering.ROWS_PER_BLOCK**2 * 24 * 5 < 50e6
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1300, 4))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {(r.a, r.b): r.cosine for r in clustering.similarity(rows, rows.where("vec_id % 50 = 0")).collect()}
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    assert len(got) == 1300 * 26
+    assert all(abs(c - unit[a] @ unit[b]) < 1e-9 for (a, b), c in got.items())
