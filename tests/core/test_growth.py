@@ -207,3 +207,27 @@ def test_products_of_two_blocks_stay_small(spark):
     unit = v / np.linalg.norm(v, axis=1)[:, None]
     assert len(got) == 1300 * 26
     assert all(abs(c - unit[a] @ unit[b]) < 1e-9 for (a, b), c in got.items())
+
+
+def test_only_rings_across_an_edge_are_cut_in_python(spark):
+    rng = np.random.default_rng(12)
+    rings = [rng.uniform(-30, 130, 2) + rng.uniform(-40, 40, (rng.integers(3, 7), 2)) for _ in range(300)]
+    rings += [np.zeros((0, 2)), np.full((2, 2), 50.0), np.array([(0, 0), (100, 0), (100, 80), (0, 80)], float), np.array([(np.nan, 5), (50, 6), (70, 7), (60, 30)], float)]
+    df = spark.createDataFrame([(i, [tuple(p) for p in ring.tolist()]) for i, ring in enumerate(rings)] + [(-1, None)], "i int, ring array<struct<x:double,y:double>>")
+    got = {r.i: r.c for r in df.select("i", P.clipped(F.col("ring"), F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(80.0)).alias("c")).collect()}
+    assert got.pop(-1) is None
+    for i, c in got.items():
+        want = P.clip_ring(rings[i], 0.0, 0.0, 100.0, 80.0)
+        assert (c is None and len(want) < 3) or np.array_equal(np.array([tuple(p) for p in c], float), want, equal_nan=True)
+    ring = rings[0] * 0 + 50
+    decided = spark.createDataFrame([(0, [tuple(p) for p in ring.tolist()]), (1, [tuple(p) for p in (ring + 500).tolist()])], "i int, ring array<struct<x:double,y:double>>")
+    text = P.clipped(F.col("ring"), F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(80.0))._jc.toString()
+    assert "forall" in text and [r.c is None for r in decided.select(P.clipped(F.col("ring"), F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(80.0)).alias("c")).collect()] == [False, True]
+
+
+def test_rings_are_cut_once_after_they_are_dealt(spark):
+    import __spark_entry__ as entry
+
+    text = plan(entry.queries()["FN20"](spark, SF))
+    assert text.count("ArrowEvalPython") == 1
+    assert text.index("ArrowEvalPython") < text.index("Exchange")  # plans are written from the result down
