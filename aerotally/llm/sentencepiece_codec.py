@@ -37,8 +37,10 @@ from pyspark.sql import DataFrame, functions as F
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units that a worker keeps during a task, and from one task to the next (about 150 bytes each).
-KNOWN_UNITS, KEPT_UNITS = 400_000, 100_000
+#: Units that a worker keeps during a task, and from one task to the next (about 150 bytes each, several times that while the table is changed).
+KNOWN_UNITS, KEPT_UNITS = 60_000, 20_000
+#: Bytes of text that are held as units at once, unless one text is longer.
+SLICE_BYTES = 1 << 20
 #: Units that are encoded as one string, and threads of the tokenizers library in a worker.
 CHUNK, THREADS = 256, 2
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -371,8 +373,8 @@ def encode(rows: DataFrame, *, text: str = "text", model_path: str = DEFAULT_MOD
     return out.toDF(*rest, "n_tokens", "ids", "round_trip")
 
 
-def _slices(texts: pa.StringArray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about four million bytes, so that a batch of very long ones isn't held as tokens at once."""
+def _slices(texts: pa.StringArray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about a million bytes, so that a batch of very long ones isn't held as tokens at once."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
     while start < len(texts):

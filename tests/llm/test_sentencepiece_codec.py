@@ -115,3 +115,14 @@ def test_unigram_with_trimming_and_byte_fallback():
 
 def test_empty_table(spark):
     assert sc.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_worker_holds_few_units_and_little_text_at_once():
+    words = pa.array([" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(300)], pa.string())
+    codec, ref = sc.Codec(DATA), sentencepiece.SentencePieceProcessor(model_proto=DATA)
+    spans = list(sc._slices(words))
+    assert [a for a, _ in spans] == [0, *[b for _, b in spans[:-1]]] and spans[-1][1] == len(words)
+    for a, b in spans:
+        assert words.slice(a, b - a).nbytes < 1_100_000
+        assert ids_of(codec, words.slice(a, b - a).to_pylist())[-1] == ref.encode(words[b - 1].as_py())
+    assert len(codec.table.row) < 160_000  # of 300,000
