@@ -25,14 +25,20 @@ def _finite(x: str, y: str) -> Column:
     return F.expr(f"abs({x}) < double('infinity') and abs({y}) < double('infinity')")
 
 
-def k_nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, *, keys: Sequence[str] = ()) -> DataFrame:
+def k_nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, *, keys: Sequence[str] = (), crowded: bool = False) -> DataFrame:
     """k nearest right rows (r_x, r_y) of each left row (l_x, l_y), of equal ``keys`` if there are any, with ``d2`` and ``rank``.
 
     Ties go to the smaller ``right_id``; fewer than k rows if there are fewer.
     Ids are unique within the keys, all other columns have different names on
-    both sides. Rows without a finite point take no part.
+    both sides. Rows without a finite point take no part. With ``crowded`` the
+    left rows of one place are searched for once.
     """
     keys = list(keys)
+    if crowded:
+        here = left.where(_finite("l_x", "l_y"))
+        spots = here.groupBy(*keys, "l_x", "l_y").agg(F.min(left_id).alias(left_id))
+        found = k_nearest(spots, right, k, left_id, right_id, keys=keys).drop(left_id)
+        return here.join(found, [*keys, "l_x", "l_y"])
     at_spot = Window.partitionBy(*keys, "r_x", "r_y").orderBy(right_id)
     points = right.where(_finite("r_x", "r_y")).withColumn("_nth", F.row_number().over(at_spot)).where(F.col("_nth") <= k).drop("_nth")
     points = materialise(points, "nearest-points")  # of equal points the first k are enough

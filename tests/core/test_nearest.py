@@ -42,3 +42,17 @@ def test_one_outlier_among_many_points(spark):
     rows = spark.createDataFrame([(1, 1e7, 200.2), (2, 250.1, 100.1)], "l long, l_x double, l_y double")
     got = sorted((x.l, x["rank"], x.r_x, x.r_y) for x in nearest.k_nearest(rows, points, 2, "l", "r").collect())
     assert got == [(1, 1, 499.0, 200.0), (1, 2, 499.0, 201.0), (2, 1, 250.0, 100.0), (2, 2, 251.0, 100.0)] and math.isfinite(got[0][2])
+
+
+def test_left_rows_of_one_place_are_searched_for_once(spark, monkeypatch):
+    searched = {}
+    real = nearest.materialise
+    monkeypatch.setattr(nearest, "materialise", lambda df, label: searched.update({label: real(df, label)}) or searched[label])
+    r = random.Random(5)
+    right = [(r.randint(0, 1), i, float(r.randint(0, 20)), float(r.randint(0, 20))) for i in range(150)]
+    left = [(i % 3, i, float(i % 4), float(i % 2)) for i in range(600)] + [(0, 700, None, 1.0)]
+    a, b = frames(spark, left, right)
+    found = nearest.k_nearest(a.withColumn("name", F.col("l")), b, 3, "l", "r", keys=["g"], crowded=True)
+    assert sorted((x.l, x["rank"], x.r) for x in found.collect()) == brute(left[:600], right, 3)
+    assert found.where("name <> l").count() == 0
+    assert searched["nearest-rows"].count() == 12
