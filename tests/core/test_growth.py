@@ -231,3 +231,26 @@ def test_rings_are_cut_once_after_they_are_dealt(spark):
     text = plan(entry.queries()["FN20"](spark, SF))
     assert text.count("ArrowEvalPython") == 1
     assert text.index("ArrowEvalPython") < text.index("Exchange")  # plans are written from the result down
+
+
+def test_a_curve_by_species_joins_pairs_to_nothing(spark):
+    """Pairs bring scores and species along; ties, null species and images without ground truth as by brute force."""
+    rng = np.random.default_rng(11)
+    kinds = ["A", "B", None]
+    g = [(int(rng.integers(0, 3)), i, float(rng.uniform(0, 40)), float(rng.uniform(0, 40)), kinds[i % 3]) for i in range(60)]
+    p = [(int(rng.integers(0, 4)), i, float(rng.uniform(0, 40)), float(rng.uniform(0, 40)), kinds[i % 3], float(rng.integers(0, 10)) / 10) for i in range(80)]
+    gt = spark.createDataFrame(g, "image long, id long, x double, y double, species string")
+    pred = spark.createDataFrame(p, "image long, id long, x double, y double, species string, score double")
+    levels = [0.0, 0.35, 0.6]
+    curve = matching.pr_curve(gt, pred, 6.0, levels, by=["species"])
+    joins = re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[[^\]]*", plan(curve))
+    assert not any("pred_id" in j or "gt_id" in j for j in joins) and sum("_cx" in j for j in joins) == 1
+    got = {(r.species, r.threshold): r.tp for r in curve.where("species is not null").collect()}
+    for kind in "AB":
+        for t in levels:
+            claims = {}
+            for image, i, x, y, s in g:
+                near = [((int(x) - int(u)) ** 2 + (int(y) - int(v)) ** 2, j) for im, j, u, v, k, c in p if im == image and k == s == kind and c >= t]
+                if near and min(near)[0] <= 36:
+                    claims[image, min(near)[1]] = 1
+            assert got[kind, t] == len(claims)
