@@ -254,3 +254,34 @@ def test_a_curve_by_species_joins_pairs_to_nothing(spark):
                 if near and min(near)[0] <= 36:
                     claims[image, min(near)[1]] = 1
             assert got[kind, t] == len(claims)
+
+
+def test_distances_of_an_image_are_taken_once_for_all_numbers_of_clusters(monkeypatch):
+    from aerotally.operators import clustering
+
+    class Counted:
+        calls = 0
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def sqrt(self, v):
+            self.calls += 1
+            return np.sqrt(v)
+
+    class Points:
+        schema = {"image": type("Field", (), {"dataType": type("Long", (), {"simpleString": staticmethod(lambda: "long")})})}
+        groupBy = lambda self, key: self
+        applyInPandas = lambda self, run, schema: run
+
+    counted = Counted()
+    monkeypatch.setattr(clustering, "np", counted)
+    rng = np.random.default_rng(2)
+    run, centres = clustering.best_k(Points(), "image"), np.array([(0, 0), (900, 0), (0, 900), (900, 900)])
+    import pandas as pd
+
+    spots = centres[np.arange(600) % 4] + rng.uniform(0, 30, (600, 2))
+    got = run(pd.DataFrame({"image": 7, "x": spots[:, 0], "y": spots[:, 1]}))
+    assert got.to_dict("records") == [{"image": 7, "k": 4, "marks": 600}]
+    assert counted.calls == 2  # blocks of 512 points
+    assert run(pd.DataFrame({"image": 8, "x": [1.0, 2.0], "y": 1.0}))["k"].isna().all()
