@@ -285,3 +285,20 @@ def test_distances_of_an_image_are_taken_once_for_all_numbers_of_clusters(monkey
     assert got.to_dict("records") == [{"image": 7, "k": 2, "marks": 600}]
     assert counted.calls == 2  # blocks of 512 points
     assert run(pd.DataFrame({"image": 8, "x": [1.0, 2.0], "y": 1.0}))["k"].isna().all()
+
+
+def test_components_share_batches_and_go_on_in_the_next(spark):
+    rng = np.random.default_rng(6)
+    points = [(i // 2 % 2, i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 30, (160, 2)))]
+    gt, pred = (spark.createDataFrame(points[i::2], "image long, id long, x double, y double") for i in (0, 1))
+    name, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    try:
+        for size in (10000, 2):
+            spark.conf.set(name, size)
+            matched = matching.match_optimal(gt, pred, 3.0)
+            assert "FlatMapGroupsInPandas" not in plan(matched)
+            found.append(sorted((r.image, r.gt_id, r.pred_id) for r in matched.collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert found[0] == found[1] and len({m[1] for m in found[0]}) == len(found[0]) > 20
