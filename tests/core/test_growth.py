@@ -36,6 +36,27 @@ def test_expert_matching_broadcasts_the_experts_only(spark):
     assert "SortMergeJoin" in text
 
 
+def test_expert_matching_repeats_no_mark_for_the_experts(spark, tmp_path):
+    """300 experts, one mark each, and 300 marks of role gt: the counts are the SQL's and no 90,000 rows are made."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    day = dt.datetime(1998, 1, 1)
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    rows = [(2 * k + j, 7 + k + j, 1 + k % 3, 1, 1.0, float(3 * k + j), 0.0, 0.0, f"e{k % 150}" if j else "A", "F" if j else "O", day) for k in range(300) for j in (0, 1)]
+    rows += [(9000 + k, 7 + k, 1 + k % 3, 1, 1.0, float(3 * k + k % 2), 0.0, 0.0, f"e{k + 150}", "F", day) for k in range(150)]
+    spark.createDataFrame(rows, line).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = entry.queries()["EV7"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(entry.oracle_sql()["EV7"])
+    got = found.select(*want.columns).collect()
+    assert len(got) == 300 and sum(r.tp for r in got) > 0
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+    assert plan(found).count("BroadcastNestedLoopJoin") == 1  # the number of gt
+
+
 def test_jn2_measures_along_x_as_its_sql_does(spark, tmp_path):
     """Orders of a million places get added labels that are known ones, with another y."""
     import duckdb
