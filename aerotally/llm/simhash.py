@@ -295,8 +295,12 @@ def keep_named(docs: DataFrame, found: DataFrame, mark: Callable[[bytes | None],
         unique = keyed.where("_near_key is not null").join(F.broadcast(gone), same, "left_anti")
     else:
         unique = keyed.join(once, same, "left_semi")
-    repeated = keyed.join(more, same, "left_semi").dropDuplicates(["_near_key"])
-    kept_rows = unique.unionByName(repeated).select(*mine)
+    # rows that share a kept id; a join that finds no such id would have shuffled all texts first
+    n_more = more.count()
+    kept_rows = unique.select(*mine)
+    if n_more:
+        repeated = keyed.join(F.broadcast(more) if n_more <= MOST_GONE else more, same, "left_semi").dropDuplicates(["_near_key"])
+        kept_rows = kept_rows.unionByName(repeated.select(*mine))
     nameless = materialise(found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_near_fp"), F.col("group_fp").alias("_near_group")).distinct(), "near-nameless")
     if nameless.isEmpty():
         return kept_rows

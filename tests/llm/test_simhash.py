@@ -193,3 +193,22 @@ def test_dropped_ids_beyond_what_is_broadcast(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MOST_GONE", -1)
     assert sorted(map(str, simhash.keep_one_per_component(df).collect())) == few
     assert len(few) == 12  # a row with id 5 is the smallest of another group, too
+
+
+@pytest.mark.parametrize("repeated", [0, 2])
+def test_no_text_is_shuffled_for_ids_that_no_or_few_rows_repeat(spark, repeated):
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randint(0, 500)}" for _ in range(30)) for _ in range(20)]
+    rows = [(i, texts[i % 18]) for i in range(20)] + [(7, texts[7])] * repeated
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all sides were large
+    try:
+        got = simhash.keep_one_per_component(df)
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(x.doc_id for x in got.collect()) == list(range(18))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in text
+    if not repeated:
+        assert "hashpartitioning" not in text
