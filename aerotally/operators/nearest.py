@@ -91,12 +91,19 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id:
         down = now.where("not leaf").select(*me, "l_x", "l_y", F.col("cx").alias("up_x"), F.col("cy").alias("up_y")).join(children, [*keys, "up_x", "up_y"])
         now = pruned(now.where("leaf").unionByName(looked(down, level)))
     now = materialise(now, "nearest-state")
+    away = lambda p: (F.col("l_x") - p["r_x"]) * (F.col("l_x") - p["r_x"]) + (F.col("l_y") - p["r_y"]) * (F.col("l_y") - p["r_y"])
+    seen = F.transform("_points", lambda p, i: F.struct(away(p).alias("d2"), p[right_id].alias("id"), i.alias("at")))
+    best = F.array(F.array_min(seen)) if k == 1 else F.slice(F.sort_array(seen), 1, k)
+    nearest = F.transform(best, lambda b: F.col("_points")[b["at"]])  # k of a list, so that no pair beyond them is sorted or shuffled
     out = None
     for level, cells in enumerate(tree):
         own = now.where((F.col("level") == level) & F.col("leaf")).select(*me, "l_x", "l_y", "cx", "cy")
-        # only points of leaves; those of split cells are met further down
-        here = dealt(points, level).join(cells.where("leaf").select(*keys, "cx", "cy"), [*keys, "cx", "cy"], "left_semi")
-        some = own.join(here, [*keys, "cx", "cy"]).drop("cx", "cy")
+        # only points of leaves, in lists of about LEAF; those of split cells are met further down
+        leaves = cells.where("leaf").select(*keys, "cx", "cy", F.ceil(F.col("n") / LEAF).alias("_lists"))
+        here = dealt(points, level).join(leaves, [*keys, "cx", "cy"])
+        point = F.struct(*[c for c in points.columns if c not in keys])
+        lists = here.groupBy(*keys, "cx", "cy", F.pmod(F.xxhash64(right_id), "_lists").alias("_list")).agg(F.collect_list(point).alias("_points"))
+        some = own.join(lists, [*keys, "cx", "cy"]).select(*me, "l_x", "l_y", F.explode(nearest).alias("_point")).select(*me, "l_x", "l_y", "_point.*")
         out = some if out is None else out.unionByName(some)
     ranked = out.withColumn("d2", d2("l_x", "l_y", "r_x", "r_y")).withColumn("rank", F.row_number().over(Window.partitionBy(*me).orderBy("d2", right_id))).where(F.col("rank") <= k)
     more = [c for c in left.columns if c not in (*me, "l_x", "l_y")]

@@ -56,3 +56,21 @@ def test_left_rows_of_one_place_are_searched_for_once(spark, monkeypatch):
     assert sorted((x.l, x["rank"], x.r) for x in found.collect()) == brute(left[:600], right, 3)
     assert found.where("name <> l").count() == 0
     assert searched["nearest-rows"].count() == 12
+
+
+def test_pairs_of_a_leaf_are_not_shuffled(spark):
+    """Between the points of a leaf and the rows that look there, only the k nearest go on."""
+    r = random.Random(6)
+    left = [(0, i, r.uniform(0, 100), r.uniform(0, 100)) for i in range(2000)]
+    right = [(0, i, r.uniform(0, 100), r.uniform(0, 100)) for i in range(32)]
+    a, b = frames(spark, left, right)
+    found = nearest.k_nearest(a, b, 2, "l", "r", keys=["g"])
+    sc, store = spark.sparkContext, spark._jsc.sc().statusStore()
+    doubles, none = sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList()
+    stages = lambda: store.stageList(None, False, False, doubles, none)
+    before = {s.stageId() for s in (stages().apply(i) for i in range(stages().size()))}
+    got = sorted((x.l, x["rank"], x.r) for x in found.collect())
+    new = [s for s in (stages().apply(i) for i in range(stages().size())) if s.stageId() not in before]
+    assert got == brute(left, right, 2)
+    assert max(s.shuffleWriteRecords() for s in new) <= 2 * len(left)
+    assert "collect_list" in found._jdf.queryExecution().executedPlan().toString()
