@@ -57,11 +57,16 @@ def write_feature_collections(points: DataFrame, path: str, properties: Sequence
 
 
 def project_documents(labels: DataFrame, by: str = "dataset", per_document: int = 2_000) -> DataFrame:
-    """SNK2: nested documents from flat labels: per project documents of about ``per_document`` images each, ``page`` by hash of the image, images and labels in order."""
-    n = max(1, -(-labels.select("image").distinct().count() // per_document))
-    page = F.pmod(F.xxhash64("image"), F.lit(n)).cast("int")
+    """SNK2: nested documents from flat labels: per project documents of about ``per_document`` images each, ``page`` by hash of the image, images and labels in order.
+
+    The images are written first, as their numbers by project say how many pages each has.
+    """
     per_image = labels.groupBy(by, "image").agg(F.sort_array(F.collect_list(F.struct("label", "class", "bbox"))).alias("labels"))
-    return per_image.groupBy(by, page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("image", "labels"))).alias("images"))
+    per_image = materialise(per_image, "project-images")
+    pages = materialise(per_image.groupBy(F.col(by).alias("_of")).agg(F.ceil(F.count("*") / per_document).alias("_pages")), "project-pages")
+    page = F.pmod(F.xxhash64("image"), F.col("_pages")).cast("int")
+    dealt = per_image.join(pages, F.col(by).eqNullSafe(F.col("_of")))
+    return dealt.groupBy(by, page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("image", "labels"))).alias("images"))
 
 
 def serialisable(df: DataFrame, codes: dict[str, dict[int, str]], order: Sequence[str]) -> DataFrame:

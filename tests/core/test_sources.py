@@ -124,3 +124,12 @@ def test_documents_are_bounded(spark, tmp_path):
     W.write_feature_collections(pts, str(tmp_path / "fc"), ["id"], "s", per_document=20)
     assert 5 <= len(list((tmp_path / "fc" / "s=hot").glob("part-*.json"))) <= 10
     assert sorted(r.id for r in R.geojson(spark, str(tmp_path / "fc" / "*"), "id int").collect()) == list(range(200))
+
+
+def test_project_documents_have_about_so_many_images_however_many_projects(spark):
+    rows = [(f"p{d}" if d else None, d * 10_000 + i, i, "c", [1.0, 2.0]) for d in range(5) for i in range(100 if d else 3)]
+    df = spark.createDataFrame(rows, "dataset string, image long, label int, class string, bbox array<double>")
+    docs = W.project_documents(df, "dataset", per_document=50).collect()
+    assert len(docs) == 9  # two for each project of 100 images, one for that of three
+    assert sorted((str(d.dataset), i.image) for d in docs for i in d.images) == sorted((str(r[0]), r[1]) for r in rows)
+    assert all(20 <= len(d.images) <= 80 for d in docs if d.dataset)
