@@ -66,3 +66,16 @@ def test_areas_are_exact_to_the_last_digits():
         c = np.array([(k * 31.03 + r.randint(0, 100) / 100, r.randint(100, 900)) for k in range(12)], float)
         got = coverage.union_in_cell(c[:, 0], c[:, 1], 15.0, -100.0, -100.0, 2000.0)
         assert abs(got - 12 * math.pi * 225) < 2e-9
+
+
+def test_arcs_that_touch_in_the_middle_of_a_strip():
+    """A disc that just reaches a square's edge hides nothing of another, which reaches beyond it beside that point."""
+    c = np.array([(17.76, 468.0), (40.99, 494.0), (10.62, 546.0), (39.0, 476.0), (36.78, 468.0), (15.27, 525.0)])
+    whole = coverage.union_in_cell(c[:, 0], c[:, 1], 15.0, 0.0, 480.0, 60.0)
+    parts = [coverage.union_in_cell(c[:, 0], c[:, 1], 15.0, x, y, 15.0) for x in (0.0, 15.0, 30.0, 45.0) for y in (480.0, 495.0, 510.0, 525.0)]
+    assert abs(whole - 1533.339745306239) < 1e-9 and abs(whole - sum(parts)) < 1e-9
+    # the lower edge, and two that only touch below a third
+    low = np.array([(0.0, 15.0), (8.0, 3.0)])
+    assert abs(coverage.union_in_cell(low[:, 0], low[:, 1], 15.0, -30.0, 0.0, 60.0) - coverage.union_in_cell(low[:, 0], -low[:, 1], 15.0, -30.0, -60.0, 60.0)) < 1e-9
+    beside = np.array([(0.0, 0.0), (0.0, 30.0), (14.0, 15.0)])
+    assert abs(coverage.union_in_cell(beside[:, 0], beside[:, 1], 15.0, -50.0, -50.0, 100.0) - coverage.union_in_cell(beside[:, 1], beside[:, 0], 15.0, -50.0, -50.0, 100.0)) < 1e-9
