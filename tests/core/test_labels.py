@@ -41,3 +41,14 @@ def test_crops_names_and_ranks(spark):
     assert [r[0] for r in names.select(T.planned_name(F.lit("Fer"), F.col("folder"), F.col("old"))).collect()] == ["Fer_FEC01_DJI_0042_21012023.JPG", None]
     errors = spark.createDataFrame([("a", "m", 1.0, 3.0, 0.5), ("a", "n", 1.0, 2.0, 0.7), ("b", "m", 0.5, 4.0, 0.6)], "user_name string, method string, mae double, rmse double, r2 double")
     assert sorted(map(tuple, G.method_ranks(errors).collect())) == [("a", "m", 2, 2, 3), ("a", "n", 3, 1, 1), ("b", "m", 1, 3, 2)]
+
+
+def test_dataset_statistics_have_kinds_and_classes(spark):
+    images = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, None)], "image int, dataset string")
+    rows = [(1, "x", [1.0], None), (1, "x", None, [1]), (1, "y", [1.0], [1, 2]), (2, "y", [1.0], []), (2, None, None, None), (5, "x", None, [3]), (9, "x", [1.0], None)]
+    labels = spark.createDataFrame(rows, "image int, class string, bbox array<double>, keypoints array<int>")
+    got = {(r.dataset, r["class"]): (r.images, r.labels, r.point_labels, r.box_labels, r.max_classes) for r in A.dataset_statistics(images, labels).collect()}
+    assert got == {
+        ("a", None): (3, 5, 2, 3, 2), ("a", "x"): (None, 2, 1, 1, None), ("a", "y"): (None, 2, 1, 2, None), ("a", "unknown"): (None, 1, 0, 0, None),
+        ("b", None): (1, 0, 0, 0, 0), ("unknown", None): (1, 1, 1, 0, 1), ("unknown", "x"): (None, 1, 1, 0, None),
+    }
