@@ -16,6 +16,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aerotally.operators.graph import connected_components
@@ -23,6 +25,8 @@ from aerotally.plans.storage import materialise
 
 #: Two cells compare all their points if these are at most so many pairs; else their boxes are split in SPLIT x SPLIT.
 PAIRS, SPLIT = 256, 4
+#: Points of a group that is clustered in one call, as all its pairs are compared there.
+SMALL = 1000
 #: Sides of the blocks in which points meet cells, in eps.
 BLOCK = 6
 _BOX = ("x1", "x2", "y1", "y2")
@@ -168,3 +172,73 @@ def dbscan(points: DataFrame, eps: float | Column, min_points: int | Column, key
     same = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("p.x") == F.col("s._x"), F.col("p.y") == F.col("s._y")]
     found = known.alias("p").join(named_spots.alias("s"), same).select(F.col("p.i").alias("_i"), F.col("s.cluster").alias("cluster"))
     return points.select(*keys, id).join(found, F.col(id) == F.col("_i"), "left").select(*keys, id, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def clusters_of(x: np.ndarray, y: np.ndarray, grid: Sequence[tuple[float, int]]) -> list[np.ndarray]:
+    """For each (eps, least) the first core point of every point's cluster, -1 for noise; as in :func:`dbscan` if points come by id."""
+    most = max(eps * eps for eps, _ in grid)
+    d2 = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+    i, j = np.nonzero(d2 <= most)
+    d2, found = d2[i, j], []
+    for eps, least in grid:
+        near = d2 <= eps * eps
+        core = np.bincount(i[near], minlength=len(x)) >= least
+        near &= core[j]
+        a, b = i[near], j[near]
+        first = np.arange(len(x))
+        within = core[a]
+        at, to = a[within], b[within]
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        while len(at):
+            least_near = first.copy()
+            least_near[at[starts]] = np.minimum.reduceat(first[to], starts)
+            np.minimum.at(least_near, first[at[starts]], least_near[at[starts]])  # the root takes what its points see
+            least_near = least_near[least_near]
+            if (least_near == first).all():
+                break
+            first = least_near
+        own = np.full(len(x), len(x))
+        starts = np.flatnonzero(np.diff(a, prepend=-1))
+        if len(a):
+            own[a[starts]] = np.minimum.reduceat(first[b], starts)
+        found.append(np.where(own < len(x), own, -1))
+    return found
+
+
+def dbscan_grid(points: DataFrame, grid: Sequence[tuple[float, int]], keys: Sequence[str], id: str = "id") -> DataFrame:
+    """AGG23: ``(*keys, g, id, cluster)``, :func:`dbscan` of each group with each (eps, least), which ``g`` numbers.
+
+    A group of SMALL rows at most is one call for the whole grid, so its points
+    are shuffled once and not at all if they lie together already; larger ones
+    go by their cells.
+    """
+    rows = points.select(*keys, F.col(id).cast("long").alias(id), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    large = materialise(rows.where(known).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select(*keys), "density-large")
+    crowded = not large.isEmpty()
+    small = rows.where(known)
+    if crowded:
+        small = small.join(large, list(keys), "left_anti")
+
+    def cluster(group: pa.Table) -> pa.Table:
+        group = group.sort_by(id)
+        x, y = (group[c].to_numpy(zero_copy_only=False).astype("float64") for c in ("x", "y"))
+        fine = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+        ids, parts = group[id].to_numpy(), []
+        for g, first in enumerate(clusters_of(x[fine], y[fine], grid)):
+            named = np.full(len(ids), -1, dtype="int64")
+            named[fine] = np.where(first >= 0, ids[fine[first]], -1) if len(fine) else -1
+            parts.append(pa.table({**{k: group[k] for k in keys}, "g": pa.array(np.full(len(ids), g, "int32")), id: ids, "cluster": named}))
+        return pa.concat_tables(parts)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "g int", f"`{id}` bigint", "cluster bigint"])
+    found = small.groupBy(*keys).applyInArrow(cluster, schema)
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(float(eps)).alias("eps"), F.lit(n).alias("least")) for g, (eps, n) in enumerate(grid)]))
+    found = found.unionByName(rows.where(~known).select(*keys, each.alias("p"), id).select(*keys, "p.g", id, F.lit(-1).cast("long").alias("cluster")))
+    if crowded:
+        n = len(grid)
+        wide = rows.join(large, list(keys), "left_semi").withColumn("p", each).select(*keys, "p.*", (F.col(id) * n + F.col("p.g")).alias(id), "x", "y")
+        by_cells = dbscan(wide, F.col("eps"), F.col("least"), [*keys, "g"], id)
+        found = found.unionByName(by_cells.select(*keys, "g", F.expr(f"(`{id}` - g) div {n}").alias(id), F.expr(f"if(cluster < 0, -1L, (cluster - g) div {n})").alias("cluster")))
+    return found

@@ -61,3 +61,25 @@ def test_keys_parameters_as_columns_and_odd_rows(spark):
         want |= {i * 4 + k: c * 4 + k if c >= 0 else -1 for i, c in brute(points, k + 1.5, k + 2).items()}
     assert got == want
     assert density.dbscan(df.limit(0), 1.0, 2, ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("small", [1000, 70, 0])
+def test_a_grid_of_parameters_by_groups(spark, monkeypatch, small):
+    """Small groups are one call each, whose points aren't written; larger ones go by cells; both are as one run each."""
+    monkeypatch.setattr(density, "SMALL", small)
+    written, real = [], density.materialise
+    monkeypatch.setattr(density, "materialise", lambda df, label: written.append(label) or real(df, label))
+    r = random.Random(8)
+    points = {k: [(k * 1000 + i, r.randint(0, 40) / 2, r.randint(0, 40) / 2) for i in range(n)] for k, n in ((0, 60), (1, 120), (2, 1))}
+    chain = [(3000 + i, float(j), 0.0) for j, i in enumerate(r.sample(range(50), 50))]
+    points[3] = chain
+    rows = [(k, i, x, y) for k, group in points.items() for i, x, y in group] + [(None, 9000, 1.0, 1.0), (1, 9001, None, 1.0), (1, 9002, float("nan"), 1.0)]
+    df = spark.createDataFrame(rows, "k int, id long, x double, y double").repartition(3)
+    grid = [(1.0, 3), (2.0, 4), (1.0, 1)]
+    got = {(x.g, x.id): x.cluster for x in density.dbscan_grid(df, grid, ["k"]).collect()}
+    want = {(g, i): -1 for g in range(3) for i in (9000, 9001, 9002)}
+    for group in points.values():
+        for g, (eps, least) in enumerate(grid):
+            want |= {(g, i): c for i, c in brute(group, eps, least).items()}
+    assert got == want
+    assert ("density-points" in written) == (small < 1000)
