@@ -3,21 +3,28 @@
 Space is cut into small cells, of which each shows its first few rows in the
 order and where the rest begin. A row goes through what the cells around it show
 until something lies within the radius: a row ends its search, the rest of a cell
-sends it to the next round, in which cells show more.
+sends it to the next round, in which cells show more. Python gets flat rows, what
+the cells around a block show and then the block's rows, so a task holds the former
+and a batch of the latter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aerotally.plans.storage import materialise
 
-#: Cells in a radius, rows that a cell shows at first and how many times more in each round, rows that search together.
-CELLS, SHOWN, MORE, TOGETHER = 4, 8, 8, 2000
-
-_FOUND = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("o", T.LongType()), T.StructField("v", T.DoubleType())]))
+#: Cells in a radius, rows that a cell shows at first and how many times more in each round, rows of a block that one task searches for.
+CELLS, SHOWN, MORE, TOGETHER = 4, 8, 8, 20_000
+#: Kind of the rows that go to Python: a row that a cell shows, the rest of a cell, a row to search for.
+ITEM, REST, ROW = 0, 1, 2
+#: Rows that leave Python together.
+RETURNED = 20_000
 
 
 def first_hits(qx: np.ndarray, qy: np.ndarray, items: dict[str, np.ndarray], r: float) -> np.ndarray:
@@ -37,6 +44,69 @@ def first_hits(qx: np.ndarray, qy: np.ndarray, items: dict[str, np.ndarray], r:
     return found
 
 
+def _lists(items: list[pa.RecordBatch]) -> list[tuple[pa.Scalar, int, dict[str, np.ndarray]]]:
+    """What cells show, in its order, by group and side."""
+    if not items:
+        return []
+    table = pa.Table.from_batches(items).combine_chunks()
+    groups = table["g"].combine_chunks().dictionary_encode()
+    code, side = groups.indices.to_numpy(), table["side"].to_numpy()
+    all_ = {k: table[c].to_numpy() for k, c in (("x1", "a"), ("x2", "b"), ("y1", "c"), ("y2", "d"), ("v", "v"), ("o", "n"))} | {"rest": table["kind"].to_numpy() == REST}
+    place = np.lexsort((all_["o"], -all_["v"], side, code))
+    ends = np.flatnonzero((np.diff(code[place], append=-1) != 0) | (np.diff(side[place], append=-9) != 0)) + 1
+    found = []
+    for at in np.split(place, ends[:-1]):
+        found.append((groups.dictionary[int(code[at[0]])], int(side[at[0]]), {k: v[at] for k, v in all_.items()}))
+    return found
+
+
+def searcher(r: float, on: Sequence[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over flat rows that are sorted by ``on``, ``_part`` and ``kind``, for :func:`first_within`."""
+    by = [*on, "_part"]
+
+    def hits(rows: pa.RecordBatch, lists: list) -> Iterator[pa.RecordBatch]:
+        for g, side, items in lists:
+            others = rows.filter(pc.not_equal(rows["e"], g))
+            hit = first_hits(others["a"].to_numpy(), others["b"].to_numpy(), items, r)
+            some = np.flatnonzero(hit >= 0)
+            rest, hit, of = items["rest"][hit[some]], hit[some], others.take(pa.array(some))
+            columns = {"q": of["n"], "e": of["e"], "x": of["a"], "y": of["b"], "h": of["c"], "bx": of["bx"], "by": of["by"]}
+            columns |= {"g": pa.repeat(g, len(some)), "side": pa.array(np.full(len(some), side, "int32"))}
+            columns |= {"o": pa.array(np.where(rest, -1, items["o"][hit])), "v": pa.array(items["v"][hit], mask=rest)}  # o is never read where v is null
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, items, lists, out = None, [], None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row = batch["kind"].to_numpy() == ROW
+            keys = [batch[c].to_numpy(zero_copy_only=False) for c in by]
+            new = np.diff(row, prepend=not row[0])
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            starts = np.flatnonzero(new).tolist()
+            for start, end in zip(starts, [*starts[1:], len(row)]):
+                here = tuple(k[start] for k in keys)
+                if here != key:
+                    key, items, lists = here, [], None
+                if not row[start]:
+                    items.append(batch.slice(start, end - start))
+                    continue
+                if lists is None:
+                    lists, items = _lists(items), []
+                for found in hits(batch.slice(start, end - start), lists):
+                    out.append(found)
+                    if sum(o.num_rows for o in out) >= RETURNED:
+                        yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                        out = []
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out = []
+
+    return search
+
+
 def first_within(rows: DataFrame, others: DataFrame, r: float, *, shown: int = SHOWN) -> DataFrame:
     """``(q, h, g, side, o, v)``: for each row (q, e, x, y, h) and each side of each group g other than e, the first of the others (g, side, v, o, x, y) within r, by v descending, then o.
 
@@ -45,25 +115,15 @@ def first_within(rows: DataFrame, others: DataFrame, r: float, *, shown: int = S
     finite = "abs(x) < double('infinity') and abs(y) < double('infinity')"
     small, block, reach = float(r) / CELLS, 2 * float(r) * (1 + 1e-6), float(r) * (1 + 1e-6)
     at = lambda c, side: F.floor(c / F.lit(side)).cast("long")
-    here = ["bx", "by"]
+    here, kind = ["bx", "by"], others.schema["g"].dataType.simpleString()
     others = others.where(finite).withColumns({"mx": at(F.col("x"), small), "my": at(F.col("y"), small)})
     others = materialise(others, "first-others")
     open_ = rows.where(finite).withColumns({"bx": at(F.col("x"), block), "by": at(F.col("y"), block)})
-    on, done, schema = here, None, ["q", "e", "x", "y", "h", *here]
+    open_ = open_.withColumns({"e": F.col("e").cast(kind), "g": F.lit(None).cast(kind), "side": F.lit(None).cast("int")})
+    on, done = here, None
     order = Window.partitionBy("g", "side", "mx", "my").orderBy(F.desc("v"), "o")
-
-    @F.pandas_udf(_FOUND)
-    def search(qx: pd.Series, qy: pd.Series, x1: pd.Series, x2: pd.Series, y1: pd.Series, y2: pd.Series, v: pd.Series, o: pd.Series, rest: pd.Series) -> pd.Series:
-        out = []
-        for px, py, *item in zip(qx, qy, x1, x2, y1, y2, v, o, rest):
-            items = dict(zip(("x1", "x2", "y1", "y2", "v", "o", "rest"), (np.asarray(i) for i in item)))
-            place = np.lexsort((items["o"], -items["v"]))
-            items = {k: a[place] for k, a in items.items()}
-            hit = first_hits(np.asarray(px), np.asarray(py), items, float(r))
-            some = np.flatnonzero(hit >= 0)
-            ids = np.where(items["rest"], -1, items["o"])  # never read where the value is null
-            out.append([{"at": int(i), "o": int(ids[k]), "v": None if items["rest"][k] else float(items["v"][k])} for i, k in zip(some, hit[some])])
-        return pd.Series(out)
+    none = lambda t: F.lit(None).cast(t)
+    returned = f"q bigint, e {kind}, x double, y double, h double, bx bigint, by bigint, g {kind}, side int, o bigint, v double"
 
     while True:
         listed = others.withColumn("n", F.row_number().over(order)).where(F.col("n") <= shown + 1).withColumn("rest", F.col("n") > shown)
@@ -72,19 +132,17 @@ def first_within(rows: DataFrame, others: DataFrame, r: float, *, shown: int = S
         span = lambda a, b: F.explode(F.sequence(at(F.col(a) - reach, block), at(F.col(b) + reach, block)))
         items = listed.select("g", "side", "v", "o", "rest", low("x", "mx").alias("x1"), high("x", "mx").alias("x2"), low("y", "my").alias("y1"), high("y", "my").alias("y2"))
         items = items.withColumn("bx", span("x1", "x2")).withColumn("by", span("y1", "y2"))
-        # what the cells around a block show, a bounded list
-        lists = items.groupBy(*here, "g", "side").agg(F.collect_list(F.struct("x1", "x2", "y1", "y2", "v", "o", "rest")).alias("i"))
-        sizes = open_.groupBy(*on).agg(F.ceil(F.count("*") / TOGETHER).alias("_parts"))
-        dealt = open_.join(sizes, on).withColumn("_part", F.pmod(F.xxhash64("q"), F.col("_parts")))
-        together = dealt.groupBy(*on, "e", "_part").agg(F.collect_list(F.struct("q", "x", "y", "h")).alias("p"))
-        met = together.join(lists.hint("merge"), on).where("e <> g")
-        met = met.withColumn("f", search("p.x", "p.y", "i.x1", "i.x2", "i.y1", "i.y2", "i.v", "i.o", "i.rest"))
-        each = met.select(*here, "e", "g", "side", "p", F.explode("f").alias("f")).withColumn("p", F.expr("p[f.at]"))
-        each = materialise(each.select("p.*", "e", *here, "g", "side", "f.o", "f.v"), "first-round")
+        # a block of many rows is dealt into parts, each with what the cells around it show
+        parts = open_.groupBy(*on).agg(F.ceil(F.count("*") / TOGETHER).cast("long").alias("_parts"))
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+        told = items.join(parts, on).withColumn("_part", each).select(*here, "g", "side", "_part", F.when(F.col("rest"), REST).otherwise(ITEM).alias("kind"), none(kind).alias("e"), F.col("o").alias("n"), F.col("x1").alias("a"), F.col("x2").alias("b"), F.col("y1").alias("c"), F.col("y2").alias("d"), "v")
+        asked = open_.join(parts, on).select(*here, "g", "side", F.pmod(F.xxhash64("q"), F.col("_parts")).alias("_part"), F.lit(ROW).alias("kind"), "e", F.col("q").alias("n"), F.col("x").alias("a"), F.col("y").alias("b"), F.col("h").alias("c"), none("double").alias("d"), none("double").alias("v"))
+        flat = told.unionByName(asked).repartition(*on, "_part").sortWithinPartitions(*on, "_part", "kind")
+        each = materialise(flat.mapInArrow(searcher(float(r), on), returned), "first-round")
         now = each.where("v is not null").select("q", "h", "g", "side", "o", "v")
         done = now if done is None else done.unionByName(now)
         on = [*here, "g", "side"]
-        open_ = each.where("v is null").select(*schema, "g", "side")
+        open_ = each.where("v is null").select("q", "e", "x", "y", "h", *on)
         if open_.isEmpty():
             return done
         shown *= MORE

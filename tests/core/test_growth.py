@@ -323,3 +323,22 @@ def test_components_share_batches_and_go_on_in_the_next(spark):
     finally:
         spark.conf.set(name, before)
     assert found[0] == found[1] and len({m[1] for m in found[0]}) == len(found[0]) > 20
+
+
+def test_rows_are_searched_for_in_flat_batches(spark, monkeypatch):
+    """A task of the search holds what a block's cells show and a batch of rows, not lists of thousands; as by brute force in any batches."""
+    from aerotally.operators import extremes
+
+    plans, real = {}, extremes.materialise
+    monkeypatch.setattr(extremes, "materialise", lambda df, label: plans.setdefault(label, plan(df)) and real(df, label))
+    monkeypatch.setattr(extremes, "TOGETHER", 7)
+    rng = np.random.default_rng(5)
+    rows = [(i, "AB"[i % 2], float(rng.integers(0, 9)), float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 20, (150, 2)))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r.s: (r.o, r["diff"]) for r in spatial.height_contrast(spark.createDataFrame(rows, "shot long, expedition string, height double, x double, y double"), 4.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {s: max((abs(h - k), -o) for o, f, k, u, v in rows if f != e and (x - u) ** 2 + (y - v) ** 2 <= 16) for s, e, h, x, y in rows if any(f != e and (x - u) ** 2 + (y - v) ** 2 <= 16 for _, f, _, u, v in rows)}
+    assert got == {s: (-o, d) for s, (d, o) in want.items()}
+    assert "MapInArrow" in plans["first-round"] and "collect_list" not in plans["first-round"] and "ArrowEvalPython" not in plans["first-round"]
